@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunked(batch: pa.RecordBatch, text: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have at most max_bytes together, or one row."""
-    lens = pa.compute.binary_length(batch.column(text).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+    lens = pc.binary_length(batch.column(text).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
     at = 0
     while at < len(lens):
         n = max(1, int(np.searchsorted(np.cumsum(lens[at:]), max_bytes, side="right")))
