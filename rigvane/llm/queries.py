@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, secrets
+from . import contamination, language, pii, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.query,
         "op2_decontamination": contamination.query,
+        "op5_pii": pii.query,
+        "op8_language_id": language.query,
     }
 
 
