@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, language, pii, secrets
+from . import contamination, fingerprints, language, pii, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": contamination.query,
         "op5_pii": pii.query,
         "op8_language_id": language.query,
+        "op10_fingerprints": fingerprints.query,
     }
 
 
