@@ -135,3 +135,13 @@ def bounded_sample(rows: DataFrame, bound: int, *by: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder, so that no lost executor makes them be computed again."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rigvane-"))
+    return df.checkpoint(eager=True)

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, fingerprints, language, pii, secrets, sentencepiece_codec
+from . import contamination, fingerprints, language, pii, quality, secrets, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.query,
         "op2_decontamination": contamination.query,
+        "op3_quality": quality.query,
         "op4_sentencepiece": sentencepiece_codec.query,
         "op5_pii": pii.query,
         "op8_language_id": language.query,
