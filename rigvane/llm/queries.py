@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, fingerprints, language, pii, quality, secrets, sentencepiece_codec
+from . import contamination, fingerprints, language, licenses, pii, quality, secrets, sentencepiece_codec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece": sentencepiece_codec.query,
         "op5_pii": pii.query,
         "op8_language_id": language.query,
+        "op9_license_scan": licenses.query,
         "op10_fingerprints": fingerprints.query,
     }
 
