@@ -1,16 +1,56 @@
-"""A corpus pipeline of five text operators, each stage written as Parquet and read again."""
+"""A corpus pipeline of five text operators; each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from rigvane.llm import contamination, ngram_join, pii, quality, sentencepiece_codec
+from rigvane.llm.common import read
 
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample leaves out go."""
+    return quality.resample(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by sets of five words at a similarity of 0.8 or more, the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return contamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is masked; n_chars follows."""
+    masked = pii.mask(docs, pii.train(pii.labelled_table(spark)))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the piece ids, their number, and whether decoding gives the text back."""
+    pieces = sentencepiece_codec.load()
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, pieces, out="piece_ids"), pieces, ids="piece_ids", out="decoded")
+    return both.withColumn("n_pieces", F.size("piece_ids")).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("pii", personal_data),
+    ("sentencepiece", sentencepiece),
+]
+
+#: SQL cannot express the trained models; the pipeline is tested against its stages' brute-force twins.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
