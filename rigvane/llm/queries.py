@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, fingerprints, language, licenses, ngram_join, pii, quality, secrets, sentencepiece_codec
+from . import contamination, fingerprints, language, licenses, ngram_join, pii, quality, secrets, sentencepiece_codec, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.query,
         "op4_sentencepiece": sentencepiece_codec.query,
         "op5_pii": pii.query,
+        "op6_suffix_dedup": substring_dedup.query,
         "op7_ngram_join": ngram_join.query,
         "op8_language_id": language.query,
         "op9_license_scan": licenses.query,
