@@ -9,8 +9,8 @@ Candidates share an n-gram of their prefixes in that order (the first
 n - ceil(t * n) + 1), which loses no pair of similarity t.  The order is cut into
 fragments; overlaps are counted by fragment and summed per pair.  Since
 only reachability counts, each n-gram's nodes are first compared with one centre;
-after that, pairs that are not yet connected are compared, all of them, unless sizes and
-numbers of unshared n-grams rule them out.
+after that, pairs that are not yet connected are compared, all of them, unless sizes,
+numbers of unshared n-grams and bitmaps prove that they cannot be similar enough.
 
 How the data moves: n-grams travel once, packed by range of hash (about five bytes
 each), to find those that two nodes share; only these travel on.  No range holds
@@ -43,6 +43,8 @@ SAMPLE_DOCS, SAMPLE_SETS = 20_000, 40
 RANGE_SIZE, PACK_SIZE = 2_000_000, 1_000_000
 #: Where the global order is cut: numbers of sets (the last fragment has the very common n-grams).
 PIVOTS = (3, 9, 65)
+#: 64-bit words of a node's bitmap.
+WORDS = 16
 COMMON = 0x7FFF  # the order's class of very common n-grams
 
 _WORD = byte_set([(0x20, 0x20), (0x09, 0x0D)], inverted=True)
@@ -196,10 +198,32 @@ def shared(packs: DataFrame) -> DataFrame:
     return packs.groupBy("range").applyInArrow(run, "node long, key long")
 
 
-def _possible(percent: int, n_a: Column, u_a: Column, n_b: Column, u_b: Column) -> Column:
-    """Whether sets of n n-grams, u of them held by no other set, can be similar enough."""
-    most = F.least(n_a - u_a, n_b - u_b)
-    return F.lit(100) * most >= F.lit(percent) * (n_a + n_b - most)
+def with_bits(nodes: DataFrame) -> DataFrame:
+    """Adds columns b0, b1, ...: a bitmap of the n-grams in `keys`."""
+    schema = T.StructType([*nodes.schema, *(T.StructField(f"b{i}", T.LongType()) for i in range(WORDS))])
+    at = nodes.schema.names.index("keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            bit = (mix(lists.flatten().to_numpy().view(np.uint64)) >> U64(20)).astype(np.int64) % (64 * WORDS)
+            words = np.zeros((len(batch), WORDS), np.uint64)
+            np.bitwise_or.at(words.reshape(-1), row * WORDS + bit // 64, U64(1) << (bit % 64).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(WORDS))], schema.names)
+
+    return nodes.mapInArrow(run, schema)
+
+
+def _possible(percent: int, a: str, b: str) -> Column:
+    """Whether two nodes can be similar enough: each one's overlap is at most its n n-grams, less the u held by no
+    other node, less one for each bit that the other's bitmap lacks."""
+    bits = lambda x, y: sum((F.bit_count(F.col(f"{x}b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}b{i}")))) for i in range(WORDS)), F.lit(0))
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    plain = F.least(n_a - F.col(f"{a}u"), n_b - F.col(f"{b}u"))
+    most = F.least(n_a - F.col(f"{a}u") - bits(a, b), n_b - F.col(f"{b}u") - bits(b, a))
+    enough = lambda m: F.lit(100) * m >= F.lit(percent) * (n_a + n_b - m)
+    return enough(plain) & enough(most)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -226,25 +250,31 @@ def links(rows: DataFrame, members: DataFrame, size: int, percent: int, common:
     nodes = distinct.join(grams, "node", "left").select("node", "n", F.concat(F.coalesce("keys", none), F.sort_array(hot)).alias("keys"))
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     nodes = nodes.withColumn("u", F.col("n") - F.size("keys")).withColumn("p", (prefix - F.col("u")).cast("int")).where("p > 0 and size(keys) > 0")
-    nodes = cut(nodes)
+    nodes = cut(with_bits(nodes))
+    bits = [f"b{i}" for i in range(WORDS)]
     entries = nodes.select("node", "n", "u", F.explode(F.slice("keys", 1, F.col("p"))).alias("key"))
     # N-grams that the same nodes hold (a shared passage has many) are one list.
     lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min(F.struct("u", "node", "n")).alias("centre")).where("c > 1")
     lists = cut(lists.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.min("centre").alias("centre")).select("key", "centre"))
     if lists.isEmpty():
         return None
-    of_list = cut(entries.join(lists, "key"))
-    fits = _possible(percent, F.col("centre.n"), F.col("centre.u"), F.col("n"), F.col("u"))
-    stars = cut(of_list.where((F.col("centre.node") != F.col("node")) & fits).select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct())
+    of_list = cut(entries.join(lists, "key").select("key", "node", F.col("centre.node").alias("centre")))
+    centre = nodes.select("n", "u", *bits, "node").toDF(*(f"c_{c}" for c in ("n", "u", *bits)), "centre")
+    pairs = of_list.where("centre <> node").select("node", "centre").distinct()
+    pairs = pairs.join(nodes.select("node", "n", "u", *bits), "node").join(centre, "centre").where(_possible(percent, "", "c_"))
+    stars = cut(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
     linked = cut(verified(stars, nodes, percent))
     roots = components(linked)
     known = of_list.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = known.join(roots.withColumnsRenamed({"node": "__c", "root": "centre_root"}), F.col("centre.node") == F.col("__c"), "left").withColumn("centre_root", F.coalesce("centre_root", "centre.node")).drop("__c")
-    known = cut(known.select("key", "node", "n", "u", "root", (F.col("root") != F.col("centre_root")).alias("apart")))
-    mine, other = known.where("apart").alias("m"), known.alias("o")
-    once = ~F.col("o.apart") | (F.col("m.node") < F.col("o.node"))
-    open_ = mine.join(other, (F.col("m.key") == F.col("o.key")) & (F.col("m.root") != F.col("o.root")) & once & _possible(percent, F.col("m.n"), F.col("m.u"), F.col("o.n"), F.col("o.u")))
-    rest = open_.select(F.least("m.node", "o.node").alias("a"), F.greatest("m.node", "o.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    known = known.join(roots.toDF("centre", "centre_root"), "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
+    known = known.select("key", "node", "root", (F.col("root") != F.col("centre_root")).alias("apart"))
+    # Lists whose nodes are all connected have no open pair.
+    open_keys = known.where("apart").select("key").distinct()
+    known = cut(known.join(open_keys, "key", "left_semi").join(nodes.select("node", "n", "u", *bits), "node"))
+    mine, other = known.where("apart").toDF(*(f"m_{c}" for c in known.columns)), known.toDF(*(f"o_{c}" for c in known.columns))
+    once = ~F.col("o_apart") | (F.col("m_node") < F.col("o_node"))
+    open_ = mine.join(other, (F.col("m_key") == F.col("o_key")) & (F.col("m_root") != F.col("o_root")) & once & _possible(percent, "m_", "o_"))
+    rest = open_.select(F.least("m_node", "o_node").alias("a"), F.greatest("m_node", "o_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = cut(verified(cut(rest), nodes, percent))
     return roots if more.isEmpty() else components(linked.unionByName(more))
 
