@@ -43,6 +43,8 @@ LENGTH, GRAM = 200, 40
 #: Runs of one anchor that are sorted in memory; more are counted by window.
 SORTED_RUNS = 50_000
 BITMAP_BITS = 24
+#: Bytes of text whose runs are found at once (or one text): about 60 times as much memory.
+STEP_BYTES = 1 << 19
 _VALUES = random_table(6)
 _POS = U64((1 << 28) - 1)
 _MUL = U64(0xD1342543DE82EF95)
@@ -84,7 +86,7 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GR
     return dict(text=np.searchsorted(offs, first, side="right") - 1, first=first, last=last, at=at, anchor=g[at], content=content)
 
 
-def _own(part: pa.RecordBatch, text: int, node: int) -> pa.RecordBatch:
+def _own(part: pa.RecordBatch, node: int) -> pa.RecordBatch:
     """The rows of a batch without further copies of a text."""
     _, at = np.unique(part.column(node).to_numpy(zero_copy_only=False), return_index=True)
     return part if len(at) == len(part) else part.take(pa.array(np.sort(at)))
@@ -217,15 +219,15 @@ def _spans_of_runs(groups: DataFrame, length: int, gram: int) -> DataFrame:
             anchors = batch.column(0).to_numpy()
             ends = np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(batch))
             at = 0
-            if held and held[-1].column(0)[-1].as_py() != anchors[0] and n >= 5000:
+            if held and held[-1].column(0)[-1].as_py() != anchors[0] and n >= 2_500:
                 yield flush(held)
                 held, n = [], 0
             while at < len(batch):
-                cut_at = int(ends[min(len(ends) - 1, np.searchsorted(ends, at + 20_000))])
+                cut_at = int(ends[min(len(ends) - 1, np.searchsorted(ends, at + 5_000))])
                 held.append(batch.slice(at, cut_at - at))
                 n += cut_at - at
                 at = cut_at
-                if n >= 20_000 and at < len(batch):
+                if n >= 5_000 and at < len(batch):
                     yield flush(held)
                     held, n = [], 0
         if held:
@@ -262,8 +264,8 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_runs:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunked(batch, 0):
-                r = runs(*utf8(_own(part, 0, 1).column(0)), length, gram)
+            for part in chunked(_own(batch, 1), 0, STEP_BYTES):
+                r = runs(*utf8(part.column(0)), length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(r["anchor"].view(np.int64)), pa.array(r["content"].view(np.int64))], ["anchor", "content"])
 
     met = rows.mapInArrow(count, "anchor long, content long").groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") != F.max("content")).alias("mixed")).where("c > 1").select("anchor", "mixed")
@@ -273,8 +275,7 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_runs:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunked(batch, 0):
-                part = _own(part, 0, 1)
+            for part in chunked(_own(batch, 1), 0, STEP_BYTES):
                 _, offs = texts = utf8(part.column(0))
                 r = runs(*texts, length, gram)
                 base = offs[r["text"]]
@@ -297,7 +298,7 @@ def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_runs:
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _own(batch, 0, 1)
+            yield _own(batch, 1)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
