@@ -20,7 +20,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 #: Bytes of text that one vectorised step works on (a longer text is one step).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _powers: dict[str, np.ndarray] = {}
 

@@ -35,7 +35,7 @@ from .common import U64, byte_set, chunked, lower_values, mix, prefix_hash, rang
 WINDOW = 10
 #: Bytes of benchmark text that are sent to the tasks at once.
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _WORD = byte_set([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 _VALUES = lower_values(2)

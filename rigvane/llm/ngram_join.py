@@ -40,7 +40,7 @@ from .graph import components
 #: Documents sampled to find very common n-grams, and the sets of the sample that make one so.
 SAMPLE_DOCS, SAMPLE_SETS = 20_000, 40
 #: N-grams that a range of hashes holds, about; n-grams packed together.
-RANGE_SIZE, PACK_SIZE = 2_000_000, 1_000_000
+RANGE_SIZE, PACK_SIZE = 1_000_000, 1_000_000
 #: Where the global order is cut: numbers of sets (the last fragment has the very common n-grams).
 PIVOTS = (3, 9, 65)
 #: 64-bit words of a node's bitmap.
