@@ -145,3 +145,11 @@ def cut(df: DataFrame) -> DataFrame:
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rigvane-"))
     return df.checkpoint(eager=True)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows; from now on the session sends Python at most `rows` rows at once, as texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
+    return df

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, byte_set, chunked, lower_values, mix, prefix_hash, range_hash, utf8, word_bounds
+from .common import U64, byte_set, chunked, lower_values, mix, prefix_hash, range_hash, small_batches, utf8, word_bounds
 
 #: Words of an item that make a window; a shorter item is one window.
 WINDOW = 10
@@ -245,7 +245,7 @@ def _fold(rows: DataFrame, block: Block, fresh: bool) -> DataFrame:
 
 def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
-    rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
+    rows = small_batches(docs).select(F.col(id_col), F.col(text).alias("__rv_text"))
     found = blocks(bench, item_col, item_text, window)
     schema = T.StructType(
         [rows.schema[0], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -288,6 +288,7 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str =
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns."""
+    docs = small_batches(docs)
     for block in blocks(bench, item_col, item_text, window):
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block, at: int = docs.schema.names.index(text)) -> Iterator[pa.RecordBatch]:

@@ -34,13 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bounded_sample, byte_set, chunked, cut, lower_values, mix, prefix_hash, range_hash, utf8, word_bounds
+from .common import U64, bounded_sample, byte_set, chunked, cut, lower_values, mix, prefix_hash, range_hash, small_batches, utf8, word_bounds
 from .graph import components
 
 #: Documents sampled to find very common n-grams, and the sets of the sample that make one so.
 SAMPLE_DOCS, SAMPLE_SETS = 20_000, 40
 #: N-grams that a range of hashes holds, about; n-grams packed together.
-RANGE_SIZE, PACK_SIZE = 1_000_000, 1_000_000
+RANGE_SIZE, PACK_SIZE = 500_000, 500_000
 #: Where the global order is cut: numbers of sets (the last fragment has the very common n-grams).
 PIVOTS = (3, 9, 65)
 #: 64-bit words of a node's bitmap.
@@ -228,9 +228,9 @@ def _possible(percent: int, a: str, b: str) -> Column:
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose similarity reaches percent: overlaps are counted by fragment and summed."""
-    cuts = [0, *(p << 48 for p in PIVOTS), COMMON << 48, 1 << 62]
-    piece = lambda i: F.filter("keys", lambda k: (k >= cuts[i]) & (k < cuts[i + 1]))
-    pieces = F.array(*[F.struct(F.lit(i).alias("f"), piece(i).alias("keys")) for i in range(len(cuts) - 1)])
+    cuts = [0, *(p << 48 for p in PIVOTS), COMMON << 48]
+    piece = lambda i: F.filter("keys", lambda k: (k >= cuts[i]) & ((k < cuts[i + 1]) if i + 1 < len(cuts) else F.lit(True)))
+    pieces = F.array(*[F.struct(F.lit(i).alias("f"), piece(i).alias("keys")) for i in range(len(cuts))])
     frags = nodes.select("node", F.explode(pieces).alias("p")).select("node", F.col("p.f").alias("f"), F.col("p.keys").alias("keys")).where(F.size("keys") > 0)
     left = pairs.join(frags.withColumnsRenamed({"node": "a", "keys": "keys_a"}), "a")
     both = left.join(frags.withColumnsRenamed({"node": "b", "keys": "keys_b"}), ["b", "f"])
@@ -281,7 +281,7 @@ def links(rows: DataFrame, members: DataFrame, size: int, percent: int, common:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
-    rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
+    rows = small_batches(docs).select(F.col(id_col), F.col(text).alias("__rv_text"))
     common = common_grams(rows, size, SAMPLE_DOCS, SAMPLE_SETS)
     members = cut(membership(rows, size, common))
     roots = links(rows, members, size, percent, common)

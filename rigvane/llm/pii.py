@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 REACH = 3
@@ -373,7 +375,7 @@ def mask(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
                 part = batch.slice(at, len(texts))
                 yield part.set_column(at_col, part.schema.field(at_col), pa.array(new, part.schema.field(at_col).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bounded_sample, chunked, cut, lower_values, mix, prefix_hash, range_hash, utf8
+from .common import U64, bounded_sample, chunked, cut, lower_values, mix, prefix_hash, range_hash, small_batches, utf8
 
 BITS = 18
 GATE = (3.5, 25.0)  # of single words and marks, of pairs (there are many more of them, so chance finds more)
@@ -94,7 +94,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_lab
     """(id, __rv_text, __rv_good): all documents, with 1, 0 or null for good, bad or not in the sample of labels."""
     good = F.max(((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")).alias("__rv_good")
     sample = bounded_sample(labels.where(F.col("quality").isNotNull()).select(F.col(id_col).alias("__rv_id"), "quality", "toxic").groupBy("__rv_id").agg(good), max_labels, "__rv_id")
-    rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
+    rows = small_batches(docs).select(F.col(id_col), F.col(text).alias("__rv_text"))
     return rows.join(F.broadcast(sample), F.col(id_col) == F.col("__rv_id"), "left").drop("__rv_id")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunked
+from .common import chunked, small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -280,7 +280,7 @@ def _schema(df: DataFrame, *more: T.StructField) -> T.StructType:
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids") -> DataFrame:
     """The documents with their piece ids in column `out`."""
-    schema = _schema(docs, T.StructField(out, T.ArrayType(T.IntegerType())))
+    schema = _schema(small_batches(docs), T.StructField(out, T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

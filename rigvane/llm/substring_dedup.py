@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, chunked, cut, mix, prefix_hash, random_table, range_hash, utf8
+from .common import U64, chunked, cut, mix, powers, prefix_hash, random_table, range_hash, small_batches, utf8
 
 LENGTH, GRAM = 200, 40
 #: Runs of one anchor that are sorted in memory; more are counted by window.
-SORTED_RUNS = 50_000
+SORTED_RUNS = 25_000
 BITMAP_BITS = 24
 #: Bytes of text whose runs are found at once (or one text): about 60 times as much memory.
 STEP_BYTES = 1 << 19
@@ -106,17 +106,35 @@ def with_bit(rows: DataFrame, column: str, bits: DataFrame, out: str) -> DataFra
     return rows.join(F.broadcast(bits), slot == F.col("__rv_word"), "left").withColumn(out, F.coalesce(hit, F.lit(False))).drop("__rv_word", "__rv_bits")
 
 
-def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+class Slices:
+    """The bytes of many short slices and their prefix hashes; powers follow the place in the slice, so few are needed."""
+
+    def __init__(self, data: list[bytes]):
+        lens = np.array([len(d) for d in data], np.int64)
+        self.buf = np.frombuffer(b"".join(data), np.uint8)
+        self.begin = np.cumsum(lens) - lens
+        self.place = np.zeros(len(self.buf) + 1, np.int32)
+        self.place[:-1] = np.arange(len(self.buf)) - np.repeat(self.begin, lens)
+        up, self.down = powers(int(lens.max(initial=0)) + 1)
+        self.prefix = np.zeros(len(self.buf) + 1, U64)
+        np.multiply(_VALUES[self.buf], up[self.place[:-1]], out=self.prefix[1:])
+        np.cumsum(self.prefix, out=self.prefix)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.prefix[end] - self.prefix[start]) * self.down[self.place[start]]
+
+
+def common_extension(text: Slices, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Bytes that the suffixes at a and b share, up to most: binary search over prefix hashes."""
     lo, hi = np.zeros(len(a), np.int64), most.astype(np.int64).copy()
     while (lo < hi).any():
         mid = (lo + hi + 1) // 2
-        same = range_hash(prefix, a, a + mid) == range_hash(prefix, b, b + mid)
+        same = text.hash(a, a + mid) == text.hash(b, b + mid)
         lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
     return lo
 
 
-def suffix_order(buf: np.ndarray, prefix: np.ndarray, group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def suffix_order(text: Slices, group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mergesort of the suffixes [start, end) within their groups (group is ascending), all pairs of runs of a
     level merged at once: each suffix finds its place in the sibling run by binary search, a
     comparison being one common extension and one byte."""
@@ -124,10 +142,10 @@ def suffix_order(buf: np.ndarray, prefix: np.ndarray, group: np.ndarray, start:
     def below(x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Whether suffix x sorts before suffix y; equal ones as ties says."""
         most = np.minimum(end[x] - start[x], end[y] - start[y])
-        e = common_extension(prefix, start[x], start[y], most)
+        e = common_extension(text, start[x], start[y], most)
         out = np.where(end[x] - start[x] == end[y] - start[y], ties, end[x] - start[x] < end[y] - start[y])
         on = e < most
-        out[on] = buf[start[x[on]] + e[on]] < buf[start[y[on]] + e[on]]
+        out[on] = text.buf[start[x[on]] + e[on]] < text.buf[start[y[on]] + e[on]]
         return out
 
     n = len(start)
@@ -170,15 +188,14 @@ def repeated_windows(data: list[bytes], anchor: np.ndarray, at: np.ndarray, wind
     whose bytes another run of the same anchor has too (-1: none)."""
     n = len(data)
     lens = np.array([len(d) for d in data], np.int64)
-    buf = np.frombuffer(b"".join(data), np.uint8)
-    begin = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    prefix = prefix_hash(_VALUES[buf])
+    text = Slices(data)
+    buf, begin = text.buf, text.begin
     by = np.argsort(anchor, kind="stable")
-    order = by[suffix_order(buf, prefix, anchor[by], (begin + at)[by], (begin + lens)[by])]
+    order = by[suffix_order(text, anchor[by], (begin + at)[by], (begin + lens)[by])]
     a, s, e = anchor[order], (begin + at)[order], (begin + lens)[order]
     shared = np.zeros(n, np.int64)  # common extension with the suffix before
     pair = np.flatnonzero(a[1:] == a[:-1]) + 1
-    shared[pair] = common_extension(prefix, s[pair - 1], s[pair], np.minimum((e - s)[pair - 1], (e - s)[pair]))
+    shared[pair] = common_extension(text, s[pair - 1], s[pair], np.minimum((e - s)[pair - 1], (e - s)[pair]))
     b0, at_, w = begin[order], at[order], windows[order]
     first, last = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     for left in range(length - gram, -1, -1):  # bytes of the window before the anchor
@@ -187,14 +204,14 @@ def repeated_windows(data: list[bytes], anchor: np.ndarray, at: np.ndarray, wind
         if len(ok) < 2:
             continue
         segment = np.cumsum(shared < length - left)[ok].astype(np.uint64)
-        key = mix(segment * _MUL + range_hash(prefix, s[ok] - left, s[ok]))
+        key = mix(segment * _MUL + text.hash(s[ok] - left, s[ok]))
         by = np.argsort(key, kind="stable")
         same = np.flatnonzero(key[by[1:]] == key[by[:-1]])
         if not len(same):
             continue
         x, y = ok[by[same]], ok[by[same + 1]]
         span = np.arange(length)
-        real = np.concatenate([(buf[(b0 + k)[x[i : i + 4096], None] + span] == buf[(b0 + k)[y[i : i + 4096], None] + span]).all(axis=1) for i in range(0, len(x), 4096)])
+        real = np.concatenate([(buf[(b0 + k)[x[i : i + 4096], None] + span] == buf[(b0 + k)[y[i : i + 4096], None] + span]).all(axis=1) for i in range(0, len(x), 1024)])
         hit = np.unique(np.concatenate([x[real], y[real]]))
         last[hit] = np.maximum(last[hit], k[hit])
         first[hit] = np.where(first[hit] < 0, k[hit], np.minimum(first[hit], k[hit]))
@@ -338,7 +355,7 @@ def removed(n_bytes: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, sorted_runs: int = SORTED_RUNS, keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
-    rows = docs.select(F.col(id_col).alias("__rv_id"), F.coalesce(F.col(text), F.lit("")).alias("__rv_text")).withColumn("node", F.xxhash64("__rv_text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("__rv_id"), F.coalesce(F.col(text), F.lit("")).alias("__rv_text")).withColumn("node", F.xxhash64("__rv_text"))
     found = spans(rows, length, gram, sorted_runs)
     twice = rows.where(F.octet_length("__rv_text") >= length).groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node", F.lit(True).alias("whole"))
     touched = cut(found.join(twice, "node", "full").select("node", "spans", "whole"))
