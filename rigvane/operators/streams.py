@@ -162,12 +162,12 @@ def refresh_due(frames: list[tuple[int, float | None, bool]], every: int, min_ga
     return out
 
 
-def slot_life(visible: list[bool], active: bool, release_after: int, corrections: dict[int, bool]) -> list[tuple[int, str | None, int, bool]]:
+def slot_life(visible: list[bool], active: bool, release_after: int, corrections: dict[int, bool], missing: int = 0) -> list[tuple[int, str | None, int, bool]]:
     """J-3: a slot frame by frame: (frame, emitted status or null, missing frames, active after it).
 
     A correction that gives the slot a detection activates it and clears its count; the frame of release
     still says lost; an inactive slot emits nothing."""
-    missing, out = 0, []
+    out = []
     for f, seen in enumerate(visible):
         if corrections.get(f) and not active:
             active, missing = True, 0
