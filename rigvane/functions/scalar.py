@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The six palette colours of instance ids, as (r, g, b).
-PALETTE = [(230, 80, 70), (70, 160, 230), (90, 200, 110), (235, 180, 60), (170, 110, 220), (70, 200, 200)]
+PALETTE = [(230, 80, 80), (80, 210, 120), (80, 150, 240), (235, 190, 70), (180, 90, 225), (70, 210, 215)]
 
 
 def sigmoid(x: Column) -> Column:

@@ -117,10 +117,10 @@ def _(spark, sf):
     return h.where("total >= 8").select("p_brand", "bin", r6(c("n") / c("len")).alias("weight"))
 
 
-@query("b12_b13_colours", "SELECT s_suppkey, CAST((((s_suppkey * 3) % 256) << 16) | (((s_suppkey * 5) % 256) << 8) | ((s_suppkey * 7) % 256) AS INT) AS rgb, CAST((coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END, s_suppkey) - 1 + 6) % 6 AS BIGINT) AS slot FROM supplier")
+@query("b12_b13_colours", "SELECT s_suppkey, CAST((((s_suppkey * 3) % 256) << 16) | (((s_suppkey * 5) % 256) << 8) | ((s_suppkey * 7) % 256) AS INT) AS rgb, CAST((coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END, s_suppkey) - 1 + 6) % 6 AS BIGINT) AS slot, CAST(CASE CAST((coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END, s_suppkey) - 1 + 6) % 6 AS INT) WHEN 0 THEN 15093840 WHEN 1 THEN 5296760 WHEN 2 THEN 5281520 WHEN 3 THEN 15449670 WHEN 4 THEN 11819745 ELSE 4641495 END AS INT) AS palette_rgb FROM supplier")
 def _(spark, sf):
     k = c("s_suppkey")
-    return table(spark, sf, "supplier").select("s_suppkey", S.pack_rgb(k * 3 % 256, k * 5 % 256, k * 7 % 256).alias("rgb"), S.palette_index(F.when(k % 3 == 0, c("s_nationkey")), k).cast("bigint").alias("slot"))
+    return table(spark, sf, "supplier").select("s_suppkey", S.pack_rgb(k * 3 % 256, k * 5 % 256, k * 7 % 256).alias("rgb"), S.palette_index(F.when(k % 3 == 0, c("s_nationkey")), k).cast("bigint").alias("slot"), S.palette_rgb(S.palette_index(F.when(k % 3 == 0, c("s_nationkey")), k)).alias("palette_rgb"))
 
 
 @query("b14_label_text", "SELECT n_nationkey, concat_ws(' ', n_name, '[slot ' || n_regionkey || ']', 'G' || CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END, 'M' || CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END) AS text FROM nation")
