@@ -151,3 +151,14 @@ def optimal_match(costs: DataFrame, keys: list[str], limit: float = math.inf) ->
         return out
 
     return costs.where(F.col("cost").isNotNull()).groupBy(*keys).applyInPandas(run, schema)
+
+
+def on_active_slots(rows: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
+    """C-11: rows whose slot (keys) is known and active."""
+    return rows.join(slots.where("active").select(*keys), keys, "left_semi")
+
+
+def fallback_masks(slots: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
+    """J-13: every active slot with the number of its stored mask pixels; a slot without a mask has 0 (an empty fallback)."""
+    n = mask.groupBy(*keys).agg(F.count("*").alias("pixels"))
+    return slots.where("active").select(*keys).join(n, keys, "left").select(*keys, F.coalesce("pixels", F.lit(0)).cast("bigint").alias("pixels"))

@@ -165,3 +165,8 @@ def map_frames(frames: DataFrame, model, schema: T.StructType | str) -> DataFram
         yield from model(batches)
 
     return frames.mapInPandas(run, schema)
+
+
+def with_depth(mask: DataFrame, depth: DataFrame, keys: list[str]) -> DataFrame:
+    """D-5: mask pixels with their depth."""
+    return mask.join(depth, [*keys, "y", "x"])

@@ -645,3 +645,73 @@ def flagship(spark, sf):
     """How many occupied voxels has each class in each camera, and where is their median?"""
     f = _first(spark, sf)
     return f.groupBy("view_id", "label").agg(F.countDistinct("key").alias("n_voxels"), *[F.round(F.median(w), 5).alias(f"c{w[-1]}") for w in ("wx", "wy", "wz")])
+
+
+# --- sources, sinks and the rest -------------------------------------------------------------
+
+
+@query("a05_make_frames", "SELECT event_type AS camera, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS INT) AS frame_index FROM events")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(c("event_type").alias("camera"), "event_id", c("ts").alias("ts_ns"))
+    return sources.make_frames(e, e.select("camera").distinct().count()).select("camera", "event_id", "frame_index")
+
+
+@query("a10_timing_rows", f"WITH t AS ({TIMES}) SELECT frame, round(sum(value_ms) FILTER (stage = 'view'), 5) AS view, round(sum(value_ms) FILTER (stage = 'click'), 5) AS click, round(sum(value_ms) FILTER (stage = 'error'), 5) AS error FROM t WHERE stage IN ('view', 'click', 'error') GROUP BY frame")
+def _(spark, sf):
+    w = profile.wide(_sums(spark, sf), ["view"], ["error", "click"])
+    return w.select("frame", *[F.round(k, 5).alias(k) for k in ("view", "click", "error")])
+
+
+@query("a12_fused_cloud", f"{CHAIN} SELECT label, count(*) AS n, round(max(CAST(wz AS FLOAT)), 4) AS most, CAST(max(CASE (view_id + 5) % 6 WHEN 0 THEN 15093840 WHEN 5 THEN 4641495 ELSE 0 END) AS INT) AS rgb FROM first GROUP BY label")
+def _(spark, sf):
+    p = _first(spark, sf).select("label", "wx", "wy", "wz", F.lit(None).cast("bigint").alias("global_id"), c("view_id").alias("group_id"))
+    return sources.fused_cloud(p, ["label"]).groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("z"), 4).alias("most"), F.max("rgb").alias("rgb"))
+
+
+@query("a13_markers", f"WITH s AS ({SLOTS}), i AS (SELECT s_suppkey AS track_id, s_acctbal / 1000e0 AS cz, s_nationkey AS g FROM supplier WHERE s_suppkey IN (1, 2, 5)) SELECT s.track_id, CASE WHEN cz IS NOT NULL THEN 'ADD' ELSE 'DELETE' END AS action, CASE WHEN cz IS NOT NULL THEN s.label || ' [slot ' || class_slot || '] G' || g END AS text, round(cz + 0.12e0, 6) AS text_z, CASE WHEN cz IS NOT NULL THEN 0.001e0 ELSE 0.001e0 END AS size_x FROM s LEFT JOIN i ON i.track_id = s.track_id")
+def _(spark, sf):
+    z = c("s_acctbal") / 1000.0
+    i = table(spark, sf, "supplier").where("s_suppkey in (1, 2, 5)").select(c("s_suppkey").cast("int").alias("track_id"), z.alias("cx"), z.alias("cz"), c("s_nationkey").alias("global_id"), F.lit(None).cast("int").alias("group_id"), *[F.lit(0.0).alias(f"{k}{a}") for k in ("lo", "hi") for a in "xyz"])
+    return sources.markers(detect.slot_layout(spark, PROMPTS), i, ["track_id"]).select("track_id", "action", "text", r6(c("text_z")).alias("text_z"), "size_x")
+
+
+@query("a14_overlay", "SELECT p_partkey, CAST(round(0.55e0 * (p_partkey % 256) + 0.45e0 * 230) AS INT) AS r, CAST(round(0.55e0 * (p_size % 256) + 0.45e0 * 80) AS INT) AS g, CAST(round(0.55e0 * 7 + 0.45e0 * 80) AS INT) AS b FROM part")
+def _(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", (c("p_partkey") % 256).alias("r"), (c("p_size") % 256).alias("g"), F.lit(7).alias("b"))
+    return masks.overlay(p, S.palette_rgb(F.lit(0)))
+
+
+@query("c11_active_slots", f"WITH s AS ({bind.SAMPLES}) SELECT frame, track_id, count(*) AS n FROM s WHERE track_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 2 = 0) GROUP BY ALL")
+def _(spark, sf):
+    slots = table(spark, sf, "supplier").select(c("s_suppkey").alias("track_id"), (c("s_nationkey") % 2 == 0).alias("active"))
+    return detect.on_active_slots(bind.samples(spark, sf), slots, ["track_id"]).groupBy("frame", "track_id").agg(F.count("*").alias("n"))
+
+
+@query("d05_mask_depth", f"{M}, d AS (SELECT CAST((p_partkey - 1) % 64 AS INT) AS x, CAST(((p_partkey - 1) // 64) % 48 AS INT) AS y, min(p_retailprice) / 1000e0 AS z FROM part GROUP BY ALL) SELECT frame, label, count(*) AS n, round(min(z), 6) AS least, round(max(z), 6) AS most FROM m JOIN d ON d.x = m.x AND d.y = m.y GROUP BY ALL")
+def _(spark, sf):
+    d = table(spark, sf, "part").groupBy(F.expr("cast((p_partkey - 1) % 64 as int)").alias("x"), F.expr("cast(((p_partkey - 1) div 64) % 48 as int)").alias("y")).agg((F.min("p_retailprice") / 1000.0).alias("z"))
+    m = _mask(spark, sf).select("frame", "label", "y", "x").distinct()
+    return masks.with_depth(m, d, []).groupBy("frame", "label").agg(F.count("*").alias("n"), r6(F.min("z")).alias("least"), r6(F.max("z")).alias("most"))
+
+
+@query("d21_view_arity", f"WITH s AS ({bind.SAMPLES}) SELECT frame, count(DISTINCT view_id) AS views FROM s GROUP BY frame")
+def _(spark, sf):
+    s = bind.samples(spark, sf)
+    return crossview.assert_arity(s, s.where("z > 0"), ["frame"])
+
+
+@query("j13_fallback_masks", f"WITH m AS (SELECT DISTINCT track_id, x, y FROM ({MASK}) WHERE logit > 0) SELECT s.n_nationkey AS track_id, count(m.x) AS pixels FROM nation s LEFT JOIN m ON m.track_id = s.n_nationkey WHERE s.n_regionkey < 3 GROUP BY ALL")
+def _(spark, sf):
+    slots = table(spark, sf, "nation").select(c("n_nationkey").cast("bigint").alias("track_id"), (c("n_regionkey") < 3).alias("active"))
+    return detect.fallback_masks(slots, _mask(spark, sf).select("track_id", "x", "y").distinct(), ["track_id"]).select(c("track_id").cast("int").alias("track_id"), "pixels")
+
+
+@query("e12_active_dummy", "SELECT s_nationkey, count(*) FILTER (s_acctbal > 0) AS n_active, count(*) FILTER (s_acctbal <= 0) AS n_dummy FROM supplier GROUP BY ALL")
+def _(spark, sf):
+    return detect.status_counts(table(spark, sf, "supplier").withColumn("active", c("s_acctbal") > 0), ["s_nationkey"])
+
+
+@query("e20_group_numbers", f"{FUSED} SELECT frame, obs, group_id FROM gr")
+def _(spark, sf):
+    g = _groups(spark, sf).withColumnRenamed("group_id", "root")
+    return crossview.number_groups(g, ["frame"]).select("frame", "obs", c("group_id").cast("bigint").alias("group_id"))
