@@ -42,6 +42,8 @@ from .common import U64, chunked, cut, mix, powers, prefix_hash, random_table, r
 LENGTH, GRAM = 200, 40
 #: Runs of one anchor that are sorted in memory; more are counted by window.
 SORTED_RUNS = 25_000
+#: Pairs of windows whose bytes are compared at once.
+COMPARED = 1024
 BITMAP_BITS = 24
 #: Bytes of text whose runs are found at once (or one text): about 60 times as much memory.
 STEP_BYTES = 1 << 19
@@ -210,8 +212,8 @@ def repeated_windows(data: list[bytes], anchor: np.ndarray, at: np.ndarray, wind
         if not len(same):
             continue
         x, y = ok[by[same]], ok[by[same + 1]]
-        span = np.arange(length)
-        real = np.concatenate([(buf[(b0 + k)[x[i : i + 4096], None] + span] == buf[(b0 + k)[y[i : i + 4096], None] + span]).all(axis=1) for i in range(0, len(x), 1024)])
+        span, at_x, at_y = np.arange(length), (b0 + k)[x], (b0 + k)[y]
+        real = np.concatenate([(buf[at_x[i : i + COMPARED][:, None] + span] == buf[at_y[i : i + COMPARED][:, None] + span]).all(axis=1) for i in range(0, len(x), COMPARED)])
         hit = np.unique(np.concatenate([x[real], y[real]]))
         last[hit] = np.maximum(last[hit], k[hit])
         first[hit] = np.where(first[hit] < 0, k[hit], np.minimum(first[hit], k[hit]))

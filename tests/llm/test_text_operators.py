@@ -246,6 +246,19 @@ def test_substring_dedup(spark, docs, sorted_runs):
     assert got == brute_removed([(r["doc_id"], r["text"]) for r in both.collect()], 20)
 
 
+def test_windows_compared_in_blocks(monkeypatch):
+    """Whatever the block, the same windows are found."""
+    rng = random.Random(2)
+    data = [bytes(rng.choice(b"ab") for _ in range(24)) for _ in range(80)]
+    args = (data, np.zeros(80, np.int64), np.full(80, 8), np.full(80, 12), 12, 4)
+    seen = Counter((k, d[k : k + 12]) for d in data for k in range(12))
+    want = [[k for k in range(12) if seen[(k, d[k : k + 12])] > 1 and 0 <= 8 - k <= 8] for d in data]
+    for block in (1, 3, 1024):
+        monkeypatch.setattr(substring_dedup, "COMPARED", block)
+        first, last = substring_dedup.repeated_windows(*args)
+        assert [(a, b) for a, b in zip(first, last)] == [(w[0], w[-1]) if w else (-1, -1) for w in want]
+
+
 def test_suffix_order():
     rng = random.Random(1)
     data = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(50)]
