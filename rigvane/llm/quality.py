@@ -2,14 +2,15 @@
 
 Hashed n-gram generative models are counted for the raw text (all documents) and
 for the target text (documents labelled good).  A document's log importance
-weight is the sum of the log ratios of its n-grams; Gumbel noise is added and the
+weight is the mean of the log ratios of its n-grams times the n-grams of an average
+document, so it does not grow with length; Gumbel noise is added and the
 k largest are kept, which samples k documents without replacement in proportion
 to their (tempered) weights.
 
-A bucket's target probability differs from the raw one only where the counts
-show it (GATE standard deviations); probability taken from buckets that the target avoids is
-held back for unseen n-grams.  k is the number of documents, over all data, whose
-weight reaches a threshold calibrated on the labelled rows.  The models are
+Every bucket counts by its smoothed log ratio, whether the target favours or avoids it; PRIOR
+n-grams of ratio 0 are added to each text, so a few n-grams alone do not decide.  k is the number of
+documents, over all data, whose weight reaches a threshold calibrated on the labelled rows, each
+weighed without its own share of the target counts, as if it had no label.  The models are
 fitted on all raw text and on about MAX_LABELS labelled rows at most.
 
 Defined results: null and empty texts have weight 0; the noise depends on text and id
@@ -20,7 +21,7 @@ kept; without good labels everything is kept; an empty table gives an empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 from .common import U64, bounded_sample, chunked, cut, lower_values, mix, prefix_hash, range_hash, small_batches, utf8
 
 BITS = 18
-GATE = (3.5, 25.0)  # of single words and marks, of pairs (there are many more of them, so chance finds more)
 SMOOTH = 0.5
+PRIOR = 30
 MAX_LABELS = 20_000
 TEMPERATURE = 0.1
 MIN_KEEP = 0.985
@@ -62,26 +63,39 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Log ratios of the buckets that have one other than 0; threshold: calibrated; cut: the k-th largest key."""
+    """Target count of each bucket and the count that the raw model expects; length: n-grams of an average document;
+    threshold: calibrated; cut: the k-th largest key."""
 
-    buckets: np.ndarray
-    log_ratio: np.ndarray
-    threshold: float
+    target: np.ndarray
+    expect: np.ndarray
+    length: float
+    threshold: float = -np.inf
     cut: float = -np.inf
 
     def dense(self) -> np.ndarray:
-        out = np.zeros(2 << BITS)
-        out[self.buckets] = self.log_ratio
-        return out
+        return np.log((self.target + SMOOTH) / (self.expect + SMOOTH))
 
+    def scaled(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return total * (self.length / (n + PRIOR))
 
-def weights(dense: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def weights(model: QualityModel, dense: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log weight, number of n-grams, and a hash of each text."""
     buf, offs = utf8(texts)
     bucket, text = grams(buf, offs)
-    n = len(texts)
+    n = np.bincount(text, minlength=len(texts))
     h = mix(range_hash(prefix_hash(_VALUES[buf]), offs[:-1], offs[1:]))
-    return np.bincount(text, dense[bucket], minlength=n), np.bincount(text, minlength=n), h
+    return model.scaled(np.bincount(text, dense[bucket], minlength=len(texts)), n), n, h
+
+
+def held_out_weights(model: QualityModel, texts: pa.Array, good: np.ndarray) -> np.ndarray:
+    """Log weights as if no text were in the target: a good one's own n-grams are taken from the target counts."""
+    bucket, text = grams(*utf8(texts))
+    at, times = np.unique(text * len(model.target) + bucket, return_counts=True)
+    text, bucket = at // len(model.target), at % len(model.target)
+    target = model.target[bucket] - np.where(good[text], times, 0)
+    ratio = np.log((target + SMOOTH) / (model.expect[bucket] + SMOOTH))
+    return model.scaled(np.bincount(text, ratio * times, minlength=len(texts)), np.bincount(text, times, minlength=len(texts)))
 
 
 def gumbel(h: np.ndarray, ids: list) -> np.ndarray:
@@ -113,17 +127,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], ["bucket", "n_raw", "n_target"])
 
     counts = cut(rows.select("__rv_text", "__rv_good").mapInArrow(count, "bucket long, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target")))
-    pairs = (F.col("bucket") >= (1 << BITS)).cast("int")
-    share = {r["p"]: (r["t"] or 0) / max(1, r["r"] or 0) for r in counts.groupBy(pairs.alias("p")).agg(F.sum("n_target").alias("t"), F.sum("n_raw").alias("r")).collect()}
-    if not any(share.values()):
-        return QualityModel(np.zeros(0, np.int64), np.zeros(0), -np.inf)
-    expect = F.col("n_raw") * F.when(pairs == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
-    # The gate tells which buckets the target avoids; 2 * sqrt of a count has standard deviation 1.
-    gate = 2 * (F.sqrt(expect + 0.375) - F.sqrt(F.col("n_target") + 0.375)) > F.when(pairs == 1, GATE[1]).otherwise(GATE[0])
-    avoided = counts.where(gate).select("bucket", F.log((F.col("n_target") + SMOOTH) / (expect + SMOOTH)).alias("w")).where("w < 0").orderBy("bucket").collect()
-    model = QualityModel(np.array([r["bucket"] for r in avoided], np.int64), np.array([r["w"] for r in avoided], float), -np.inf)
-    seen = score(rows.where("__rv_good is not null"), model, id_col, "__rv_text", "__rv_good").select("__rv_good", "log_weight").collect()
-    return QualityModel(model.buckets, model.log_ratio, calibrated(np.array([r[0] for r in seen]), np.array([r[1] for r in seen]), min_keep))
+    # There are 2 << BITS buckets whatever the input; both counts of all of them come to the driver.
+    got = counts.toArrow()
+    raw, target = np.zeros(2 << BITS), np.zeros(2 << BITS, np.int64)
+    raw[got["bucket"].to_numpy()], target[got["bucket"].to_numpy()] = got["n_raw"].to_numpy(), got["n_target"].to_numpy()
+    if not target.any():
+        return QualityModel(np.zeros(2 << BITS, np.int64), np.zeros(2 << BITS), 0.0)
+    share = [target[s].sum() / max(1.0, raw[s].sum()) for s in (slice(0, 1 << BITS), slice(1 << BITS, None))]
+    model = QualityModel(target, raw * np.repeat(share, 1 << BITS), raw.sum() / max(1, docs.count()))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunked(batch, "__rv_text"):
+                good = part.column(1).to_numpy(zero_copy_only=False) == 1
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(held_out_weights(model, part.column(0), good))], ["good", "w"])
+
+    seen = rows.where("__rv_good is not null").select("__rv_text", "__rv_good").mapInArrow(weigh, "good int, w double").toArrow()
+    return replace(model, threshold=calibrated(seen["good"].to_numpy(), seen["w"].to_numpy(), min_keep))
 
 
 def calibrated(good: np.ndarray, w: np.ndarray, min_keep: float) -> float:
@@ -150,7 +170,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text: st
         dense = model.dense()
         for batch in batches:
             for part in chunked(batch, "__rv_text"):
-                w, n, h = weights(dense, part.column(1))
+                w, n, h = weights(model, dense, part.column(1))
                 key = w / TEMPERATURE + gumbel(h, part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(key, pa.float64())], schema.names)
 
@@ -189,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     model = train(docs, labels, id_col, text, **kw)
     scored = cut(score(docs, model, id_col, text))
     k = scored.where(F.col("log_weight") >= F.lit(model.threshold)).count()
-    return QualityModel(model.buckets, model.log_ratio, model.threshold, kth_largest(scored, k)), scored
+    return replace(model, cut=kth_largest(scored, k)), scored
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
@@ -201,7 +221,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
         dense = model.dense()
         for batch in batches:
             for part in chunked(batch, at_text):
-                w, _, h = weights(dense, part.column(at_text))
+                w, _, h = weights(model, dense, part.column(at_text))
                 yield part.filter(pa.array(w / TEMPERATURE + gumbel(h, part.column(at_id).to_pylist()) >= model.cut))
 
     return docs.mapInArrow(run, docs.schema)

@@ -118,6 +118,25 @@ def test_quality_sample(spark):
     assert quality.resample(docs.limit(0), labels).count() == 0
 
 
+def test_quality_weighs_all_ngrams_whatever_the_length(spark):
+    rng = random.Random(4)
+    words = lambda v, n: " ".join(rng.choice(v) for _ in range(n))
+    fine, poor = ["sun", "moon", "tree", "river", "stone"], ["sun", "moon", "buy", "click", "###"]
+    rows = [(i, words(fine, 60), 1) for i in range(150)] + [(200 + i, words(poor, 60), 0) for i in range(60)]
+    long = [(900, words([*fine * 9, "buy"], 30_000)), (901, words(poor, 30_000))]
+    rare = [(910, "zzrare " * 3)]
+    docs = spark.createDataFrame([*[(i, t) for i, t, _ in rows], *long, *rare], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i % 2 == 0], "doc_id long, quality int, toxic int")
+    model, scored = quality.fit(docs, labels)
+    w = {r["doc_id"]: r["log_weight"] for r in scored.collect()}
+    assert all(w[i] > 0 for i in range(150)), "what the target favours counts"
+    assert w[910] < 0, "three occurrences count"
+    kept = {r["doc_id"] for r in quality.resample(docs, labels).collect()}
+    assert 900 in kept and 901 not in kept
+    once, often = (quality.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).first()["log_weight"] for t in (rows[0][1], (rows[0][1] + " ") * 50))
+    assert 0.5 < once / often < 1.1
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(0)
     v = np.round(rng.normal(size=500), 2)
