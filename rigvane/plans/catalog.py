@@ -160,6 +160,21 @@ def _(spark, sf):
     return masks.resize_bilinear(g, [], (16, 12), (24, 18), 5)
 
 
+IMAGES = "SELECT CAST(p_partkey // 192 AS BIGINT) AS image, CAST(p_partkey % 16 AS INT) AS x, CAST((p_partkey // 16) % 12 AS INT) AS y, p_retailprice / 1000e0 AS logit FROM part"
+
+
+@query(
+    "b20_resize_bilinear_whole",
+    f"""WITH g AS ({IMAGES}), xs AS (SELECT d, greatest((d + 0.5e0) * (16e0 / 24e0) - 0.5e0, 0e0) AS a FROM range(24) t(d)), ys AS (SELECT d, greatest((d + 0.5e0) * (12e0 / 18e0) - 0.5e0, 0e0) AS a FROM range(18) t(d)),
+ xx AS (SELECT d, least(floor(a), 15) AS i, 1 - (a - least(floor(a), 15)) AS w FROM xs UNION ALL SELECT d, least(floor(a) + 1, 15), a - least(floor(a), 15) FROM xs), yy AS (SELECT d, least(floor(a), 11) AS i, 1 - (a - least(floor(a), 11)) AS w FROM ys UNION ALL SELECT d, least(floor(a) + 1, 11), a - least(floor(a), 11) FROM ys)
+ SELECT image, CAST(yy.d AS INT) AS y, CAST(xx.d AS INT) AS x, round(sum(logit * xx.w * yy.w), 8) AS logit FROM g JOIN xx ON xx.i = g.x AND xx.w > 0 JOIN yy ON yy.i = g.y AND yy.w > 0 GROUP BY image, yy.d, xx.d""",
+)
+def _(spark, sf):
+    """All rows of part, 192 to an image; the pixels that the last image lacks count as 0."""
+    g = table(spark, sf, "part").selectExpr("p_partkey div 192 image", "cast(p_partkey % 16 as int) x", "cast(p_partkey div 16 % 12 as int) y", "p_retailprice / 1000 logit")
+    return masks.resize_bilinear(g, ["image"], (16, 12), (24, 18), 8)
+
+
 @query("b21_b22_boxes", "SELECT c_custkey, round(((c_custkey % 100) / 100e0 - (c_custkey % 7) / 20e0) * 640, 4) AS x0, round(((c_custkey % 100) / 100e0 + (c_custkey % 7) / 20e0) * 640, 4) AS x1, round(1 / (1 + exp(-(c_acctbal / 5000e0))) * (1 / (1 + exp(-(c_nationkey / 10e0)))), 6) AS score FROM customer")
 def _(spark, sf):
     k = c("c_custkey")
@@ -273,6 +288,11 @@ def _(spark, sf):
     return masks.dilate(_mask(spark, sf).where("label = 'R'"), ["frame", "label"], 2, 64, 48)
 
 
+@query("f04_dilate_whole", f"{M} SELECT DISTINCT frame, label, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM m, (SELECT unnest([-2, -1, 0, 1, 2]) AS dx), (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47")
+def _(spark, sf):
+    return masks.dilate(_mask(spark, sf), ["frame", "label"], 2, 64, 48)
+
+
 @query("e07_bbox", f"{M}{ERODE} SELECT frame, label, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS foreground FROM e GROUP BY ALL")
 def _(spark, sf):
     return masks.bbox(masks.erode(_mask(spark, sf), ["frame", "label"], 1, 64, 48), ["frame", "label"])
@@ -645,9 +665,18 @@ def _(spark, sf):
 
 @query("h01_h02_h05_sets", "SELECT 'shared' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0 INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'unmatched', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT ALL SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) UNION ALL SELECT 'all', count(*) FROM (SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)")
 def _(spark, sf):
+    return _sets(spark, sf, "c_custkey % 2 = 0", "s_suppkey % 3 = 0")
+
+
+@query("h01_h02_h05_sets_whole", "SELECT 'shared' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'unmatched', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'all', count(*) FROM (SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)")
+def _(spark, sf):
+    return _sets(spark, sf)
+
+
+def _sets(spark, sf, customers="true", suppliers="true"):
     cu, su, na = (table(spark, sf, t) for t in ("customer", "supplier", "nation"))
-    shared = cu.where("c_custkey % 2 = 0").select("c_nationkey").intersect(su.select("s_nationkey"))
-    unmatched = na.select("n_nationkey").exceptAll(su.where("s_suppkey % 3 = 0").select("s_nationkey"))
+    shared = cu.where(customers).select("c_nationkey").intersect(su.select("s_nationkey"))
+    unmatched = na.select("n_nationkey").exceptAll(su.where(suppliers).select("s_nationkey"))
     both = su.select("s_nationkey").union(na.select("n_nationkey"))
     count = lambda df, op: df.agg(F.lit(op).alias("op"), F.count("*").alias("n"))
     return count(shared, "shared").unionByName(count(unmatched, "unmatched")).unionByName(count(both, "all"))
@@ -683,8 +712,17 @@ def _(spark, sf):
 
 @query("a13_markers", f"WITH s AS ({SLOTS}), i AS (SELECT s_suppkey AS track_id, s_acctbal / 1000e0 AS cz, s_nationkey AS g FROM supplier WHERE s_suppkey IN (1, 2, 5)) SELECT s.track_id, CASE WHEN cz IS NOT NULL THEN 'ADD' ELSE 'DELETE' END AS action, CASE WHEN cz IS NOT NULL THEN s.label || ' [slot ' || class_slot || '] G' || g END AS text, round(cz + 0.12e0, 6) AS text_z, CASE WHEN cz IS NOT NULL THEN 0.001e0 ELSE 0.001e0 END AS size_x FROM s LEFT JOIN i ON i.track_id = s.track_id")
 def _(spark, sf):
+    return _markers(spark, sf, "s_suppkey in (1, 2, 5)")
+
+
+@query("a13_markers_whole", f"WITH s AS ({SLOTS}), i AS (SELECT s_suppkey AS track_id, s_acctbal / 1000e0 AS cz, s_nationkey AS g FROM supplier) SELECT s.track_id, CASE WHEN cz IS NOT NULL THEN 'ADD' ELSE 'DELETE' END AS action, CASE WHEN cz IS NOT NULL THEN s.label || ' [slot ' || class_slot || '] G' || g END AS text, round(cz + 0.12e0, 6) AS text_z, CASE WHEN cz IS NOT NULL THEN 0.001e0 ELSE 0.001e0 END AS size_x FROM s LEFT JOIN i ON i.track_id = s.track_id")
+def _(spark, sf):
+    return _markers(spark, sf)
+
+
+def _markers(spark, sf, suppliers="true"):
     z = c("s_acctbal") / 1000.0
-    i = table(spark, sf, "supplier").where("s_suppkey in (1, 2, 5)").select(c("s_suppkey").cast("int").alias("track_id"), z.alias("cx"), z.alias("cz"), c("s_nationkey").alias("global_id"), F.lit(None).cast("int").alias("group_id"), *[F.lit(0.0).alias(f"{k}{a}") for k in ("lo", "hi") for a in "xyz"])
+    i = table(spark, sf, "supplier").where(suppliers).select(c("s_suppkey").cast("int").alias("track_id"), z.alias("cx"), z.alias("cz"), c("s_nationkey").alias("global_id"), F.lit(None).cast("int").alias("group_id"), *[F.lit(0.0).alias(f"{k}{a}") for k in ("lo", "hi") for a in "xyz"])
     return sources.markers(detect.slot_layout(spark, PROMPTS), i, ["track_id"]).select("track_id", "action", "text", r6(c("text_z")).alias("text_z"), "size_x")
 
 

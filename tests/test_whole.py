@@ -24,3 +24,34 @@ def test_chamfer_of_all_points(spark):
     for (f, o), value in got.items():
         d = np.sqrt(((np.array(sets[f - 1, o])[:, None] - np.array(sets[f, o])[None]) ** 2).sum(axis=2))
         assert value == pytest.approx(0.5 * (d.min(axis=1).mean() + d.min(axis=0).mean()), abs=1.1e-5)
+
+
+def test_all_images_are_resized(spark):
+    part = {r["p_partkey"]: r["p_retailprice"] / 1000 for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    got = {(r["image"], r["y"], r["x"]): r["logit"] for r in catalog.QUERIES["b20_resize_bilinear_whole"](spark, SF).collect()}
+    want = {}
+
+    def sources(d, n, m):
+        at = max((d + 0.5) * n / m - 0.5, 0.0)
+        low = min(int(at), n - 1)
+        return [(k, w) for k, w in ((low, 1 - (at - low)), (min(low + 1, n - 1), at - low)) if w > 0]
+
+    for image in {k // 192 for k in part}:
+        for y in range(18):
+            for x in range(24):
+                at = [(image * 192 + 16 * j + i, v * w) for j, v in sources(y, 12, 18) for i, w in sources(x, 16, 24)]
+                if any(k in part for k, _ in at):
+                    want[image, y, x] = sum(part.get(k, 0.0) * w for k, w in at)
+    assert len({k[0] for k in want}) > 1 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+
+
+def test_whole_sets_slots_and_labels(spark):
+    markers = catalog.QUERIES["a13_markers_whole"](spark, SF).collect()
+    assert len(markers) == 6 and all(r["action"] == "ADD" for r in markers)
+    labels = {r["label"] for r in catalog._mask(spark, SF).select("label").distinct().collect()}
+    assert {r["label"] for r in catalog.QUERIES["f04_dilate_whole"](spark, SF).select("label").distinct().collect()} == labels
+    read = lambda t, k: [r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(k).collect()]
+    cu, su, na = read("customer", "c_nationkey"), read("supplier", "s_nationkey"), read("nation", "n_nationkey")
+    got = {r["op"]: r["n"] for r in catalog.QUERIES["h01_h02_h05_sets_whole"](spark, SF).collect()}
+    assert got == {"shared": len(set(cu) & set(su)), "unmatched": len(set(na) - set(su)), "all": len(su) + len(na)}
