@@ -328,13 +328,12 @@ def _(spark, sf):
 
 @query("e08_components")
 def _(spark, sf):
-    m = _mask(spark, sf).where("(x + 3 * y + frame) % 5 < 2")
-    return masks.components(m, ["frame", "label"]).groupBy("frame", "label", "component").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    return masks.components(_mask(spark, sf), ["frame", "label"]).groupBy("frame", "label", "component").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
 
 
 @query("c12_small_components")
 def _(spark, sf):
-    return masks.drop_small(_mask(spark, sf).where("(x + 3 * y + frame) % 5 < 2"), ["frame", "label"], 4).groupBy("frame", "label").agg(F.count("*").alias("n"))
+    return masks.drop_small(_mask(spark, sf), ["frame", "label"], 4).groupBy("frame", "label").agg(F.count("*").alias("n"))
 
 
 # --- voxels and fusion -----------------------------------------------------------------------

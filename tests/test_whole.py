@@ -55,3 +55,29 @@ def test_whole_sets_slots_and_labels(spark):
     cu, su, na = read("customer", "c_nationkey"), read("supplier", "s_nationkey"), read("nation", "n_nationkey")
     got = {r["op"]: r["n"] for r in catalog.QUERIES["h01_h02_h05_sets_whole"](spark, SF).collect()}
     assert got == {"shared": len(set(cu) & set(su)), "unmatched": len(set(na) - set(su)), "all": len(su) + len(na)}
+
+
+def test_components_of_whole_masks(spark):
+    pixels = {}
+    for r in catalog._mask(spark, SF).select("frame", "label", "y", "x").collect():
+        pixels.setdefault((r["frame"], r["label"]), set()).add((r["y"], r["x"]))
+    areas, kept = {}, {}
+    for key, left in pixels.items():
+        left, found = set(left), []
+        while left:
+            todo, part = [left.pop()], []
+            while todo:
+                y, x = todo.pop()
+                part.append((y, x))
+                near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            ys, xs = zip(*part)
+            found.append((len(part), min(xs), max(xs), min(ys), max(ys)))
+        areas[key], kept[key] = sorted(found), sum(f[0] for f in found if f[0] >= 4)
+    got = {}
+    for r in catalog.QUERIES["e08_components"](spark, SF).collect():
+        got.setdefault((r["frame"], r["label"]), []).append((r["area"], r["x0"], r["x1"], r["y0"], r["y1"]))
+    assert {k: sorted(v) for k, v in got.items()} == areas
+    small = {(r["frame"], r["label"]): r["n"] for r in catalog.QUERIES["c12_small_components"](spark, SF).collect()}
+    assert small == {k: n for k, n in kept.items() if n}
