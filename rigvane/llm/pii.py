@@ -43,6 +43,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 ANCHOR = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"\S+")
+LONG = 64
+PIECE = re.compile(r"[0-9A-Za-z@.+()\-:/_]+|[^\W\d_]+")
 _EDGE = ".,;:!?\"'[]{}<>|#$%&*="
 
 
@@ -99,7 +101,7 @@ def shapes(token: str) -> tuple[str, str]:
     if low in CUE_WORDS:
         return f"w:{low}", "w"
     fine, digits, kinds = [], 0, set()
-    for m in re.finditer(r"[0-9]+|[A-Z]+|[^\W\d_]+|[\s\S]", bare[:64]):
+    for m in re.finditer(r"[0-9]+|[A-Z]+|[^\W\d_]+|[\s\S]", bare):
         c = m[0][0]
         if c in "0123456789":
             digits += len(m[0])
@@ -273,12 +275,23 @@ def labelled_table(spark: SparkSession, n: int = 900, seed: int = 11) -> DataFra
 # --- application -----------------------------------------------------------------------------
 
 
+def tokens_of(t: str) -> list[tuple[int, int]]:
+    """Spans of the words; one of over LONG characters (rows or texts without blanks) is cut at its separators and changes of script."""
+    out = []
+    for m in TOKEN.finditer(t):
+        if m.end() - m.start() <= LONG:
+            out.append(m.span())
+        else:
+            out += [x.span() for x in PIECE.finditer(t, m.start(), m.end())] or [m.span()]
+    return out
+
+
 def stretches(t: str) -> list[list[tuple[int, int]]]:
     """Runs of tokens, as spans, near a token with a digit or an @."""
     anchors = [m.start() for m in ANCHOR.finditer(t)]
     if not anchors:
         return []
-    tokens = [m.span() for m in TOKEN.finditer(t)]
+    tokens = tokens_of(t)
     starts = np.array([s for s, _ in tokens])
     at = np.unique(np.searchsorted(starts, anchors, side="right") - 1)
     groups = np.split(at, np.flatnonzero(np.diff(at) > 2 * REACH) + 1)

@@ -237,6 +237,17 @@ def test_viterbi_equals_brute_force():
         assert tuple(got[i, :n]) == best
 
 
+def test_pii_after_the_first_characters_of_a_long_token():
+    field = pii.fit([[(x, pii.LABELS.index(y)) for x, y in q] for q in pii.labelled_sequences(900, 11)], 120, 0.15, 0.02)
+    for value in ("555-123-4567", "(555)123-4567"):
+        rows = ["alpha," * 15 + value + "," + "omega," * 5, "你好世界" * 20 + value + "再见" * 9, '{"name":"alpha","city":"omega","note":"nothing","more":"some","tel":"' + value + '"}']
+        for t in rows:
+            ((base, found),) = pii.all_spans([t], field)
+            assert not base and [(k, t[a:b]) for k, a, b in found] == [("phone", value)]
+    assert pii.shapes("x" * 70 + "1234567") != pii.shapes("x" * 70)
+    assert pii.tokens_of("a,b " + "," * 80) == [(0, 3), (4, 84)]
+
+
 # --- 6: substrings ---------------------------------------------------------------------------
 
 
