@@ -255,8 +255,9 @@ def _spans_of_runs(groups: DataFrame, length: int, gram: int) -> DataFrame:
     return groups.mapInArrow(run, "node long, s long, e long")
 
 
-def _spans_by_count(groups: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many runs: hashes of all windows, counted."""
+def _spans_by_count(groups: DataFrame, length: int, bits: int = 64) -> DataFrame:
+    """The same for anchors with very many runs: hashes (of two times `bits` bits) of all windows, counted; then the bytes of
+    all windows whose hash is repeated are compared, and where they differ the bytes are counted instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,12 +270,20 @@ def _spans_by_count(groups: DataFrame, length: int) -> DataFrame:
                 row = np.repeat(np.arange(len(data)), n)
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 s = begin[row] + k
-                h, g = (range_hash(p, s, s + length).view(np.int64) for p in (prefix, other))
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(row)), pa.array(part.column("first").to_numpy()[row] + k, pa.int64()), pa.array(h), pa.array(g)], ["node", "s", "h", "g"])
+                h, g = ((mix(range_hash(p, s, s + length)) >> np.uint64(64 - bits)).view(np.int64) for p in (prefix, other))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("node", "first")), pa.array(part.column("first").to_numpy()[row] + k, pa.int64()), pa.array(h), pa.array(g)], ["node", "first", "s", "h", "g"])
 
-    windows = groups.mapInArrow(run, "node long, s long, h long, g long")
+    windows = groups.mapInArrow(run, "node long, first long, s long, h long, g long")
     again = windows.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
-    return windows.join(again, ["h", "g"]).select("node", "s", (F.col("s") + length).alias("e"))
+    hit = cut(windows.join(again, ["h", "g"]))
+    span = ["node", "s", (F.col("s") + length).alias("e")]
+    data = hit.join(groups.select("node", "first", "data").dropDuplicates(["node", "first"]), ["node", "first"]).select("node", "s", "h", "g", F.substr("data", (F.col("s") - F.col("first") + 1).cast("int"), F.lit(length)).alias("w"))
+    counted = data.groupBy("h", "g", "w").agg(F.count("*").alias("c"))
+    unlike = cut(counted.groupBy("h", "g").agg(F.count("*").alias("d")).where("d > 1").select("h", "g"))
+    if unlike.isEmpty():
+        return hit.select(*span)
+    same = data.join(unlike, ["h", "g"]).join(counted.where("c > 1").select("h", "g", "w"), ["h", "g", "w"])
+    return hit.join(unlike, ["h", "g"], "left_anti").select(*span).unionByName(same.select(*span))
 
 
 def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_runs: int = SORTED_RUNS) -> DataFrame:

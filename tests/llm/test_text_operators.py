@@ -299,6 +299,22 @@ def test_suffix_order():
     assert order.tolist() == sorted(range(50), key=lambda i: (group[i], data[i], i))
 
 
+def test_counted_windows_are_compared_by_bytes(spark):
+    rng = random.Random(5)
+    length, rows = 6, []
+    for node in range(40):
+        data = bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 14)))
+        rows.append((1, node, rng.randint(0, 9), 0, len(data) - length + 1, bytearray(data)))
+    groups = spark.createDataFrame(rows, "anchor long, node long, first long, at long, windows long, data binary")
+    cuts = [(node, first + k, bytes(data[k : k + length])) for _, node, first, _, n, data in rows for k in range(n)]
+    times = Counter(w for *_, w in cuts)
+    want = sorted((node, s, s + length) for node, s, w in cuts if times[w] > 1)
+    assert 0 < len(want) < len(cuts)
+    for bits in (64, 2, 1):
+        got = sorted(tuple(r) for r in substring_dedup._spans_by_count(groups, length, bits).collect())
+        assert got == want, bits
+
+
 # --- 7: n-gram join --------------------------------------------------------------------------
 
 
