@@ -1,4 +1,4 @@
-"""The ten text operators as registered queries, and the SQL of those that SQL can express."""
+"""The ten text operators as registered queries; none has SQL yet."""
 
 from __future__ import annotations
 
