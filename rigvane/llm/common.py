@@ -7,20 +7,22 @@ texts of one partition are together; a single text is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 #: Bytes of text that one vectorised step works on (a longer text is one step).
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -90,6 +92,25 @@ def chunked(batch: pa.RecordBatch, text: str, max_bytes: int = CHUNK_BYTES) -> I
         at += n
 
 
+def pieces(column: pa.Array, overlap: int, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, n + 1 offsets, row of each text, where it begins in that row's text) of texts with at most max_bytes together.
+
+    A longer text comes in pieces that share `overlap` bytes, so every stretch of overlap + 1 bytes lies in one of them, and all
+    but the last `overlap` bytes of a piece begin such a stretch that no other piece begins."""
+    lens = pc.binary_length(column.cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(lens):
+        n = max(1, int(np.searchsorted(np.cumsum(lens[at:]), max_bytes, side="right")))
+        buf, offs = utf8(column.slice(at, n))
+        if len(buf) <= max_bytes:
+            yield buf, offs, np.arange(at, at + n), np.zeros(n, np.int64)
+        else:
+            for start in range(0, max(1, len(buf) - overlap), max_bytes):
+                part = buf[start : start + max_bytes + overlap]
+                yield part, np.array([0, len(part)]), np.array([at]), np.array([start])
+        at += n
+
+
 def word_bounds(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes, which never cross texts, and each text's first word."""
     mask = is_word[buf]
@@ -125,12 +146,13 @@ def spark_of(df: DataFrame) -> SparkSession:
 
 
 def bounded_sample(rows: DataFrame, bound: int, *by: str) -> DataFrame:
-    """About `bound` rows at most, chosen by the hash of columns `by`; all rows if there are no more."""
+    """At most `bound` rows in expectation, chosen by the hash of columns `by`, each value of them once; all values if there are no
+    more rows.  A value that repeats passes once or not at all, so repeats do not exceed the bound."""
     n = rows.count()
-    if n <= bound:
-        return rows
-    wide = 1 << 30
-    return rows.where(F.pmod(F.xxhash64(*by), F.lit(wide)) < F.lit(max(1, wide * bound // n)))
+    if n > bound:
+        wide = 1 << 30
+        rows = rows.where(F.pmod(F.xxhash64(*by), F.lit(wide)) < F.lit(max(1, wide * bound // n)))
+    return rows.dropDuplicates(list(by))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -138,17 +160,64 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that no lost executor makes them be computed again."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rigvane-"))
+    """The rows, written to the shared checkpoint folder, so that no lost executor makes them be computed again.
+
+    The folder is that of spark.checkpoint.dir.  Where it is unset, only a local master gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them can read")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="rigvane-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The same rows; from now on the session sends Python at most `rows` rows at once, as texts are long rows."""
+#: Bytes of input after which a worker gives unused memory back.
+RELEASE_BYTES = 1 << 24
+#: Rows that a Python worker gets at once: texts are long rows.
+BATCH_ROWS = 200
+
+
+def released() -> None:
+    """Gives memory that is no longer used back to the system: a worker lives on after its task, beside those of other tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """rows.mapInArrow(run, schema) with bounded memory: all operators send Python BATCH_ROWS rows at once at most
+    (a setting of the session, and the same for all of them), and a worker gives memory back after each RELEASE_BYTES and at its end."""
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for batch in batches:
+                size += batch.nbytes
+                if size >= RELEASE_BYTES:
+                    released()
+                    size = 0
+                yield batch
+
+        try:
+            yield from run(counted())
+        finally:
+            released()
+
+    return small_batches(rows).mapInArrow(frugal, schema)
+
+
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """The same rows; from now on the session sends Python at most `rows` rows at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
         df.sparkSession.conf.set(key, rows)

@@ -8,13 +8,17 @@ benchmark suffix is then binary-searched in every shard: the interval of the
 array that shares a whole window gives all places of that window, the neighbours
 of the insertion point give the longest verbatim match.
 
-The benchmark reaches the tasks in blocks of at most BLOCK_BYTES (measured
-first); a benchmark over that size is searched block after block.  Nothing is
+The benchmark reaches the tasks in blocks of about BLOCK_BYTES (measured
+first); a benchmark over that size is searched block after block, each in a pass of its own whose rows are
+written to the checkpoint folder, so that neither the driver nor a task ever holds two blocks.  Nothing is
 shuffled.  Words are compared by 64-bit hashes.
 
-Defined results: null or empty text has no words and is clean; null or empty
-items have no windows; an item id given twice counts once; repeated documents
-get the same result each; an empty benchmark leaves all documents clean.
+Defined results: null or empty text has no words and is clean; a text of any length is searched whole, as one shard if it
+is longer than one; null or empty items have no windows; an item id given twice counts once, a null one is the empty id;
+repeated documents get the same result each; an empty table gives an empty result, and an empty benchmark leaves all
+documents clean; other columns are ignored by `scan` and kept by `remove_contaminated`, whatever their names (but for those
+that begin with `__rv_`).  Where several items or places match alike, all of them count in `scan`; `longest_matches` says
+which one it reports.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, byte_set, chunked, lower_values, mix, prefix_hash, range_hash, small_batches, utf8, word_bounds
+from .common import U64, byte_set, chunked, cut, in_arrow, lower_values, mix, prefix_hash, range_hash, read, utf8, word_bounds
 
 #: Words of an item that make a window; a shorter item is one window.
 WINDOW = 10
 #: Bytes of benchmark text that are sent to the tasks at once.
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 _WORD = byte_set([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 _VALUES = lower_values(2)
@@ -91,14 +95,13 @@ def make_block(ids: list[str], texts: list[str | None], window: int = WINDOW) ->
     return Block(size, keys, seen, symbols, (lens[item] - word - size + 1)[inside], starts[inside], item[inside], word[inside], ids)
 
 
-def blocks(bench: DataFrame, item_col: str, text: str, window: int) -> list[Block]:
+def blocks(bench: DataFrame, item_col: str, text: str, window: int) -> Iterator[Block]:
+    """The benchmark's blocks (one at least); each is fetched when its turn comes."""
     rows = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t")).where("t is not null")
     n = -(-(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES) or 1
-    out = []
     for k in range(n):
         got = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()
-        out.append(make_block([r["i"] for r in got], [r["t"] for r in got], window))
-    return out
+        yield make_block([r["i"] for r in got], [r["t"] for r in got], window)
 
 
 @dataclass(frozen=True)
@@ -240,19 +243,19 @@ def _fold(rows: DataFrame, block: Block, fresh: bool) -> DataFrame:
                     items.append(sorted(set(found[d])))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], *_STATE]))
+    return in_arrow(rows, run, T.StructType([*rows.schema.fields[:2], *_STATE]))
 
 
 def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
-    rows = small_batches(docs).select(F.col(id_col), F.col(text).alias("__rv_text"))
-    found = blocks(bench, item_col, item_text, window)
+    rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
     schema = T.StructType(
         [rows.schema[0], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("items", T.ArrayType(T.StringType()))]
     )
-    for k, block in enumerate(found[:-1]):
-        rows = _fold(rows, block, k == 0)
-    last, fresh = found[-1], len(found) == 1
+    found = blocks(bench, item_col, item_text, window)
+    last, fresh = next(found), True
+    for block in found:
+        rows, last, fresh = cut(_fold(rows, last, fresh)), block, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,15 +286,15 @@ def scan(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str =
                     schema.names,
                 )
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns."""
-    docs = small_batches(docs)
-    for block in blocks(bench, item_col, item_text, window):
+    at = docs.schema.names.index(text)
+    for k, block in enumerate(blocks(bench, item_col, item_text, window)):
 
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block, at: int = docs.schema.names.index(text)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunked(batch, at, SHARD_BYTES):
                     words, first = word_hashes(*utf8(part.column(at)))
@@ -299,13 +302,15 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", i
                     total = np.concatenate([[0], np.cumsum(hit)])
                     yield part.filter(pa.array(total[first[1:]] == total[first[:-1]]))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(cut(docs) if k else docs, run, docs.schema)
     return docs
 
 
 def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least: int = 2) -> DataFrame:
     """For each benchmark suffix that shares `least` words or more with a document: item_id, item_word,
-    n_words of the longest verbatim match, and one place of it (id, doc_word; the smallest id)."""
+    n_words of the longest verbatim match, and one place of it (id, doc_word): that with the smallest id (null first), of one
+    document the first.  Beside the two neighbours of its place in a shard's array, all suffixes that share the
+    whole match lie in one interval, which is searched for too."""
     out = None
     rows = docs.select(F.col(id_col).alias("__rv_id"), F.col(text).alias("__rv_text"))
     schema = f"item_id string, item_word long, n_words long, doc {rows.schema[0].dataType.simpleString()}, doc_word long"
@@ -320,27 +325,36 @@ def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
                     here[shard.symbols] = True
                     at = np.flatnonzero(here[block.symbols]) if len(shard.symbols) else np.zeros(0, np.int64)
                     spot = search(shard, block, at, block.left[at], False)
-                    best, entry = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                    best = np.zeros(len(at), np.int64)
                     for near in (spot, spot - 1):
                         e = shard.order[np.clip(near, 0, max(0, len(shard.order) - 1))] if len(shard.order) else near
                         n = common_prefix(shard, e, block, at, block.left[at])
                         n[(near < 0) | (near >= len(shard.order))] = 0
-                        entry[n > best] = e[n > best]
                         best = np.maximum(best, n)
-                    ok = best + block.size - 1 >= max(least, block.size)
-                    at, best, place = at[ok], best[ok], shard.place[entry[ok]] if len(shard.place) else entry[ok]
+                    ok = np.flatnonzero(best + block.size - 1 >= max(least, block.size))
+                    at, best = at[ok], best[ok]
+                    lo, hi = search(shard, block, at, best, False), search(shard, block, at, best, True)
+                    # Each document's first place of the match: of all places, sorted by document and word.
+                    n = hi - lo
+                    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    which, place = np.repeat(np.arange(len(at)), n), shard.place[shard.order[np.repeat(lo, n) + k]]
+                    order = np.lexsort((place, which))
+                    which, place = which[order], place[order]
                     d = np.searchsorted(first, place, side="right") - 1
+                    new = np.ones(len(d), bool)
+                    new[1:] = (which[1:] != which[:-1]) | (d[1:] != d[:-1])
+                    at, best, d, place = at[which[new]], best[which[new]], d[new], place[new]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block.ids[i] for i in block.item[at]], pa.string()), pa.array(block.word[at], pa.int64()), pa.array(best + block.size - 1, pa.int64()), part.column(0).take(pa.array(d, pa.int64())), pa.array(place - first[d], pa.int64())],
                         ["item_id", "item_word", "n_words", "doc", "doc_word"],
                     )
 
-        found = rows.mapInArrow(run, schema)
+        found = in_arrow(rows, run, schema)
         out = found if out is None else out.unionByName(found)
-    best = F.max_by(F.struct("doc", "doc_word"), F.struct("n_words", (-F.xxhash64("doc")).alias("x")))
+    # The least of (-n_words, id, word): a struct orders its fields one after another.
+    best = F.min(F.struct((-F.col("n_words")).alias("n"), "doc", "doc_word"))
     return out.groupBy("item_id", "item_word").agg(F.max("n_words").alias("n_words"), best.alias("b")).select("item_id", "item_word", "n_words", F.col("b.doc").alias(id_col), F.col("b.doc_word").alias("doc_word"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return scan(read("documents"), read("benchmark")).drop("items")
+    return scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")

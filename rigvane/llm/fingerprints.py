@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix, prefix_hash, range_hash
+from .common import U64, in_arrow, mix, prefix_hash, range_hash, read
 
 GRAM, WINDOW = 20, 41
 
@@ -58,7 +58,8 @@ def winnow(points: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[
     k = min(gram, n)
     prefix = prefix_hash(mix(points.astype(np.uint64) + U64(0x51ED)))
     at = np.arange(n - k + 1)
-    h = mix(range_hash(prefix, at, at + k))
+    # What is written decides: ties are ties of the upper half.
+    h = mix(range_hash(prefix, at, at + k)) & U64(0xFFFFFFFF00000000)
     pos = chosen(h, window)
     return (h[pos] >> U64(32)).astype(np.int64), pos
 
@@ -88,7 +89,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gra
                 points = [code_points(t.as_py() or "") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(p) for p in points], pa.int64()), pa.array([written(*winnow(p, gram, window)) for p in points], pa.string())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
@@ -122,7 +123,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram
     rows = with_next(docs, id_col, text, parts)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Marked rows come after all others: the successor of a range's last row, and the first of them only.
-    dealt = rows.repartition(n, "__rv_part").sortWithinPartitions("__rv_part", "__rv_mark", F.col(id_col).asc_nulls_first(), "__rv_text")
+    dealt = rows.repartitionById(n, F.col("__rv_part")).sortWithinPartitions("__rv_part", "__rv_mark", F.col(id_col).asc_nulls_first(), "__rv_text")
     schema = T.StructType(
         [rows.schema[id_col], T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]
     )
@@ -145,7 +146,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram
                     for c, v in zip(out, row):
                         c.append(v)
                     size += len(old)
-                    if size >= 1 << 21:
+                    if size >= 1 << 20 or len(out[0]) >= 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema.names)
                         out, size = [[] for _ in schema.names], 0
                 held = None if mark else (part, own, points, print_)
@@ -155,8 +156,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    return dealt.mapInArrow(run, schema)
+    return in_arrow(dealt, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return neighbours(read(spark, sf_dir, "documents"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge in (a, b); root is the smallest node of its component.
 
     Each round links nodes to the smallest of their neighbours; rounds are logarithmic in the
-    longest path.  Edges are written to the checkpoint folder after each round; the driver
-    only sees whether anything changed."""
+    longest path, and go on until nothing changes.  Edges are written to the checkpoint folder after each round; the driver
+    only sees whether anything changed.  An empty table gives an empty result."""
 
     def mark(df: DataFrame) -> tuple:
         """A fingerprint of an edge set, from sums that are made before the shuffle."""
@@ -21,7 +21,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = mark(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Large star: every larger neighbour of a node is linked to the node's smallest neighbour.

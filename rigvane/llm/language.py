@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, chunked, utf8
+from .common import bounded_sample, chunked, in_arrow, read, utf8
 
 #: Bytes of a window; filter widths, and filters of each width; floats of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 5), 16, 8
@@ -122,7 +122,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", max_docs: int
             take = np.unique(np.concatenate([first + n * k // TRAIN_WINDOWS for k in range(TRAIN_WINDOWS)])) if len(x) else first[:0]
             yield pa.RecordBatch.from_arrays([pa.array([x[i].tobytes() for i in take], pa.binary()), batch.column(1).take(pa.array(doc[take], pa.int64()))], ["x", "l"])
 
-    got = sorted((r["l"], bytes(r["x"])) for r in bounded_sample(rows, max_docs, "t", "l").mapInArrow(pick, "x binary, l string").collect())
+    got = sorted((r["l"], bytes(r["x"])) for r in in_arrow(bounded_sample(rows, max_docs, "t", "l"), pick, "x binary, l string").collect())
     if not got:
         return None
     langs = sorted({g[0] for g in got})
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text:
                     [part.column(0), pa.array([net.langs[b] if ok else "und" for b, ok in zip(best, letter)], pa.string()), pa.array(np.where(letter, p.max(axis=1), 0.0), pa.float64())], schema.names
                 )
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -157,6 +157,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     net = train(docs.where(~held_out()))
     return predict(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

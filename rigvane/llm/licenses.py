@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import read
+
 # Short public licence phrases, by family.
 TEMPLATES = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License; you may obtain a copy of the License at apache org licenses"],
@@ -214,4 +216,4 @@ def _words(t: str) -> list[str]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(labelled_table(spark)))
+    return scan(read(spark, sf_dir, "documents"), train(labelled_table(spark)))

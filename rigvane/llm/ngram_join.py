@@ -34,13 +34,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bounded_sample, byte_set, chunked, cut, lower_values, mix, prefix_hash, range_hash, small_batches, utf8, word_bounds
+from .common import U64, bounded_sample, byte_set, chunked, cut, in_arrow, lower_values, mix, prefix_hash, range_hash, read, utf8, word_bounds
 from .graph import components
 
-#: Documents sampled to find very common n-grams, and the sets of the sample that make one so.
-SAMPLE_DOCS, SAMPLE_SETS = 20_000, 40
+#: Documents sampled to find very common n-grams: so many, or one of SAMPLE_EVERY if that is more; and the sets of the sample that
+#: make one so.  An n-gram of more than about SAMPLE_EVERY * SAMPLE_SETS sets is one at any size of the input.
+SAMPLE_DOCS, SAMPLE_EVERY, SAMPLE_SETS = 20_000, 5_000, 40
 #: N-grams that a range of hashes holds, about; n-grams packed together.
-RANGE_SIZE, PACK_SIZE = 500_000, 500_000
+RANGE_SIZE, PACK_SIZE = 400_000, 400_000
+#: Ranges that packed n-grams are dealt to at once; if there are more, they are dealt to coarse ranges first.
+FAN_OUT = 4_096
 #: Where the global order is cut: numbers of sets (the last fragment has the very common n-grams).
 PIVOTS = (3, 9, 65)
 #: 64-bit words of a node's bitmap.
@@ -101,7 +104,7 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
 
 
 def common_grams(rows: DataFrame, size: int, docs: int, sets: int) -> np.ndarray:
-    """N-grams that `sets` or more of about `docs` sampled documents' distinct sets hold; at most docs * mean size / sets."""
+    """N-grams that `sets` or more of the sampled documents' distinct sets hold; at most sampled documents * mean size / sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 0):
@@ -109,9 +112,10 @@ def common_grams(rows: DataFrame, size: int, docs: int, sets: int) -> np.ndarray
             nodes = np.repeat(node_ids(grams, offs), np.diff(offs))
             yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(nodes, pa.int64())], ["gram", "node"])
 
-    # A sample by text has copies of a text together, so that distinct texts are counted below.
-    sample = bounded_sample(rows.select("__rv_text").where("__rv_text is not null"), docs, "__rv_text").distinct()
-    found = sample.mapInArrow(run, "gram long, node long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= sets)
+    # A sample by text has copies of a text together, and each text once.
+    texts = rows.select("__rv_text").where("__rv_text is not null")
+    sample = bounded_sample(texts, max(docs, texts.count() // SAMPLE_EVERY), "__rv_text")
+    found = in_arrow(sample, run, "gram long, node long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= sets)
     return np.sort(np.array([r["gram"] for r in found.select("gram").collect()], np.uint64))
 
 
@@ -127,29 +131,43 @@ def membership(rows: DataFrame, size: int, common: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(hit, offs), pa.int32()), pa.array(grams[hit].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node_ids(grams, offs), pa.int64(), mask=n == 0), lists], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
+
+
+PACKS = "range int, grams binary, owners binary, nodes binary"
+
+
+def _split(held: list[tuple[np.ndarray, np.ndarray]], ranges: int) -> pa.RecordBatch:
+    """The n-grams and their nodes, packed by range of hash."""
+    grams, nodes = (np.concatenate(x) for x in zip(*held))
+    names, owner = np.unique(nodes, return_inverse=True)
+    order = np.lexsort((owner, grams))
+    grams, owner = grams[order], owner[order].astype(np.uint32)
+    if len(grams):  # sets that occur twice
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        grams, owner = grams[new], owner[new]
+    # Range r begins at the hash r * 2**48 / ranges, rounded up; of those only the ranges that occur are looked at.
+    number = np.unique(((grams >> U64(16)) * U64(ranges)) >> U64(32)) if len(grams) else np.zeros(0, np.uint64)
+    at = np.searchsorted((grams >> U64(16)) * U64(ranges) >> U64(32), np.append(number, U64(ranges)))
+    out: list[list] = [[], [], [], []]
+    for r, a, b in zip(number.tolist(), at[:-1].tolist(), at[1:].tolist()):
+        used, local = np.unique(owner[a:b], return_inverse=True)
+        for c, v in zip(out, (r, pack(np.diff(grams[a:b], prepend=U64(0))), pack(local.astype(np.uint32)), names[used].tobytes())):
+            c.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["range", "grams", "owners", "nodes"])
+
+
+def _unpacked(part: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for g, o, n in zip(part.column("grams"), part.column("owners"), part.column("nodes")):
+        yield np.cumsum(unpack(g.as_py(), np.uint64), dtype=np.uint64), np.frombuffer(n.as_py(), np.int64)[unpack(o.as_py(), np.uint32)]
 
 
 def packed(rows: DataFrame, size: int, common: np.ndarray, ranges: int) -> DataFrame:
     """(range, grams, owners, nodes): all other n-grams with their nodes, packed by range of hash."""
-
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        grams, nodes = (np.concatenate(x) for x in zip(*held))
-        names, owner = np.unique(nodes, return_inverse=True)
-        order = np.lexsort((owner, grams))
-        grams, owner = grams[order], owner[order].astype(np.uint32)
-        if len(grams):  # sets that a chunk has twice
-            new = np.ones(len(grams), bool)
-            new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-            grams, owner = grams[new], owner[new]
-        edges = np.searchsorted(grams, np.array([-(-(r << 48) // ranges) for r in range(ranges + 1)], np.uint64))
-        out: list[list] = [[], [], [], []]
-        for r in np.flatnonzero(np.diff(edges)).tolist():
-            g, o = grams[edges[r] : edges[r + 1]], owner[edges[r] : edges[r + 1]]
-            used, local = np.unique(o, return_inverse=True)
-            for c, v in zip(out, (r, pack(np.diff(g, prepend=U64(0))), pack(local.astype(np.uint32)), names[used].tobytes())):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["range", "grams", "owners", "nodes"])
+    levels = [ranges]
+    while levels[-1] > FAN_OUT:
+        levels.append(-(-levels[-1] // FAN_OUT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -160,23 +178,35 @@ def packed(rows: DataFrame, size: int, common: np.ndarray, ranges: int) -> DataF
             held.append((grams[keep], nodes[keep]))
             n += len(held[-1][0])
             if n >= PACK_SIZE:
-                yield flush(held)
+                yield _split(held, levels[-1])
                 held, n = [], 0
         if n:
-            yield flush(held)
+            yield _split(held, levels[-1])
+
+    out = in_arrow(rows.select("__rv_text"), run, PACKS)
+    for finer in levels[-2::-1]:
+
+        def deal(batches: Iterator[pa.RecordBatch], ranges: int = finer) -> Iterator[pa.RecordBatch]:
+            held, n, own = [], 0, None
+            for batch in batches:
+                for i, r in enumerate(batch.column(0).to_pylist()):
+                    if n and (r != own or n >= PACK_SIZE):
+                        yield _split(held, ranges)
+                        held, n = [], 0
+                    held += _unpacked(batch.slice(i, 1))
+                    own, n = r, n + len(held[-1][0])
+            if n:
+                yield _split(held, ranges)
 
-    return rows.select("__rv_text").mapInArrow(run, "range int, grams binary, owners binary, nodes binary")
+        out = in_arrow(out.repartition("range").sortWithinPartitions("range"), deal, PACKS)
+    return out
 
 
 def shared(packs: DataFrame) -> DataFrame:
     """(node, key) of every n-gram that two or more nodes hold; key = its number of nodes (capped), then its hash."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams, nodes = [], []
-        for g, o, n in zip(table.column("grams"), table.column("owners"), table.column("nodes")):
-            grams.append(np.cumsum(unpack(g.as_py(), np.uint64), dtype=np.uint64))
-            nodes.append(np.frombuffer(n.as_py(), np.int64)[unpack(o.as_py(), np.uint32)])
-        g, n = np.concatenate(grams), np.concatenate(nodes)
+        g, n = (np.concatenate(x) for x in zip(*_unpacked(table)))
         order = np.argsort(g)
         g, n = g[order], n[order]
         same = np.zeros(len(g) + 1, bool)
@@ -212,7 +242,7 @@ def with_bits(nodes: DataFrame) -> DataFrame:
             np.bitwise_or.at(words.reshape(-1), row * WORDS + bit // 64, U64(1) << (bit % 64).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(WORDS))], schema.names)
 
-    return nodes.mapInArrow(run, schema)
+    return in_arrow(nodes, run, schema)
 
 
 def _possible(percent: int, a: str, b: str) -> Column:
@@ -281,7 +311,7 @@ def links(rows: DataFrame, members: DataFrame, size: int, percent: int, common:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
-    rows = small_batches(docs).select(F.col(id_col), F.col(text).alias("__rv_text"))
+    rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
     common = common_grams(rows, size, SAMPLE_DOCS, SAMPLE_SETS)
     members = cut(membership(rows, size, common))
     roots = links(rows, members, size, percent, common)
@@ -299,7 +329,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: i
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, of which each component keeps the one with the smallest id.
 
-    Rows without an id all stay.  Rows that share an id stay or go together, but equal texts of an id stay once."""
+    Rows without an id all stay.  Rows that share an id stay or go together, but of rows that agree in id and text
+    one stays, whatever their other columns (which of them is not defined)."""
     found = classes(docs, id_col, text, size, percent)
     stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__rv_stay")).distinct()
     kept = docs.join(stay, F.col(id_col) == F.col("__rv_stay"), "left_semi")
@@ -307,4 +338,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(read(spark, sf_dir, "documents"))

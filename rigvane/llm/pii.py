@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import in_arrow, read
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -373,7 +373,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text: str = "tex
                 sha = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array([joined(s) for _, s in found], pa.string())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def mask(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
@@ -388,8 +388,8 @@ def mask(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
                 part = batch.slice(at, len(texts))
                 yield part.set_column(at_col, part.schema.field(at_col), pa.array(new, part.schema.field(at_col).type))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(labelled_table(spark)))
+    return scan(read(spark, sf_dir, "documents"), train(labelled_table(spark)))

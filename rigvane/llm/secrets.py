@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample
+from .common import bounded_sample, in_arrow, read
 
 # Fixed patterns of the contract, letters of the keywords in either case.
 ASSIGN = re.compile(
@@ -100,7 +100,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", bound: int = 2000) ->
 
     rows = bounded_sample(docs.select(F.col(text).alias("text")), bound, "text")
     made = docs.sparkSession.createDataFrame(identifier_samples(), "text string, label int")
-    return made.unionByName(rows.mapInArrow(weak, "text string, label int"))
+    return made.unionByName(in_arrow(rows, weak, "text string, label int"))
 
 
 def train(samples: DataFrame, least_llr: float = 3.0) -> SecretModel:
@@ -118,7 +118,7 @@ def train(samples: DataFrame, least_llr: float = 3.0) -> SecretModel:
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["cell", "n"])
 
-    rows = samples.mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = in_arrow(samples, pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.full(2 * N_STATES * N_STATES, 0.5)
     for r in rows:
         counts[r["cell"]] += r["n"]
@@ -131,7 +131,7 @@ def train(samples: DataFrame, least_llr: float = 3.0) -> SecretModel:
             got = [int(np.floor(ratio(llr, t))) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and y == 0]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], ["nats"])
 
-    hist = sorted((r["nats"], r["n"]) for r in samples.mapInArrow(ratios, "nats long").where("nats >= 0").groupBy("nats").agg(F.count("*").alias("n")).collect())
+    hist = sorted((r["nats"], r["n"]) for r in in_arrow(samples, ratios, "nats long").where("nats >= 0").groupBy("nats").agg(F.count("*").alias("n")).collect())
     seen, allowed, threshold = 0, samples.where("label = 0").count() / 1000, least_llr
     for nats, n in reversed(hist):
         seen += n
@@ -196,9 +196,9 @@ def scan(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], [id_col, *SCHEMA.names])
 
     rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], *SCHEMA]))
+    return in_arrow(rows, run, T.StructType([rows.schema[0], *SCHEMA]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     return scan(docs, train(labelled_samples(docs)))

@@ -10,20 +10,24 @@ decoding gives back every text exactly.
 No piece of a usual model has a marker after another character; then the best
 segmentation of a text is that of its words, one after another, and each distinct
 word of a chunk is segmented once, all of one length together.  For other models
-the text is one word.
+the text is one word.  A word of more than LONG bytes is cut further where no piece
+has its two neighbouring characters side by side: no piece can reach over such a place.
 
 Defined results: a null text has null ids and decodes to null; an empty text has
-no ids; repeated rows get the same result each; other columns are kept by
-`encode` and `decode` (a column named like an output is replaced).
+no ids; texts of any length are encoded whole; of segmentations with equal scores the one whose last
+pieces are the longest is taken (the first of the best found for each place, beginnings in ascending order), up to rounding; repeated rows get the same result each; other columns are kept by
+`encode` and `decode` (a column named like an output is replaced); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunked, small_batches
+from .common import chunked, in_arrow, read
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+#: Bytes of a word that is not cut further; words of one length that are worth a vectorised step.
+LONG, TOGETHER = 48, 12
 _WORD = re.compile(" *[^ ]+| +")
 
 
@@ -79,6 +85,15 @@ class Pieces:
     unknown: float
     longest: int
     by_word: bool
+    side_by_side: frozenset[str]  # pairs of characters that a piece has
+
+    @cached_property
+    def walk(self) -> tuple[list[int], list[int], list[int], list[float]]:
+        """The double array and the scores as lists, for single steps."""
+        return self.base.tolist(), self.check.tolist(), self.value.tolist(), self.score.tolist()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "walk"}
 
 
 def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +167,14 @@ def make(rows: list[tuple[str, float, int]], ranks: bool = False) -> Pieces:
     normal = [score[i] for i in keys.values()]
     base, check, value = double_array(keys)
     by_word = not any(re.search(rb"[^ ] ", k) for k in keys)
-    return Pieces(base, check, value, score, out, byte_id, float(min(normal)) - UNKNOWN_PENALTY, max(map(len, keys)), by_word)
+    pairs = frozenset(t[i : i + 2] for t in (k.decode("utf-8", "replace") for k in keys) for i in range(len(t) - 1))
+    return Pieces(base, check, value, score, out, byte_id, float(min(normal)) - UNKNOWN_PENALTY, max(map(len, keys)), by_word, pairs)
+
+
+def cut_word(word: str, p: Pieces) -> list[str]:
+    """The parts of a word that no piece can join."""
+    at = [0, *(i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in p.side_by_side), len(word)]
+    return [word[a:b] for a, b in zip(at, at[1:])]
 
 
 def segment(words: list[bytes], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +189,11 @@ def segment(words: list[bytes], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
         end = int(np.searchsorted(lens[order], length, side="right"))
         end = min(end, at + max(1, (1 << 19) // max(1, length)))
         rows, at = order[at:end], end
+        if len(rows) < TOGETHER:
+            for i in rows.tolist():
+                per_word[i] = _segment_one(words[i], p)
+                counts[i] = len(per_word[i])
+            continue
         flat, n = _segment_same(np.frombuffer(b"".join(words[i] for i in rows), np.uint8).reshape(len(rows), length), p)
         counts[rows] = n
         for i, ids in zip(rows.tolist(), np.split(flat, np.cumsum(n)[:-1])):
@@ -175,6 +202,38 @@ def segment(words: list[bytes], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int64), *per_word]), offs
 
 
+def _segment_one(word: bytes, p: Pieces) -> np.ndarray:
+    """The same Viterbi for one word: the trie is walked from each place that a segmentation can reach."""
+    base, check, value, score = p.walk
+    n = len(word)
+    best, size, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        own = best[i]
+        if own == -math.inf:
+            continue
+        lead = word[i]
+        chars = 1 if lead < 0x80 else 0 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        single, state = False, 0
+        for j in range(i, n):
+            to = base[state] + word[j]
+            if check[to] != state:
+                break
+            state = to
+            if (v := value[to]) >= 0:
+                single = single or j + 1 - i == chars
+                if own + score[v] > best[j + 1]:
+                    best[j + 1], size[j + 1], piece[j + 1] = own + score[v], j + 1 - i, v
+        if not single and own + p.unknown > best[i + chars]:
+            best[i + chars], size[i + chars], piece[i + chars] = own + p.unknown, chars, -1
+    out, at = [], n
+    while at:
+        k = size[at]
+        out += [piece[at]] if piece[at] >= 0 else [int(p.byte_id[b]) for b in reversed(word[at - k : at])]
+        at -= k
+    return np.array(out[::-1], np.int64)
+
+
 def _segment_same(text: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Viterbi for words of one length, all at once."""
     n, length = text.shape
@@ -236,6 +295,8 @@ def encode_texts(texts: list[str | None], p: Pieces) -> tuple[np.ndarray, np.nda
     numbers, n_words = [], []
     for t in texts:
         words = [] if not t else _WORD.findall(" " + t) if p.by_word else [" " + t]
+        if any(len(w) > LONG for w in words):
+            words = [x for w in words for x in (cut_word(w, p) if len(w) > LONG else (w,))]
         numbers += [index.setdefault(w, len(index)) for w in words]
         n_words.append(len(words))
     flat, offs = segment([w.encode() for w in index], p)
@@ -278,19 +339,24 @@ def _schema(df: DataFrame, *more: T.StructField) -> T.StructType:
     return T.StructType([*(f for f in df.schema if f.name not in new), *more])
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids") -> DataFrame:
-    """The documents with their piece ids in column `out`."""
-    schema = _schema(small_batches(docs), T.StructField(out, T.ArrayType(T.IntegerType())))
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """The documents with their piece ids in column `out`; in column `round_trip`, if named, whether they decode to the text."""
+    more = [T.StructField(round_trip, T.BooleanType())] if round_trip is not None else []
+    schema = _schema(docs, T.StructField(out, T.ArrayType(T.IntegerType())), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(pieces)
         for batch in batches:
             for part in chunked(batch, text):
                 col = part.column(text)
-                ids, offs = encode_texts(col.to_pylist(), pieces)
-                lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()), mask=col.is_null())
-                yield _with(part, schema.names, {out: lists})
+                texts = col.to_pylist()
+                ids, offs = encode_texts(texts, pieces)
+                more = {out: pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()), mask=col.is_null())}
+                if round_trip is not None:
+                    more[round_trip] = pa.array([b == (t or "") for b, t in zip(decoder(ids, offs), texts)], pa.bool_())
+                yield _with(part, schema.names, more)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -300,15 +366,15 @@ def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(pieces)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for at in range(0, len(batch), 50):
+                part = batch.slice(at, 50)
                 lists = [x or [] for x in part.column(ids).to_pylist()]
                 offs = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
                 texts = decoder(np.array([i for x in lists for i in x], np.int64), offs)
                 null = part.column(ids).is_null().to_pylist()
                 yield _with(part, schema.names, {out: pa.array([None if z else t for t, z in zip(texts, null)], pa.string())})
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def encode_checked(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,8 +406,8 @@ def encode_checked(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text
                     schema.names,
                 )
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_checked(spark.read.parquet(f"{sf_dir}/documents.parquet"), load())
+    return encode_checked(read(spark, sf_dir, "documents"), load())
