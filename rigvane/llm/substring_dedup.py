@@ -7,28 +7,34 @@ alone; consecutive windows with the same anchor are a run, about 80 windows long
 Equal windows lie in runs of the same anchor.
 
  1. Runs are counted by anchor (with map-side sums).  Anchors met once are done.
- 2. Runs of other anchors are shuffled.  A run whose bytes equal another's is
-    repeated as a whole.
+ 2. Runs of other anchors are shuffled, without their bytes.  A run whose bytes have the same digest (128 bits of
+    SHA-256) as another run of its anchor is repeated as a whole.
  3. Of the rest, one run for each anchor and content gets its bytes.  The runs of an
     anchor are suffixes that begin there: they are sorted by mergesort, whose comparisons find
     the common extension by binary search over prefix hashes.  Neighbours' common extensions
     cut the order into segments for each length to the right; with a hash of
     the bytes to the left they show which windows are repeated, and bytes are compared to rule
-    out collisions.  An anchor with very many such runs sends hashes of its windows
-    to be counted instead (no run is left out).
- 4. Only texts that have something to remove, or share a hash bit with one, are
+    out collisions.
+ 4. An anchor with more than SORTED_RUNS different runs is split before it is sorted: its windows are dealt to
+    STRATA by the number of bytes before the anchor, and those of a stratum to groups by all
+    bytes that equal windows of the stratum must share.  Groups are treated as anchors
+    in 2 and 3.  In a group that is still over the bound (its windows share LENGTH - LENGTH / STRATA bytes or so),
+    windows are counted by their bytes, with map-side sums.
+ 5. Only texts that have something to remove, or share a hash bit with one, are
     shuffled, to be joined with their spans; texts that occur twice are removed whole.
 
-Bitmaps that reach all tasks have a fixed size.  Texts are told apart by 64-bit hashes.
+Bitmaps that reach all tasks have a fixed size.  Texts are told apart by two independent 64-bit hashes.
 
 Defined results: null and empty texts have 0 bytes and nothing to remove; texts
-under LENGTH bytes keep everything; repeated rows count as other occurrences; rows
-without an id are treated as all others; an empty table gives an empty result.
+under LENGTH bytes keep everything; texts longer than STEP_BYTES are worked on in overlapping pieces, with the
+same results; repeated rows count as other occurrences; rows without an id are treated as all others, as are
+rows that share an id; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,28 +43,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, chunked, cut, mix, powers, prefix_hash, random_table, range_hash, small_batches, utf8
+from .common import U64, chunked, cut, in_arrow, mix, pieces, powers, prefix_hash, random_table, range_hash, read
 
 LENGTH, GRAM = 200, 40
-#: Runs of one anchor that are sorted in memory; more are counted by window.
-SORTED_RUNS = 25_000
+#: Different runs of one anchor that are sorted together (about 100 bytes of memory for each of their bytes); more are split into strata.
+SORTED_RUNS = 4_000
+STRATA = 8
+#: Runs, in whole anchors, that are sorted at once.
+FLUSH_RUNS = 4_000
 #: Pairs of windows whose bytes are compared at once.
 COMPARED = 1024
 BITMAP_BITS = 24
-#: Bytes of text whose runs are found at once (or one text): about 60 times as much memory.
-STEP_BYTES = 1 << 19
+#: Bytes of text whose runs are found at once: about 110 times as much memory.
+STEP_BYTES = 1 << 18
+#: What tells a text: two hashes.
+NODE = ["node", "twin"]
 _VALUES = random_table(6)
 _POS = U64((1 << 28) - 1)
 _MUL = U64(0xD1342543DE82EF95)
 
 
 def runs(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """The runs of all texts: text, first and last window start and anchor place (in buf), anchor and content hashes."""
+    """The runs of all texts: text, first and last window start and anchor place (in buf), and anchor hash."""
     window = length - gram + 1
     n = len(buf) - length + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return dict(text=empty, first=empty, last=empty, at=empty, anchor=empty.astype(np.uint64), content=empty.astype(np.uint64))
+        return dict(text=empty, first=empty, last=empty, at=empty, anchor=empty.astype(np.uint64))
     prefix = prefix_hash(_VALUES[buf])
     place = np.arange(len(buf) - gram + 1)
     g = mix(range_hash(prefix, place, place + gram))
@@ -84,27 +95,47 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GR
     keep = inside[first]
     first, last = first[keep], last[keep]
     at = (_POS - (least[first] & _POS)).astype(np.int64)
-    content = mix(range_hash(prefix, first, last + length) + (at - first).astype(np.uint64) * _MUL + (last - first).astype(np.uint64))
-    return dict(text=np.searchsorted(offs, first, side="right") - 1, first=first, last=last, at=at, anchor=g[at], content=content)
+    return dict(text=np.searchsorted(offs, first, side="right") - 1, first=first, last=last, at=at, anchor=g[at])
 
 
-def _own(part: pa.RecordBatch, node: int) -> pa.RecordBatch:
+def digests(buf: np.ndarray, found: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of SHA-256 of each run's bytes and anchor place."""
+    raw = buf.tobytes()
+    each = zip(found["first"].tolist(), (found["last"] + length).tolist(), (found["at"] - found["first"]).tolist())
+    out = np.frombuffer(b"".join(hashlib.sha256(raw[s:e] + bytes((a & 255, a >> 8))).digest()[:16] for s, e, a in each), np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def distinct_texts(batch: pa.RecordBatch, *node: int) -> pa.RecordBatch:
     """The rows of a batch without further copies of a text."""
-    _, at = np.unique(part.column(node).to_numpy(zero_copy_only=False), return_index=True)
-    return part if len(at) == len(part) else part.take(pa.array(np.sort(at)))
+    keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in node], axis=1)
+    _, at = np.unique(keys, axis=0, return_index=True)
+    return batch if len(at) == len(batch) else batch.take(pa.array(np.sort(at)))
 
 
 def bitmap(numbers: DataFrame, column: str) -> DataFrame:
-    """(__rv_word, __rv_bits): a set of 64-bit numbers as a bitmap of 2**BITMAP_BITS bits, of bounded size whatever its input."""
-    slot = F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 64) as int))")
+    """(__rv_word, __rv_bits): a set of 64-bit hashes as a bitmap of 2**BITMAP_BITS bits, of bounded size whatever its input."""
+    slot = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITMAP_BITS}) & 63 as int))")
     return numbers.groupBy(F.shiftright(slot, 6).alias("__rv_word")).agg(F.bit_or(bit).alias("__rv_bits"))
 
 
+def collected(bits: DataFrame) -> np.ndarray:
+    """A bitmap as an array of 2**BITMAP_BITS / 64 words."""
+    got, out = bits.toArrow(), np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def has_bit(words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    slot = numbers.view(np.uint64) >> U64(64 - BITMAP_BITS)
+    return (words[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
+
+
 def with_bit(rows: DataFrame, column: str, bits: DataFrame, out: str) -> DataFrame:
     """Adds whether the number may be in the bitmap: never false for a member."""
-    slot = F.shiftright(F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)), 6)
-    hit = F.expr(f"shiftright(__rv_bits, cast(pmod(xxhash64({column}), 64) as int)) & 1L") == 1
+    slot = F.shiftrightunsigned(column, 70 - BITMAP_BITS)
+    hit = F.expr(f"shiftrightunsigned(__rv_bits, cast(shiftrightunsigned({column}, {64 - BITMAP_BITS}) & 63 as int)) & 1L") == 1
     return rows.join(F.broadcast(bits), slot == F.col("__rv_word"), "left").withColumn(out, F.coalesce(hit, F.lit(False))).drop("__rv_word", "__rv_bits")
 
 
@@ -222,135 +253,162 @@ def repeated_windows(data: list[bytes], anchor: np.ndarray, at: np.ndarray, wind
     return out[0], out[1]
 
 
-def _spans_of_runs(groups: DataFrame, length: int, gram: int) -> DataFrame:
-    """(node, s, e) from (anchor, node, first, at, windows, data), whose anchors lie together and in order."""
+SPAN = "node long, twin long, s long, e long"
+GROUP = "anchor long, node long, twin long, first long, at long, windows long, data binary"
+
+
+def _sorted_spans(groups: DataFrame, length: int, gram: int) -> DataFrame:
+    """(node, twin, s, e) from rows as GROUP has them, of bounded numbers for each anchor; at: where the anchor's gram begins."""
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         col = lambda c: t.column(c).to_numpy()
         a, b = repeated_windows([d.as_py() for d in t.column("data")], col("anchor"), col("at"), col("windows"), length, gram)
         ok = a >= 0
-        return pa.RecordBatch.from_arrays([pa.array(col("node")[ok], pa.int64()), pa.array((col("first") + a)[ok], pa.int64()), pa.array((col("first") + b)[ok] + length, pa.int64())], ["node", "s", "e"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (col("node")[ok], col("twin")[ok], (col("first") + a)[ok], (col("first") + b)[ok] + length))], ["node", "twin", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             anchors = batch.column(0).to_numpy()
+            # Rows of an anchor stay together: a batch is cut where the anchor changes.
             ends = np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(batch))
-            at = 0
-            if held and held[-1].column(0)[-1].as_py() != anchors[0] and n >= 2_500:
+            if held and n >= FLUSH_RUNS and held[-1].column(0)[-1].as_py() != anchors[0]:
                 yield flush(held)
                 held, n = [], 0
-            while at < len(batch):
-                cut_at = int(ends[min(len(ends) - 1, np.searchsorted(ends, at + 5_000))])
-                held.append(batch.slice(at, cut_at - at))
-                n += cut_at - at
-                at = cut_at
-                if n >= 5_000 and at < len(batch):
-                    yield flush(held)
-                    held, n = [], 0
+            at = 0
+            for end in ends.tolist():
+                if n + end - at >= FLUSH_RUNS or end == len(batch):
+                    held.append(batch.slice(at, end - at))
+                    n, at = n + end - at, end
+                    if n >= FLUSH_RUNS and end < len(batch):
+                        yield flush(held)
+                        held, n = [], 0
         if held:
             yield flush(held)
 
-    return groups.mapInArrow(run, "node long, s long, e long")
+    return in_arrow(groups.select(*(f.split()[0] for f in GROUP.split(", "))).repartition("anchor").sortWithinPartitions("anchor"), run, SPAN)
 
 
-def _spans_by_count(groups: DataFrame, length: int, bits: int = 64) -> DataFrame:
-    """The same for anchors with very many runs: hashes (of two times `bits` bits) of all windows, counted; then the bytes of
-    all windows whose hash is repeated are compared, and where they differ the bytes are counted instead."""
+def _strata(groups: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows as GROUP has them, of hot anchors: each run's windows by stratum; the anchor is a hash of all bytes that equal windows
+    of the stratum share, and `at` is where these begin."""
+    step = -(-(length - gram + 1) // STRATA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                data = [d.as_py() for d in part.column("data")]
-                n = part.column("windows").to_numpy()
-                begin = np.concatenate([[0], np.cumsum([len(d) for d in data])])[:-1]
-                prefix, other = (prefix_hash(v[np.frombuffer(b"".join(data), np.uint8)]) for v in (_VALUES, random_table(66)))
-                row = np.repeat(np.arange(len(data)), n)
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                s = begin[row] + k
-                h, g = ((mix(range_hash(p, s, s + length)) >> np.uint64(64 - bits)).view(np.int64) for p in (prefix, other))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("node", "first")), pa.array(part.column("first").to_numpy()[row] + k, pa.int64()), pa.array(h), pa.array(g)], ["node", "first", "s", "h", "g"])
-
-    windows = groups.mapInArrow(run, "node long, first long, s long, h long, g long")
-    again = windows.groupBy("h", "g").agg(F.count("*").alias("c")).where("c > 1").select("h", "g")
-    hit = cut(windows.join(again, ["h", "g"]))
-    span = ["node", "s", (F.col("s") + length).alias("e")]
-    data = hit.join(groups.select("node", "first", "data").dropDuplicates(["node", "first"]), ["node", "first"]).select("node", "s", "h", "g", F.substr("data", (F.col("s") - F.col("first") + 1).cast("int"), F.lit(length)).alias("w"))
-    counted = data.groupBy("h", "g", "w").agg(F.count("*").alias("c"))
-    unlike = cut(counted.groupBy("h", "g").agg(F.count("*").alias("d")).where("d > 1").select("h", "g"))
-    if unlike.isEmpty():
-        return hit.select(*span)
-    same = data.join(unlike, ["h", "g"]).join(counted.where("c > 1").select("h", "g", "w"), ["h", "g", "w"])
-    return hit.join(unlike, ["h", "g"], "left_anti").select(*span).unionByName(same.select(*span))
+            out: list[list] = [[] for _ in range(7)]
+            for anchor, node, twin, first, at, windows, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for j in range(STRATA):
+                    # Windows with low <= left <= high bytes before the anchor; window k has at - k.
+                    low, high = j * step, min((j + 1) * step - 1, length - gram)
+                    k0, k1 = max(0, at - high), min(windows - 1, at - low)
+                    if k0 > k1:
+                        continue
+                    begin, end = at - low, at - high + length  # in every one of these windows
+                    own = hashlib.sha256(struct.pack("<qb", anchor, j) + data[begin:end]).digest()
+                    for c, v in zip(out, (int.from_bytes(own[:8], "little", signed=True), node, twin, first + k0, begin - k0, k1 - k0 + 1, data[k0 : k1 + length])):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], [f.split()[0] for f in GROUP.split(", ")])
+
+    return in_arrow(groups.select(*(f.split()[0] for f in GROUP.split(", "))), run, GROUP)
+
+
+def _counted_spans(groups: DataFrame, length: int) -> DataFrame:
+    """(node, twin, s, e) from rows as GROUP has them: windows counted by their bytes."""
+    window = F.explode(F.transform(F.sequence(F.lit(0), (F.col("windows") - 1).cast("int")), lambda k: F.struct(k.alias("k"), F.substring(F.col("data"), k + 1, F.lit(length)).alias("w"))))
+    each = groups.select(*NODE, "first", window.alias("x")).select(*NODE, (F.col("first") + F.col("x.k")).alias("s"), F.col("x.w").alias("w"))
+    again = each.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
+    return each.join(again, "w").select(*NODE, "s", (F.col("s") + length).alias("e"))
+
+
+def _resolved(groups: DataFrame, length: int, gram: int, sorted_runs: int) -> DataFrame:
+    """(node, twin, s, e) of the repeated windows of different runs (rows as GROUP has them), whatever their number by anchor."""
+    over = lambda df: cut(df.groupBy("anchor").agg(F.count("*").alias("d")).where(F.col("d") > sorted_runs).select("anchor"))
+    hot = over(groups)
+    if hot.isEmpty():
+        return _sorted_spans(groups, length, gram)
+    found = _sorted_spans(groups.join(hot, "anchor", "left_anti"), length, gram)
+    strata = cut(_strata(groups.join(hot, "anchor", "left_semi"), length, gram))
+    # Equal slices of a group are repeated as a whole; one of them goes on.
+    least = F.min(F.struct(*NODE, "first", "windows")).alias("r")
+    slices = cut(strata.groupBy("anchor", "at", "data").agg(F.count("*").alias("c"), least))
+    again = strata.join(slices.where("c > 1").select("anchor", "at", "data"), ["anchor", "at", "data"])
+    found = found.unionByName(again.select(*NODE, F.col("first").alias("s"), (F.col("first") + F.col("windows") + length - 1).alias("e")))
+    one = slices.select("anchor", "r.node", "r.twin", "r.first", "at", "r.windows", "data")
+    still = over(one)
+    found = found.unionByName(_sorted_spans(one.join(still, "anchor", "left_anti"), length, gram))
+    return found if still.isEmpty() else found.unionByName(_counted_spans(one.join(still, "anchor", "left_semi"), length))
 
 
 def spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, sorted_runs: int = SORTED_RUNS) -> DataFrame:
-    """(node, spans) for texts in which something is repeated, from rows (node, __rv_text); spans may overlap."""
-    rows = rows.select("__rv_text", "node").where(F.octet_length("__rv_text") >= length)
+    """(node, twin, spans) for texts in which something is repeated, from rows (node, twin, __rv_text); spans may overlap."""
+    rows = rows.select("__rv_text", *NODE).where(F.octet_length("__rv_text") >= length)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+        """Distinct texts, a piece's bytes, its runs, and the row and start in that row's text of the texts of the piece."""
         for batch in batches:
-            for part in chunked(_own(batch, 1), 0, STEP_BYTES):
-                r = runs(*utf8(part.column(0)), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(r["anchor"].view(np.int64)), pa.array(r["content"].view(np.int64))], ["anchor", "content"])
+            part = distinct_texts(batch, 1, 2)
+            for buf, offs, row, base in pieces(part.column(0), length - 1, STEP_BYTES):
+                yield part, buf, runs(buf, offs, length, gram), row, base - offs[:-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, buf, r, _, _ in found_in(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(r["anchor"].view(np.int64)), *map(pa.array, digests(buf, r, length))], ["anchor", "d1", "d2"])
 
-    met = rows.mapInArrow(count, "anchor long, content long").groupBy("anchor").agg(F.count("*").alias("c"), (F.min("content") != F.max("content")).alias("mixed")).where("c > 1").select("anchor", "mixed")
-    met = cut(met)
+    unlike = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
+    met = cut(in_arrow(rows, count, "anchor long, d1 long, d2 long").groupBy("anchor").agg(F.count("*").alias("c"), unlike.alias("mixed")).where("c > 1").select("anchor", "mixed"))
     if met.isEmpty():
-        return rows.sparkSession.createDataFrame([], "node long, spans array<struct<s:bigint,e:bigint>>")
+        return rows.sparkSession.createDataFrame([], "node long, twin long, spans array<struct<s:bigint,e:bigint>>")
+    words = rows.sparkSession.sparkContext.broadcast(collected(bitmap(met, "anchor")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunked(_own(batch, 1), 0, STEP_BYTES):
-                _, offs = texts = utf8(part.column(0))
-                r = runs(*texts, length, gram)
-                base = offs[r["text"]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["anchor"].view(np.int64)), pa.array(r["content"].view(np.int64)), part.column(1).take(pa.array(r["text"])), *(pa.array(x.astype(np.int32)) for x in (r["first"] - base, r["last"] - r["first"] + 1, r["at"] - r["first"]))],
-                    ["anchor", "content", "node", "first", "windows", "at"],
-                )
-
-    fields = "anchor long, content long, node long, first int, windows int, at int"
-    likely = with_bit(rows.mapInArrow(emit, fields), "anchor", bitmap(met, "anchor"), "__rv_in").where("__rv_in").drop("__rv_in")
-    met_runs = cut(likely.join(met, "anchor"))
-    span = F.col("first") + F.col("windows") + length - 1
-    equal = met_runs.where("not mixed").select("node", F.col("first").cast("long").alias("s"), span.cast("long").alias("e"))
+        for part, buf, r, row, base in found_in(batches):
+            keep = has_bit(words.value, r["anchor"])
+            r = {k: v[keep] for k, v in r.items()}
+            own, first = pa.array(row[r["text"]]), r["first"] + base[r["text"]]
+            # The first window, 16 bits of the number of windows and 16 of the anchor's place in the run.
+            place = first << 32 | (r["last"] - r["first"] + 1) << 16 | r["at"] - r["first"]
+            yield pa.RecordBatch.from_arrays([pa.array(r["anchor"].view(np.int64)), *map(pa.array, digests(buf, r, length)), part.column(1).take(own), part.column(2).take(own), pa.array(place)], ["anchor", "d1", "d2", *NODE, "place"])
+
+    first, windows = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF))
+    span = [*NODE, first.alias("s"), (first + windows + F.lit(length - 1)).alias("e")]
+    met_runs = cut(in_arrow(rows, emit, "anchor long, d1 long, d2 long, node long, twin long, place long").join(met, "anchor"))
+    equal = met_runs.where("not mixed").select(*span)
+    key = ["anchor", "d1", "d2"]
     mixed = met_runs.where("mixed").drop("mixed")
-    contents = cut(mixed.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min(F.struct("node", "first", "windows", "at")).alias("r")))
-    again = mixed.join(contents.where("c > 1").select("anchor", "content"), ["anchor", "content"]).select("node", F.col("first").cast("long").alias("s"), span.cast("long").alias("e"))
-    sizes = contents.groupBy("anchor").agg(F.count("*").alias("d"))
-    chosen = contents.join(sizes, "anchor").select("anchor", "d", "r.node", "r.first", "r.windows", "r.at")
-    by_node = chosen.groupBy("node").agg(F.collect_list(F.struct("anchor", "d", "first", "windows", "at")).alias("runs"))
+    # The three come from one row: nothing is skipped, and all are taken in the same order.
+    contents = cut(mixed.groupBy(*key).agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in (*NODE, "place"))))
+    again = mixed.join(contents.where("c > 1").select(*key), key).select(*span)
+    by_node = cut(contents.groupBy(*NODE).agg(F.collect_list(F.struct("anchor", "place")).alias("runs")))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _own(batch, 1)
+            yield distinct_texts(batch, 1, 2)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                out: list[list] = [[] for _ in range(7)]
-                for node, text, found in zip(*(part.column(c).to_pylist() for c in ("node", "__rv_text", "runs"))):
-                    raw = text.encode()
-                    for r in found:
-                        for c, v in zip(out, (r["anchor"], node, r["first"], r["at"], r["windows"], r["d"], raw[r["first"] : r["first"] + r["windows"] + length - 1])):
-                            c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["anchor", "node", "first", "at", "windows", "d", "data"])
-
-    by_node = cut(by_node)
-    texts = with_bit(rows, "node", bitmap(by_node, "node"), "__rv_in").where("__rv_in").select("__rv_text", "node").mapInArrow(single, "__rv_text string, node long")
-    groups = texts.join(by_node, "node").mapInArrow(slices, "anchor long, node long, first long, at long, windows long, d long, data binary")
-    groups = cut(groups)
-    few = groups.where(F.col("d") <= sorted_runs).drop("d").repartition("anchor").sortWithinPartitions("anchor")
-    found = equal.unionByName(again).unionByName(_spans_of_runs(few, length, gram))
-    many = groups.where(F.col("d") > sorted_runs).drop("d")
-    if not many.isEmpty():
-        found = found.unionByName(_spans_by_count(many, length))
-    return found.distinct().groupBy("node").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+            out: list[list] = [[] for _ in range(7)]
+            size = 0
+            for text, node, twin, found in zip(*(batch.column(c) for c in ("__rv_text", *NODE, "runs"))):
+                if before == (node := (node.as_py(), twin.as_py())):  # copies of a text come one after another
+                    continue
+                before, raw = node, text.as_py().encode()
+                for r in found.as_py():
+                    s, n, a = r["place"] >> 32, r["place"] >> 16 & 0xFFFF, r["place"] & 0xFFFF
+                    for c, v in zip(out, (r["anchor"], *node, s, a, n, raw[s : s + n + length - 1])):
+                        c.append(v)
+                    size += n + length
+                if size >= 1 << 21:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], [f.split()[0] for f in GROUP.split(", ")])
+                    out, size = [[] for _ in range(7)], 0
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], [f.split()[0] for f in GROUP.split(", ")])
+
+    texts = in_arrow(with_bit(rows, "node", bitmap(by_node, "node"), "__rv_in").where("__rv_in").select("__rv_text", *NODE), single, "__rv_text string, node long, twin long")
+    groups = cut(in_arrow(texts.join(by_node, NODE), slices, GROUP))
+    found = equal.unionByName(again).unionByName(_resolved(groups, length, gram, sorted_runs))
+    return found.distinct().groupBy(*NODE).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def removed(n_bytes: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -366,22 +424,21 @@ def removed(n_bytes: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, sorted_runs: int = SORTED_RUNS, keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
-    rows = small_batches(docs).select(F.col(id_col).alias("__rv_id"), F.coalesce(F.col(text), F.lit("")).alias("__rv_text")).withColumn("node", F.xxhash64("__rv_text"))
+    rows = docs.select(F.col(id_col).alias("__rv_id"), F.coalesce(F.col(text), F.lit("")).alias("__rv_text")).withColumns({"node": F.xxhash64("__rv_text"), "twin": F.xxhash64(F.lit(1), "__rv_text")})
     found = spans(rows, length, gram, sorted_runs)
-    twice = rows.where(F.octet_length("__rv_text") >= length).groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node", F.lit(True).alias("whole"))
-    touched = cut(found.join(twice, "node", "full").select("node", "spans", "whole"))
+    twice = rows.where(F.octet_length("__rv_text") >= length).groupBy(*NODE).agg(F.count("*").alias("c")).where("c > 1").select(*NODE, F.lit(True).alias("whole"))
+    touched = cut(found.join(twice, NODE, "full").select(*NODE, "spans", "whole"))
     split = with_bit(rows, "node", bitmap(touched, "node"), "__rv_in")
     kept = [F.col("__rv_text").cast("binary").alias("kept")] if keep_text else []
     same = split.where("not __rv_in").select(F.col("__rv_id").alias(id_col), F.octet_length("__rv_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("__rv_text").cast("binary"), 256).alias("kept_sha256"), *kept)
-    joined = split.where("__rv_in").drop("__rv_in").join(touched, "node", "left").select("__rv_id", "__rv_text", "spans", "whole")
+    joined = split.where("__rv_in").drop("__rv_in").join(touched, NODE, "left").select("__rv_id", "__rv_text", "spans", "whole")
     schema = T.StructType(
         [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.BinaryType())] * keep_text
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            for part in chunked(batch, "__rv_text"):
                 out: list[list] = [[] for _ in range(5)]
                 for t, found_, whole in zip(*(part.column(c).to_pylist() for c in ("__rv_text", "spans", "whole"))):
                     raw = t.encode()
@@ -393,8 +450,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))][: len(schema)], schema.names)
 
-    return same.unionByName(joined.mapInArrow(run, schema))
+    return same.unionByName(in_arrow(joined, run, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(read(spark, sf_dir, "documents"))

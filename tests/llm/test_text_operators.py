@@ -266,7 +266,7 @@ def brute_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("sorted_runs", [25_000, 2])
+@pytest.mark.parametrize("sorted_runs", [4_000, 2])
 def test_substring_dedup(spark, docs, sorted_runs):
     rng = random.Random(6)
     parts = ["".join(rng.choice("abé ") for _ in range(rng.randint(0, 90))) for _ in range(25)]
@@ -304,15 +304,36 @@ def test_counted_windows_are_compared_by_bytes(spark):
     length, rows = 6, []
     for node in range(40):
         data = bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 14)))
-        rows.append((1, node, rng.randint(0, 9), 0, len(data) - length + 1, bytearray(data)))
-    groups = spark.createDataFrame(rows, "anchor long, node long, first long, at long, windows long, data binary")
-    cuts = [(node, first + k, bytes(data[k : k + length])) for _, node, first, _, n, data in rows for k in range(n)]
+        rows.append((1, node, node, rng.randint(0, 9), 0, len(data) - length + 1, bytearray(data)))
+    groups = spark.createDataFrame(rows, substring_dedup.GROUP)
+    cuts = [(node, first + k, bytes(data[k : k + length])) for _, node, _, first, _, n, data in rows for k in range(n)]
     times = Counter(w for *_, w in cuts)
-    want = sorted((node, s, s + length) for node, s, w in cuts if times[w] > 1)
+    want = sorted((node, node, s, s + length) for node, s, w in cuts if times[w] > 1)
     assert 0 < len(want) < len(cuts)
-    for bits in (64, 2, 1):
-        got = sorted(tuple(r) for r in substring_dedup._spans_by_count(groups, length, bits).collect())
-        assert got == want, bits
+    assert sorted(tuple(r) for r in substring_dedup._counted_spans(groups, length).collect()) == want
+
+
+@pytest.mark.parametrize("sorted_runs", [4_000, 30, 4])
+def test_substrings_of_a_hot_anchor(spark, sorted_runs):
+    """A passage shorter than a window, in many texts with other surroundings, of which some agree on one side or both."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    sides = [word(20) for _ in range(12)]
+    rows = [(i, rng.choice([word(20), *sides]) + "THE COMMON PART" + rng.choice([word(20), *sides])) for i in range(150)] + [(900, "THE COMMON PART"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r)[:5] for r in substring_dedup.dedup(docs, length=30, gram=8, sorted_runs=sorted_runs).collect())
+    assert got == brute_removed(rows, 30)
+
+
+def test_substrings_of_texts_longer_than_a_step(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "STEP_BYTES", 64)
+    rng = random.Random(10)
+    parts = ["".join(rng.choice("abcdeé") for _ in range(50)) for _ in range(30)]
+    rows = [(i, "".join(rng.choice(parts)[rng.randint(0, 9) :] for _ in range(rng.randint(0, 12)))) for i in range(25)]
+    rows += [(100, rows[3][1]), (101, "x" * 63), (102, "y" * 64), (103, "".join(rng.choice("pqrs") for _ in range(1000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r)[:5] for r in substring_dedup.dedup(docs, length=24, gram=6).collect())
+    assert got == brute_removed(rows, 24)
 
 
 # --- 7: n-gram join --------------------------------------------------------------------------
