@@ -1,21 +1,23 @@
 """Quality classifier by importance resampling.
 
-Hashed n-gram generative models are counted for the raw text (all documents) and
-for the target text (documents labelled good).  A document's log importance
-weight is the mean of the log ratios of its n-grams times the n-grams of an average
-document, so it does not grow with length; Gumbel noise is added and the
-k largest are kept, which samples k documents without replacement in proportion
-to their (tempered) weights.
-
-Every bucket counts by its smoothed log ratio, whether the target favours or avoids it; PRIOR
-n-grams of ratio 0 are added to each text, so a few n-grams alone do not decide.  k is the number of
-documents, over all data, whose weight reaches a threshold calibrated on the labelled rows, each
-weighed without its own share of the target counts, as if it had no label.  The models are
-fitted on all raw text and on about MAX_LABELS labelled rows at most.
+Hashed n-gram generative models (words and runs of marks, and pairs of neighbours) are counted for the raw
+text (all documents) and for the target text (documents labelled good).  Every bucket counts by its smoothed
+log ratio, whether the target favours or avoids it.  The log importance weight of a passage of PASSAGE words is
+the sum of the log ratios of its n-grams, those of pairs times PAIR_SHARE as pairs repeat their words.  A document's
+log weight is that of its least passage, so a few words that the target avoids show in a long text
+too; half the log of the number of passages is added, as the least of many is lower by chance.
+
+Gumbel noise is added to log weight / TEMPERATURE and the k largest keys are kept: a sample of k documents
+without replacement in proportion to their tempered weights.  k is the number of documents, over all data,
+whose weight reaches a threshold calibrated on the labelled rows, each weighed without its own
+n-grams in the target counts, as if it had no label.  The models are fitted on all raw text and on
+MAX_LABELS labelled documents at most, chosen by a hash of their id.
 
 Defined results: null and empty texts have weight 0; the noise depends on text and id
 only, so repeated rows are kept or dropped together, and ties at the cut are all
-kept; without good labels everything is kept; an empty table gives an empty result.
+kept; a text of any length is weighed whole; without good labels everything is kept; an id labelled
+twice is good if any of its labels is; other columns of the documents are kept by `resample`, whatever
+their names (but for those that begin with `__rv_`), and ignored otherwise; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bounded_sample, chunked, cut, lower_values, mix, prefix_hash, range_hash, small_batches, utf8
+from .common import U64, bounded_sample, chunked, cut, in_arrow, lower_values, mix, prefix_hash, range_hash, read, utf8
 
 BITS = 18
-SMOOTH = 0.5
-PRIOR = 30
+SMOOTH = 1.0
+#: Words of a passage, and what a pair of words counts beside a word.
+PASSAGE, PAIR_SHARE = 32, 0.3
 MAX_LABELS = 20_000
-TEMPERATURE = 0.1
+TEMPERATURE = 0.25
 MIN_KEEP = 0.985
 
 _CLASS = np.full(256, 2, np.int8)  # 0 space, 1 word, 2 mark
@@ -44,8 +47,9 @@ _CLASS[0x30:0x3A] = _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0x80:] = 1
 _VALUES = lower_values(3)
 
 
-def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of every word or run of marks and of every pair of neighbours."""
+def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, text, passage) of every word or run of marks and of every pair of neighbours (in the passage of its first
+    word); and the passage numbers at which texts begin, n + 1 of them."""
     kind = _CLASS[buf]
     edge = np.ones(len(buf) + 1, bool)
     edge[1:-1] = kind[1:] != kind[:-1]
@@ -54,48 +58,58 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = kind[at[:-1]] > 0 if len(buf) else np.zeros(0, bool)
     starts, ends = at[:-1][keep], at[1:][keep]
     h = mix(range_hash(prefix_hash(_VALUES[buf]), starts, ends))
-    text = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))
+    first = np.searchsorted(starts, offs)
+    text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+    begin = np.concatenate([[0], np.cumsum(-(-np.diff(first) // PASSAGE))])
+    passage = begin[text] + (np.arange(len(text)) - first[text]) // PASSAGE
     pair = mix(h[:-1] * U64(0xD6E8FEB86659FD93) + h[1:])
     inside = text[1:] == text[:-1]
     shift = U64(64 - BITS)
-    return np.concatenate([(h >> shift).astype(np.int64), (pair[inside] >> shift).astype(np.int64) + (1 << BITS)]), np.concatenate([text, text[1:][inside]])
+    bucket = np.concatenate([(h >> shift).astype(np.int64), (pair[inside] >> shift).astype(np.int64) + (1 << BITS)])
+    return bucket, np.concatenate([text, text[:-1][inside]]), np.concatenate([passage, passage[:-1][inside]]), begin
+
+
+def least_passage(ratio: np.ndarray, passage: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The log weight of each text from the (scaled) log ratios of its n-grams."""
+    total, n = np.bincount(passage, ratio, minlength=begin[-1]), np.diff(begin)
+    out = np.zeros(len(n))
+    if begin[-1]:
+        out[n > 0] = np.minimum.reduceat(total, begin[:-1][n > 0]) + 0.5 * np.log(n[n > 0])
+    return out
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Target count of each bucket and the count that the raw model expects; length: n-grams of an average document;
-    threshold: calibrated; cut: the k-th largest key."""
+    """Target count of each bucket and the count that the raw model expects; threshold: calibrated; cut: the k-th largest key."""
 
     target: np.ndarray
     expect: np.ndarray
-    length: float
     threshold: float = -np.inf
     cut: float = -np.inf
 
     def dense(self) -> np.ndarray:
-        return np.log((self.target + SMOOTH) / (self.expect + SMOOTH))
-
-    def scaled(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return total * (self.length / (n + PRIOR))
+        """What an n-gram of each bucket adds to a passage's log weight."""
+        out = np.log((self.target + SMOOTH) / (self.expect + SMOOTH))
+        out[len(out) // 2 :] *= PAIR_SHARE
+        return out
 
 
-def weights(model: QualityModel, dense: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weights(dense: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log weight, number of n-grams, and a hash of each text."""
     buf, offs = utf8(texts)
-    bucket, text = grams(buf, offs)
-    n = np.bincount(text, minlength=len(texts))
+    bucket, text, passage, begin = grams(buf, offs)
     h = mix(range_hash(prefix_hash(_VALUES[buf]), offs[:-1], offs[1:]))
-    return model.scaled(np.bincount(text, dense[bucket], minlength=len(texts)), n), n, h
+    return least_passage(dense[bucket], passage, begin), np.bincount(text, minlength=len(texts)), h
 
 
 def held_out_weights(model: QualityModel, texts: pa.Array, good: np.ndarray) -> np.ndarray:
     """Log weights as if no text were in the target: a good one's own n-grams are taken from the target counts."""
-    bucket, text = grams(*utf8(texts))
-    at, times = np.unique(text * len(model.target) + bucket, return_counts=True)
-    text, bucket = at // len(model.target), at % len(model.target)
-    target = model.target[bucket] - np.where(good[text], times, 0)
+    bucket, text, passage, begin = grams(*utf8(texts))
+    _, own, times = np.unique(text * len(model.target) + bucket, return_inverse=True, return_counts=True)
+    target = model.target[bucket] - np.where(good[text], times[own], 0)
     ratio = np.log((target + SMOOTH) / (model.expect[bucket] + SMOOTH))
-    return model.scaled(np.bincount(text, ratio * times, minlength=len(texts)), np.bincount(text, times, minlength=len(texts)))
+    ratio[bucket >= len(model.target) // 2] *= PAIR_SHARE
+    return least_passage(ratio, passage, begin)
 
 
 def gumbel(h: np.ndarray, ids: list) -> np.ndarray:
@@ -108,7 +122,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_lab
     """(id, __rv_text, __rv_good): all documents, with 1, 0 or null for good, bad or not in the sample of labels."""
     good = F.max(((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")).alias("__rv_good")
     sample = bounded_sample(labels.where(F.col("quality").isNotNull()).select(F.col(id_col).alias("__rv_id"), "quality", "toxic").groupBy("__rv_id").agg(good), max_labels, "__rv_id")
-    rows = small_batches(docs).select(F.col(id_col), F.col(text).alias("__rv_text"))
+    rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
     return rows.join(F.broadcast(sample), F.col(id_col) == F.col("__rv_id"), "left").drop("__rv_id")
 
 
@@ -119,22 +133,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         raw, target = np.zeros(2 << BITS, np.int64), np.zeros(2 << BITS, np.int64)
         for batch in batches:
             for part in chunked(batch, "__rv_text"):
-                bucket, text_ = grams(*utf8(part.column(0)))
+                bucket, text_, _, _ = grams(*utf8(part.column(0)))
                 raw += np.bincount(bucket, minlength=len(raw))
                 good = part.column(1).fill_null(0).to_numpy(zero_copy_only=False) == 1
                 target += np.bincount(bucket[good[text_]], minlength=len(raw))
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], ["bucket", "n_raw", "n_target"])
 
-    counts = cut(rows.select("__rv_text", "__rv_good").mapInArrow(count, "bucket long, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target")))
+    counts = cut(rows.select("__rv_text", "__rv_good").transform(in_arrow, count, "bucket long, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target")))
     # There are 2 << BITS buckets whatever the input; both counts of all of them come to the driver.
     got = counts.toArrow()
     raw, target = np.zeros(2 << BITS), np.zeros(2 << BITS, np.int64)
     raw[got["bucket"].to_numpy()], target[got["bucket"].to_numpy()] = got["n_raw"].to_numpy(), got["n_target"].to_numpy()
     if not target.any():
-        return QualityModel(np.zeros(2 << BITS, np.int64), np.zeros(2 << BITS), 0.0)
+        return QualityModel(np.zeros(2 << BITS, np.int64), np.zeros(2 << BITS))
     share = [target[s].sum() / max(1.0, raw[s].sum()) for s in (slice(0, 1 << BITS), slice(1 << BITS, None))]
-    model = QualityModel(target, raw * np.repeat(share, 1 << BITS), raw.sum() / max(1, docs.count()))
+    model = QualityModel(target, raw * np.repeat(share, 1 << BITS))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                 good = part.column(1).to_numpy(zero_copy_only=False) == 1
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(held_out_weights(model, part.column(0), good))], ["good", "w"])
 
-    seen = rows.where("__rv_good is not null").select("__rv_text", "__rv_good").mapInArrow(weigh, "good int, w double").toArrow()
+    seen = rows.where("__rv_good is not null").select("__rv_text", "__rv_good").transform(in_arrow, weigh, "good int, w double").toArrow()
     return replace(model, threshold=calibrated(seen["good"].to_numpy(), seen["w"].to_numpy(), min_keep))
 
 
@@ -170,11 +184,11 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text: st
         dense = model.dense()
         for batch in batches:
             for part in chunked(batch, "__rv_text"):
-                w, n, h = weights(model, dense, part.column(1))
+                w, n, h = weights(dense, part.column(1))
                 key = w / TEMPERATURE + gumbel(h, part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(key, pa.float64())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def kth_largest(scored: DataFrame, k: int, column: str = "sample_key", bins: int = 4096) -> float:
@@ -221,14 +235,13 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
         dense = model.dense()
         for batch in batches:
             for part in chunked(batch, at_text):
-                w, _, h = weights(model, dense, part.column(at_text))
+                w, _, h = weights(dense, part.column(at_text))
                 yield part.filter(pa.array(w / TEMPERATURE + gumbel(h, part.column(at_id).to_pylist()) >= model.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_grams, log_weight, sample_key, keep: every document and whether the sample has it."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    model, scored = fit(read("documents"), read("labels"))
+    model, scored = fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.withColumn("keep", F.col("sample_key") >= F.lit(model.cut))
