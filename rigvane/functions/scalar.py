@@ -116,3 +116,9 @@ def iou(inter: Column, n_a: Column, n_b: Column) -> Column:
     """D-7's last step: 0 where the union is empty."""
     union = n_a + n_b - inter
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+
+
+def merge_maps(first: Column, second: Column) -> Column:
+    """One map of both; where they share a key, the second one's value stays.  If one is null, the other."""
+    left = F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k))
+    return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(F.map_concat(left, second))

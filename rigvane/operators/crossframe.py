@@ -2,47 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import assign
+from .ordered import in_order, previous
+
+
+def frames_before(frames: DataFrame, rig: list[str], frame: str = "frame", width: float = 100_000) -> DataFrame:
+    """(rig, frame, before): each processed frame with the processed one before it, whatever its number."""
+    return previous(frames.select(*rig, frame).distinct(), rig, [frame], frame, width, "before")
 
 
-def candidates(groups: DataFrame, rig: list[str], frame: str = "frame", gate: float = 0.20) -> DataFrame:
-    """D-12, C-5, C-6: pairs (a in the frame before, b) of one label with centroids within the gate; null centroids never pass."""
-    a = groups.select(*rig, (F.col(frame) + 1).alias(frame), "label", F.col("group_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("cx", "cy", "cz")])
-    b = groups.select(*rig, frame, "label", F.col("group_id").alias("b"), "cx", "cy", "cz")
+def candidates(groups: DataFrame, rig: list[str], frame: str = "frame", gate: float = 0.20, frames: DataFrame | None = None) -> DataFrame:
+    """D-12, C-5, C-6: pairs (a in the processed frame before, b) of one label with centroids within the gate; null centroids never pass.
+
+    frames lists the processed frames, also empty ones (after which nothing is remembered); without it those that have groups."""
+    steps = frames_before(groups if frames is None else frames, rig, frame)
+    a = groups.select(*rig, F.col(frame).alias("before"), "label", F.col("group_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("cx", "cy", "cz")])
+    b = groups.select(*rig, frame, "label", F.col("group_id").alias("b"), "cx", "cy", "cz").join(steps, [*rig, frame])
     d = F.sqrt(sum(((F.col(c) - F.col(f"a_{c}")) * (F.col(c) - F.col(f"a_{c}")) for c in ("cx", "cy", "cz")), F.lit(0.0)))
-    return a.join(b, [*rig, frame, "label"]).withColumn("distance", d).where("distance <= %r and not isnan(distance)" % gate).select(*rig, frame, "label", "a", "b", "distance")
+    return a.join(b, [*rig, "before", "label"]).withColumn("distance", d).where("distance <= %r and not isnan(distance)" % gate).select(*rig, frame, "before", "label", "a", "b", "distance")
+
+
+def chamfer(pairs: DataFrame, points: DataFrame, rig: list[str], frame: str = "frame") -> DataFrame:
+    """D-13: the mean of both directions' mean nearest distances, for pairs (rig, frame, before, a, b) of a group a of frame `before` and b of
+    `frame`; infinite if a side is empty.
 
+    Each point set is packed once, as one row; the two of a pair meet in one function, which works in blocks of bounded size."""
+    packed = points.groupBy(*rig, frame, "group_id").agg(F.collect_list(F.array("x", "y", "z")).alias("__p"))
+    side = lambda at, who, n: packed.select(*rig, F.col(frame).alias(at), F.col("group_id").alias(who), F.col("__p").alias(n))
+    both = pairs.join(side("before", "a", "__pa"), [*rig, "before", "a"], "left").join(side(frame, "b", "__pb"), [*rig, frame, "b"], "left")
+    rows = both.select(*rig, frame, "before", "a", "b", "__pa", "__pb")
+    schema = T.StructType([*rows.schema[:-2], T.StructField("chamfer", T.DoubleType())])
 
-def chamfer(pairs: DataFrame, points_a: DataFrame, points_b: DataFrame, keys: list[str]) -> DataFrame:
-    """D-13: the mean of both directions' mean nearest distances, for pairs (keys, a, b); infinite if a side is empty.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [chamfer_points(_xyz(x), _xyz(y)) for x, y in zip(batch.column("__pa"), batch.column("__pb"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(got, pa.float64())], schema.names)
 
-    The two point sets of a pair meet in one grouped function, which works in blocks of bounded size."""
-    pack = lambda p, o, n: p.groupBy(*keys, F.col("group_id").alias(o)).agg(F.collect_list(F.array("x", "y", "z")).alias(n))
-    both = pairs.join(pack(points_a, "a", "pa"), [*keys, "a"], "left").join(pack(points_b, "b", "pb"), [*keys, "b"], "left")
+    return rows.mapInArrow(run, schema)
 
-    @F.pandas_udf("double")
-    def distance(pa: pd.Series, pb: pd.Series) -> pd.Series:
-        return pd.Series([chamfer_points(a, b) for a, b in zip(pa, pb)])
 
-    return both.select(*keys, "a", "b", distance("pa", "pb").alias("chamfer"))
+def _xyz(cell: pa.ListScalar) -> np.ndarray | None:
+    """The numbers of a list of points, without a Python object for each."""
+    return cell.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3) if cell.is_valid else None
 
 
-def chamfer_points(a, b, block: int = 1 << 20) -> float:
+def chamfer_points(a, b, block: int = 1 << 18) -> float:
     if a is None or b is None or not len(a) or not len(b):
         return float("inf")
-    x, y = np.array([list(p) for p in a], float), np.array([list(p) for p in b], float)
-    ya, step = np.full(len(y), np.inf), max(1, block // len(y))
+    x, y = np.asarray(a, float), np.ascontiguousarray(np.asarray(b, float).T)
+    ya, step = np.full(y.shape[1], np.inf), max(1, block // y.shape[1])
     total = 0.0
     for i in range(0, len(x), step):
-        d = np.sqrt(((x[i : i + step, None] - y[None]) ** 2).sum(axis=2))
-        total += d.min(axis=1).sum()
-        ya = np.minimum(ya, d.min(axis=0))
-    return 0.5 * (total / len(x) + ya.mean())
+        d = np.zeros((len(x[i : i + step]), y.shape[1]))
+        for axis in range(3):
+            gap = x[i : i + step, axis, None] - y[axis]
+            gap *= gap
+            d += gap
+        total += np.sqrt(d.min(axis=1)).sum()
+        np.minimum(ya, d.min(axis=0), out=ya)
+    return 0.5 * (total / len(x) + np.sqrt(ya).mean())
 
 
 def cap_chamfer(pairs: DataFrame, most: float | None) -> DataFrame:
@@ -51,49 +78,61 @@ def cap_chamfer(pairs: DataFrame, most: float | None) -> DataFrame:
     return out if most is None else out.where(F.col("chamfer") <= most)
 
 
-def inherit_ids(frames: list[int], groups: dict[int, list[tuple[int, str]]], cost: dict[int, dict[tuple[int, int], float]]) -> list[tuple[int, int, int]]:
-    """J-4, F-9: (frame, group, id).  A matched group inherits the id, others get new ones; the memory is one frame,
-    and a frame without groups clears it."""
-    out, before, fresh = [], {}, 1
-    for f in frames:
+class Memory:
+    """J-4, F-9: the groups of the last processed frame with their ids.  A matched group inherits the id, others get new ones;
+    a frame without groups clears the memory."""
+
+    def __init__(self, before: dict[int, tuple[int, str]] | None = None, fresh: int = 1):
+        self.before, self.fresh = before or {}, fresh
+
+    def frame(self, groups: list[tuple[int, str]], cost: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+        """(group, id) of a frame's groups (number, label); cost[a, b] of accepted candidates."""
         now: dict[int, int] = {}
-        labels = sorted({label for _, label in groups.get(f, [])})
-        for label in labels:
-            rows = sorted(g for g in before if before[g][1] == label)
-            cols = sorted(g for g, x in groups[f] if x == label)
+        for label in sorted({label for _, label in groups}):
+            rows = sorted(g for g in self.before if self.before[g][1] == label)
+            cols = sorted(g for g, x in groups if x == label)
             m = np.full((len(rows), len(cols)), assign.INVALID)
             for i, a in enumerate(rows):
                 for j, b in enumerate(cols):
-                    m[i, j] = cost.get(f, {}).get((a, b), assign.INVALID)
+                    m[i, j] = cost.get((a, b), assign.INVALID)
             for i, j in assign.optimal(m):
-                now[cols[j]] = before[rows[i]][0]
-        for g, _ in sorted(groups.get(f, [])):
+                now[cols[j]] = self.before[rows[i]][0]
+        for g, _ in sorted(groups):
             if g not in now:
-                now[g], fresh = fresh, fresh + 1
-            out.append((f, g, now[g]))
-        before = {g: (now[g], label) for g, label in groups.get(f, [])}
-    return out
+                now[g], self.fresh = self.fresh, self.fresh + 1
+        self.before = {g: (now[g], label) for g, label in groups}
+        return [(g, now[g]) for g, _ in sorted(groups)]
 
 
-def global_ids(frames: DataFrame, groups: DataFrame, costs: DataFrame, rig: list[str]) -> DataFrame:
-    """J-4 in batch: (rig, frame, group_id, global_id).  frames lists every frame, also empty ones; groups (rig, frame, group_id,
-    label); costs (rig, frame, a, b, cost) of accepted candidates.  A rig's frames are in order in one function, which gets numbers only, no points."""
-    per = lambda df, cols, name: df.groupBy(*rig).agg(F.collect_list(F.struct(*cols)).alias(name))
-    rows = per(frames, ["frame"], "frames").join(per(groups, ["frame", "group_id", "label"], "groups"), rig, "left").join(per(costs, ["frame", "a", "b", "cost"], "costs"), rig, "left")
-
-    @F.pandas_udf("array<struct<frame:bigint,group_id:bigint,global_id:bigint>>")
-    def ids(frames: pd.Series, groups: pd.Series, costs: pd.Series) -> pd.Series:
-        out = []
-        for f, g, c in zip(frames, groups, costs):
-            by: dict[int, list] = {}
-            for x in g if g is not None else []:
-                by.setdefault(x["frame"], []).append((x["group_id"], x["label"]))
-            cost: dict[int, dict] = {}
-            for x in c if c is not None else []:
-                cost.setdefault(x["frame"], {})[(x["a"], x["b"])] = x["cost"]
-            out.append([{"frame": a, "group_id": b, "global_id": i} for a, b, i in inherit_ids(sorted({x["frame"] for x in f}), by, cost)])
-        return pd.Series(out)
-
-    return rows.select(*rig, F.inline(ids("frames", "groups", "costs")))
+def inherit_ids(frames: list[int], groups: dict[int, list[tuple[int, str]]], cost: dict[int, dict[tuple[int, int], float]]) -> list[tuple[int, int, int]]:
+    """J-4, F-9: (frame, group, id) of all processed frames, in order."""
+    memory = Memory()
+    return [(f, g, i) for f in frames for g, i in memory.frame(groups.get(f, []), cost.get(f, {}))]
 
 
+def global_ids(frames: DataFrame, groups: DataFrame, costs: DataFrame, rig: list[str]) -> DataFrame:
+    """J-4 in batch: (rig, frame, group_id, global_id).  frames lists every processed frame, also empty ones; groups (rig, frame, group_id,
+    label); costs (rig, frame, a, b, cost) of accepted candidates.
+
+    A frame is one row with its groups and costs, both bounded by the slots; a rig's frames come in order, and one frame is remembered."""
+    keys = [*rig, "frame"]
+    per = lambda df, cols, name: df.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias(name))
+    rows = frames.select(*keys).distinct().join(per(groups, ["group_id", "label"], "groups"), keys, "left").join(per(costs, ["a", "b", "cost"], "costs"), keys, "left")
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        memory = Memory()
+
+        def step(p: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for f, g, c in zip(p["frame"], p["groups"], p["costs"]):
+                known = [(x["group_id"], x["label"]) for x in (g if g is not None else [])]
+                out += [(f, n, i) for n, i in memory.frame(known, {(x["a"], x["b"]): x["cost"] for x in (c if c is not None else [])})]
+            got = pd.DataFrame(out, columns=["frame", "group_id", "global_id"]).astype("int64")
+            for k in reversed(rig):
+                got.insert(0, k, p[k].iloc[0])
+            return got
+
+        return step
+
+    schema = T.StructType([*(frames.schema[k] for k in rig), *(T.StructField(c, T.LongType()) for c in ("frame", "group_id", "global_id"))])
+    return in_order(rows, rig, ["frame"], start, schema)

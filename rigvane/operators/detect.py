@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import assign
+from .ordered import in_order
 
 
 def parse_prompts(prompts: list) -> list[tuple[str, int]]:
@@ -66,21 +69,38 @@ def top_k(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") < k)
 
 
-def nms(ranked: DataFrame, overlaps: DataFrame, frame: list[str], level: float, capacity: int) -> DataFrame:
-    """F-2: greedy suppression in each class, then at most `capacity`.
+def nms(ranked: DataFrame, frame: list[str], features: list[str], overlap: Callable[[tuple, tuple], float], level: float, capacity: int) -> DataFrame:
+    """F-2: greedy suppression in each class, at most `capacity` kept: (frame, label, rank).
 
-    overlaps: (frame, label, a, b, iou) of ranks a < b.  Only the rank list of a class and its
-    overlapping pairs reach the grouped function."""
+    A class's detections come in the order of their ranks; each is compared with those kept so far, of which there are at
+    most `capacity`, so the work is linear in the detections and no pairs are stored.  overlap gets the features of two."""
     keys = [*frame, "label"]
-    pairs = overlaps.where(F.col("iou") >= level).groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    lists = ranked.groupBy(*keys).agg(F.count("*").alias("n")).join(pairs, keys, "left")
 
-    @F.pandas_udf("array<bigint>")
-    def keep(n: pd.Series, pairs: pd.Series) -> pd.Series:
-        return pd.Series([assign.suppress(k, {(p["a"], p["b"]): 1.0 for p in (ps if ps is not None else [])}, 0.5, capacity) for k, ps in zip(n, pairs)])
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        kept: list[tuple] = []
 
-    kept = lists.select(*keys, F.explode(keep("n", "pairs")).alias("rank"))
-    return ranked.join(kept, [*keys, "rank"], "left_semi")
+        def step(p: pd.DataFrame) -> pd.DataFrame:
+            at = []
+            if len(kept) < capacity:
+                for i, x in enumerate(zip(*(p[f] for f in features))):
+                    if all(overlap(x, k) < level for k in kept):
+                        kept.append(x)
+                        at.append(i)
+                        if len(kept) == capacity:
+                            break
+            return p.iloc[at][[*keys, "rank"]]
+
+        return step
+
+    rows = ranked.select(*keys, F.col("rank").cast("long").alias("rank"), *features)
+    return in_order(rows, keys, ["rank"], start, rows.select(*keys, "rank").schema)
+
+
+def pixel_iou(a: tuple, b: tuple) -> float:
+    """D-7 for `nms`: the overlap of two masks, each a feature of sorted pixel numbers."""
+    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    union = len(a[0]) + len(b[0]) - both
+    return both / union if union else 0.0
 
 
 def class_counts(detections: DataFrame, classes: DataFrame, frames: DataFrame, frame: list[str]) -> DataFrame:
@@ -138,8 +158,6 @@ def optimal_match(costs: DataFrame, keys: list[str], limit: float = math.inf) ->
     schema = T.StructType([costs.schema[k] for k in keys] + [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("cost", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         rows, cols = np.sort(pdf["a"].unique()), np.sort(pdf["b"].unique())
         m = np.full((len(rows), len(cols)), assign.INVALID)
         ok = pdf[pdf["cost"] < limit]
@@ -153,6 +171,14 @@ def optimal_match(costs: DataFrame, keys: list[str], limit: float = math.inf) ->
     return costs.where(F.col("cost").isNotNull()).groupBy(*keys).applyInPandas(run, schema)
 
 
+def associate(pairs: DataFrame, frame: list[str], max_dist: float, least_iou: float, weights: tuple[float, float, float], label_penalty: float) -> DataFrame:
+    """D-18 as a whole: (frame, det, track) of a least-cost assignment.  pairs (frame, det, track, dist (null without both
+    centroids), iou, embedding_distance, same_label) has every detection of a frame with every track, both bounded by the slots."""
+    cost = composite_cost(F.col("dist"), F.col("iou"), F.col("embedding_distance"), F.col("same_label"), max_dist, least_iou, weights, label_penalty)
+    costs = pairs.select(*frame, F.col("track").alias("a"), F.col("det").alias("b"), cost.alias("cost"))
+    return optimal_match(costs, frame, 1e5).select(*frame, F.col("b").alias("det"), F.col("a").alias("track"), "cost")
+
+
 def on_active_slots(rows: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
     """C-11: rows whose slot (keys) is known and active."""
     return rows.join(slots.where("active").select(*keys), keys, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,11 @@ def stage_sums(timings: DataFrame) -> DataFrame:
 
 
 def after_warmup(sums: DataFrame, warmup: int) -> DataFrame:
-    """F-11, J-11: without each stage's first `warmup` frames; frame numbers stay."""
-    w = Window.partitionBy("stage").orderBy("frame")
-    return sums.withColumn("__k", F.row_number().over(w)).where(F.col("__k") > warmup).drop("__k")
+    """F-11, J-11: without the first `warmup` completed frames; frame numbers stay.  A stage first seen later loses nothing.
+
+    Only these few frame numbers are sorted; the last of them is one row beside all others."""
+    last = sums.select("frame").distinct().orderBy("frame").limit(warmup).agg(F.max("frame").alias("__last"))
+    return sums.join(F.broadcast(last), F.col("__last").isNull() | (F.col("frame") > F.col("__last"))).drop("__last")
 
 
 def summary(sums: DataFrame, digits: int = 6) -> DataFrame:
@@ -29,3 +31,12 @@ def wide(sums: DataFrame, preferred: list[str], extras: list[str]) -> DataFrame:
     """A-10's rows: a column for each stage, preferred ones first, other known ones sorted; unknown stages are left out."""
     order = [*preferred, *sorted(set(extras) - set(preferred))]
     return sums.where(F.col("stage").isin(order)).groupBy("frame").pivot("stage", order).agg(F.first("value_ms"))
+
+
+def report(name: str, summary_: DataFrame, preferred: list[str], frames: int, excluded: int) -> str:
+    """A-16: the cumulative table as text, preferred stages first, others sorted.  The rows are one for each stage."""
+    rows = {r["stage"]: r for r in summary_.collect()}
+    order = [s for s in preferred if s in rows] + sorted(set(rows) - set(preferred))
+    head = f"{'stage':<36}{'n':>8}{'mean':>10}{'median':>10}{'p95':>10}{'max':>10}{'worst':>9}"
+    body = [f"{s:<36}{rows[s]['n']:>8}" + "".join(f"{rows[s][k]:>10.2f}" for k in ("mean", "median", "p95", "max")) + f"{rows[s]['max_frame']:>9}" for s in order]
+    return "\n".join([f"{name}: {frames} frames, {excluded} of warm-up left out", head, *body])

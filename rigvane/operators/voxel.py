@@ -50,18 +50,16 @@ def coverage(voxels: DataFrame, pairs: DataFrame, ids: list[str], a: str, b: str
     """D-9, D-10, D-11, E-9: for each pair (a, b) the share of a's voxels near one of b's, the reverse, and their mean.
 
     voxels: (ids, obs, key), distinct.  pairs: (ids, a, b).  The dilated target is joined by equality on (ids, obs, key)."""
-    near = neighbourhood(voxels, [*ids, "obs"], radius, key)
-    sizes = voxels.groupBy(*ids, "obs").agg(F.count("*").alias("__n"))
-
-    def one_way(src: str, dst: str, out: str) -> DataFrame:
-        s = pairs.join(voxels.withColumnRenamed("obs", src), [*ids, src])
-        hit = s.join(near.withColumnRenamed("obs", dst), [*ids, dst, key])
-        n = hit.groupBy(*ids, a, b).agg(F.count("*").alias("__h"))
-        both = pairs.join(n, [*ids, a, b], "left").join(sizes.withColumnRenamed("obs", src), [*ids, src])
-        return both.select(*ids, a, b, (F.coalesce("__h", F.lit(0)) / F.col("__n")).alias(out))
-
-    both = one_way(a, b, "a_to_b").join(one_way(b, a, "b_to_a"), [*ids, a, b])
-    return both.withColumn("score", 0.5 * (F.col("a_to_b") + F.col("b_to_a")))
+    near = neighbourhood(voxels, [*ids, "obs"], radius, key).withColumnRenamed("obs", "__dst")
+    sizes = voxels.groupBy(*ids, F.col("obs").alias("__src")).agg(F.count("*").alias("__n"))
+    # Both directions in one join: a pair is two rows (source, target).
+    both = pairs.select(*ids, a, b, F.explode(F.array(F.struct(F.col(a).alias("s"), F.col(b).alias("d")), F.struct(F.col(b).alias("s"), F.col(a).alias("d")))).alias("__x"))
+    both = both.select(*ids, a, b, F.col("__x.s").alias("__src"), F.col("__x.d").alias("__dst"))
+    hits = both.select(*ids, "__src", "__dst").distinct().join(voxels.withColumnRenamed("obs", "__src"), [*ids, "__src"]).join(near, [*ids, "__dst", key])
+    hits = hits.groupBy(*ids, "__src", "__dst").agg(F.count("*").alias("__h"))
+    shares = both.join(hits, [*ids, "__src", "__dst"], "left").join(sizes, [*ids, "__src"]).withColumn("__share", F.coalesce("__h", F.lit(0)) / F.col("__n"))
+    one = lambda src, out: F.max(F.when(F.col("__src") == F.col(src), F.col("__share"))).alias(out)
+    return shares.groupBy(*ids, a, b).agg(one(a, "a_to_b"), one(b, "b_to_a")).withColumn("score", 0.5 * (F.col("a_to_b") + F.col("b_to_a")))
 
 
 def rank_in_segment(rows: DataFrame, segment: list[str], order: list[str], out: str = "rank") -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import crossframe, crossview, detect, geometry, masks, profile,
 from ..sources import frames as sources
 from . import bind
 from .bind import CHAIN, MASK, MESSAGES, ORDER, table
+from .store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -145,26 +146,11 @@ def _(spark, sf):
     return m.select("user_id", S.stamp_ns(F.expr("a div 1000000"), (c("a") % 1_000_000) * 1000).alias("first_ns"), r6(S.rate(c("n"), c("a"), c("b"), 3.6e9)).alias("per_hour"))
 
 
-GRID = "SELECT CAST((p_partkey - 1) % 16 AS INT) AS x, CAST((p_partkey - 1) // 16 AS INT) AS y, p_retailprice / 1000e0 AS logit FROM part WHERE p_partkey <= 192"
-
-
-@query(
-    "b20_resize_bilinear",
-    f"""WITH g AS ({GRID}), xs AS (SELECT d, greatest((d + 0.5e0) * (16e0 / 24e0) - 0.5e0, 0e0) AS a FROM range(24) t(d)), ys AS (SELECT d, greatest((d + 0.5e0) * (12e0 / 18e0) - 0.5e0, 0e0) AS a FROM range(18) t(d)),
- xx AS (SELECT d, least(CAST(floor(a) AS BIGINT), 15) AS i, least(CAST(floor(a) AS BIGINT) + 1, 15) AS j, a - least(floor(a), 15) AS w FROM xs), yy AS (SELECT d, least(CAST(floor(a) AS BIGINT), 11) AS i, least(CAST(floor(a) AS BIGINT) + 1, 11) AS j, a - least(floor(a), 11) AS w FROM ys)
- SELECT CAST(yy.d AS INT) AS y, CAST(xx.d AS INT) AS x, round(p.logit * (1 - xx.w) * (1 - yy.w) + q.logit * xx.w * (1 - yy.w) + r.logit * (1 - xx.w) * yy.w + s.logit * xx.w * yy.w, 5) AS logit FROM xx, yy
- JOIN g p ON p.x = xx.i AND p.y = yy.i JOIN g q ON q.x = xx.j AND q.y = yy.i JOIN g r ON r.x = xx.i AND r.y = yy.j JOIN g s ON s.x = xx.j AND s.y = yy.j""",
-)
-def _(spark, sf):
-    g = table(spark, sf, "part").where("p_partkey <= 192").selectExpr("cast((p_partkey - 1) % 16 as int) x", "cast((p_partkey - 1) div 16 as int) y", "p_retailprice / 1000 logit")
-    return masks.resize_bilinear(g, [], (16, 12), (24, 18), 5)
-
-
 IMAGES = "SELECT CAST(p_partkey // 192 AS BIGINT) AS image, CAST(p_partkey % 16 AS INT) AS x, CAST((p_partkey // 16) % 12 AS INT) AS y, p_retailprice / 1000e0 AS logit FROM part"
 
 
 @query(
-    "b20_resize_bilinear_whole",
+    "b20_resize_bilinear",
     f"""WITH g AS ({IMAGES}), xs AS (SELECT d, greatest((d + 0.5e0) * (16e0 / 24e0) - 0.5e0, 0e0) AS a FROM range(24) t(d)), ys AS (SELECT d, greatest((d + 0.5e0) * (12e0 / 18e0) - 0.5e0, 0e0) AS a FROM range(18) t(d)),
  xx AS (SELECT d, least(floor(a), 15) AS i, 1 - (a - least(floor(a), 15)) AS w FROM xs UNION ALL SELECT d, least(floor(a) + 1, 15), a - least(floor(a), 15) FROM xs), yy AS (SELECT d, least(floor(a), 11) AS i, 1 - (a - least(floor(a), 11)) AS w FROM ys UNION ALL SELECT d, least(floor(a) + 1, 11), a - least(floor(a), 11) FROM ys)
  SELECT image, CAST(yy.d AS INT) AS y, CAST(xx.d AS INT) AS x, round(sum(logit * xx.w * yy.w), 8) AS logit FROM g JOIN xx ON xx.i = g.x AND xx.w > 0 JOIN yy ON yy.i = g.y AND yy.w > 0 GROUP BY image, yy.d, xx.d""",
@@ -252,7 +238,6 @@ def _(spark, sf):
 
 
 
-
 @query(
     "f02_nms",
     f"""WITH RECURSIVE d AS ({DET}), k AS (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY score DESC, ord) - 1 AS rank FROM d WHERE score > 0.2e0 AND score >= 0.3e0 AND pixels >= 10),
@@ -261,10 +246,8 @@ def _(spark, sf):
  SELECT frame, label, rank FROM w WHERE keep""",
 )
 def _(spark, sf):
-    k = _ranked(spark, sf)
-    a, b = (k.select("frame", "label", c("rank").alias(n), c("pixels").alias(f"p{n}")) for n in "ab")
-    near = a.join(b, ["frame", "label"]).where((c("a") < c("b")) & (F.abs(c("pa") - c("pb")) <= 4)).select("frame", "label", "a", "b", F.lit(1.0).alias("iou"))
-    return detect.nms(k, near, ["frame"], 0.5, 5).select("frame", "label", c("rank").cast("bigint").alias("rank"))
+    near = lambda a, b: float(abs(a[0] - b[0]) <= 4)
+    return detect.nms(_ranked(spark, sf), ["frame"], ["pixels"], near, 0.5, 5)
 
 
 # --- masks -----------------------------------------------------------------------------------
@@ -283,12 +266,7 @@ def _(spark, sf):
     return masks.erode(_mask(spark, sf), ["frame", "label"], 1, 64, 48)
 
 
-@query("f04_dilate", f"{M} SELECT DISTINCT frame, label, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM m, (SELECT unnest([-2, -1, 0, 1, 2]) AS dx), (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) WHERE m.label = 'R' AND x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47")
-def _(spark, sf):
-    return masks.dilate(_mask(spark, sf).where("label = 'R'"), ["frame", "label"], 2, 64, 48)
-
-
-@query("f04_dilate_whole", f"{M} SELECT DISTINCT frame, label, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM m, (SELECT unnest([-2, -1, 0, 1, 2]) AS dx), (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47")
+@query("f04_dilate", f"{M} SELECT DISTINCT frame, label, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x FROM m, (SELECT unnest([-2, -1, 0, 1, 2]) AS dx), (SELECT unnest([-2, -1, 0, 1, 2]) AS dy) WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 47")
 def _(spark, sf):
     return masks.dilate(_mask(spark, sf), ["frame", "label"], 2, 64, 48)
 
@@ -388,28 +366,28 @@ def _observed(spark, sf):
     return _first(spark, sf).withColumn("obs", F.expr(f"cast({OBS} as bigint)"))
 
 
-def _pairs(spark, sf):
-    return crossview.candidates(voxel.bbox(_observed(spark, sf), ["frame", "label", "view_id", "obs"]), ["frame"], 1)
+def _pairs(o):
+    return crossview.candidates(voxel.bbox(o, ["frame", "label", "view_id", "obs"]), ["frame"], 1)
 
 
 @query("d08_cross_view_candidates", f"{BOX}{PAIR} SELECT frame, label, a, b FROM p")
 def _(spark, sf):
-    return _pairs(spark, sf).select("frame", "label", "a", "b")
+    return _pairs(_observed(spark, sf)).select("frame", "label", "a", "b")
 
 
 COVER = """, s AS (SELECT frame, obs, count(*) AS n FROM o GROUP BY ALL), ab AS (SELECT p.frame, p.a, p.b, count(*) AS h FROM p JOIN o x ON x.frame = p.frame AND x.obs = p.a JOIN o y ON y.frame = p.frame AND y.obs = p.b AND y.key = x.key GROUP BY ALL),
  sc AS (SELECT p.frame, p.label, p.a, p.b, coalesce(h, 0) / CAST(u.n AS DOUBLE) AS a_to_b, coalesce(h, 0) / CAST(v.n AS DOUBLE) AS b_to_a FROM p LEFT JOIN ab ON ab.frame = p.frame AND ab.a = p.a AND ab.b = p.b JOIN s u ON u.frame = p.frame AND u.obs = p.a JOIN s v ON v.frame = p.frame AND v.obs = p.b)"""
 
 
-def _scores(spark, sf, radius=0):
-    p = _pairs(spark, sf)
-    v = _observed(spark, sf).select("frame", "obs", "key")
-    return voxel.coverage(v, p.select("frame", "a", "b"), ["frame"], "a", "b", radius).join(p, ["frame", "a", "b"])
+def _scores(o, radius=0):
+    """o: the observed voxels, a table that is read several times (written once by `cut`)."""
+    p = _pairs(o)
+    return voxel.coverage(o.select("frame", "obs", "key"), p.select("frame", "a", "b"), ["frame"], "a", "b", radius).join(p, ["frame", "a", "b"])
 
 
 @query("d09_d11_coverage_exact", f"{BOX}{PAIR}{COVER} SELECT frame, label, a, b, round(a_to_b, 6) AS a_to_b, round(b_to_a, 6) AS b_to_a, round(0.5e0 * (a_to_b + b_to_a), 6) AS score FROM sc")
 def _(spark, sf):
-    return _scores(spark, sf).select("frame", "label", "a", "b", *[r6(c(x)).alias(x) for x in ("a_to_b", "b_to_a", "score")])
+    return _scores(cut(_observed(spark, sf))).select("frame", "label", "a", "b", *[r6(c(x)).alias(x) for x in ("a_to_b", "b_to_a", "score")])
 
 
 @query(
@@ -418,36 +396,42 @@ def _(spark, sf):
  h AS (SELECT p.frame, p.a, p.b, count(*) AS h FROM p JOIN o x ON x.frame = p.frame AND x.obs = p.a JOIN near y ON y.frame = p.frame AND y.obs = p.b AND y.key = x.key GROUP BY ALL) SELECT p.frame, p.a, p.b, round(coalesce(h, 0) / CAST(n.n AS DOUBLE), 6) AS a_to_b FROM p LEFT JOIN h USING (frame, a, b) JOIN n ON n.frame = p.frame AND n.obs = p.a""",
 )
 def _(spark, sf):
-    return _scores(spark, sf, 1).select("frame", "a", "b", r6(c("a_to_b")).alias("a_to_b"))
+    return _scores(cut(_observed(spark, sf)), 1).select("frame", "a", "b", r6(c("a_to_b")).alias("a_to_b"))
 
 
 @query("c08_accepted_pairs", f"{BOX}{PAIR}{COVER} SELECT frame, label, a, b FROM sc WHERE 0.5e0 * (a_to_b + b_to_a) >= 0.15e0 AND least(a_to_b, b_to_a) >= 0.2e0")
 def _(spark, sf):
-    return crossview.accepted(_scores(spark, sf)).select("frame", "label", "a", "b")
+    return crossview.accepted(_scores(cut(_observed(spark, sf)))).select("frame", "label", "a", "b")
 
 
 FUSED = f"{BOX}{PAIR}{COVER}, ok AS (SELECT * FROM sc WHERE 0.5e0 * (a_to_b + b_to_a) >= 0.15e0 AND least(a_to_b, b_to_a) >= 0.2e0), r AS (SELECT o.frame, o.obs, coalesce(min(ok.a), min(o.obs)) AS root FROM (SELECT DISTINCT frame, obs FROM o) o LEFT JOIN ok ON ok.frame = o.frame AND ok.b = o.obs GROUP BY o.frame, o.obs), gr AS (SELECT frame, obs, CAST(dense_rank() OVER (PARTITION BY frame ORDER BY root) AS BIGINT) AS group_id FROM r)"
 
 
-def _groups(spark, sf):
-    o = _observed(spark, sf).select("frame", "obs", "view_id").distinct()
-    return crossview.groups(o, crossview.match_views(crossview.accepted(_scores(spark, sf)), ["frame"]), ["frame"])
+def _matched(o):
+    return crossview.match_views(crossview.accepted(_scores(o)), ["frame"])
+
+
+def _groups(o):
+    return crossview.groups(o.select("frame", "obs", "view_id").distinct(), _matched(o), ["frame"])
 
 
 @query("d14_e16_e20_groups", f"{FUSED} SELECT frame, obs, group_id FROM gr")
 def _(spark, sf):
-    return _groups(spark, sf)
+    return _groups(cut(_observed(spark, sf)))
 
 
 @query("a17_fused_instances", f"{FUSED}, f AS (SELECT gr.group_id, o.*, row_number() OVER (PARTITION BY o.frame, gr.group_id, o.key ORDER BY o.obs) AS q FROM o JOIN gr ON gr.frame = o.frame AND gr.obs = o.obs) SELECT frame, group_id, round(median(wx), 5) AS cx, round(median(wy), 5) AS cy, round(median(wz), 5) AS cz, min(vx) AS min_vx, max(vx) AS max_vx, min(vy) AS min_vy, max(vy) AS max_vy, min(vz) AS min_vz, max(vz) AS max_vz, count(*) AS n_points FROM f WHERE q = 1 GROUP BY frame, group_id")
 def _(spark, sf):
-    return crossview.fused_instances(crossview.fuse(_observed(spark, sf), _groups(spark, sf), ["frame"], WORLD), ["frame"], 5)
+    o = cut(_observed(spark, sf))
+    return crossview.fused_instances(crossview.fuse(o, _groups(o), ["frame"], WORLD), ["frame"], 5)
 
 
 @query("e13_e19_counters", f"{FUSED}, f AS (SELECT DISTINCT o.frame, gr.group_id, o.key FROM o JOIN gr ON gr.frame = o.frame AND gr.obs = o.obs), pb AS (SELECT frame, count(*) AS n FROM o GROUP BY ALL), pa AS (SELECT frame, count(*) AS n FROM f GROUP BY ALL), pc AS (SELECT frame, count(*) AS n FROM p GROUP BY ALL), pm AS (SELECT frame, count(*) AS n FROM ok GROUP BY ALL) SELECT pb.frame, coalesce(pc.n, 0) AS pairs, coalesce(pm.n, 0) AS matches, pb.n AS points_before, coalesce(pa.n, 0) AS points_after, round((1e0 - pa.n / CAST(greatest(1, pb.n) AS DOUBLE)) * 100, 4) AS reduction FROM pb LEFT JOIN pa USING (frame) LEFT JOIN pc USING (frame) LEFT JOIN pm USING (frame)")
 def _(spark, sf):
-    o, g, p = _observed(spark, sf), _groups(spark, sf), _pairs(spark, sf)
-    n = crossview.counters(p, crossview.match_views(crossview.accepted(_scores(spark, sf)), ["frame"]), o, crossview.fuse(o, g, ["frame"], ["wx"]), ["frame"])
+    o = cut(_observed(spark, sf))
+    m = cut(_matched(o))
+    g = crossview.groups(o.select("frame", "obs", "view_id").distinct(), m, ["frame"])
+    n = crossview.counters(_pairs(o), m, o, crossview.fuse(o, g, ["frame"], ["wx"]), ["frame"])
     return n.withColumn("reduction", F.round(S.reduction_percent(c("points_before"), c("points_after")), 4))
 
 
@@ -482,42 +466,47 @@ def _centroids(spark, sf):
     return _observed(spark, sf).groupBy("frame", "label", c("obs").alias("group_id")).agg(F.median("wx").alias("cx"), F.median("wy").alias("cy"), F.median("wz").alias("cz"))
 
 
-@query("d12_cross_frame_candidates", f"{CENT} SELECT b.frame, b.label, a.group_id AS a, b.group_id AS b, round(sqrt((b.cx - a.cx) ** 2 + (b.cy - a.cy) ** 2 + (b.cz - a.cz) ** 2), 5) AS distance FROM g a JOIN g b ON b.frame = a.frame + 1 AND a.label = b.label WHERE sqrt((b.cx - a.cx) ** 2 + (b.cy - a.cy) ** 2 + (b.cz - a.cz) ** 2) <= 0.3e0")
-def _(spark, sf):
-    return crossframe.candidates(_centroids(spark, sf), [], gate=0.3).select("frame", "label", "a", "b", F.round("distance", 5).alias("distance"))
+#: Frame numbers with gaps: each processed frame is three after the one before.
+NUMBERED = f"{CENT}, k AS (SELECT *, dense_rank() OVER (ORDER BY frame) AS n FROM g)"
+NEAR = "sqrt((b.cx - a.cx) ** 2 + (b.cy - a.cy) ** 2 + (b.cz - a.cz) ** 2)"
 
 
-CH = f"{CENT}, pt AS (SELECT DISTINCT frame, CAST({OBS} AS BIGINT) AS group_id, wx AS x, wy AS y, wz AS z FROM first WHERE l_orderkey % 5 = 0), cp AS (SELECT b.frame, a.group_id AS a, b.group_id AS b FROM g a JOIN g b ON b.frame = a.frame + 1 AND a.label = b.label AND a.group_id = b.group_id), d AS (SELECT cp.frame, a, b, u.x AS ux, u.y AS uy, u.z AS uz, v.x AS vx, v.y AS vy, v.z AS vz, sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2) AS d FROM cp JOIN pt u ON u.frame = cp.frame - 1 AND u.group_id = a JOIN pt v ON v.frame = cp.frame AND v.group_id = b)"
+@query("d12_cross_frame_candidates", f"{NUMBERED} SELECT b.frame * 3 AS frame, b.label, a.group_id AS a, b.group_id AS b, round({NEAR}, 5) AS distance FROM k a JOIN k b ON b.n = a.n + 1 AND a.label = b.label WHERE {NEAR} <= 0.3e0")
+def _(spark, sf):
+    g = _centroids(spark, sf).withColumn("frame", c("frame") * 3)
+    return crossframe.candidates(g.withColumn("rig", F.lit(0)), ["rig"], gate=0.3).select("frame", "label", "a", "b", F.round("distance", 5).alias("distance"))
 
 
-def _points(spark, sf, part="true"):
-    return _observed(spark, sf).where(part).select("frame", c("obs").alias("group_id"), c("wx").alias("x"), c("wy").alias("y"), c("wz").alias("z")).distinct()
+CH = f"{CENT}, pt AS (SELECT DISTINCT frame, CAST({OBS} AS BIGINT) AS group_id, wx AS x, wy AS y, wz AS z FROM first), cp AS (SELECT b.frame, a.group_id AS a, b.group_id AS b FROM g a JOIN g b ON b.frame = a.frame + 1 AND a.label = b.label AND a.group_id = b.group_id), d AS (SELECT cp.frame, a, b, u.x AS ux, u.y AS uy, u.z AS uz, v.x AS vx, v.y AS vy, v.z AS vz, sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2) AS d FROM cp JOIN pt u ON u.frame = cp.frame - 1 AND u.group_id = a JOIN pt v ON v.frame = cp.frame AND v.group_id = b)"
+CHAMFER = CH + ", f AS (SELECT frame, a, b, avg(m) AS m FROM (SELECT frame, a, b, min(d) AS m FROM d GROUP BY frame, a, b, ux, uy, uz) GROUP BY ALL), k AS (SELECT frame, a, b, avg(m) AS m FROM (SELECT frame, a, b, min(d) AS m FROM d GROUP BY frame, a, b, vx, vy, vz) GROUP BY ALL) SELECT f.frame, f.a, f.b, round(0.5e0 * (f.m + k.m), 5) AS chamfer FROM f JOIN k USING (frame, a, b)"
 
 
-CHAMFER = ", f AS (SELECT frame, a, b, avg(m) AS m FROM (SELECT frame, a, b, min(d) AS m FROM d GROUP BY frame, a, b, ux, uy, uz) GROUP BY ALL), k AS (SELECT frame, a, b, avg(m) AS m FROM (SELECT frame, a, b, min(d) AS m FROM d GROUP BY frame, a, b, vx, vy, vz) GROUP BY ALL) SELECT f.frame, f.a, f.b, round(0.5e0 * (f.m + k.m), 5) AS chamfer FROM f JOIN k USING (frame, a, b)"
+def _points(o):
+    return o.select(F.lit(0).alias("rig"), "frame", c("obs").alias("group_id"), c("wx").alias("x"), c("wy").alias("y"), c("wz").alias("z")).distinct()
 
 
-def _chamfer(spark, sf, points):
-    g = _centroids(spark, sf)
-    pairs = g.select((c("frame") + 1).alias("frame"), c("group_id").alias("a")).join(g.select("frame", c("group_id").alias("b")), "frame").where("a = b")
-    got = crossframe.chamfer(pairs, points.withColumn("frame", c("frame") + 1), points, ["frame"])
-    return crossframe.cap_chamfer(got, None).select("frame", "a", "b", F.round("chamfer", 5).alias("chamfer"))
+def _chamfer(spark, sf):
+    """Each group with the same one of the frame before, on all points."""
+    o = cut(_observed(spark, sf))
+    g = o.select(F.lit(0).alias("rig"), "frame", c("obs").alias("group_id")).distinct()
+    pairs = g.join(crossframe.frames_before(g, ["rig"]), ["rig", "frame"]).select("rig", "frame", "before", c("group_id").alias("a"), c("group_id").alias("b"))
+    pairs = pairs.join(g.select("rig", c("frame").alias("before"), c("group_id").alias("a")), ["rig", "before", "a"], "left_semi")
+    return crossframe.chamfer(pairs, _points(o), ["rig"])
 
 
-@query("d13_chamfer", CH + CHAMFER)
+@query("d13_chamfer", CHAMFER)
 def _(spark, sf):
-    """A fifth of the points, as in its SQL; d13_chamfer_whole has all."""
-    return _chamfer(spark, sf, _points(spark, sf, "l_orderkey % 5 = 0"))
+    return crossframe.cap_chamfer(_chamfer(spark, sf), None).select("frame", "a", "b", F.round("chamfer", 5).alias("chamfer"))
 
 
-@query("d13_chamfer_whole", CH.replace(" WHERE l_orderkey % 5 = 0", "") + CHAMFER)
+@query("c09_chamfer_cap", f"SELECT frame, a, b FROM ({CHAMFER}) WHERE chamfer <= 0.2e0")
 def _(spark, sf):
-    return _chamfer(spark, sf, _points(spark, sf))
+    return crossframe.cap_chamfer(_chamfer(spark, sf).withColumn("chamfer", F.round("chamfer", 5)), 0.2).select("frame", "a", "b")
 
 
 @query("j04_global_ids")
 def _(spark, sf):
-    g = _centroids(spark, sf).withColumn("rig", F.lit("r0"))
+    g = cut(_centroids(spark, sf).withColumn("rig", F.lit("r0")))
     near = crossframe.candidates(g, ["rig"], gate=2.0).withColumnRenamed("distance", "cost")
     return crossframe.global_ids(g.select("rig", "frame").distinct(), g.select("rig", "frame", "group_id", "label"), near, ["rig"])
 
@@ -525,18 +514,34 @@ def _(spark, sf):
 COST = "SELECT CAST(c_nationkey AS BIGINT) AS frame, c_custkey % 4 AS a, (c_custkey // 4) % 4 AS b, min(abs(c_acctbal)) / 10000e0 AS cost FROM customer GROUP BY ALL"
 
 
-@query(
-    "d14_optimal_assignment",
-    f"""WITH k AS ({COST}), f AS (SELECT DISTINCT frame FROM k), n AS (SELECT unnest([0, 1, 2, 3, -1]) AS v), full_ AS (SELECT f.frame, p.v AS p, q.v AS q, r.v AS r, s.v AS s FROM f, n p, n q, n r, n s WHERE (p.v < 0 OR p.v NOT IN (q.v, r.v, s.v)) AND (q.v < 0 OR q.v NOT IN (r.v, s.v)) AND (r.v < 0 OR r.v <> s.v)),
+#: All assignments of four rows to four columns or none (-1), from k (frame, a, b, cost).
+BEST = """ f AS (SELECT DISTINCT frame FROM k), n AS (SELECT unnest([0, 1, 2, 3, -1]) AS v), full_ AS (SELECT f.frame, p.v AS p, q.v AS q, r.v AS r, s.v AS s FROM f, n p, n q, n r, n s WHERE (p.v < 0 OR p.v NOT IN (q.v, r.v, s.v)) AND (q.v < 0 OR q.v NOT IN (r.v, s.v)) AND (r.v < 0 OR r.v <> s.v)),
  t AS (SELECT x.frame, (CASE WHEN a.cost IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN b.cost IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN c.cost IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN d.cost IS NOT NULL THEN 1 ELSE 0 END) AS n, coalesce(a.cost, 0) + coalesce(b.cost, 0) + coalesce(c.cost, 0) + coalesce(d.cost, 0) AS total FROM full_ x LEFT JOIN k a ON a.frame = x.frame AND a.a = 0 AND a.b = p LEFT JOIN k b ON b.frame = x.frame AND b.a = 1 AND b.b = q LEFT JOIN k c ON c.frame = x.frame AND c.a = 2 AND c.b = r LEFT JOIN k d ON d.frame = x.frame AND d.a = 3 AND d.b = s)
- SELECT frame, CAST(max(n) AS BIGINT) AS n, round(min(total) FILTER (n = m), 6) AS total FROM (SELECT *, max(n) OVER (PARTITION BY frame) AS m FROM t) GROUP BY frame""",
-)
+ SELECT frame, CAST(max(n) AS BIGINT) AS n, round(min(total) FILTER (n = m), 6) AS total FROM (SELECT *, max(n) OVER (PARTITION BY frame) AS m FROM t) GROUP BY frame"""
+
+
+@query("d14_optimal_assignment", f"WITH k AS ({COST}),{BEST}")
 def _(spark, sf):
     k = table(spark, sf, "customer").groupBy(c("c_nationkey").cast("bigint").alias("frame"), (c("c_custkey") % 4).alias("a"), (F.expr("c_custkey div 4") % 4).alias("b")).agg((F.min(F.abs("c_acctbal")) / 10000.0).alias("cost"))
     return detect.optimal_match(k, ["frame"]).groupBy("frame").agg(F.count("*").alias("n"), r6(F.sum("cost")).alias("total"))
 
 
-@query("d15_greedy_match")
+@query("d18_associate", f"WITH g AS (SELECT CAST(c_nationkey AS BIGINT) AS frame, c_custkey % 4 AS a, (c_custkey // 4) % 4 AS b, min(c_custkey) AS q FROM customer GROUP BY ALL), p AS (SELECT *, CASE WHEN q % 9 <> 0 THEN (q % 50) / 100e0 END AS d, (q % 11) / 10e0 AS i, (q % 13) / 13e0 AS e, q % 3 = 0 AS s FROM g), k AS (SELECT frame, a, b, coalesce(d, 0) + 0.5e0 * (1 - i) + 0.25e0 * e + CASE WHEN s THEN 0 ELSE 0.7e0 END AS cost FROM p WHERE NOT (i < 0.3e0 AND (d IS NULL OR d > 0.2e0))),{BEST}")
+def _(spark, sf):
+    g = table(spark, sf, "customer").groupBy(c("c_nationkey").cast("bigint").alias("frame"), (c("c_custkey") % 4).alias("track"), (F.expr("c_custkey div 4") % 4).alias("det")).agg(F.min("c_custkey").alias("q"))
+    q = c("q")
+    pairs = g.select("frame", "track", "det", F.when(q % 9 != 0, q % 50 / 100.0).alias("dist"), (q % 11 / 10.0).alias("iou"), (q % 13 / 13.0).alias("embedding_distance"), (q % 3 == 0).alias("same_label"))
+    got = detect.associate(pairs, ["frame"], 0.2, 0.3, (1.0, 0.5, 0.25), 0.7)
+    return got.groupBy("frame").agg(F.count("*").alias("n"), r6(F.sum("cost")).alias("total"))
+
+
+@query(
+    "d15_greedy_match",
+    """WITH RECURSIVE e AS (SELECT CAST(c_nationkey AS BIGINT) AS frame, c_custkey % 7 AS det, (c_custkey // 7) % 5 AS track, max(abs(c_acctbal) / 10000e0) AS iou FROM customer GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY iou DESC, det DESC, track DESC) AS i FROM e WHERE iou >= 0.05e0),
+ w AS (SELECT DISTINCT frame, 0::BIGINT AS i, []::BIGINT[] AS dets, []::BIGINT[] AS tracks, NULL::BIGINT AS det, NULL::BIGINT AS track FROM k UNION ALL
+  SELECT frame, i, CASE WHEN ok THEN list_append(dets, d) ELSE dets END, CASE WHEN ok THEN list_append(tracks, t) ELSE tracks END, CASE WHEN ok THEN d END, CASE WHEN ok THEN t END FROM (SELECT w.frame, k.i, w.dets, w.tracks, k.det AS d, k.track AS t, NOT list_contains(w.dets, k.det) AND NOT list_contains(w.tracks, k.track) AS ok FROM w JOIN k ON k.frame = w.frame AND k.i = w.i + 1))
+ SELECT frame, det, track FROM w WHERE det IS NOT NULL""",
+)
 def _(spark, sf):
     e = table(spark, sf, "customer").select(c("c_nationkey").cast("bigint").alias("frame"), (c("c_custkey") % 7).alias("det"), (F.expr("c_custkey div 7") % 5).alias("track"), (F.abs("c_acctbal") / 10000.0).alias("iou"))
     return detect.greedy_match(e.groupBy("frame", "det", "track").agg(F.max("iou").alias("iou")), ["frame"], 0.05)
@@ -565,7 +570,7 @@ def _(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------------
 
-SLOP = 600_000_000  # ten minutes, in microseconds
+SLOP = SLOP_US = 600_000_000  # ten minutes, in microseconds
 
 
 @query(
@@ -587,17 +592,69 @@ def _(spark, sf):
     return streams.as_of(a, b, ["user_id"], "stamp_us", "at", ["value"]).select("event_id", "user_id", r6(c("value")).alias("value"))
 
 
-@query("d03_bundles")
+@query("a03_calibration", f"WITH m AS (SELECT *, arrival * 1000000 + event_id AS t FROM ({MESSAGES})), a AS (SELECT event_id, user_id, t FROM m WHERE event_type = 'click'), b AS (SELECT user_id, t, stamp_us AS info_us FROM m WHERE event_type = 'view') SELECT a.event_id, a.user_id, b.info_us FROM a ASOF JOIN b ON a.user_id = b.user_id AND a.t >= b.t")
+def _(spark, sf):
+    m = bind.messages(spark, sf).withColumn("at", c("arrival") * 1_000_000 + c("event_id"))
+    pairs = m.where("event_type = 'click'").select("event_id", "user_id", "at")
+    infos = m.where("event_type = 'view'").select("user_id", "at", c("stamp_us").alias("info_us"))
+    return sources.latest_calibration(pairs, infos, ["user_id"], "at", ["info_us"], 1e9).select("event_id", "user_id", "info_us")
+
+
+@query(
+    "d03_bundles",
+    f"""WITH RECURSIVE m AS ({MESSAGES}), k AS (SELECT user_id, event_type, stamp_us * 1000 AS s, row_number() OVER (PARTITION BY user_id ORDER BY stamp_us) AS i FROM m WHERE event_type IN ('click', 'view')),
+ w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS c, NULL::BIGINT AS v, 0::BIGINT AS n, NULL::BIGINT AS lo, NULL::BIGINT AS hi FROM k UNION ALL
+  SELECT user_id, i, CASE WHEN hit OR c < v THEN NULL ELSE c END, CASE WHEN hit OR v < c THEN NULL ELSE v END, n + CASE WHEN hit THEN 1 ELSE 0 END, CASE WHEN hit THEN least(c, v) END, CASE WHEN hit THEN greatest(c, v) END
+  FROM (SELECT *, coalesce(abs(c - v) <= {60 * SLOP_US * 1000}, false) AS hit FROM (SELECT w.user_id, k.i, CASE WHEN k.event_type = 'click' THEN k.s ELSE w.c END AS c, CASE WHEN k.event_type = 'view' THEN k.s ELSE w.v END AS v, w.n FROM w JOIN k ON k.user_id = w.user_id AND k.i = w.i + 1)))
+ SELECT user_id AS rig, n, lo AS first_ns, hi AS last_ns FROM w WHERE lo IS NOT NULL""",
+)
 def _(spark, sf):
     m = bind.messages(spark, sf).select(c("user_id").alias("rig"), c("event_type").alias("view"), (c("stamp_us") * 1000).alias("stamp_ns"), c("stamp_us").alias("arrival"))
     return streams.bundles(m, "rig", ["click", "view"], 60 * SLOP * 1000)
 
 
-@query("j01_latest_wins_queue")
+@query(
+    "j01_latest_wins_queue",
+    f"""WITH RECURSIVE m AS ({MESSAGES}), k AS (SELECT user_id, event_id AS id, stamp_us AS t, row_number() OVER (PARTITION BY user_id ORDER BY stamp_us, event_id) AS i FROM m),
+ w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS qt, NULL::BIGINT AS qi, NULL::BIGINT AS free, NULL::BIGINT AS id, NULL::BIGINT AS "at", NULL::VARCHAR AS outcome FROM k UNION ALL
+  SELECT user_id, i, t, new, CASE WHEN served THEN begin_ + {3 * SLOP_US} ELSE free END, qi, CASE WHEN served THEN begin_ WHEN qi IS NOT NULL THEN t END, CASE WHEN served THEN 'processed' WHEN qi IS NOT NULL THEN 'evicted' END
+  FROM (SELECT w.user_id, k.i, k.t, k.id AS new, w.qi, w.free, coalesce(greatest(w.free, w.qt), w.qt) AS begin_, w.qi IS NOT NULL AND (w.free IS NULL OR w.free <= k.t) AS served FROM w JOIN k ON k.user_id = w.user_id AND k.i = w.i + 1))
+ SELECT user_id, id, "at", outcome FROM w WHERE id IS NOT NULL UNION ALL SELECT user_id, qi, coalesce(greatest(free, qt), qt), 'processed' FROM (SELECT *, max(i) OVER (PARTITION BY user_id) AS z FROM w) WHERE i = z""",
+)
 def _(spark, sf):
     return streams.queue_outcomes(bind.messages(spark, sf).select("user_id", c("event_id").alias("id"), c("stamp_us").alias("t")), "user_id", 3 * SLOP)
 
 
+FRAMES_OF_USERS = f"m AS ({MESSAGES}), k AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame FROM m)"
+
+
+def _frames_of_users(spark, sf):
+    return bind.messages(spark, sf).withColumn("frame", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+
+
+@query(
+    "j05_j06_refreshes",
+    f"""WITH RECURSIVE {FRAMES_OF_USERS}, x AS (SELECT user_id, frame, CASE WHEN event_type <> 'error' THEN value / 500e0 END AS presence, 3 + event_id % 4 AS service FROM k),
+ w AS (SELECT DISTINCT user_id, -1::BIGINT AS frame, NULL::BIGINT AS last, NULL::BIGINT AS job, NULL::BIGINT AS ready, NULL::BIGINT AS result_of, NULL::VARCHAR AS reason, false AS accepted FROM k UNION ALL
+  SELECT user_id, frame, CASE WHEN taken THEN frame ELSE last END, CASE WHEN taken THEN frame ELSE job END, CASE WHEN taken THEN frame + service WHEN job IS NOT NULL THEN ready END, got, reason, taken
+  FROM (SELECT *, reason IS NOT NULL AND job IS NULL AS taken FROM (SELECT *, CASE WHEN last IS NULL OR frame - last >= 3 THEN CASE WHEN presence IS NULL OR presence < 0.02e0 THEN 'tracking_anomaly' WHEN last IS NULL OR frame - last >= 10 THEN 'periodic' END END AS reason
+   FROM (SELECT w.user_id, x.frame, x.presence, x.service, w.last, w.ready, CASE WHEN x.frame >= w.ready THEN w.job END AS got, CASE WHEN w.ready IS NULL OR x.frame < w.ready THEN w.job END AS job FROM w JOIN x ON x.user_id = w.user_id AND x.frame = w.frame + 1))))
+ SELECT user_id, frame, result_of, reason, accepted FROM w WHERE frame >= 0""",
+)
+def _(spark, sf):
+    f = _frames_of_users(spark, sf).select("user_id", "frame", F.when(c("event_type") != "error", c("value") / 500.0).alias("presence"), (c("event_id") % 4 + 3).alias("service"))
+    return streams.refreshes(f, "user_id", 10, 3, 0.02)
+
+
+@query("j08_history_ring", f"WITH {FRAMES_OF_USERS}, q AS (SELECT user_id, event_id AS arrival_frame, lag(event_id, CAST(1 + event_id % 6 AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS ref_frame FROM k), p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM k WHERE event_type <> 'error') SELECT q.user_id, ref_frame, arrival_frame, coalesce(a.n - r.n BETWEEN 0 AND 3, false) AS available FROM q LEFT JOIN p a ON a.user_id = q.user_id AND a.event_id = arrival_frame LEFT JOIN p r ON r.user_id = q.user_id AND r.event_id = ref_frame WHERE ref_frame IS NOT NULL")
+def _(spark, sf):
+    m = bind.messages(spark, sf)
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    back = F.coalesce(*[F.when(c("event_id") % 6 == k - 1, F.lag("event_id", k).over(w)) for k in range(1, 7)])
+    asked = m.select("user_id", back.alias("ref_frame"), c("event_id").alias("arrival_frame")).where("ref_frame is not null")
+    return streams.history_ring(m.where("event_type <> 'error'").select("user_id", c("event_id").alias("frame")), asked, "user_id", 4, 1000)
+
+
 CORR = f"WITH m AS ({MESSAGES}) SELECT event_id AS ref_frame, event_id + CAST(floor(abs(value)) AS BIGINT) % 60 AS arrival_frame FROM m WHERE event_type = 'error'"
 
 
@@ -612,25 +669,57 @@ GAPS = f"WITH m AS ({MESSAGES}), l AS (SELECT *, lag(stamp_us) OVER (PARTITION B
 
 @query("f08_gaps", f"{GAPS} SELECT event_id, user_id, gap, back AS non_monotonic FROM g")
 def _(spark, sf):
-    return streams.gaps(bind.messages(spark, sf), ["user_id"], "stamp_us", ["arrival", "event_id"]).select("event_id", "user_id", "gap", "non_monotonic")
+    return streams.gaps(bind.messages(spark, sf), ["user_id"], "stamp_us", ["arrival", "event_id"], 1000).select("event_id", "user_id", "gap", "non_monotonic")
 
 
 @query("e15_stream_rates", f"{GAPS} SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 2 AND max(stamp_us) > min(stamp_us) THEN round((count(*) - 1) * 3.6e9 / (max(stamp_us) - min(stamp_us)), 6) END AS rate, round(avg(gap) / 1e6, 3) AS gap_mean, round(median(gap) / 1e6, 3) AS gap_median, round(quantile_cont(gap, 0.95) / 1e6, 3) AS gap_p95, max(gap) AS gap_max, count(*) FILTER (back) AS n_non_monotonic FROM g GROUP BY user_id")
 def _(spark, sf):
-    g = streams.gaps(bind.messages(spark, sf), ["user_id"], "stamp_us", ["arrival", "event_id"])
+    g = streams.gaps(bind.messages(spark, sf), ["user_id"], "stamp_us", ["arrival", "event_id"], 1000)
     return streams.rates(g, ["user_id"], "stamp_us", 3.6e9, 6).withColumns({k: F.round(c(k) / 1e6, 3) for k in ("gap_mean", "gap_median", "gap_p95")})
 
 
+REPORT = 432_000_000_000  # five days, in microseconds
+
+
+def _four(value: str, name: str) -> str:
+    return f"round(avg({value}), 6) AS {name}_mean, round(median({value}), 6) AS {name}_median, round(quantile_cont({value}, 0.95), 6) AS {name}_p95, round(max({value}), 6) AS {name}_max"
+
+
+@query(
+    "e15_rate_report",
+    f"""WITH m AS (SELECT *, stamp_us + arrival * 1000000 AS wall_us FROM ({MESSAGES})), p AS (SELECT *, (wall_us // {REPORT}) * {REPORT} AS win, lag(stamp_us) OVER (PARTITION BY event_type ORDER BY wall_us, event_id) AS before FROM m),
+ g AS (SELECT *, (wall_us - lag(wall_us) OVER w) / 1000e0 AS wg, (stamp_us - lag(stamp_us) OVER w) / 1000e0 AS sg, coalesce(stamp_us <= before, false) AS back FROM p WINDOW w AS (PARTITION BY event_type, win ORDER BY wall_us, event_id)),
+ h AS (SELECT *, CASE WHEN wg > 0 THEN wg END AS wp, CASE WHEN sg > 0 THEN sg END AS sp FROM g), r AS (SELECT event_type, win, count(*) AS n, first(stamp_us ORDER BY wall_us, event_id) AS a, last(stamp_us ORDER BY wall_us, event_id) AS z, {_four('wp', 'wall_gap')}, {_four('sp', 'stamp_gap')}, count(*) FILTER (back) AS n_non_monotonic FROM h GROUP BY ALL)
+ SELECT * EXCLUDE (win, a, z), win AS "window", round(n * (1e6 / {REPORT}e0), 6) AS wall_rate, CASE WHEN n >= 2 AND z > a THEN round((n - 1) * 1e6 / (z - a), 6) END AS stamp_rate FROM r""",
+)
+def _(spark, sf):
+    m = bind.messages(spark, sf).withColumn("wall_us", c("stamp_us") + c("arrival") * 1_000_000)
+    return streams.rate_report(m, ["event_type"], "wall_us", "stamp_us", ["wall_us", "event_id"], REPORT, 1e6)
+
+
+@query(
+    "e15_sync_report",
+    f"""WITH m AS (SELECT *, (stamp_us // {REPORT}) * {REPORT} AS win FROM ({MESSAGES})), t AS (SELECT win, stamp_us AS a, stamp_us + event_id % 7 * 1000 - 3000 AS b, stamp_us - event_id % 11 * 2000 AS c, event_id FROM m WHERE event_type = 'click'), s AS (SELECT *, abs(a - b) / 1000e0 AS ab, abs(a - c) / 1000e0 AS ac, abs(b - c) / 1000e0 AS bc, (greatest(a, b, c) - least(a, b, c)) / 1000e0 AS abc FROM t),
+ r AS (SELECT win, count(*) FILTER (event_type IN ('click', 'view')) AS colour, count(*) FILTER (event_type IN ('click', 'error')) AS depth FROM m GROUP BY win), d AS (SELECT win, count(*) AS dropped FROM t WHERE event_id % 13 = 0 GROUP BY win), o AS (SELECT win, count(*) AS n, {_four('ab', 'colour_depth')}, {_four('ac', 'colour_info')}, {_four('bc', 'depth_info')}, {_four('abc', 'tuple_span')} FROM s GROUP BY win)
+ SELECT o.* EXCLUDE (win), o.win AS "window", round(100e0 * n / colour, 6) AS sync_colour_pct, round(100e0 * n / depth, 6) AS sync_depth_pct, round(100e0 * coalesce(dropped, 0) / n, 6) AS drop_pct FROM o JOIN r ON r.win = o.win LEFT JOIN d ON d.win = o.win""",
+)
+def _(spark, sf):
+    m = bind.messages(spark, sf).withColumn("window", F.floor(c("stamp_us") / REPORT) * REPORT)
+    t = m.where("event_type = 'click'").select("window", "event_id", c("stamp_us").alias("colour"), (c("stamp_us") + c("event_id") % 7 * 1000 - 3000).alias("depth"), (c("stamp_us") - c("event_id") % 11 * 2000).alias("info"))
+    raw = m.groupBy("window").agg(F.count_if(c("event_type").isin("click", "view")).alias("colour"), F.count_if(c("event_type").isin("click", "error")).alias("depth"))
+    return streams.sync_report(t, raw, t.where("event_id % 13 = 0").groupBy("window").agg(F.count("*").alias("dropped")), ["window"], 1e6)
+
+
 @query("f10_missing_runs", f"WITH m AS ({MESSAGES}), s AS (SELECT user_id, event_id, event_type = 'error' AS lost FROM m), g AS (SELECT *, sum(CASE WHEN lost THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM s) SELECT user_id, event_id, CAST(sum(CASE WHEN lost THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY event_id) AS BIGINT) AS missing_frames, sum(CASE WHEN lost THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY event_id) >= 2 AS released FROM g")
 def _(spark, sf):
     s = bind.messages(spark, sf).withColumn("status", F.when(c("event_type") == "error", "lost").otherwise("visible"))
-    return streams.missing_runs(s, ["user_id"], "event_id", 2).select("user_id", "event_id", "missing_frames", "released")
+    return streams.missing_runs(s, ["user_id"], "event_id", 2, 500).select("user_id", "event_id", "missing_frames", "released")
 
 
 @query("f12_running_totals", f"WITH m AS ({MESSAGES}) SELECT event_id, CAST(sum(event_id % 10) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM m")
 def _(spark, sf):
     m = bind.messages(spark, sf).withColumn("v", c("event_id") % 10)
-    return streams.running_totals(m, ["user_id"], ["event_id"], "v").select("event_id", "total")
+    return streams.running_totals(m, ["user_id"], ["event_id"], "v", 500).select("event_id", "total")
 
 
 @query("f13_report_windows", "SELECT event_type, CAST(epoch_us(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS start_us, count(*) AS n FROM events GROUP BY ALL")
@@ -651,31 +740,37 @@ def _(spark, sf):
     return _sums(spark, sf).withColumn("value_ms", F.round("value_ms", 5))
 
 
-@query("e14_f11_stage_summary", f"WITH t AS (SELECT frame, stage, round(value_ms, 6) AS value_ms FROM ({TIMES})), k AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY frame) AS k FROM t) SELECT stage, count(*) AS n, round(avg(value_ms), 4) AS mean, round(median(value_ms), 4) AS median, round(quantile_cont(value_ms, 0.95), 4) AS p95, round(max(value_ms), 4) AS max, arg_max(frame, (value_ms, -frame)) AS max_frame FROM k WHERE k > 30 GROUP BY stage")
+@query("e14_f11_stage_summary", f"WITH t AS (SELECT frame, stage, round(value_ms, 6) AS value_ms FROM ({TIMES})), f AS (SELECT DISTINCT frame FROM t ORDER BY frame LIMIT 30) SELECT stage, count(*) AS n, round(avg(value_ms), 4) AS mean, round(median(value_ms), 4) AS median, round(quantile_cont(value_ms, 0.95), 4) AS p95, round(max(value_ms), 4) AS max, arg_max(frame, (value_ms, -frame)) AS max_frame FROM t WHERE frame NOT IN (SELECT frame FROM f) GROUP BY stage")
 def _(spark, sf):
     return profile.summary(profile.after_warmup(_sums(spark, sf).withColumn("value_ms", r6(c("value_ms"))), 30), 4)
 
 
-@query("j03_slot_life")
+@query(
+    "j03_slot_life",
+    f"""WITH RECURSIVE {FRAMES_OF_USERS}, w AS (SELECT DISTINCT user_id, -1::BIGINT AS frame, NULL::VARCHAR AS status, 0::BIGINT AS missing, true AS active FROM k UNION ALL
+  SELECT user_id, frame, CASE WHEN NOT on_ THEN NULL WHEN seen THEN 'visible' ELSE 'lost' END, CASE WHEN NOT on_ THEN missing WHEN seen THEN 0 ELSE missing + 1 END, on_ AND (seen OR missing + 1 < 2)
+  FROM (SELECT w.user_id, k.frame, k.event_type <> 'error' AS seen, w.active OR k.event_type = 'click' AS on_, CASE WHEN NOT w.active AND k.event_type = 'click' THEN 0 ELSE w.missing END AS missing FROM w JOIN k ON k.user_id = w.user_id AND k.frame = w.frame + 1))
+ SELECT user_id, frame, status, missing AS missing_frames, active FROM w WHERE frame >= 0""",
+)
 def _(spark, sf):
-    m = bind.messages(spark, sf).select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("frame"), (c("event_type") != "error").alias("visible"), (c("event_type") == "click").alias("corrected"))
+    m = _frames_of_users(spark, sf).select("user_id", "frame", (c("event_type") != "error").alias("visible"), (c("event_type") == "click").alias("corrected"))
     return streams.slot_lives(m, "user_id", 2)
 
 
-@query("h01_h02_h05_sets", "SELECT 'shared' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer WHERE c_custkey % 2 = 0 INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'unmatched', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT ALL SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) UNION ALL SELECT 'all', count(*) FROM (SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)")
+@query("i_map_merge", "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS a, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 ELSE c_custkey % 3 END AS b, CASE WHEN c_custkey % 4 <> 0 THEN 7 END::BIGINT AS c FROM customer")
 def _(spark, sf):
-    return _sets(spark, sf, "c_custkey % 2 = 0", "s_suppkey % 3 = 0")
+    k = c("c_custkey")
+    first = F.create_map(F.lit("a"), c("c_nationkey").cast("bigint"), F.lit("b"), k % 3)
+    second = F.when(k % 4 != 0, F.create_map(F.lit("b"), k % 5, F.lit("c"), F.lit(7).cast("bigint")))
+    m = table(spark, sf, "customer").select("c_custkey", S.merge_maps(first, second).alias("m"))
+    return m.select("c_custkey", *[F.try_element_at("m", F.lit(x)).alias(x) for x in "abc"])
 
 
-@query("h01_h02_h05_sets_whole", "SELECT 'shared' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'unmatched', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'all', count(*) FROM (SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)")
+@query("h01_h02_h05_sets", "SELECT 'shared' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'unmatched', count(*) FROM (SELECT n_nationkey FROM nation EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'all', count(*) FROM (SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)")
 def _(spark, sf):
-    return _sets(spark, sf)
-
-
-def _sets(spark, sf, customers="true", suppliers="true"):
     cu, su, na = (table(spark, sf, t) for t in ("customer", "supplier", "nation"))
-    shared = cu.where(customers).select("c_nationkey").intersect(su.select("s_nationkey"))
-    unmatched = na.select("n_nationkey").exceptAll(su.where(suppliers).select("s_nationkey"))
+    shared = cu.select("c_nationkey").intersect(su.select("s_nationkey"))
+    unmatched = na.select("n_nationkey").exceptAll(su.select("s_nationkey"))
     both = su.select("s_nationkey").union(na.select("n_nationkey"))
     count = lambda df, op: df.agg(F.lit(op).alias("op"), F.count("*").alias("n"))
     return count(shared, "shared").unionByName(count(unmatched, "unmatched")).unionByName(count(both, "all"))
@@ -694,7 +789,7 @@ def flagship(spark, sf):
 @query("a05_make_frames", "SELECT event_type AS camera, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS INT) AS frame_index FROM events")
 def _(spark, sf):
     e = table(spark, sf, "events").select(c("event_type").alias("camera"), "event_id", c("ts").alias("ts_ns"))
-    return sources.make_frames(e, e.select("camera").distinct().count()).select("camera", "event_id", "frame_index")
+    return sources.make_frames(e, 5).select("camera", "event_id", "frame_index")
 
 
 @query("a10_timing_rows", f"WITH t AS ({TIMES}) SELECT frame, round(sum(value_ms) FILTER (stage = 'view'), 5) AS view, round(sum(value_ms) FILTER (stage = 'click'), 5) AS click, round(sum(value_ms) FILTER (stage = 'error'), 5) AS error FROM t WHERE stage IN ('view', 'click', 'error') GROUP BY frame")
@@ -709,19 +804,10 @@ def _(spark, sf):
     return sources.fused_cloud(p, ["label"]).groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("z"), 4).alias("most"), F.max("rgb").alias("rgb"))
 
 
-@query("a13_markers", f"WITH s AS ({SLOTS}), i AS (SELECT s_suppkey AS track_id, s_acctbal / 1000e0 AS cz, s_nationkey AS g FROM supplier WHERE s_suppkey IN (1, 2, 5)) SELECT s.track_id, CASE WHEN cz IS NOT NULL THEN 'ADD' ELSE 'DELETE' END AS action, CASE WHEN cz IS NOT NULL THEN s.label || ' [slot ' || class_slot || '] G' || g END AS text, round(cz + 0.12e0, 6) AS text_z, CASE WHEN cz IS NOT NULL THEN 0.001e0 ELSE 0.001e0 END AS size_x FROM s LEFT JOIN i ON i.track_id = s.track_id")
-def _(spark, sf):
-    return _markers(spark, sf, "s_suppkey in (1, 2, 5)")
-
-
-@query("a13_markers_whole", f"WITH s AS ({SLOTS}), i AS (SELECT s_suppkey AS track_id, s_acctbal / 1000e0 AS cz, s_nationkey AS g FROM supplier) SELECT s.track_id, CASE WHEN cz IS NOT NULL THEN 'ADD' ELSE 'DELETE' END AS action, CASE WHEN cz IS NOT NULL THEN s.label || ' [slot ' || class_slot || '] G' || g END AS text, round(cz + 0.12e0, 6) AS text_z, CASE WHEN cz IS NOT NULL THEN 0.001e0 ELSE 0.001e0 END AS size_x FROM s LEFT JOIN i ON i.track_id = s.track_id")
+@query("a13_markers", f"WITH s AS ({SLOTS}), i AS (SELECT s_suppkey AS track_id, s_acctbal / 1000e0 AS cz, s_nationkey AS g FROM supplier) SELECT s.track_id, CASE WHEN cz IS NOT NULL THEN 'ADD' ELSE 'DELETE' END AS action, CASE WHEN cz IS NOT NULL THEN s.label || ' [slot ' || class_slot || '] G' || g END AS text, round(cz + 0.12e0, 6) AS text_z, CASE WHEN cz IS NOT NULL THEN 0.001e0 ELSE 0.001e0 END AS size_x FROM s LEFT JOIN i ON i.track_id = s.track_id")
 def _(spark, sf):
-    return _markers(spark, sf)
-
-
-def _markers(spark, sf, suppliers="true"):
     z = c("s_acctbal") / 1000.0
-    i = table(spark, sf, "supplier").where(suppliers).select(c("s_suppkey").cast("int").alias("track_id"), z.alias("cx"), z.alias("cz"), c("s_nationkey").alias("global_id"), F.lit(None).cast("int").alias("group_id"), *[F.lit(0.0).alias(f"{k}{a}") for k in ("lo", "hi") for a in "xyz"])
+    i = table(spark, sf, "supplier").select(c("s_suppkey").cast("int").alias("track_id"), z.alias("cx"), z.alias("cz"), c("s_nationkey").alias("global_id"), F.lit(None).cast("int").alias("group_id"), *[F.lit(0.0).alias(f"{k}{a}") for k in ("lo", "hi") for a in "xyz"])
     return sources.markers(detect.slot_layout(spark, PROMPTS), i, ["track_id"]).select("track_id", "action", "text", r6(c("text_z")).alias("text_z"), "size_x")
 
 
@@ -763,5 +849,6 @@ def _(spark, sf):
 
 @query("e20_group_numbers", f"{FUSED} SELECT frame, obs, group_id FROM gr")
 def _(spark, sf):
-    g = _groups(spark, sf).withColumnRenamed("group_id", "root")
+    # Roots whose order is not that of the groups' first observations.
+    g = _groups(cut(_observed(spark, sf))).select("frame", "obs", (100 - c("group_id")).alias("root"))
     return crossview.number_groups(g, ["frame"]).select("frame", "obs", c("group_id").cast("bigint").alias("group_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import crossframe, crossview, geometry, masks, voxel
 from ..sources.frames import config
+from .store import cut
 
 FRAME = ["rig", "frame"]
 
@@ -60,14 +61,14 @@ class Engine:
     def identities(self, frames: DataFrame, groups: DataFrame, fused: DataFrame) -> DataFrame:
         """D-12, D-13, C-9, D-14, J-4: (rig, frame, group_id, global_id)."""
         inst = crossview.fused_instances(fused, FRAME).join(groups.groupBy(*FRAME, "group_id").agg(F.min("label").alias("label")), [*FRAME, "group_id"])
-        near = crossframe.candidates(inst, ["rig"], gate=self.set["gate"])
+        near = crossframe.candidates(inst, ["rig"], gate=self.set["gate"], frames=frames)
         pts = fused.select(*FRAME, "group_id", F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"))
-        cost = crossframe.cap_chamfer(crossframe.chamfer(near, pts.withColumn("frame", F.col("frame") + 1), pts, FRAME), self.set.get("max_chamfer"))
+        cost = crossframe.cap_chamfer(crossframe.chamfer(near, pts, ["rig"]), self.set.get("max_chamfer"))
         return crossframe.global_ids(frames, inst.select(*FRAME, "group_id", "label"), cost.withColumnRenamed("chamfer", "cost"), ["rig"])
 
     def run(self, logits: DataFrame, depth: DataFrame, views: DataFrame, width: int, height: int, stride: int = 1) -> DataFrame:
-        """A-17: fused instances of every frame, with their lasting ids."""
-        v = self.voxels(self.clean_masks(logits, width, height), depth, views, stride)
-        groups, fused = self.fuse(v)
+        """A-17: fused instances of every frame, with their lasting ids.  Voxels, groups and fused points are written once and read by all later steps."""
+        v = cut(self.voxels(self.clean_masks(logits, width, height), depth, views, stride))
+        groups, fused = (cut(x) for x in self.fuse(v))
         ids = self.identities(logits.select(*FRAME).distinct(), groups, fused)
         return crossview.fused_instances(fused, FRAME).join(ids, [*FRAME, "group_id"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,15 +22,53 @@ def config(values: dict | None = None, mode: str | None = None) -> dict:
     return out
 
 
+def load_config(path: str, mode: str | None = None) -> dict:
+    """A-9: settings from a YAML or JSON file (JSON is YAML too), with defaults; the execution mode may be given apart."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:  # YAML files need PyYAML, JSON files do not
+        values = json.loads(text) if text.strip() else {}
+    else:
+        values = yaml.safe_load(text) or {}
+    if not isinstance(values, dict):
+        raise ValueError(f"{path}: settings are not a mapping")
+    return config(values, mode.strip().lower() if mode else None)
+
+
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     """A-18."""
-    p = argparse.ArgumentParser()
-    p.add_argument("--config")
+    p = argparse.ArgumentParser(prog="rigvane", description="Fused instances with lasting ids from mask logits, depth and views; or the rates of message streams.")
+    p.add_argument("--config", help="YAML or JSON file with settings")
     p.add_argument("--execution-mode", choices=MODES)
-    p.add_argument("--camera-only", action="store_true")
+    p.add_argument("--camera-only", action="store_true", help="only the rate report of the message table")
+    for table in ("logits", "depth", "views", "messages", "out"):
+        p.add_argument(f"--{table}", help=f"Parquet path of table {table}")
+    p.add_argument("--width", type=int, default=640)
+    p.add_argument("--height", type=int, default=480)
+    p.add_argument("--window-seconds", type=float, default=10.0, help="report window of --camera-only")
     return p.parse_args(argv)
 
 
+#: A-6: tables of a detector outside the engine.
+DETECTIONS = "rig string, camera string, frame long, ord long, detection_id long, label string, score double"
+CORRECTIONS = "rig string, ref_frame long, arrival_frame long, wall_ms double"
+
+
+def external_detections(spark: SparkSession, path: str, labels: list[str], stream: bool = False) -> DataFrame:
+    """A-6: detections of another detector, as they seed slots and correct them: known labels and finite scores only."""
+    rows = messages(spark, path, DETECTIONS, stream)
+    return rows.where(F.col("label").isin(labels) & F.col("score").isNotNull() & ~F.isnan("score"))
+
+
+def external_corrections(spark: SparkSession, path: str, history: int, stream: bool = False) -> DataFrame:
+    """A-6: correction payloads, with the reason why one is dropped."""
+    from ..operators.streams import admit_corrections
+
+    return admit_corrections(messages(spark, path, CORRECTIONS, stream), history)
+
+
 def messages(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
     """A-1, A-2, A-3: a message table or, as files arrive, a stream of it."""
     return (spark.readStream if stream else spark.read).schema(schema).parquet(path)
@@ -48,6 +87,13 @@ def make_frames(inputs: DataFrame, views: int, camera: str = "camera", ts: str =
     return inputs.withColumn("frame_index", F.row_number().over(Window.partitionBy(camera).orderBy(ts)) - 1)
 
 
+def latest_calibration(pairs: DataFrame, infos: DataFrame, keys: list[str], arrival: str, cols: list[str], width: float) -> DataFrame:
+    """A-3, D-2: each pair with the calibration that arrived last before it, whatever the stamps; a pair before the first one is unusable."""
+    from ..operators.streams import as_of
+
+    return as_of(pairs, infos.withColumnRenamed(arrival, "__at"), keys, arrival, "__at", cols, how="inner", width=width)
+
+
 def cloud(points: DataFrame, keys: list[str]) -> DataFrame:
     """A-11: x, y, z (world if the pose is known, else camera) and packed colour."""
     at = lambda w, p: F.coalesce(F.col(w), F.col(p)).cast("float")

@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.crossframe import inherit_ids
-from ..operators.streams import slot_life
+from ..operators.crossframe import Memory
+from ..operators.streams import Refresh, SlotLife, _number, bundle
+
+
+def _ordered(batches: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    """A key's new rows of this micro-batch, in order."""
+    return pd.concat(batches).sort_values(by)
 
 
 def bundles(messages: DataFrame, views: list[str], slop_ns: int) -> DataFrame:
@@ -21,48 +26,26 @@ def bundles(messages: DataFrame, views: list[str], slop_ns: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, n = json.loads(state.get[0]) if state.exists else [{}, 0]
-        rows = []
-        for _, view, stamp in pd.concat(batches).sort_values("arrival")[["arrival", "view", "stamp_ns"]].itertuples(index=False):
-            held[view] = int(stamp)
-            while len(held) == len(views):
-                low, high = min(held.values()), max(held.values())
-                if high - low <= slop_ns:
-                    n += 1
-                    rows.append((key[0], n, low, high))
-                    held = {}
-                else:
-                    held = {v: s for v, s in held.items() if s != low}
-        state.update((json.dumps([held, n]),))
-        yield pd.DataFrame(rows, columns=["rig", "n", "first_ns", "last_ns"])
+        p = _ordered(batches, "arrival")
+        got, held = bundle([(a, v, int(t)) for a, v, t in zip(p["arrival"], p["view"], p["stamp_ns"])], views, slop_ns, held)
+        state.update((json.dumps([held, n + len(got)]),))
+        yield pd.DataFrame([(key[0], n + k, min(b.values()), max(b.values())) for k, b in enumerate(got, 1)], columns=["rig", "n", "first_ns", "last_ns"])
 
     kept = messages.where(F.col("view").isin(views)).groupBy("rig")
     return kept.applyInPandasWithState(step, "rig string, n long, first_ns long, last_ns long", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def global_ids(frames: DataFrame) -> DataFrame:
-    """J-4, F-9: (rig, frame, group_id, global_id).  frames has a row for each frame: groups as a JSON list of [group_id, label] and
+    """J-4, F-9: (rig, frame, group_id, global_id).  frames has a row for each processed frame: groups as a JSON list of [group_id, label] and
     costs as a JSON list of [a, b, cost].  State: the frame before and the next id."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, fresh = json.loads(state.get[0]) if state.exists else [[], 1]
+        known, fresh = json.loads(state.get[0]) if state.exists else [[], 1]
+        memory = Memory({g: (i, label) for g, i, label in known}, fresh)
         rows = []
-        for frame, groups, costs in pd.concat(batches).sort_values("frame")[["frame", "groups", "costs"]].itertuples(index=False):
-            now = [tuple(g) for g in json.loads(groups)]
-            pair = {(a, b): c for a, b, c in json.loads(costs)}
-            got = inherit_ids([0, 1], {0: [(g, label) for g, label, _ in before], 1: now}, {1: pair})
-            # Ids of the two-frame step are turned into this rig's: inherited ones keep theirs, others are new.
-            first = {i: g for f, g, i in got if f == 0}
-            own = {g: i for g, _, i in before}
-            ids = {}
-            for f, g, i in got:
-                if f == 1:
-                    if i in first:
-                        ids[g] = own[first[i]]
-                    else:
-                        ids[g], fresh = fresh, fresh + 1
-            rows += [(key[0], frame, g, i) for g, i in ids.items()]
-            before = [(g, label, ids[g]) for g, label in now]
-        state.update((json.dumps([before, fresh]),))
+        for frame, groups, costs in _ordered(batches, "frame")[["frame", "groups", "costs"]].itertuples(index=False):
+            rows += [(key[0], frame, g, i) for g, i in memory.frame([tuple(g) for g in json.loads(groups)], {(a, b): c for a, b, c in json.loads(costs)})]
+        state.update((json.dumps([[(g, i, label) for g, (i, label) in memory.before.items()], memory.fresh]),))
         yield pd.DataFrame(rows, columns=["rig", "frame", "group_id", "global_id"])
 
     return frames.groupBy("rig").applyInPandasWithState(step, "rig string, frame long, group_id long, global_id long", "memory string", "append", GroupStateTimeout.NoTimeout)
@@ -72,15 +55,48 @@ def slot_lives(states: DataFrame, release_after: int) -> DataFrame:
     """J-3: (slot, frame, status, missing_frames, active); states (slot, frame, visible, corrected).  State: active and the missing count."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, missing = state.get if state.exists else (True, 0)
-        p = pd.concat(batches).sort_values("frame")
-        got = slot_life(list(p["visible"]), bool(active), release_after, {i: bool(c) for i, c in enumerate(p["corrected"])}, missing)
-        state.update((got[-1][3], got[-1][2]))
-        yield pd.DataFrame({"slot": key[0], "frame": p["frame"].to_numpy(), "status": [s for _, s, _, _ in got], "missing_frames": [m for _, _, m, _ in got], "active": [a for *_, a in got]})
+        slot = SlotLife(release_after, *(state.get if state.exists else (True, 0)))
+        p = _ordered(batches, "frame")
+        got = [slot.frame(bool(v), bool(c)) for v, c in zip(p["visible"], p["corrected"])]
+        state.update((slot.active, slot.missing))
+        yield pd.DataFrame({"slot": key[0], "frame": p["frame"].to_numpy(), "status": [s for s, _, _ in got], "missing_frames": [m for _, m, _ in got], "active": [a for *_, a in got]})
 
     return states.groupBy("slot").applyInPandasWithState(step, "slot string, frame long, status string, missing_frames long, active boolean", "active boolean, missing int", "append", GroupStateTimeout.NoTimeout)
 
 
+def refreshes(frames: DataFrame, every: int, min_gap: int, least: float | None) -> DataFrame:
+    """J-5, J-6: (rig, frame, result_of, reason, accepted); frames (rig, frame, presence, service).  State: the last accepted frame and the job."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clock = Refresh(every, min_gap, least, tuple(json.loads(state.get[0])) if state.exists else None)
+        p = _ordered(batches, "frame")
+        got = [clock.frame(int(f), _number(x), int(s)) for f, x, s in zip(p["frame"], p["presence"], p["service"])]
+        state.update((json.dumps(clock.state),))
+        yield pd.DataFrame({"rig": key[0], "frame": p["frame"].to_numpy(), "result_of": pd.array([a for a, _, _ in got], "Int64"), "reason": [b for _, b, _ in got], "accepted": [c for _, _, c in got]})
+
+    return frames.groupBy("rig").applyInPandasWithState(step, "rig string, frame long, result_of long, reason string, accepted boolean", "clock string", "append", GroupStateTimeout.NoTimeout)
+
+
+def history_ring(events: DataFrame, history: int) -> DataFrame:
+    """J-8: (rig, frame, ref_frame, available) of each request; events (rig, frame, ref_frame: null for a processed frame, else a request that is
+    looked up after that frame).  State: the numbers of the last max(2, history) processed frames."""
+    size = max(2, history)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring = list(json.loads(state.get[0])) if state.exists else []
+        out = []
+        # A processed frame comes before the requests that arrive with it.
+        for frame, ref in pd.concat(batches).sort_values(["frame", "ref_frame"], na_position="first")[["frame", "ref_frame"]].itertuples(index=False):
+            if ref != ref or ref is None:
+                ring = [*ring, int(frame)][-size:]
+            else:
+                out.append((key[0], int(frame), int(ref), int(ref) in ring))
+        state.update((json.dumps(ring),))
+        yield pd.DataFrame(out, columns=["rig", "frame", "ref_frame", "available"])
+
+    return events.groupBy("rig").applyInPandasWithState(step, "rig string, frame long, ref_frame long, available boolean", "ring string", "append", GroupStateTimeout.NoTimeout)
+
+
 def corrections(stream: DataFrame, history: int) -> DataFrame:
     """D-19, J-7, J-8 on a stream: stateless, the reason is in the row."""
     from ..operators.streams import admit_corrections

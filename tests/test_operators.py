@@ -8,7 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rigvane.operators import assign, crossframe, detect, geometry, masks, streams, voxel
+import rigvane
+from rigvane import __main__ as cli
+from rigvane import tracker
+from rigvane.operators import assign, crossframe, crossview, detect, geometry, masks, profile, streams, voxel
+from rigvane.sources import frames
 
 
 def test_optimal_assignment_equals_brute_force():
@@ -106,12 +110,17 @@ def test_chamfer_and_ids():
 
 
 def test_bundles_queue_and_slots():
-    assert streams.bundle([(0, "a", 10), (1, "b", 11), (2, "a", 20), (3, "b", 90), (4, "a", 91)], ["a", "b"], 2) == [{"a": 10, "b": 11}, {"b": 90, "a": 91}]
+    assert streams.bundle([(0, "a", 10), (1, "b", 11), (2, "a", 20), (3, "b", 90), (4, "a", 91)], ["a", "b"], 2) == ([{"a": 10, "b": 11}, {"b": 90, "a": 91}], {})
     out = streams.latest_wins([(0, 1), (1, 2), (2, 3), (3, 4)], 10)
     assert {i: o for _, i, o in out} == {1: "processed", 2: "evicted", 3: "evicted", 4: "processed"}
     assert streams.slot_life([True, False, False, True], True, 2, {}) == [(0, "visible", 0, True), (1, "lost", 1, True), (2, "lost", 2, False), (3, None, 2, False)]
     assert streams.slot_life([False, False, True], True, 2, {2: True})[-1] == (2, "visible", 0, True)
-    assert streams.refresh_due([(0, 1.0, True), (1, 0.1, True), (5, 0.1, False), (6, 0.9, True), (10, 0.9, True)], 10, 3, 0.5) == [0, 5, 10]
+    clock = streams.Refresh(10, 3, 0.5)
+    got = [(f, *clock.frame(f, p, 4)) for f, p in [(0, 1.0), (1, 0.1), (3, 0.1), (4, 0.9), (6, None), (9, 0.1), (10, 0.9), (20, 0.9)]]
+    assert got == [
+        (0, None, "periodic", True), (1, None, None, False), (3, None, "tracking_anomaly", False), (4, 0, None, False), (6, None, "tracking_anomaly", True),
+        (9, None, "tracking_anomaly", False), (10, 6, None, False), (20, None, "periodic", True),
+    ]
 
 
 def test_corrections_reasons(spark):
@@ -125,3 +134,115 @@ def test_even_cap_equals_linspace(spark):
         df = spark.range(n).select(F.lit(0).alias("k"), "id")
         got = sorted(r["id"] for r in geometry.even_cap(df, ["k"], ["id"], most).collect())
         assert got == sorted(set(int(v) for v in np.linspace(0, n - 1, most).astype(int))) if n > most else list(range(n))
+
+
+def test_warmup_is_of_frames_not_of_stages(spark):
+    """A stage that starts late keeps all its frames."""
+    rows = [(f, "track", 1.0) for f in range(10)] + [(f, "refine", 2.0) for f in range(6, 10)]
+    sums = spark.createDataFrame(rows, "frame long, stage string, value_ms double")
+    got = {r["stage"]: r["n"] for r in profile.summary(profile.after_warmup(sums, 3)).collect()}
+    assert got == {"track": 7, "refine": 4}
+    assert profile.after_warmup(sums, 0).count() == 14 and profile.after_warmup(sums, 99).count() == 0
+    text = profile.report("p", profile.summary(sums), ["track"], 10, 0).split("\n")
+    assert text[2].startswith("track") and text[3].startswith("refine")
+
+
+def test_identities_outlive_skipped_frame_numbers(spark):
+    """Frame 2 was dropped: 1 and 3 are neighbours.  Frame 5 was processed but empty: 4 and 6 are not."""
+    groups = spark.createDataFrame([("r", f, "box", 1, 0.0, 0.0, 0.0) for f in (1, 3, 4, 6)], "rig string, frame long, label string, group_id long, cx double, cy double, cz double")
+    frames = spark.createDataFrame([("r", f) for f in (1, 3, 4, 5, 6)], "rig string, frame long")
+    near = crossframe.candidates(groups, ["rig"], frames=frames)
+    assert sorted((r["before"], r["frame"]) for r in near.collect()) == [(1, 3), (3, 4)]
+    got = crossframe.global_ids(frames, groups, near.withColumnRenamed("distance", "cost"), ["rig"]).collect()
+    assert {r["frame"]: r["global_id"] for r in got} == {1: 1, 3: 1, 4: 1, 6: 2}
+
+
+@pytest.mark.parametrize("width", [3, 7, 10_000])
+def test_buckets_change_nothing(spark, width):
+    """Running values that are carried from bucket to bucket are those of one window over all."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(t) * 2, int(v), ["lost", "visible"][int(s)]) for k, t, v, s in zip(rng.integers(0, 3, 60), rng.permutation(60), rng.integers(0, 50, 60), rng.integers(0, 2, 60) * rng.integers(0, 2, 60))]
+    df = spark.createDataFrame(rows, "k long, t long, v long, status string")
+    all_of = {}
+    for k, t, v, s in sorted(rows):
+        all_of.setdefault(k, []).append((t, v, s))
+    total, gap, missing = {}, {}, {}
+    for k, x in all_of.items():
+        run = 0
+        for i, (t, v, s) in enumerate(x):
+            total[k, t] = sum(y for _, y, _ in x[: i + 1])
+            gap[k, t] = (v - x[i - 1][1] if i and v > x[i - 1][1] else None, bool(i and v <= x[i - 1][1]))
+            run = run + 1 if s == "lost" else 0
+            missing[k, t] = run
+    assert {(r["k"], r["t"]): r["total"] for r in streams.running_totals(df, ["k"], ["t"], "v", width).collect()} == total
+    assert {(r["k"], r["t"]): (r["gap"], r["non_monotonic"]) for r in streams.gaps(df, ["k"], "v", ["t"], width).collect()} == gap
+    assert {(r["k"], r["t"]): r["missing_frames"] for r in streams.missing_runs(df, ["k"], "t", 2, width).collect()} == missing
+    infos = spark.createDataFrame([(int(k), int(t), int(t) * 10) for k, t in zip(rng.integers(0, 3, 12), rng.permutation(120)[:12])], "k long, at long, info long")
+    known = sorted(tuple(r) for r in infos.collect())
+    want = {(k, t): max([(a, i) for q, a, i in known if q == k and a <= t], default=(None, None))[1] for k, t, *_ in rows}
+    assert {(r["k"], r["t"]): r["info"] for r in streams.as_of(df, infos, ["k"], "t", "at", ["info"], width=width).collect()} == want
+
+
+def test_detections_are_suppressed_in_one_pass(spark):
+    rng = np.random.default_rng(6)
+    masks_ = [sorted(rng.choice(40, size=int(rng.integers(1, 20)), replace=False).tolist()) for _ in range(60)]
+    df = spark.createDataFrame([(i % 2, "box", i // 2, m) for i, m in enumerate(masks_)], "frame long, label string, rank long, pixels array<long>")
+    got = {(r["frame"], r["rank"]) for r in detect.nms(df, ["frame"], ["pixels"], detect.pixel_iou, 0.3, 6).collect()}
+    want = set()
+    for f in (0, 1):
+        kept = []
+        for rank, m in enumerate(masks_[f::2]):
+            if len(kept) < 6 and all(len(set(m) & set(k)) / len(set(m) | set(k)) < 0.3 for k in kept):
+                kept.append(m)
+                want.add((f, rank))
+    assert got == want
+
+
+def test_errors_are_raised(spark):
+    """Arity of cameras and corrections."""
+    e = spark.createDataFrame([("a", 1), ("b", 2)], "camera string, ts_ns long")
+    with pytest.raises(ValueError, match="2 cameras, 3 views"):
+        frames.make_frames(e, 3)
+    views = spark.createDataFrame([(1, 0), (1, 1)], "frame long, view_id long")
+    assert crossview.assert_arity(views, views, ["frame"]).first()["views"] == 2
+    with pytest.raises(Exception, match="differ in number"):
+        crossview.assert_arity(views, views.limit(1), ["frame"]).collect()
+
+
+def test_settings_and_arguments(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("voxel: 0.05\nmode: sequential\n")
+    assert frames.load_config(str(tmp_path / "c.yaml"))["voxel"] == 0.05
+    assert frames.load_config(str(tmp_path / "c.yaml"), " Fixed_batch ")["mode"] == "fixed_batch"
+    with pytest.raises(ValueError):
+        frames.config({"mode": "other"})
+    rows = [("r", "c", "color", i * 100_000_000, i * 100_000_000) for i in range(50)]
+    spark.createDataFrame(rows, "rig string, camera string, stream string, wall_ns long, stamp_ns long").write.parquet(str(tmp_path / "m"))
+    df, out = cli.plan(spark, ["--camera-only", "--messages", str(tmp_path / "m"), "--window-seconds", "1"])
+    got = df.collect()
+    assert out is None and len(got) == 5 and {r["wall_rate"] for r in got} == {10.0} == {round(r["stamp_rate"], 6) for r in got}
+
+
+def test_external_detections_and_corrections(spark, tmp_path):
+    spark.createDataFrame([("r", "c", 1, 0, 1, "box", 0.9), ("r", "c", 1, 1, 2, "hand", 0.9), ("r", "c", 1, 2, 3, "box", float("nan")), ("r", "c", 1, 3, 4, "box", None)], frames.DETECTIONS).write.parquet(str(tmp_path / "d"))
+    assert [r["detection_id"] for r in frames.external_detections(spark, str(tmp_path / "d"), ["box"]).collect()] == [1]
+    spark.createDataFrame([("r", 5, 6, 1.0), ("r", 1, 50, 1.0)], frames.CORRECTIONS).write.parquet(str(tmp_path / "k"))
+    assert sorted(r["admitted"] for r in frames.external_corrections(spark, str(tmp_path / "k"), 32).collect()) == [False, True]
+
+
+def test_tracker_interface():
+    class Echo(tracker.Tracker):
+        def initialize(self, frame, seeds):
+            with self.stage("start"):
+                return seeds
+
+        def track(self, frame):
+            return frame
+
+    tracker.register("echo", lambda settings: Echo())
+    t = rigvane.build({"tracker": "echo"})
+    t.profile = rigvane.Profile()
+    assert t.correct(None, 3) == 3 and t.track(4) == 4 and t.close() is None
+    assert t.profile.table()["stage"].tolist() == ["start"]
+    with pytest.raises(ValueError, match="no tracker"):
+        rigvane.build({"tracker": "none"})
+    assert set(rigvane.__all__) >= {"Engine", "Tracker", "Detector", "build", "load_config"}

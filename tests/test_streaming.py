@@ -46,10 +46,7 @@ def test_global_ids(spark, tmp_path):
         rows.append(("r", f, json.dumps(g), json.dumps(c)))
     got = replay(spark, tmp_path, rows, "rig string, frame long, groups string, costs string", stateful.global_ids)
     want = crossframe.inherit_ids(list(range(12)), dict(enumerate(groups)), {f: {(a, b): x for a, b, x in c} for f, c in enumerate(costs)})
-    # Ids may be dealt in another order inside a frame, but the same groups are one object.
-    renamed = {}
-    for (_, f, g, i), (f2, g2, j) in zip(sorted(got), sorted(want)):
-        assert (f, g) == (f2, g2) and renamed.setdefault(i, j) == j
+    assert sorted((f, g, i) for _, f, g, i in got) == sorted(want)
 
 
 def test_slot_lives(spark, tmp_path):
@@ -61,6 +58,27 @@ def test_slot_lives(spark, tmp_path):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_refreshes(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(r, f, rng.choice([None, rng.random()]) if rng.random() < 0.2 else 0.9, rng.randint(1, 6)) for f in range(40) for r in ("r0", "r1")]
+    schema = "rig string, frame long, presence double, service int"
+    got = replay(spark, tmp_path, rows, schema, lambda s: stateful.refreshes(s, 8, 2, 0.1), parts=3)
+    want = [tuple(r) for r in streams.refreshes(spark.createDataFrame(rows, schema), "rig", 8, 2, 0.1).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {r[3] for r in want} == {None, "periodic", "tracking_anomaly"}
+
+
+def test_history_ring(spark, tmp_path):
+    rng = random.Random(6)
+    processed = sorted(rng.sample(range(100), 50))
+    asked = [(a, max(0, a - rng.randint(0, 9))) for a in processed for _ in range(2)]
+    rows = sorted([("r", f, None) for f in processed] + [("r", a, ref) for a, ref in asked], key=lambda x: x[1])
+    got = replay(spark, tmp_path, rows, "rig string, frame long, ref_frame long", lambda s: stateful.history_ring(s, 4), parts=1)
+    frames = spark.createDataFrame([("r", f) for f in processed], "rig string, frame long")
+    requests = spark.createDataFrame([("r", ref, a) for a, ref in asked], "rig string, ref_frame long, arrival_frame long")
+    want = [("r", r["arrival_frame"], r["ref_frame"], r["available"]) for r in streams.history_ring(frames, requests, "rig", 4, 13).collect()]
+    assert sorted(got) == sorted(want) and {x[3] for x in want} == {True, False}
+
+
 def test_report_is_streaming(spark, tmp_path):
     rows = [("c", i * 10) for i in range(30)]
     got = replay(spark, tmp_path, rows, "stream string, s long", lambda s: stateful.report(s.withColumn("ts", F.timestamp_seconds("s")), "ts", "60 seconds", "0 seconds"))

@@ -14,12 +14,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_chamfer_of_all_points(spark):
-    rows = catalog._observed(spark, SF).select("frame", "obs", "wx", "wy", "wz").distinct().collect()
+    observed = catalog._observed(spark, SF)
+    rows = observed.select("frame", "obs", "wx", "wy", "wz").distinct().collect()
     sets = {}
     for r in rows:
         sets.setdefault((r["frame"], r["obs"]), []).append((r["wx"], r["wy"], r["wz"]))
-    assert catalog._points(spark, SF).count() == len(rows)
-    got = {(r["frame"], r["a"]): r["chamfer"] for r in catalog.QUERIES["d13_chamfer_whole"](spark, SF).collect()}
+    assert catalog._points(observed).count() == len(rows)
+    got = {(r["frame"], r["a"]): r["chamfer"] for r in catalog.QUERIES["d13_chamfer"](spark, SF).collect()}
     assert set(got) == {(f, o) for f, o in sets if (f - 1, o) in sets}
     for (f, o), value in got.items():
         d = np.sqrt(((np.array(sets[f - 1, o])[:, None] - np.array(sets[f, o])[None]) ** 2).sum(axis=2))
@@ -28,7 +29,7 @@ def test_chamfer_of_all_points(spark):
 
 def test_all_images_are_resized(spark):
     part = {r["p_partkey"]: r["p_retailprice"] / 1000 for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
-    got = {(r["image"], r["y"], r["x"]): r["logit"] for r in catalog.QUERIES["b20_resize_bilinear_whole"](spark, SF).collect()}
+    got = {(r["image"], r["y"], r["x"]): r["logit"] for r in catalog.QUERIES["b20_resize_bilinear"](spark, SF).collect()}
     want = {}
 
     def sources(d, n, m):
@@ -47,13 +48,13 @@ def test_all_images_are_resized(spark):
 
 
 def test_whole_sets_slots_and_labels(spark):
-    markers = catalog.QUERIES["a13_markers_whole"](spark, SF).collect()
+    markers = catalog.QUERIES["a13_markers"](spark, SF).collect()
     assert len(markers) == 6 and all(r["action"] == "ADD" for r in markers)
     labels = {r["label"] for r in catalog._mask(spark, SF).select("label").distinct().collect()}
-    assert {r["label"] for r in catalog.QUERIES["f04_dilate_whole"](spark, SF).select("label").distinct().collect()} == labels
+    assert {r["label"] for r in catalog.QUERIES["f04_dilate"](spark, SF).select("label").distinct().collect()} == labels
     read = lambda t, k: [r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(k).collect()]
     cu, su, na = read("customer", "c_nationkey"), read("supplier", "s_nationkey"), read("nation", "n_nationkey")
-    got = {r["op"]: r["n"] for r in catalog.QUERIES["h01_h02_h05_sets_whole"](spark, SF).collect()}
+    got = {r["op"]: r["n"] for r in catalog.QUERIES["h01_h02_h05_sets"](spark, SF).collect()}
     assert got == {"shared": len(set(cu) & set(su)), "unmatched": len(set(na) - set(su)), "all": len(su) + len(na)}
 
 
@@ -81,3 +82,30 @@ def test_components_of_whole_masks(spark):
     assert {k: sorted(v) for k, v in got.items()} == areas
     small = {(r["frame"], r["label"]): r["n"] for r in catalog.QUERIES["c12_small_components"](spark, SF).collect()}
     assert small == {k: n for k, n in kept.items() if n}
+
+
+def test_ids_of_whole_tables(spark):
+    """Ids from frame to frame, each label's pairs being the cheapest of the largest sets of accepted pairs."""
+    from itertools import permutations
+
+    cents = {}
+    for r in catalog._centroids(spark, SF).collect():
+        cents.setdefault(r["frame"], {})[r["group_id"]] = (r["label"], np.array([r["cx"], r["cy"], r["cz"]]))
+    want, before, ids, fresh = {}, {}, {}, 1
+    for f in sorted(cents):
+        now = {}
+        for label in sorted({x for x, _ in cents[f].values()}):
+            a, b = ([g for g in sorted(x) if x[g][0] == label] for x in (before, cents[f]))
+            best = None
+            for p in permutations([*b, *[None] * len(a)], len(a)):
+                pairs = [(x, y) for x, y in zip(a, p) if y is not None and np.sqrt(((before[x][1] - cents[f][y][1]) ** 2).sum()) <= 2.0]
+                key = (-len(pairs), sum(np.sqrt(((before[x][1] - cents[f][y][1]) ** 2).sum()) for x, y in pairs))
+                best = min(best or (key, pairs), (key, pairs), key=lambda z: z[0])
+            now |= {y: ids[x] for x, y in (best[1] if best else [])}
+        for g in sorted(cents[f]):
+            if g not in now:
+                now[g], fresh = fresh, fresh + 1
+            want[f, g] = now[g]
+        before, ids = cents[f], now
+    got = {(r["frame"], r["group_id"]): r["global_id"] for r in catalog.QUERIES["j04_global_ids"](spark, SF).collect()}
+    assert got == want and len(set(want.values())) < len(want)
