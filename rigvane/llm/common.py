@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.store import cut as cut
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -159,23 +161,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that no lost executor makes them be computed again.
-
-    The folder is that of spark.checkpoint.dir.  Where it is unset, only a local master gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them can read")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="rigvane-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 #: Bytes of input after which a worker gives unused memory back.
 RELEASE_BYTES = 1 << 24
 #: Rows that a Python worker gets at once: texts are long rows.
