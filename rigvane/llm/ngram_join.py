@@ -19,8 +19,9 @@ their node.  Nothing is collected but that bounded list.
 
 Defined results: null texts and texts without words have the empty set, are linked with
 nothing and are their own component; rows without an id take part, and a component
-of such rows only has a null id; an empty table gives an empty result; other
-columns are ignored by `classes` and kept by `one_of_each`.
+of such rows only has a null id; repeated rows are one node; texts of any length are cut into all their n-grams; of the ids
+of a component the smallest is taken; an empty table gives an empty result; other
+columns are ignored by `classes` and kept by `one_of_each`, whatever their names (but for those that begin with `__rv_`).
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(range_hash(prefix_hash(_VALUES[buf]), starts, ends))
     n_words = np.diff(first)
     gram = h.copy()
-    for k in range(1, size):
-        gram[: len(h) - k] = gram[: len(h) - k] * _STEP + h[k:] if k < len(h) else gram[:0]
+    for k in range(1, min(size, len(h))):
+        gram[: len(h) - k] = gram[: len(h) - k] * _STEP + h[k:]
     text = np.repeat(np.arange(len(texts)), n_words)
     whole = np.arange(len(h)) + size <= first[1:][text] if len(h) else np.zeros(0, bool)
     grams, owner = mix(gram[whole]) >> U64(16), text[whole]
