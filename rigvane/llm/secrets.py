@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 `train` learns the transition tables of random strings and of ordinary
-identifiers from labelled samples.  `scan` looks at each token of 16 or more
-characters: if the likelihood ratio of the two models passes the calibrated
-threshold, the token is reported as kind `markov`.
-
-Defined results: null and empty texts have no spans; a repeated row gives a
-repeated result; an empty table gives an empty result; other columns of the
+identifiers (names, paths, numbered and dated ones) from four fifths of the labelled samples, and the threshold from the
+rest.  `scan` looks at each token of 16 or more characters that touches no span of a fixed pattern: if the likelihood
+ratio of the two models passes the threshold, the token is reported as kind `markov`.  Tokens
+whose form says that they are public (UUIDs, numbers, dates) are not looked at, as their characters are as random as a secret's.
+
+Defined results: null and empty texts have no spans; a text of any length is scanned whole; a token is
+scored alone, so there are no ties; where spans begin together they are ordered by kind; a repeated row gives a
+repeated result; rows without an id are scanned as all others; an empty table gives an empty result; other columns of the
 input are ignored, whatever their names.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, in_arrow, read
+from .common import bounded_sample, cut, in_arrow, read
 
 # Fixed patterns of the contract, letters of the keywords in either case.
 ASSIGN = re.compile(
@@ -33,6 +35,8 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Forms of public identifiers.
+PUBLIC = re.compile(r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9+/_=-]+|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]+Z?)")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -72,13 +76,24 @@ def identifier_samples(n: int = 2000, seed: int = 5) -> list[tuple[str, int]]:
     """Labelled samples made by rule: (text, 1) random strings, (text, 0) ordinary identifiers."""
     rng = random.Random(seed)
     out: list[tuple[str, int]] = []
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     for _ in range(n):
         alphabet = rng.choice(["0123456789abcdef", SYMBOLS[:62], SYMBOLS[:64], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", SYMBOLS[26:62]])
         out.append(("".join(rng.choice(alphabet) for _ in range(rng.randint(16, 48))), 1))
         words = [rng.choice(IDENTIFIER_WORDS) for _ in range(rng.randint(2, 5))]
-        style = rng.randrange(5)
-        word = ["_".join(words), "-".join(words), "".join(w.title() for w in words), "/".join(words), "_".join(words).upper()][style]
-        out.append((word + (str(rng.randint(0, 2030)) if rng.random() < 0.2 else ""), 0))
+        style = rng.randrange(9)
+        if style < 5:
+            word = ["_".join(words), "-".join(words), "".join(w.title() for w in words), "/".join(words), "_".join(words).upper()][style]
+            word += str(rng.randint(0, 2030)) if rng.random() < 0.2 else ""
+        elif style == 5:  # versions and numbered parts
+            word = "-".join([*words[:2], f"v{rng.randint(0, 12)}", str(rng.randint(0, 40))])
+        elif style == 6:  # dated files
+            word = f"{words[0]}_{words[1]}_{rng.randint(1990, 2030)}{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}"
+        elif style == 7:  # paths
+            word = "/".join([words[0], f"{words[1]}{rng.randint(1, 9)}", f"part-{number(5)}", words[-1]])
+        else:  # numbered records
+            word = rng.choice([f"{words[0].upper()}-{number(rng.randint(6, 10))}-{words[1]}", f"{words[0]}_id_{number(rng.randint(5, 12))}", f"{words[0]}{number(3)}{words[1]}{number(2)}"])
+        out.append((word, 0))
     return out
 
 
@@ -104,9 +119,10 @@ def labelled_samples(docs: DataFrame, text: str = "text", bound: int = 2000) ->
 
 
 def train(samples: DataFrame, least_llr: float = 3.0) -> SecretModel:
-    """Transition tables from (text, label); the counts are summed on the cluster, at most
-    2 * 69**2 of them reach the driver.  The threshold is the 99.9 % quantile of the
-    identifiers' ratios, found from a histogram of whole nats, and at least least_llr."""
+    """Transition tables from (text, label), of four fifths of the samples by hash; the counts are summed on the cluster, at most
+    2 * 69**2 of them reach the driver.  The threshold is the 99.9 % quantile of the held-out
+    identifiers' ratios, found from a histogram of whole nats, and at least least_llr.  Null texts and other labels are left out."""
+    samples = cut(samples.select("text", "label", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held")))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, N_STATES, N_STATES), dtype=np.int64)
@@ -118,7 +134,7 @@ def train(samples: DataFrame, least_llr: float = 3.0) -> SecretModel:
         at = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["cell", "n"])
 
-    rows = in_arrow(samples, pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = in_arrow(samples.where("not held"), pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.full(2 * N_STATES * N_STATES, 0.5)
     for r in rows:
         counts[r["cell"]] += r["n"]
@@ -131,8 +147,8 @@ def train(samples: DataFrame, least_llr: float = 3.0) -> SecretModel:
             got = [int(np.floor(ratio(llr, t))) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and y == 0]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], ["nats"])
 
-    hist = sorted((r["nats"], r["n"]) for r in in_arrow(samples, ratios, "nats long").where("nats >= 0").groupBy("nats").agg(F.count("*").alias("n")).collect())
-    seen, allowed, threshold = 0, samples.where("label = 0").count() / 1000, least_llr
+    hist = sorted((r["nats"], r["n"]) for r in in_arrow(samples.where("held"), ratios, "nats long").where("nats >= 0").groupBy("nats").agg(F.count("*").alias("n")).collect())
+    seen, allowed, threshold = 0, samples.where("held and label = 0").count() / 1000, least_llr
     for nats, n in reversed(hist):
         seen += n
         if seen > allowed:
@@ -167,7 +183,7 @@ def all_spans(t: str, model: SecretModel) -> tuple[list[tuple[str, int, int]], l
     more = []
     for m in CANDIDATE.finditer(t):
         s, e = m.span()
-        if not any(a < e and s < b for _, a, b in base) and ratio(model.llr, m[0]) >= model.threshold:
+        if not PUBLIC.fullmatch(m[0]) and not any(a < e and s < b for _, a, b in base) and ratio(model.llr, m[0]) >= model.threshold:
             more.append(("markov", s, e))
     return base, sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0]))) if more else base
 
