@@ -7,9 +7,14 @@ A stretch is a run of tokens that lie at most REACH tokens from a token with a
 digit or an @; tokens elsewhere are O, as no kind can do without such a token.
 Spans of the patterns stay; spans of the field are added where they overlap none.
 
+A token's features are a fine and a coarse shape and, for runs of digit groups with 13 to 19 digits together, whether
+these pass the Luhn check; so the field tells card numbers from other long numbers in notations that the patterns miss.
+
 Defined results: null and empty texts have no spans (a null text stays null when
-masked); repeated rows get the same result each; an empty table gives an empty
-result; other columns are ignored by `scan` and kept by `mask`.
+masked); a text of any length is read whole, long tokens in pieces; labels of equal score go to the first of
+O, email, ip, card, phone; spans that begin together are ordered by kind; repeated rows get the same result each; rows
+without an id are read as all others; an empty table gives an empty
+result; other columns are ignored by `scan` and kept by `mask`, whatever their names (but for those that begin with `__rv_`).
 """
 
 from __future__ import annotations
@@ -127,14 +132,32 @@ class Field:
     first: np.ndarray
 
 
+DIGITS = re.compile(r"[0-9][0-9./-]*")
+PARTS = 3
+
+
+def checks(tokens: list[str]) -> list[str]:
+    """Of each token: `l1` (`l0`) if it is in a run of digit groups, alone or side by side, with 13 to 19 digits that pass (fail) the Luhn check."""
+    out, i = [""] * len(tokens), 0
+    while i < len(tokens):
+        j, digits = i, ""
+        while j < len(tokens) and DIGITS.fullmatch(bare := tokens[j].strip(_EDGE)):
+            digits += re.sub("[^0-9]", "", bare)
+            j += 1
+        if 13 <= len(digits) <= 19:
+            out[i:j] = ["l1" if luhn(digits) else "l0"] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
 def features(tokens: list[str], names: dict[str, int]) -> np.ndarray:
-    """[n, 2] feature numbers; 0 is an unseen shape."""
-    return np.array([[names.get("f" + f, 0), names.get("c" + c, 0)] for f, c in map(shapes, tokens)], dtype=np.int64).reshape(len(tokens), 2)
+    """[n, PARTS] feature numbers; 0 is an unseen shape."""
+    return np.array([[names.get("f" + f, 0), names.get("c" + c, 0), names.get(x, 0)] for (f, c), x in zip(map(shapes, tokens), checks(tokens))], dtype=np.int64).reshape(len(tokens), PARTS)
 
 
 def emissions(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """ids [batch, length, 2], 0 beyond the ends -> [batch, length, labels]."""
-    own, pad = weights[1][ids].sum(axis=2), np.zeros((len(ids), 1, 2), np.int64)
+    """ids [batch, length, PARTS], 0 beyond the ends -> [batch, length, labels]."""
+    own, pad = weights[1][ids].sum(axis=2), np.zeros((len(ids), 1, PARTS), np.int64)
     before = weights[0][np.concatenate([pad, ids[:, :-1]], axis=1)].sum(axis=2)
     after = weights[2][np.concatenate([ids[:, 1:], pad], axis=1)].sum(axis=2)
     return own + before + after
@@ -179,9 +202,10 @@ def fit(seqs: list[list[tuple[str, int]]], steps: int, rate: float, decay: float
         for f, c in (shapes(x) for x, _ in s):
             names.setdefault("f" + f, len(names))
             names.setdefault("c" + c, len(names))
+    names["l0"], names["l1"] = len(names), len(names) + 1
     n, length = len(seqs), max(map(len, seqs), default=1)
     lens = np.array([len(s) for s in seqs])
-    ids, gold = np.zeros((n, length, 2), np.int64), np.zeros((n, length), np.int64)
+    ids, gold = np.zeros((n, length, PARTS), np.int64), np.zeros((n, length), np.int64)
     for i, s in enumerate(seqs):
         ids[i, : len(s)] = features([x for x, _ in s], names)
         gold[i, : len(s)] = [y for _, y in s]
@@ -190,7 +214,7 @@ def fit(seqs: list[list[tuple[str, int]]], steps: int, rate: float, decay: float
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, pairs, first)]
     one = np.eye(k)[gold] * live[:, :, None]
     real_pairs = np.einsum("bti,btj->ij", one[:, :-1], one[:, 1:])
-    pad = np.zeros((n, 1, 2), np.int64)
+    pad = np.zeros((n, 1, PARTS), np.int64)
     shifted = [np.concatenate([pad, ids[:, :-1]], axis=1), ids, np.concatenate([ids[:, 1:], pad], axis=1)]
     for step in range(1, steps + 1):
         e = emissions(ids, w)
@@ -205,7 +229,7 @@ def fit(seqs: list[list[tuple[str, int]]], steps: int, rate: float, decay: float
         q = np.exp(alpha[:, :-1, :, None] + pairs + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * live[:, 1:, None, None]
         gap, grad_w = one - p, np.zeros_like(w)
         for j, x in enumerate(shifted):
-            for side in (0, 1):
+            for side in range(PARTS):
                 np.add.at(grad_w[j], x[:, :, side].ravel(), gap.reshape(-1, k))
         for x, g, m in zip((w, pairs, first), (grad_w, real_pairs - q.sum(axis=(0, 1)), gap[:, 0].sum(axis=0)), moments):
             g = g / n - decay / n * x
@@ -231,9 +255,17 @@ def labelled_sequences(n: int = 900, seed: int = 11) -> list[list[tuple[str, str
         host = r.choice([f"{word()}.com", f"{word()}.example.org", f"mail{r.randint(1, 9)}.{word()}.net"])
         return r.choice([[f"{name}@{host}"], [f"{name}@{host}"], [f"<{name}@{host}>"], [name, "@", host], [f"{name}@", host], [name, f"@{host}"]])
 
+    def long_number(valid: bool) -> list[str]:
+        """16 or 15 digits that pass the Luhn check or fail it, in several notations."""
+        sizes = r.choice([(4, 4, 4, 4), (4, 4, 4, 4), (4, 4, 4, 4), (4, 6, 5)])
+        digits = num(sum(sizes) - 1)
+        check = next(c for c in "0123456789" if luhn(digits + c))
+        digits += check if valid else r.choice([c for c in "0123456789" if c != check])
+        g = [digits[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes))]
+        return r.choice([[digits], g, ["-".join(g)], [".".join(g)], ["/".join(g)]])
+
     def card() -> list[str]:
-        g = [num(4) for _ in range(4)]
-        return r.choice([["".join(g)], ["".join(g)], g, ["-".join(g)], [".".join(g)], [num(4), num(6), num(5)], ["/".join(g)]])
+        return long_number(True)
 
     def phone() -> list[str]:
         a, b, c = num(3), num(3), num(4)
@@ -246,6 +278,7 @@ def labelled_sequences(n: int = 900, seed: int = 11) -> list[list[tuple[str, str
     def other() -> list[str]:
         return r.choice(
             [
+                long_number(False), long_number(False),
                 [str(r.randint(1900, 2040))], [f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}"], [f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}"], [f"${r.randint(1, 999)}.{num(2)}"], [f"{r.randint(1, 99)}.{r.randint(0, 99)}"],
                 ["version", f"{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}"], [f"{r.randint(1, 23)}:{num(2)}"], [f"{r.randint(1, 100)}%"], [f"{r.randint(1, 9)},{num(3)},{num(3)}"], ["order", f"#{num(r.randint(5, 9))}"], ["page", str(r.randint(1, 900))],
                 [f"{word()}{r.randint(0, 99)}"], [f"@{word()}"], [num(r.randint(1, 6))], [num(r.randint(20, 30))], [num(3), num(3)], [f"{word()}-{r.randint(1, 99)}"], [word() + " ".join(""), f"{num(2)}x{num(2)}"], ["".join(r.choice("0123456789abcdef") for _ in range(32))], [f'"{num(10)}{word()}{num(6)}"'],
@@ -311,7 +344,7 @@ def decode(texts: list[str], field: Field, rows: int = 4096) -> list[list[tuple[
             end += 1
         part, at = todo[at:end], end
         lens = np.array([n for n, _, _ in part])
-        ids = np.zeros((len(part), int(lens.max()), 2), np.int64)
+        ids = np.zeros((len(part), int(lens.max()), PARTS), np.int64)
         for k, (n, i, s) in enumerate(part):
             ids[k, :n] = features([texts[i][a:b] for a, b in s], field.names)
         labels = viterbi(emissions(ids, field.weights), lens, field)
@@ -355,23 +388,24 @@ def masked(t: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, t[at:]])
 
 
-def _batches(column: pa.Array, rows: int = 500) -> Iterator[tuple[int, list[str | None]]]:
+def _batches(column: pa.Array, rows: int = 100) -> Iterator[tuple[int, list[str | None]]]:
     for at in range(0, len(column), rows):
         yield at, column.slice(at, rows).to_pylist()
 
 
 def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, counts of all spans by kind, base_sha256 (of the pattern spans) and spans (kind:start:end, code points, end exclusive)."""
+    """id, counts of the pattern spans by kind, base_sha256 (of these), spans (all; kind:start:end, code points, end exclusive) and
+    n_added (spans of the field)."""
     rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
-    schema = T.StructType([rows.schema[0], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    schema = T.StructType([rows.schema[0], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _batches(batch.column(1)):
                 found = all_spans([t or "" for t in texts], field)
-                counts = [[sum(x[0] == k for x in spans) for _, spans in found] for k in KINDS]
+                counts = [[sum(x[0] == k for x in base) for base, _ in found] for k in KINDS]
                 sha = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array([joined(s) for _, s in found], pa.string())], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array([joined(s) for _, s in found], pa.string()), pa.array([len(s) - len(base) for base, s in found], pa.int64())], schema.names)
 
     return in_arrow(rows, run, schema)
 
