@@ -1,18 +1,22 @@
 """Licence scans with a trained paragraph classifier, in DataFrame functions only.
 
-Each line of a text is a paragraph.  Sparse binary features, its word 1- and
+A text is cut into paragraphs at blank lines, and these into lines, as a licence may be a line of its own in
+running text or a notice wrapped over many.  Sparse binary features of a line, its word 1- and
 2-grams, go into a multinomial logistic regression over licence families, `unknown` (a
 licence of another family) and `none` (no licence).  A family is reported if its calibrated
-probability reaches the threshold; less sure licence paragraphs are `unknown`.
-Comparison with the family's templates then confirms a prediction or not.
+probability reaches the threshold; less sure licence lines are `unknown`.
+Comparison of the whole paragraph with the family's templates then confirms a prediction or not, and a family counts once
+in a paragraph, on whichever of its lines it is found; `unknown` counts where the paragraph has no confirmed family.
 
-Scoring is one expression for each row: no join, no shuffle.  Only paragraphs
+Scoring is one expression for each row: no join, no shuffle.  Only lines
 with a cue word are scored; the cues are derived from the weights so that no
-other paragraph can be anything but `none` (see `cues`).  Training uses a small
+other line can be anything but `none` (see `cues`).  Training uses a small
 labelled table; features of it are made by the same expression.
 
-Defined results: null and empty texts have no paragraphs; repeated rows get the
-same result each; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no paragraphs; texts of any length are scanned whole; of families with equal
+probabilities the first by name is taken (`none` last); labelled rows with a null text have no features, those with a null
+family are left out; repeated rows get the same result each; rows without an id are scanned as all others; an empty table
+gives an empty result; other columns are ignored, whatever their names (but for those that begin with `__rv_`).
 """
 
 from __future__ import annotations
@@ -41,6 +45,15 @@ TEMPLATES = {
     "public-domain": ["This work has been released into the public domain.", "CC0 1.0 Universal Public Domain Dedication", "This is free and unencumbered software released into the public domain"],
     "unknown": ["Licensed under the Eclipse Public License, version 2.0.", "Licensed under the European Union Public Licence.", "Subject to the terms of the zlib license.", "Distributed under the Boost Software License, Version 1.0.", "Use is subject to the license agreement.", "Licensed under the Open Data Commons license."],
 }
+# Longer public licence notices, whose wrapped lines are training rows too.
+NOTICES = {
+    "apache": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. See the GNU Lesser General Public License for more details."],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https mozilla org MPL 2.0."],
+}
 # Ordinary sentences in which licence words occur, or nothing of them does.
 ORDINARY = """She renewed her driving license last year.|The fishing license costs ten dollars.|He went to MIT to study physics.|An Apache helicopter flew over the river.|The gnu grazed near the water.
 All rights and duties follow from the contract.|The committee reserved the room for noon.|Creative people work in commons and parks.|The version of the story was new.|The software was released in spring.
@@ -49,6 +62,8 @@ No part of the bridge was open.|Source and binary numbers were printed.|Attribut
 Er kam mit dem Zug und mit der Bahn.|Sie geht mit ihm in die Stadt.|Wir reisen mit Freunden.|Sa maison est belle et sa mère aussi.|A person made a copy of the form.|Use the data in other forms.|The program came with software.|The terms of the international treaty were subject to change.
 They modify the engine except on Sunday.|Food was provided and distributed to the domain.|A creative person will obtain a copy.|The book was released by a publication house.|Women fought for equal rights.|Cc the mail to the boss.|Nc and sa are short forms.|Boost the engine and use the data.
 The lesser evil was permitted.|The European Union met in spring.|Lunar eclipse in spring, an attribution error in the data.|The form was reproduced in the program.|He was obtaining a modification of the software.""".replace("\n", "|").split("|")
+# Words of which a wrapped line of a notice must have two to be a training row.
+_TELLING = set("license licensed gnu general lesser public apache mozilla redistribution redistributions redistribute binary source permission granted charge person obtaining copy software sublicense merge conditions copyright warranties warranty".split())
 # Words that are no feature alone.
 COMMON = "a an and any are as at be by can for from has have in into is it its may not of on or that the this to under was were with you your".split()
 
@@ -81,6 +96,10 @@ def labelled_table(spark: SparkSession, n: int = 40, seed: int = 7) -> DataFrame
     rows = []
     for family, templates in TEMPLATES.items():
         rows += [(t, family) for t in templates]
+        for notice in NOTICES.get(family, ()):
+            words = notice.split()
+            for width in (7, 9, 11, 13):  # wrapped lines that name something
+                rows += [(line, family) for i in range(0, len(words), width) if len(set((line := " ".join(words[i : i + width])).lower().split()) & _TELLING) >= 2]
         for _ in range(n):
             w = r.choice(templates).split()
             w = [x if not any(c.isdigit() for c in x) else f"{r.randint(1, 4)}.{r.randint(0, 1)}" for x in w]
@@ -90,6 +109,11 @@ def labelled_table(spark: SparkSession, n: int = 40, seed: int = 7) -> DataFrame
             w = [r.choice(filler) for _ in range(r.randint(0, 3))] + w + [r.choice(filler) for _ in range(r.randint(0, 3))]
             t = " ".join(w)
             rows.append((t.replace("icense", "icence") if r.random() < 0.1 else t, family))
+    # Licences of names that no family has.
+    name = lambda: "".join(r.choice(["ar", "ben", "cor", "del", "em", "fin", "gal", "hor", "il", "jun", "kel", "lum"]) for _ in range(r.randint(2, 3))).title()
+    for _ in range(3 * n):
+        verb, noun = r.choice(["Released", "Licensed", "Distributed", "Available", "Provided", "Published"]), r.choice(["License", "License", "Public License", "Software License", "Licence"])
+        rows.append((f"{verb} under the {name()} {noun}{r.choice(['', '.', f' {r.randint(1, 4)}.{r.randint(0, 9)}.', f', version {r.randint(1, 4)}.{r.randint(0, 9)}.'])}", "unknown"))
     for t in ORDINARY:
         rows += [(t, "none"), (f"{t} {' '.join(r.choice(filler) for _ in range(4))}", "none")]
     for _ in range(2 * n):
@@ -101,7 +125,7 @@ def labelled_table(spark: SparkSession, n: int = 40, seed: int = 7) -> DataFrame
 def train(rows: DataFrame, max_rows: int = 20_000, steps: int = 800, rate: float = 3.0, sparsity: float = 8e-4, lead: float = 1.0, least: int = 3) -> LicenseModel:
     """Fits the regression to a labelled table (text, family) of at most max_rows rows; every fifth row
     (by hash) is held back to calibrate the temperature."""
-    got = rows.select(features_of(words_of(F.col("text"))).alias("f"), "family", (F.pmod(F.xxhash64("text", "family"), F.lit(5)) == 0).alias("held")).orderBy("family", "text").limit(max_rows).collect()
+    got = rows.where("family is not null").select(features_of(words_of(F.coalesce("text", F.lit("")))).alias("f"), "family", (F.pmod(F.xxhash64("text", "family"), F.lit(5)) == 0).alias("held")).orderBy("family", "text").limit(max_rows).collect()
     classes = sorted({r["family"] for r in got} - {"none"}) + ["none"]
     counts: dict[str, int] = {}
     for r in got:
@@ -161,37 +185,51 @@ def cues(model: LicenseModel) -> list[str]:
 
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text: str = "text", confirm: float = 0.7) -> DataFrame:
-    """id, n_licenses, families (found), confirmed (families whose templates agree), n_unknown and
-    paragraphs (an array of line number, family, probability, template likeness, confirmed)."""
-    need = cues(model)
-    low = F.lower(F.col("__rv_text"))
-    has_cue = lambda c: _any([F.contains(c, F.lit(w)) for w in need])
+    """id, n_licenses (families found, in each paragraph), families (found), confirmed (families whose templates agree), n_unknown and
+    paragraphs (an array of paragraph, line in it, family, probability, template likeness, confirmed)."""
+    # A cue is a whole word: what stands beside it is no letter or digit (other than ASCII ones may, which only scores more lines).
+    cue = r"(?:^|[^a-z0-9])(?:" + "|".join(sorted(cues(model))) + r")(?![a-z0-9])"
+    has_cue = lambda t: F.lower(t).rlike(cue)
     names = F.array(*map(F.lit, model.classes))
     vocabulary = F.array(*map(F.lit, model.weights))
     table = F.create_map(*[x for f, w in model.weights.items() for x in (F.lit(f), F.array(*map(F.lit, w)))])
     templates = {c: [sorted(set(_words(t))) for t in TEMPLATES.get(c, [])] for c in model.classes}
     rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
-    lines = F.when(has_cue(low), F.filter(F.transform(F.split(F.col("__rv_text"), "\n"), lambda p, i: F.struct(i.cast("long").alias("line"), p.alias("p"))), lambda x: has_cue(F.lower(x["p"]))))
-    rows = rows.select(id_col, F.coalesce(lines, F.array().cast("array<struct<line:bigint,p:string>>")).alias("__rv_a"))
-    rows = rows.select(id_col, F.transform("__rv_a", lambda x: F.struct(x["line"].alias("line"), words_of(x["p"]).alias("w"))).alias("__rv_b"))
-    rows = rows.select(id_col, F.transform("__rv_b", lambda x: F.struct(x["line"].alias("line"), F.array_distinct(x["w"]).alias("w"), F.array_intersect(features_of(x["w"]), vocabulary).alias("f"))).alias("__rv_c"))
+    scored = lambda lines: F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.array_intersect(features_of(words_of(x["p"])), vocabulary).alias("f")))
     logits = lambda f: F.aggregate(f, F.array(*map(F.lit, model.bias)), lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
-    rows = rows.select(id_col, F.transform("__rv_c", lambda x: F.struct(x["line"].alias("line"), x["w"].alias("w"), F.transform(logits(x["f"]), lambda v: v / model.temperature).alias("z"))).alias("__rv_d"))
-    rows = rows.select(id_col, F.transform("__rv_d", lambda x: F.struct(x["line"].alias("line"), x["w"].alias("w"), F.array_max(x["z"]).alias("m"), F.transform(x["z"], lambda v: F.exp(v - F.array_max(x["z"]))).alias("e"))).alias("__rv_e"))
-    prob = lambda x: F.lit(1.0) / F.aggregate(x["e"], F.lit(0.0), lambda a, b: a + b)
-    best = lambda x: F.element_at(names, F.array_position(x["e"], F.lit(1.0)).cast("int"))
-    rows = rows.select(id_col, F.transform("__rv_e", lambda x: F.struct(x["line"].alias("line"), x["w"].alias("w"), best(x).alias("best"), prob(x).alias("p"))).alias("__rv_f"))
-    found = F.filter("__rv_f", lambda x: x["best"] != "none")
-
-    def likeness(x: Column) -> Column:
+    cue_lines = lambda p: F.filter(F.transform(F.split(p, "\n"), lambda t, i: F.struct(i.cast("long").alias("line"), t.alias("p"))), lambda x: has_cue(x["p"]))
+    cut = F.filter(F.transform(F.split(F.col("__rv_text"), r"\n[ \t\r]*\n"), lambda p, i: F.struct(i.cast("long").alias("k"), p.alias("p"))), lambda x: has_cue(x["p"]))
+    none = F.array().cast("array<struct<k:bigint,p:string>>")
+    # Each step is a column of its own, so that no expression is evaluated anew for each use.
+    step = lambda df, old, new, f: df.select(id_col, F.transform(old, f).alias(new))
+    rows = rows.select(id_col, F.when(has_cue(F.col("__rv_text")), cut).otherwise(none).alias("__rv_a"))
+    rows = step(rows, "__rv_a", "__rv_b", lambda x: F.struct(x["k"].alias("k"), x["p"].alias("p"), scored(cue_lines(x["p"])).alias("l")))
+    each = lambda x, f: F.struct(x["k"].alias("k"), x["p"].alias("p"), F.transform(x["l"], f).alias("l"))
+    rows = step(rows, "__rv_b", "__rv_c", lambda x: each(x, lambda y: F.struct(y["line"].alias("line"), F.transform(logits(y["f"]), lambda v: v / model.temperature).alias("z"))))
+    rows = step(rows, "__rv_c", "__rv_d", lambda x: each(x, lambda y: F.struct(y["line"].alias("line"), F.transform(y["z"], lambda v: F.exp(v - F.array_max(y["z"]))).alias("e"))))
+    prob = lambda y: F.lit(1.0) / F.aggregate(y["e"], F.lit(0.0), lambda a, b: a + b)
+    best = lambda y: F.element_at(names, F.array_position(y["e"], F.lit(1.0)).cast("int"))
+    rows = step(rows, "__rv_d", "__rv_e", lambda x: each(x, lambda y: F.struct(y["line"].alias("line"), best(y).alias("best"), prob(y).alias("p"))))
+    told = lambda y: F.struct(y["line"].alias("line"), F.when(y["p"] >= model.threshold, y["best"]).otherwise("unknown").alias("family"), F.round(y["p"], 6).alias("p"))
+    rows = step(rows, "__rv_e", "__rv_f", lambda x: F.struct(x["k"].alias("k"), x["p"].alias("p"), F.transform(F.filter(x["l"], lambda y: y["best"] != "none"), told).alias("l")))
+    # Only paragraphs in which something was found are compared with templates, as a whole.
+    rows = rows.select(id_col, F.transform(F.filter("__rv_f", lambda x: F.size(x["l"]) > 0), lambda x: F.struct(x["k"].alias("k"), F.array_distinct(words_of(x["p"])).alias("w"), x["l"].alias("l"))).alias("__rv_g"))
+
+    def likeness(family: Column, words: Column) -> Column:
         out = F.lit(0.0)
         for c, sets in templates.items():
-            if sets and c != "unknown":
-                out = F.when(x["best"] == c, F.greatest(*[F.size(F.array_intersect(x["w"], F.array(*map(F.lit, s)))) / F.lit(float(len(s))) for s in sets], F.lit(0.0))).otherwise(out)
+            if sets and c not in ("unknown", "none"):
+                out = F.when(family == c, F.greatest(*[F.size(F.array_intersect(words, F.array(*map(F.lit, s)))) / F.lit(float(len(s))) for s in sets], F.lit(0.0))).otherwise(out)
         return out
 
-    rows = rows.select(id_col, F.transform(found, lambda x: F.struct(x["line"].alias("line"), F.when(x["p"] >= model.threshold, x["best"]).otherwise("unknown").alias("family"), F.round(x["p"], 6).alias("probability"), F.round(likeness(x), 6).alias("likeness"))).alias("__rv_g"))
-    rows = rows.select(id_col, F.transform("__rv_g", lambda x: F.struct(x["line"].alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), x["likeness"].alias("likeness"), ((x["family"] != "unknown") & (x["likeness"] >= confirm)).alias("confirmed"))).alias("paragraphs"))
+    # A family's line with the highest probability speaks for it in a paragraph (the first such line).
+    lead = lambda x, y: ~F.exists(x["l"], lambda o: (o["family"] == y["family"]) & ((o["p"] > y["p"]) | ((o["p"] == y["p"]) & (o["line"] < y["line"]))))
+    rows = step(rows, "__rv_g", "__rv_h", lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), F.filter(x["l"], lambda y: lead(x, y)).alias("l")))
+    shown = lambda x, y: F.struct(x["k"].alias("paragraph"), y["line"].alias("line"), y["family"].alias("family"), y["p"].alias("probability"), F.round(likeness(y["family"], x["w"]), 6).alias("likeness"))
+    rows = rows.select(id_col, F.transform("__rv_h", lambda x: F.transform(x["l"], lambda y: shown(x, y))).alias("__rv_i"))
+    sure = lambda y: (y["family"] != "unknown") & (y["likeness"] >= confirm)
+    rows = rows.select(id_col, F.flatten(F.transform("__rv_i", lambda l: F.filter(l, lambda y: (y["family"] != "unknown") | ~F.exists(l, sure)))).alias("__rv_j"))
+    rows = rows.select(id_col, F.transform("__rv_j", lambda y: F.struct(*[y[c].alias(c) for c in ("paragraph", "line", "family", "probability", "likeness")], sure(y).alias("confirmed"))).alias("paragraphs"))
     known = F.filter("paragraphs", lambda x: x["family"] != "unknown")
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda x: x["family"]))), ",")
     return rows.select(
@@ -204,13 +242,6 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text: str
     )
 
 
-def _any(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
-
-
 def _words(t: str) -> list[str]:
     return [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split() if not any(c.isdigit() for c in w)]
 
