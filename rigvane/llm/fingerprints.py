@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing.
 
 All k-grams of code points are hashed; in each window of WINDOW consecutive
-hashes the smallest is chosen, the rightmost one on ties, and kept with its
+hashes (of 32 bits) the smallest is chosen, the rightmost one on ties, and kept with its
 position.  Two texts that share GRAM + WINDOW - 1 code points share a chosen hash;
 nothing shorter than GRAM is matched.  A text shorter than GRAM is one gram, one with fewer
 grams than WINDOW is one window.
@@ -9,7 +9,8 @@ grams than WINDOW is one window.
 Defined results: null and empty texts have the empty fingerprint, and two empty
 fingerprints are alike (1.0), an empty and a non-empty one are not (0.0).  For
 neighbours, rows are ordered by id (null first), equal ids by text; a single row is its own
-neighbour; an empty table gives an empty result; other columns are ignored.
+neighbour; a text of any length is fingerprinted whole; repeated rows are each other's neighbours; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ languages.  Training is plain numpy (Adam on cross-entropy) over windows of a
 bounded sample of labelled documents; a text's result joins all its windows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as
-is everything if no labelled document exists.  Documents without an id are held
-out.  Repeated rows get the same result each; other columns are ignored.
+is everything if no labelled document exists.  A text of any length is read whole, in windows; of languages with
+equal scores the first by name is taken.  Documents without an id are held
+out.  Repeated rows get the same result each (and count once in training); other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

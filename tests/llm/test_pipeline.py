@@ -51,3 +51,21 @@ def test_pipeline_equals_brute_force(spark):
         spans = pii.base_spans(texts[r["doc_id"]])
         assert bool(spans) <= (r["text"] != texts[r["doc_id"]])
         assert all(texts[r["doc_id"]][s:e] not in r["text"] for k, s, e in spans if k == "email")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    """On whole tables, as the driver compares them."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else SF
+    df = queries.queries()[name](spark, sf)
+    cols = sorted(df.columns)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == cols
+    at = [names.index(c) for c in cols]
+    assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in cur.fetchall())
