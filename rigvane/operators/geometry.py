@@ -64,6 +64,13 @@ def adaptive_stride(base: int, foreground: Column, max_points: int) -> Column:
     return F.when(expected > max_points, F.lit(base) * F.ceil(F.sqrt(expected / max_points))).otherwise(F.lit(base)).cast("bigint")
 
 
+def with_views(records: DataFrame, views: DataFrame, keys: list[str], most: int = 4096) -> DataFrame:
+    """D-6: records with the parameters of their view.  views has one row for each camera; it is broadcast if it has `most` rows at most
+    (counted no further than that), and joined by shuffle otherwise."""
+    small = views.limit(most + 1).count() <= most
+    return records.join(F.broadcast(views) if small else views, keys)
+
+
 def even_cap(rows: DataFrame, keys: list[str], order: list[str], max_points: int) -> DataFrame:
     """F-6: at most max_points rows of a group, evenly spaced in its order; <= 0 keeps all.
 

@@ -170,3 +170,9 @@ def map_frames(frames: DataFrame, model, schema: T.StructType | str) -> DataFram
 def with_depth(mask: DataFrame, depth: DataFrame, keys: list[str]) -> DataFrame:
     """D-5: mask pixels with their depth."""
     return mask.join(depth, [*keys, "y", "x"])
+
+
+def materialize(instances: DataFrame, mask: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """A-19: each asked-for instance with its mask's pixel numbers (y * width + x) in order; none if there is no mask."""
+    pixels = mask.groupBy(*keys).agg(F.sort_array(F.collect_set((F.col("y") * width + F.col("x")).cast("bigint"))).alias("pixels"))
+    return instances.select(*keys).join(pixels, keys, "left").withColumn("pixels", F.coalesce("pixels", F.array().cast("array<bigint>")))

@@ -451,9 +451,11 @@ def _(spark, sf):
     return voxel.segment_offsets(_first(spark, sf), ["frame"], "label", 200)
 
 
-@query("a11_point_cloud", f"{CHAIN} SELECT view_id, count(*) AS n, round(min(CAST(wx AS FLOAT)), 4) AS least, max(CAST((((l_partkey % 256) << 16) | ((l_suppkey % 256) << 8) | (l_linenumber % 256)) AS INT)) AS rgb FROM first GROUP BY view_id")
+@query("a11_point_cloud", f"{CHAIN} SELECT view_id, count(*) AS n, round(min(CAST(CASE WHEN l_partkey % 2 = 0 THEN wx ELSE wy END AS FLOAT)), 4) AS least, max(CAST((((l_partkey % 256) << 16) | ((l_suppkey % 256) << 8) | (l_linenumber % 256)) AS INT)) AS rgb FROM first GROUP BY view_id")
 def _(spark, sf):
-    p = _first(spark, sf).select("view_id", "wx", "wy", "wz", *[F.lit(None).cast("double").alias(a) for a in ("px", "py", "pz")], (c("l_partkey") % 256).alias("r"), (c("l_suppkey") % 256).alias("g"), (c("l_linenumber") % 256).alias("b"))
+    # Where the pose is unknown, the point of the camera is taken.
+    known = c("l_partkey") % 2 == 0
+    p = _first(spark, sf).select("view_id", *[F.when(known, c(a)).alias(a) for a in ("wx", "wy", "wz")], c("wy").alias("px"), c("wx").alias("py"), c("wz").alias("pz"), (c("l_partkey") % 256).alias("r"), (c("l_suppkey") % 256).alias("g"), (c("l_linenumber") % 256).alias("b"))
     return sources.cloud(p, ["view_id"]).groupBy("view_id").agg(F.count("*").alias("n"), F.round(F.min("x"), 4).alias("least"), F.max("rgb").alias("rgb"))
 
 
@@ -830,6 +832,23 @@ def _(spark, sf):
     return masks.with_depth(m, d, []).groupBy("frame", "label").agg(F.count("*").alias("n"), r6(F.min("z")).alias("least"), r6(F.max("z")).alias("most"))
 
 
+@query("d06_record_views", f"WITH s AS ({bind.SAMPLES}), v AS (SELECT CAST(r_regionkey AS BIGINT) AS view_id, 600e0 + r_regionkey AS fx, 300e0 + 10 * r_regionkey AS cx, 0.15e0 * r_regionkey AS tx FROM region) SELECT view_id, count(*) AS n, round(min((x - cx) * z / fx + tx), 5) AS least, round(max((x - cx) * z / fx + tx), 5) AS most FROM s JOIN v USING (view_id) GROUP BY view_id")
+def _(spark, sf):
+    k = c("r_regionkey")
+    v = table(spark, sf, "region").select(k.cast("bigint").alias("view_id"), (F.lit(600.0) + k).alias("fx"), (F.lit(300.0) + 10 * k).alias("cx"), (F.lit(0.15) * k).alias("tx"))
+    px, _, _ = geometry.back_project(c("x"), c("x"), c("z"), c("fx"), c("fx"), c("cx"), c("cx"))
+    s = geometry.with_views(bind.samples(spark, sf), v, ["view_id"]).select("view_id", px.alias("px"), "tx").withColumn("wx", c("px") + c("tx"))
+    return s.groupBy("view_id").agg(F.count("*").alias("n"), F.round(F.min("wx"), 5).alias("least"), F.round(F.max("wx"), 5).alias("most"))
+
+
+@query("a19_masks_on_demand", f"WITH m AS (SELECT DISTINCT track_id, x, y FROM ({MASK}) WHERE logit > 0) SELECT CAST(n_nationkey AS BIGINT) AS track_id, count(m.x) AS n, coalesce(min(y * 64 + x), -1)::BIGINT AS least, coalesce(max(y * 64 + x), -1)::BIGINT AS most FROM nation LEFT JOIN m ON m.track_id = n_nationkey GROUP BY ALL")
+def _(spark, sf):
+    asked = table(spark, sf, "nation").select(c("n_nationkey").cast("bigint").alias("track_id"))
+    m = masks.materialize(asked, _mask(spark, sf).select("track_id", "y", "x"), ["track_id"], 64)
+    end = lambda f: F.coalesce(f("pixels"), F.lit(-1).cast("bigint"))
+    return m.select("track_id", F.size("pixels").cast("bigint").alias("n"), end(F.array_min).alias("least"), end(F.array_max).alias("most"))
+
+
 @query("d21_view_arity", f"WITH s AS ({bind.SAMPLES}) SELECT frame, count(DISTINCT view_id) AS views FROM s GROUP BY frame")
 def _(spark, sf):
     s = bind.samples(spark, sf)

@@ -37,7 +37,7 @@ class Engine:
         The lattice and depth filters come before the join; the views are one row for each camera."""
         on = mask.where(geometry.on_lattice(F.col("x"), F.col("y"), F.lit(stride)))
         z = depth.where(geometry.valid_depth(F.col("z"), self.set["min_depth"], self.set["max_depth"]))
-        rows = on.join(z, [*FRAME, "view_id", "y", "x"]).join(F.broadcast(views), ["rig", "view_id"])
+        rows = geometry.with_views(on.join(z, [*FRAME, "view_id", "y", "x"]), views, ["rig", "view_id"])
         c = F.col
         p = geometry.back_project(c("x"), c("y"), c("z"), c("fx"), c("fy"), c("cx"), c("cy"))
         w = geometry.rigid(p, [[c(f"r{i}{j}") for j in range(3)] for i in range(3)], [c("tx"), c("ty"), c("tz")])

@@ -246,3 +246,23 @@ def test_tracker_interface():
     with pytest.raises(ValueError, match="no tracker"):
         rigvane.build({"tracker": "none"})
     assert set(rigvane.__all__) >= {"Engine", "Tracker", "Detector", "build", "load_config"}
+
+
+def test_timing_files(spark, tmp_path):
+    """Appended CSV files with a header: preferred stages first, other known ones sorted, unknown ones left out."""
+    rows = [(1, "track", 1.5), (1, "fuse", 2.0), (2, "track", 3.0), (2, "other", 9.0)]
+    wide = profile.wide(spark.createDataFrame(rows, "frame long, stage string, value_ms double"), ["track"], ["fuse", "align"])
+    assert wide.columns == ["frame", "track", "align", "fuse"]
+    for _ in range(2):
+        frames.write_timings(wide, str(tmp_path / "t"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in back.select("frame", "track", "fuse").distinct().collect()) == [("1", "1.5", "2.0"), ("2", "3.0", None)] and back.count() == 4
+
+
+def test_a_model_is_a_function_of_batches(spark):
+    def model(batches):
+        for pdf in batches:
+            yield pdf.assign(score=pdf["x"] * 0.5)[["frame", "score"]]
+
+    df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "frame long, x double")
+    assert sorted(tuple(r) for r in masks.map_frames(df, model, "frame long, score double").collect()) == [(1, 1.0), (2, 1.5)]
