@@ -2,7 +2,7 @@
 
 All heavy work is vectorised over the UTF-8 buffer of an Arrow column.  A batch
 is cut into chunks of bounded bytes, so memory does not depend on how long the
-texts of one partition are together; a single text is never cut.
+texts of one partition are together; a single longer text is one chunk, unless `pieces` cuts it.
 """
 
 from __future__ import annotations
