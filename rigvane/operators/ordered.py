@@ -77,6 +77,8 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable
                 key = tuple(pdf[k].iloc[a] for k in keys)
                 if step is None or key != own:
                     own, step = key, start()
-                yield step(pdf.iloc[a:b])
+                # An empty frame has lost its columns' types, which Arrow does not take for strings.
+                if len(out := step(pdf.iloc[a:b])):
+                    yield out
 
     return rows.where(" and ".join(f"`{k}` is not null" for k in keys)).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

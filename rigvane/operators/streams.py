@@ -119,8 +119,8 @@ def latest_wins(arrivals: list[tuple[int, int]], service: int, size: int = 1, dr
 
 def queue_outcomes(messages: DataFrame, key: str, service: int, size: int = 1, drop_when_busy: bool = True) -> DataFrame:
     """J-1 in batch: what becomes of every message (key, id, t)."""
-    # A last row for each key says that nothing comes any more.
-    ends = messages.groupBy(key).agg(F.max("t").alias("t")).select(key, F.lit(None).cast("long").alias("id"), "t", F.lit(1).alias("__end"))
+    # A last row for each key says that nothing comes any more; its id is not null, as pandas turns longs with nulls into floats.
+    ends = messages.groupBy(key).agg(F.max("t").alias("t")).select(key, F.lit(0).cast("long").alias("id"), "t", F.lit(1).alias("__end"))
     rows = messages.select(key, F.col("id").cast("long").alias("id"), "t", F.lit(0).alias("__end")).unionByName(ends)
 
     def start() -> Callable[[pd.DataFrame], pd.DataFrame]:

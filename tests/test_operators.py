@@ -123,6 +123,26 @@ def test_bundles_queue_and_slots():
     ]
 
 
+def test_pieces_without_rows(spark):
+    """Wherever Arrow's batches cut a key's history: a piece that settles no message, or ends no bundle, gives no rows."""
+    rng = np.random.default_rng(1)
+    big = 2**53 + 1  # not a float
+    rows = [(f"rig{k}", big + 2 * i + k, int(t)) for k in range(3) for i, t in enumerate(np.sort(rng.integers(0, 200, 15 + k)))] + [("one", big, 7)]
+    m = spark.createDataFrame(rows, "rig string, id long, t long")
+    views = spark.createDataFrame([("rig", v, t, t) for v, t in [("a", 1), ("a", 5), ("b", 6), ("a", 30)]] + [("none", "a", 1, 1)], "rig string, view string, stamp_ns long, arrival long")
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        for n in (1, 2, 3, 10000):
+            spark.conf.set(conf, n)
+            for size, drop in [(1, True), (3, True), (2, False)]:
+                want = [(k, i, t, o) for k in {r[0] for r in rows} for t, i, o in streams.latest_wins([(t, i) for r, i, t in sorted(rows, key=lambda r: (r[2], r[1])) if r == k], 20, size, drop)]
+                assert sorted(tuple(r) for r in streams.queue_outcomes(m, "rig", 20, size, drop).collect()) == sorted(want)
+            assert [tuple(r) for r in streams.bundles(views, "rig", ["a", "b"], 2).collect()] == [("rig", 1, 5, 6)]
+    finally:
+        spark.conf.set(conf, before)
+
+
 def test_corrections_reasons(spark):
     k = spark.createDataFrame([(5, 5), (4, 5), (0, 32), (0, 33)], "ref_frame long, arrival_frame long")
     got = [r["reason"] for r in streams.admit_corrections(k, 32).orderBy("arrival_frame", F.desc("ref_frame")).collect()]
