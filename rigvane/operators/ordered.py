@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,8 +71,8 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable
         for pdf in batches:
             if not len(pdf):
                 continue
-            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-            new[0] = True
+            new = np.ones(len(pdf), dtype=bool)
+            new[1:] = np.any([(v := pdf[k].to_numpy())[1:] != v[:-1] for k in keys], axis=0)  # as they are: shift() would turn integers into floats
             starts = [*new.nonzero()[0].tolist(), len(pdf)]
             for a, b in zip(starts, starts[1:]):
                 key = tuple(pdf[k].iloc[a] for k in keys)

@@ -286,3 +286,33 @@ def test_a_model_is_a_function_of_batches(spark):
 
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "frame long, x double")
     assert sorted(tuple(r) for r in masks.map_frames(df, model, "frame long, score double").collect()) == [(1, 1.0), (2, 1.5)]
+
+
+@pytest.mark.parametrize("name", ["bundles", "queue_outcomes", "refreshes", "slot_lives", "nms", "global_ids"])
+def test_neighbouring_large_keys_share_nothing(spark, name):
+    """Keys that no double tells apart (as hashes are) give what small keys give, wherever their rows lie side by side."""
+    big = [2**53, 2**53 + 1, 2**53 + 2, 2**62 + 1, 2**62 + 2, -(2**61) - 1, -(2**61)]
+
+    def rows_of(keys):
+        ends = [k for k in keys for _ in range(12)]
+        at = list(range(12)) * len(keys)
+        r = np.random.default_rng(5).random((len(ends), 3))
+        if name == "bundles":
+            m = spark.createDataFrame([(k, "ab"[int(x > 0.5)], i, i) for k, i, (x, _, _) in zip(ends, at, r)], "k long, view string, stamp_ns long, arrival long")
+            return streams.bundles(m, "k", ["a", "b"], 2)
+        if name == "queue_outcomes":
+            return streams.queue_outcomes(spark.createDataFrame([(k, i, int(9 * x)) for k, i, (x, _, _) in zip(ends, at, r)], "k long, id long, t long"), "k", 3)
+        if name == "refreshes":
+            return streams.refreshes(spark.createDataFrame([(k, i, float(x), 2) for k, i, (x, _, _) in zip(ends, at, r)], "k long, frame long, presence double, service long"), "k", 6, 2, 0.3)
+        if name == "slot_lives":
+            return streams.slot_lives(spark.createDataFrame([(k, i, bool(x > 0.6), bool(y > 0.8)) for k, i, (x, y, _) in zip(ends, at, r)], "k long, frame long, visible boolean, corrected boolean"), "k", 2)
+        if name == "nms":
+            return detect.nms(spark.createDataFrame([(k, "box", i, sorted({int(20 * v) for v in z})) for k, i, z in zip(ends, at, r)], "k long, label string, rank long, pixels array<long>"), ["k"], ["pixels"], detect.pixel_iou, 0.3, 5)
+        groups = spark.createDataFrame([(k, i, g, "box") for k, i, (x, _, _) in zip(ends, at, r) for g in range(1, 2 + int(2 * x))], "k long, frame long, group_id long, label string")
+        costs = spark.createDataFrame([(k, i, 1, 1, float(y)) for k, i, (_, y, z) in zip(ends, at, r) if i and z > 0.4], "k long, frame long, a long, b long, cost double")
+        return crossframe.global_ids(groups.select("k", "frame").distinct(), groups, costs, ["k"])
+
+    small = {k: i for i, k in enumerate(big)}
+    got = sorted((tuple(small[v] if c == "k" else v for c, v in r.asDict().items()) for r in rows_of(big).coalesce(1).collect()), key=repr)
+    want = sorted((tuple(r) for r in rows_of(list(range(len(big)))).collect()), key=repr)
+    assert got == want and want
