@@ -1,4 +1,4 @@
-"""The ten text operators as registered queries, and the SQL of those that SQL can express on whole tables.
+"""The text operators as registered queries, and the SQL of those that SQL can express on whole tables.
 
 Trained models (1, 3, 4, 5, 8, 9), winnowing with its hashes (10) and windows of bytes (6: DuckDB cuts strings by
 characters, in time that grows with the place) have none; they are compared with plain twins in the tests."""
@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, fingerprints, language, licenses, ngram_join, pii, quality, secrets, sentencepiece_codec, substring_dedup
+from . import contamination, filter_audit, fingerprints, language, licenses, ngram_join, pii, quality, secrets, sentencepiece_codec, substring_dedup
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -45,8 +45,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language.query,
         "op9_license_scan": licenses.query,
         "op10_fingerprints": fingerprints.query,
+        "op12_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_ngram_join": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_ngram_join": OP7_SQL, "op12_filter_audit": filter_audit.SQL}
