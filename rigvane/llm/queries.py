@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, filter_audit, fingerprints, language, licenses, ngram_join, pii, quality, secrets, sentencepiece_codec, substring_dedup
+from . import contamination, conversations, filter_audit, fingerprints, language, licenses, ngram_join, pii, quality, secrets, sentencepiece_codec, substring_dedup
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -45,9 +45,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language.query,
         "op9_license_scan": licenses.query,
         "op10_fingerprints": fingerprints.query,
+        "op11_conversation_repair": conversations.query,
         "op12_filter_audit": filter_audit.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_ngram_join": OP7_SQL, "op12_filter_audit": filter_audit.SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_ngram_join": OP7_SQL, "op11_conversation_repair": conversations.SQL, "op12_filter_audit": filter_audit.SQL}
