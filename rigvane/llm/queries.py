@@ -1,6 +1,6 @@
 """The text operators as registered queries, and the SQL of those that SQL can express on whole tables.
 
-Trained models (1, 3, 4, 5, 8, 9), winnowing with its hashes (10) and windows of bytes (6: DuckDB cuts strings by
+Trained models (1, 3, 4, 5, 8, 9, 13), winnowing with its hashes (10) and windows of bytes (6: DuckDB cuts strings by
 characters, in time that grows with the place) have none; they are compared with plain twins in the tests."""
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, conversations, filter_audit, fingerprints, language, licenses, ngram_join, pii, quality, secrets, sentencepiece_codec, substring_dedup
+from . import brown, contamination, conversations, filter_audit, fingerprints, language, licenses, ngram_join, pii, quality, secrets, sentencepiece_codec, substring_dedup
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_fingerprints": fingerprints.query,
         "op11_conversation_repair": conversations.query,
         "op12_filter_audit": filter_audit.query,
+        "op13_brown_scores": brown.query,
     }
 
 
