@@ -235,7 +235,7 @@ class Exchange:
         self.table[c, c] += by * own
 
     def gains(self, right: np.ndarray, left: np.ndarray, own: float) -> np.ndarray:
-        """How much the likelihood grows if a unit that has no class joins each of them."""
+        """How much the likelihood grows if a unit that has no class joins each of them, but for what is the same for all classes."""
         k, t = self.k, self.table
         r, l = np.flatnonzero(right), np.flatnonzero(left)
         rows = xlogx(t[:k, r] + right[r]) - xlogx(t[:k, r])
@@ -244,7 +244,7 @@ class Exchange:
         c = np.arange(k)
         d = t[c, c]
         total += xlogx(d + right[:k] + left[:k] + own) - xlogx(d) - (xlogx(d + right[:k]) - xlogx(d)) - (xlogx(d + left[:k]) - xlogx(d))
-        out, into = t.sum(axis=1)[:k], t.sum(axis=0)[:k]
+        out, into = t.sum(axis=1)[:k] + left[:k], t.sum(axis=0)[:k] + right[:k]
         return total - (xlogx(out + right.sum() + own) - xlogx(out)) - (xlogx(into + left.sum() + own) - xlogx(into))
 
     def move(self, unit: int, sides: list[tuple[np.ndarray, np.ndarray]]) -> bool:
