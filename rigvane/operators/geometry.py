@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import with_quantiles
+
 KEY_BITS, KEY_BIAS = 21, 1 << 20
 
 
@@ -90,14 +92,14 @@ def even_cap(rows: DataFrame, keys: list[str], order: list[str], max_points: int
     return out.where(keep).drop("__i", "__n")
 
 
-def median_centroid(rows: DataFrame, keys: list[str], axes: tuple[str, ...] = ("wx", "wy", "wz"), digits: int = 6) -> DataFrame:
-    """E-4: component-wise exact median."""
-    return rows.groupBy(*keys).agg(*[F.round(F.median(a), digits).alias(f"c{a[-1]}") for a in axes])
+def median_centroid(rows: DataFrame, keys: list[str], axes: tuple[str, ...] = ("wx", "wy", "wz"), digits: int = 6, groups: DataFrame | None = None) -> DataFrame:
+    """E-4: component-wise exact median, beside the columns of `groups` (one row for each of keys) if they are given.  No task holds a group."""
+    return with_quantiles(rows.select(*keys).distinct() if groups is None else groups, rows, keys, [(f"c{a[-1]}", a, 0.5) for a in axes], digits)
 
 
 def robust_bbox(rows: DataFrame, keys: list[str], axes: tuple[str, ...] = ("wx", "wy", "wz"), low: float = 0.01, digits: int = 6) -> DataFrame:
-    """E-5: 1 % and 99 % linear quantiles."""
-    return rows.groupBy(*keys).agg(*[F.round(F.percentile(a, q), digits).alias(f"{n}{a[-1]}") for a in axes for n, q in (("lo", low), ("hi", 1 - low))])
+    """E-5: 1 % and 99 % linear quantiles.  No task holds a group."""
+    return with_quantiles(rows.select(*keys).distinct(), rows, keys, [(f"{n}{a[-1]}", a, q) for a in axes for n, q in (("lo", low), ("hi", 1 - low))], digits)
 
 
 def voxel_bbox_metric(vmin: Column, vmax: Column, origin: float, size: float) -> list[Column]:

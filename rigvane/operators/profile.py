@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import with_quantiles
+
 
 def stage_sums(timings: DataFrame) -> DataFrame:
     """E-17: repeated records of a stage in a frame add up."""
@@ -22,9 +24,8 @@ def after_warmup(sums: DataFrame, warmup: int) -> DataFrame:
 def summary(sums: DataFrame, digits: int = 6) -> DataFrame:
     """E-14, G-7: count, mean, median, p95, maximum and the first frame with it."""
     v = "value_ms"
-    return sums.groupBy("stage").agg(
-        F.count("*").alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.median(v), digits).alias("median"), F.round(F.percentile(v, 0.95), digits).alias("p95"), F.round(F.max(v), digits).alias("max"), F.max_by("frame", F.struct(F.col(v), -F.col("frame"))).alias("max_frame")
-    )
+    plain = sums.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg(v), digits).alias("mean"), F.round(F.max(v), digits).alias("max"), F.max_by("frame", F.struct(F.col(v), -F.col("frame"))).alias("max_frame"))
+    return with_quantiles(plain, sums, ["stage"], [("median", v, 0.5), ("p95", v, 0.95)], digits).select("stage", "n", "mean", "median", "p95", "max", "max_frame")
 
 
 def wide(sums: DataFrame, preferred: list[str], extras: list[str]) -> DataFrame:

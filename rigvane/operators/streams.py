@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import rate
 from .ordered import in_order, numbered, previous, running_sum, with_carry
+from .quantiles import with_quantiles
 
 #: Width of the buckets that histories are cut into, unless said otherwise: a day in microseconds.
 DAY_US = 86_400_000_000
@@ -161,20 +162,21 @@ def gaps(messages: DataFrame, keys: list[str], stamp: str, order: list[str], wid
 def rates(with_gaps: DataFrame, keys: list[str], stamp: str, scale: float, digits: int = 6) -> DataFrame:
     """E-15, J-12: count, rate by stamps, gap statistics and steps back, of each key group."""
     stat = lambda c, n: F.round(c, digits).alias(n)
-    return with_gaps.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        stat(rate(F.count("*"), F.min(stamp), F.max(stamp), scale), "rate"),
-        stat(F.avg("gap"), "gap_mean"),
-        stat(F.median("gap"), "gap_median"),
-        stat(F.percentile("gap", 0.95), "gap_p95"),
-        F.max("gap").alias("gap_max"),
-        F.count_if("non_monotonic").alias("n_non_monotonic"),
+    plain = with_gaps.groupBy(*keys).agg(
+        F.count("*").alias("n"), stat(rate(F.count("*"), F.min(stamp), F.max(stamp), scale), "rate"), stat(F.avg("gap"), "gap_mean"), F.max("gap").alias("gap_max"), F.count_if("non_monotonic").alias("n_non_monotonic")
     )
+    out = with_quantiles(plain, with_gaps, keys, [("gap_median", "gap", 0.5), ("gap_p95", "gap", 0.95)], digits)
+    return out.select(*keys, "n", "rate", "gap_mean", "gap_median", "gap_p95", "gap_max", "n_non_monotonic")
 
 
-def _stats(value: Column | str, name: str, digits: int) -> list[Column]:
-    """Mean, median, 95 % quantile and maximum."""
-    return [F.round(F.avg(value), digits).alias(f"{name}_mean"), F.round(F.median(value), digits).alias(f"{name}_median"), F.round(F.percentile(value, 0.95), digits).alias(f"{name}_p95"), F.round(F.max(value), digits).alias(f"{name}_max")]
+def _with_stats(rows: DataFrame, keys: list[str], first: list[Column], values: dict[str, Column], last: list[Column], digits: int) -> DataFrame:
+    """(keys, first, mean, median, 95 % quantile and maximum of each value, last) of each group."""
+    ends = [x for n, v in values.items() for x in (F.round(F.avg(v), digits).alias(f"{n}_mean"), F.round(F.max(v), digits).alias(f"{n}_max"))]
+    lead = rows.groupBy(*keys).agg(*first).columns
+    plain = rows.groupBy(*keys).agg(*first, *ends, *last)
+    out = with_quantiles(plain, rows, keys, [x for n, v in values.items() for x in ((f"{n}_median", v, 0.5), (f"{n}_p95", v, 0.95))], digits)
+    middle = [f"{n}_{x}" for n in values for x in ("mean", "median", "p95", "max")]
+    return out.select(*lead, *middle, *plain.columns[len(lead) + len(ends) :])
 
 
 def rate_report(messages: DataFrame, keys: list[str], wall: str, stamp: str, order: list[str], window: int, scale: float, digits: int = 6) -> DataFrame:
@@ -186,14 +188,12 @@ def rate_report(messages: DataFrame, keys: list[str], wall: str, stamp: str, ord
     gap = lambda c: (F.col(c) - F.lag(c).over(w)) * F.lit(1000.0 / scale)
     part = part.withColumn("__w", gap(wall)).withColumn("__s", gap(stamp)).withColumn("__back", F.coalesce(F.col(stamp) <= F.col("__p"), F.lit(False)))
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    return part.groupBy(*keys, "window").agg(
+    first = [
         F.count("*").alias("n"),
         F.round(F.count("*") * F.lit(scale / window), digits).alias("wall_rate"),
         F.round(rate(F.count("*"), F.min_by(stamp, F.struct(*order)), F.max_by(stamp, F.struct(*order)), scale), digits).alias("stamp_rate"),
-        *_stats(positive("__w"), "wall_gap", digits),
-        *_stats(positive("__s"), "stamp_gap", digits),
-        F.count_if("__back").alias("n_non_monotonic"),
-    )
+    ]
+    return _with_stats(part, [*keys, "window"], first, {"wall_gap": positive("__w"), "stamp_gap": positive("__s")}, [F.count_if("__back").alias("n_non_monotonic")], digits)
 
 
 def sync_report(tuples: DataFrame, raw: DataFrame, dropped: DataFrame, keys: list[str], scale: float, digits: int = 6) -> DataFrame:
@@ -203,7 +203,7 @@ def sync_report(tuples: DataFrame, raw: DataFrame, dropped: DataFrame, keys: lis
     ms = lambda c: c * F.lit(1000.0 / scale)
     a, b, c = F.col("colour"), F.col("depth"), F.col("info")
     skews = {"colour_depth": F.abs(a - b), "colour_info": F.abs(a - c), "depth_info": F.abs(b - c), "tuple_span": F.greatest(a, b, c) - F.least(a, b, c)}
-    own = tuples.groupBy(*keys).agg(F.count("*").alias("n"), *[x for k, v in skews.items() for x in _stats(ms(v), k, digits)])
+    own = _with_stats(tuples, keys, [F.count("*").alias("n")], {k: ms(v) for k, v in skews.items()}, [], digits)
     counts = raw.select(*keys, F.col("colour").alias("__colour"), F.col("depth").alias("__depth"))
     out = own.join(counts, keys, "left").join(dropped.select(*keys, F.col("dropped").alias("__dropped")), keys, "left")
     share = lambda part, of: F.round(F.lit(100.0) * part / F.greatest(F.lit(1), F.coalesce(of, F.lit(0))), digits)

@@ -342,7 +342,7 @@ def _(spark, sf):
 @query("e04_median_centroid", f"{CHAIN} SELECT view_id, label, round(median(wx), 5) AS cx, round(median(wy), 5) AS cy, round(median(wz), 5) AS cz, count(*) AS n FROM first GROUP BY ALL")
 def _(spark, sf):
     f = _first(spark, sf)
-    return geometry.median_centroid(f, ["view_id", "label"], digits=5).join(f.groupBy("view_id", "label").agg(F.count("*").alias("n")), ["view_id", "label"])
+    return geometry.median_centroid(f, ["view_id", "label"], digits=5, groups=f.groupBy("view_id", "label").agg(F.count("*").alias("n")))
 
 
 @query("e05_robust_bbox", f"{CHAIN} SELECT frame, label, round(quantile_cont(wx, 0.01), 5) AS lox, round(quantile_cont(wx, 0.99), 5) AS hix, round(quantile_cont(wz, 0.01), 5) AS loz, round(quantile_cont(wz, 0.99), 5) AS hiz FROM points GROUP BY ALL")
@@ -782,7 +782,7 @@ def _(spark, sf):
 def flagship(spark, sf):
     """How many occupied voxels has each class in each camera, and where is their median?"""
     f = _first(spark, sf)
-    return f.groupBy("view_id", "label").agg(F.countDistinct("key").alias("n_voxels"), *[F.round(F.median(w), 5).alias(f"c{w[-1]}") for w in ("wx", "wy", "wz")])
+    return geometry.median_centroid(f, ["view_id", "label"], digits=5, groups=f.groupBy("view_id", "label").agg(F.countDistinct("key").alias("n_voxels")))
 
 
 # --- sources, sinks and the rest -------------------------------------------------------------
