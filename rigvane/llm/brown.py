@@ -40,8 +40,8 @@ SMOOTH, EMIT = 20.0, 0.5
 LEAST_GAIN = 3e-5
 FORMS = 16
 END_UNIT, FIRST_WORD = FORMS, FORMS + 1
-#: Tokens that a task gathers before it hands on sums.
-HELD = 1 << 20
+#: Keys that a task gathers before it hands on sums, and buckets that sums are dealt out in.
+HELD, BUCKETS = 1 << 20, 4096
 
 _IS_WORD = byte_set([(0x20, 0x20), (0x09, 0x0D)], inverted=True)
 _VALUES = lower_values(29)
@@ -68,10 +68,27 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
 
-def tallied(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """(key, n): how often each 64-bit key occurs, summed in the task before it is dealt out."""
+def by_runs(of: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.ListArray]]:
+    """The values of `of`, of which equal ones lie side by side, once each, with the lists of what goes with them."""
+    at = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)) if len(of) else np.zeros(1, int)
+    ends = pa.array(at.astype(np.int32))
+    return of[at[:-1]], [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
+
+
+def tallied(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray], bucket_of: Callable[[np.ndarray], np.ndarray], give: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """How often each 64-bit key occurs: give(keys in order, counts) of each bucket.
+
+    A task sums its own texts, and hands on one row for each bucket, with lists of keys and counts, which are dealt out by bucket, in BUCKETS of them, and summed
+    again.  A task holds HELD keys and, in the second step, those of one bucket; the shuffle moves no single key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt() -> pa.RecordBatch:
+            key, n = summed(keys, counts)
+            bucket = bucket_of(key) % BUCKETS
+            order = np.argsort(bucket, kind="stable")
+            bucket, lists = by_runs(bucket[order], key[order], n[order])
+            return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *lists], ["bucket", "keys", "counts"])
+
         keys, counts, held = [], [], 0
         for batch in batches:
             for part in chunked(batch, "text"):
@@ -80,22 +97,39 @@ def tallied(texts: DataFrame, keys_of: Callable[[pa.Array], np.ndarray]) -> Data
                 counts.append(n)
                 held += len(key)
                 if held >= HELD:
-                    key, n = summed(keys, counts)
-                    if len(key) > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
-                        key, n = key[:0], n[:0]
-                    keys, counts, held = [key], [n], len(key)
+                    yield dealt()
+                    keys, counts, held = [], [], 0
         if held:
-            key, n = summed(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            yield dealt()
 
-    return in_arrow(texts, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, keys, counts = None, [], []
+        for batch in batches:
+            flat = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[1:]]
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                if b != bucket and keys:
+                    yield give(*summed(keys, counts))
+                    keys, counts = [], []
+                bucket = b
+                for to, (v, o) in zip((keys, counts), flat):
+                    to.append(v[o[i] : o[i + 1]])
+                if sum(map(len, keys)) >= HELD:
+                    keys, counts = ([x] for x in summed(keys, counts))
+        if keys:
+            yield give(*summed(keys, counts))
+
+    rows = in_arrow(texts, run, "bucket int, keys array<long>, counts array<long>")
+    return in_arrow(rows.repartition("bucket").sortWithinPartitions("bucket"), total, schema)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(key, form, n) of every token of the texts, ends included; the form is in the key's lowest five bits."""
-    rows = tallied(texts, lambda column: formed(*tokens(column)[:2]))
-    return rows.select("key", F.col("key").bitwiseAND(F.lit(31)).cast("int").alias("form"), "n")
+    """(key, form, n) of every token of the texts, ends included, written once; the form is in the key's lowest five bits."""
+
+    def give(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(by_runs(np.zeros(len(key)), key, n)[1], ["key", "n"])
+
+    lists = cut(tallied(texts, lambda column: formed(*tokens(column)[:2]), lambda key: (key >> np.int64(5)) & np.int64((1 << 58) - 1), give, "key array<long>, n array<long>"))
+    return lists.select(F.inline(F.arrays_zip("key", "n"))).select("key", F.col("key").bitwiseAND(F.lit(31)).cast("int").alias("form"), "n")
 
 
 def formed(h: np.ndarray, form: np.ndarray) -> np.ndarray:
@@ -146,17 +180,23 @@ def vocabulary(counts: DataFrame, unit_share: int = UNIT_SHARE, known_share: int
     return Vocabulary(int(total), int(types), key[by], n[by], units[by], FIRST_WORD + len(order), rare, known_share)
 
 
-def bigrams(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(u, v, n): how often unit v follows unit u in all texts; the end stands before each first word."""
+def neighbours(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(unit, side, others, counts), written once: how often each unit follows (side 0) and precedes (1) a unit, over all texts, by unit.  The end stands
+    before each first word.  A unit has at most as many of either as there are units."""
     shared = texts.sparkSession.sparkContext.broadcast(vocab)
 
     def pairs(column: pa.Array) -> np.ndarray:
         h, form, offs = tokens(column)
         unit = shared.value.units_of(formed(h, form))
-        return (before(unit, offs) << np.int64(20)) | unit
+        u = before(unit, offs)
+        return np.concatenate([(u << 21) | unit, (unit << 21) | (1 << 20) | u])
+
+    def give(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        head, lists = by_runs(key >> 20, (key & ((1 << 20) - 1)).astype(np.int32), n)
+        return pa.RecordBatch.from_arrays([pa.array((head >> 1).astype(np.int32)), pa.array((head & 1).astype(np.int32)), *lists], ["unit", "side", "others", "counts"])
 
-    rows = tallied(texts, pairs)
-    return rows.select(F.shiftright("key", 20).cast("int").alias("u"), F.col("key").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("v"), "n")
+    spread = lambda key: mix((key >> 21).view(np.uint64)).view(np.int64) & np.int64((1 << 62) - 1)
+    return cut(tallied(texts, pairs, spread, give, "unit int, side int, others array<int>, counts array<long>"))
 
 
 def before(unit: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -167,25 +207,6 @@ def before(unit: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return prev
 
 
-def neighbours(pairs: DataFrame) -> DataFrame:
-    """(unit, side, others, counts): each unit's followers (side 0) and predecessors (1), packed and dealt out by unit.  A unit has at
-    most as many of either as there are units."""
-    sides = F.array(F.struct(F.col("u").alias("unit"), F.lit(0).alias("side"), F.col("v").alias("other"), "n"), F.struct(F.col("v").alias("unit"), F.lit(1).alias("side"), F.col("u").alias("other"), "n"))
-    rows = pairs.select(F.inline(sides)).repartition("unit").sortWithinPartitions("unit", "side")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            at = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(at), batch.column(i)) for i in (2, 3)]
-            head = pa.array(at[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(head), batch.column(1).take(head), *lists], ["unit", "side", "others", "counts"])
-
-    return cut(rows.mapInArrow(pack, "unit int, side int, others array<int>, counts array<long>"))
-
-
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
     """(unit, [(followers, counts), (predecessors, counts)]) of rows in the order of units."""
     unit, held = None, ([], [])
@@ -266,10 +287,10 @@ class Exchange:
         return new != old
 
 
-def core_classes(pairs: DataFrame, n_units: int, classes: int = CLASSES, core: int = CORE, rounds: int = 10) -> np.ndarray:
+def core_classes(near: DataFrame, n_units: int, classes: int = CLASSES, core: int = CORE, rounds: int = 10) -> np.ndarray:
     """Classes of the first units, exchanged one after another on their own bigrams (core**2 counts at most); -1 for the others."""
     core = min(core, n_units)
-    rows = pairs.where(f"u < {core} and v < {core}").toArrow()
+    rows = near.where(f"side = 0 and unit < {core}").select(F.col("unit").alias("u"), F.inline(F.arrays_zip(F.col("others").alias("v"), F.col("counts").alias("n")))).where(f"v < {core}").toArrow()
     m = np.zeros((core, core))
     m[rows.column("u").to_numpy(), rows.column("v").to_numpy()] = rows.column("n").to_numpy()
     found = np.full(n_units, -1)
@@ -318,10 +339,9 @@ def proposals(near: DataFrame, x: Exchange) -> np.ndarray:
     return out
 
 
-def exchange(pairs: DataFrame, n_units: int, classes: int = CLASSES, core: int = CORE, rounds: int = ROUNDS) -> tuple[Exchange, list[float]]:
+def exchange(near: DataFrame, n_units: int, classes: int = CLASSES, core: int = CORE, rounds: int = ROUNDS) -> tuple[Exchange, list[float]]:
     """The classes of all units, with their bigram counts, and the log-likelihood after each round."""
-    near = neighbours(pairs)
-    found = core_classes(pairs, n_units, classes, core)
+    found = core_classes(near, n_units, classes, core)
     x = Exchange(class_table(near, found, classes), found)
     if (found < 0).any():  # units that are not in the core join it
         found = proposals(near, x)
@@ -364,9 +384,9 @@ class Model:
 def train(texts: DataFrame, classes: int = CLASSES, unit_share: int = UNIT_SHARE, known_share: int = KNOWN_SHARE) -> tuple[Model, DataFrame]:
     """The model of texts (column text), and the counts of all their words."""
     texts = texts.select(F.col("text"))
-    counts = cut(word_counts(texts))
+    counts = word_counts(texts)
     vocab = vocabulary(counts, unit_share, known_share)
-    x, _ = exchange(cut(bigrams(texts, vocab)), vocab.n_units, classes)
+    x, _ = exchange(neighbours(texts, vocab), vocab.n_units, classes)
     n = np.zeros(vocab.n_units)
     n[vocab.units[vocab.units >= FIRST_WORD]] = vocab.counts[vocab.units >= FIRST_WORD]
     n[:FORMS] = vocab.rare[:, 0]

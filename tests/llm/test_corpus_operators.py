@@ -268,9 +268,9 @@ def test_rounds_raise_the_likelihood_and_part_the_languages(spark):
     docs = spark.createDataFrame(corpus(7, 300), "doc_id long, text string")
     texts = docs.select("text")
     vocab = brown.vocabulary(brown.word_counts(texts), 300)
-    pairs = brown.bigrams(texts, vocab)
-    x, said = brown.exchange(pairs, vocab.n_units, classes=6, core=20)
+    near = brown.neighbours(texts, vocab)
+    x, said = brown.exchange(near, vocab.n_units, classes=6, core=20)
     assert said == sorted(said) and x.likelihood() == said[-1]
-    assert np.array_equal(x.table, brown.class_table(brown.neighbours(pairs), x.classes, 6))
+    assert np.array_equal(x.table, brown.class_table(near, x.classes, 6))
     of = lambda w: x.classes[vocab.units_of(brown.formed(*brown.tokens(pa.array([w]))[:2]))[0]]
     assert {of("kuna"), of("miko"), of("tapu")}.isdisjoint({of("strz"), of("pryk"), of("wolt")})
