@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import assign
+from . import assign, nearest
 from .ordered import in_order, previous
 
 
@@ -35,7 +35,8 @@ def chamfer(pairs: DataFrame, points: DataFrame, rig: list[str], frame: str = "f
     """D-13: the mean of both directions' mean nearest distances, for pairs (rig, frame, before, a, b) of a group a of frame `before` and b of
     `frame`; infinite if a side is empty.
 
-    Each point set is packed once, as one row; the two of a pair meet in one function, which works in blocks of bounded size."""
+    Each point set (those of one instance in one frame, so no more than the frame's pixels) is packed once, as one row; the two of a pair meet
+    in one function, which builds a k-d tree of each and searches both ways (`nearest`), in n log n."""
     packed = points.groupBy(*rig, frame, "group_id").agg(F.collect_list(F.array("x", "y", "z")).alias("__p"))
     side = lambda at, who, n: packed.select(*rig, F.col(frame).alias(at), F.col("group_id").alias(who), F.col("__p").alias(n))
     both = pairs.join(side("before", "a", "__pa"), [*rig, "before", "a"], "left").join(side(frame, "b", "__pb"), [*rig, frame, "b"], "left")
@@ -44,7 +45,7 @@ def chamfer(pairs: DataFrame, points: DataFrame, rig: list[str], frame: str = "f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [chamfer_points(_xyz(x), _xyz(y)) for x, y in zip(batch.column("__pa"), batch.column("__pb"))]
+            got = [nearest.chamfer(_xyz(x), _xyz(y)) for x, y in zip(batch.column("__pa"), batch.column("__pb"))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(got, pa.float64())], schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -55,23 +56,6 @@ def _xyz(cell: pa.ListScalar) -> np.ndarray | None:
     return cell.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3) if cell.is_valid else None
 
 
-def chamfer_points(a, b, block: int = 1 << 18) -> float:
-    if a is None or b is None or not len(a) or not len(b):
-        return float("inf")
-    x, y = np.asarray(a, float), np.ascontiguousarray(np.asarray(b, float).T)
-    ya, step = np.full(y.shape[1], np.inf), max(1, block // y.shape[1])
-    total = 0.0
-    for i in range(0, len(x), step):
-        d = np.zeros((len(x[i : i + step]), y.shape[1]))
-        for axis in range(3):
-            gap = x[i : i + step, axis, None] - y[axis]
-            gap *= gap
-            d += gap
-        total += np.sqrt(d.min(axis=1)).sum()
-        np.minimum(ya, d.min(axis=0), out=ya)
-    return 0.5 * (total / len(x) + np.sqrt(ya).mean())
-
-
 def cap_chamfer(pairs: DataFrame, most: float | None) -> DataFrame:
     """C-9: finite, and at most the cap if there is one."""
     out = pairs.where(F.col("chamfer").isNotNull() & (F.col("chamfer") < F.lit(float("inf"))) & ~F.isnan("chamfer"))

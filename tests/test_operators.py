@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import rigvane
 from rigvane import __main__ as cli
 from rigvane import tracker
-from rigvane.operators import assign, crossframe, crossview, detect, geometry, masks, profile, streams, voxel
+from rigvane.operators import assign, crossframe, crossview, detect, geometry, masks, nearest, profile, streams, voxel
 from rigvane.sources import frames
 
 
@@ -102,13 +102,44 @@ def test_key_range_is_checked(spark):
 
 
 def test_chamfer_and_ids():
-    assert crossframe.chamfer_points([[0, 0, 0]], [[3, 4, 0], [0, 0, 0]]) == pytest.approx(0.5 * (0 + 2.5))
-    assert crossframe.chamfer_points([], [[0, 0, 0]]) == float("inf")
+    assert nearest.chamfer(np.array([[0, 0, 0]]), np.array([[3, 4, 0], [0, 0, 0]])) == pytest.approx(0.5 * (0 + 2.5))
+    assert nearest.chamfer(np.zeros((0, 3)), np.array([[0, 0, 0]])) == float("inf") == nearest.chamfer(None, None)
     g = {0: [(1, "a"), (2, "a")], 1: [(1, "a")], 3: [(1, "a")]}
     got = crossframe.inherit_ids([0, 1, 2, 3], g, {1: {(2, 1): 0.1}})
     assert got == [(0, 1, 1), (0, 2, 2), (1, 1, 2), (3, 1, 3)]  # an empty frame forgets
 
 
+@pytest.mark.parametrize("shape", ["cloud", "far", "lattice", "line", "repeats", "huge"])
+def test_nearest_points_equal_brute_force(shape):
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (1, 90), (13, 12), (300, 500), (700, 26)]:
+        a, b = rng.normal(size=(n, 3)), rng.normal(size=(m, 3))
+        if shape == "far":
+            a += 1e4
+        elif shape == "lattice":
+            a, b = a.round(), b.round()
+        elif shape == "line":
+            b[:, 1] = b[:, 2] = b[:, 0]
+        elif shape == "repeats":
+            b[:] = b[0]
+        elif shape == "huge":
+            a, b = a * 1e150, b * 1e-150
+        d = a[:, None] - b[None]
+        d = (d * d)[..., 0] + (d * d)[..., 1] + (d * d)[..., 2]
+        assert np.array_equal(nearest.PointTree(b).squared(a), d.min(axis=1)) and np.array_equal(nearest.PointTree(a).squared(b), d.min(axis=0))
+
+
+def test_nearest_points_of_large_sets_look_at_few(monkeypatch):
+    """Work grows with n log n: of 100,000 points a side, a point is compared with a few leaves' points."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(100_000, 3)), rng.normal(size=(100_000, 3))
+    seen = []
+    to_leaf = nearest.PointTree._to_leaf
+    monkeypatch.setattr(nearest.PointTree, "_to_leaf", lambda self, q, leaf: seen.append(len(q)) or to_leaf(self, q, leaf))
+    nearest.PointTree(b).squared(a)
+    assert sum(seen) < 12 * len(a)
+
+
 def test_bundles_queue_and_slots():
     assert streams.bundle([(0, "a", 10), (1, "b", 11), (2, "a", 20), (3, "b", 90), (4, "a", 91)], ["a", "b"], 2) == ([{"a": 10, "b": 11}, {"b": 90, "a": 91}], {})
     out = streams.latest_wins([(0, 1), (1, 2), (2, 3), (3, 4)], 10)
