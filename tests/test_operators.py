@@ -140,6 +140,26 @@ def test_nearest_points_of_large_sets_look_at_few(monkeypatch):
     assert sum(seen) < 12 * len(a)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 6])
+def test_blocks_equal_single_voxels(spark, radius):
+    """Dilation and coverage on blocks of bits, with repeated voxels and voxels at every border of the lattice."""
+    rng = np.random.default_rng(radius)
+    low, high = -(1 << 20), (1 << 20) - 1
+    sets = {o: {tuple(v) for v in rng.integers(-5, 9, (25, 3)).tolist()} for o in range(3)}
+    sets[3] = {(low, low, low), (high, high, high), (low, high, 0), (0, 0, low), (high, 1, -1)}
+    key = lambda v: ((v[0] - low) << 42) | ((v[1] - low) << 21) | (v[2] - low)
+    df = spark.createDataFrame([("f", o, key(v)) for o, vs in sets.items() for v in [*vs, *list(vs)[:3]]], "frame string, obs long, key long").repartition(3)
+    r = range(-radius, radius + 1)
+    near = {o: {(x + i, y + j, z + k) for x, y, z in vs for i in r for j in r for k in r if low <= min(x + i, y + j, z + k) and max(x + i, y + j, z + k) <= high} for o, vs in sets.items()}
+    got = {}
+    for row in voxel.neighbourhood(df, ["frame", "obs"], radius).collect():
+        got.setdefault(row["obs"], []).append(row["key"])
+    assert {o: sorted(k) for o, k in got.items()} == {o: sorted(map(key, v)) for o, v in near.items()}
+    pairs = spark.createDataFrame([("f", a, b) for a in range(4) for b in range(a + 1, 4)], "frame string, a long, b long")
+    for row in voxel.coverage(df, pairs, ["frame"], "a", "b", radius).collect():
+        assert row["a_to_b"] == pytest.approx(len(sets[row["a"]] & near[row["b"]]) / len(sets[row["a"]])) and row["b_to_a"] == pytest.approx(len(sets[row["b"]] & near[row["a"]]) / len(sets[row["b"]]))
+
+
 def test_bundles_queue_and_slots():
     assert streams.bundle([(0, "a", 10), (1, "b", 11), (2, "a", 20), (3, "b", 90), (4, "a", 91)], ["a", "b"], 2) == ([{"a": 10, "b": 11}, {"b": 90, "a": 91}], {})
     out = streams.latest_wins([(0, 1), (1, 2), (2, 3), (3, 4)], 10)
