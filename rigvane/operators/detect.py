@@ -73,7 +73,8 @@ def nms(ranked: DataFrame, frame: list[str], features: list[str], overlap: Calla
     """F-2: greedy suppression in each class, at most `capacity` kept: (frame, label, rank).
 
     A class's detections come in the order of their ranks; each is compared with those kept so far, of which there are at
-    most `capacity`, so the work is linear in the detections and no pairs are stored.  overlap gets the features of two."""
+    most `capacity`, so the work is linear in the detections and no pairs are stored.  overlap gets the features of two (packed masks and
+    `masks.packed_iou`, for example)."""
     keys = [*frame, "label"]
 
     def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -96,13 +97,6 @@ def nms(ranked: DataFrame, frame: list[str], features: list[str], overlap: Calla
     return in_order(rows, keys, ["rank"], start, rows.select(*keys, "rank").schema)
 
 
-def pixel_iou(a: tuple, b: tuple) -> float:
-    """D-7 for `nms`: the overlap of two masks, each a feature of sorted pixel numbers."""
-    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
-    union = len(a[0]) + len(b[0]) - both
-    return both / union if union else 0.0
-
-
 def class_counts(detections: DataFrame, classes: DataFrame, frames: DataFrame, frame: list[str]) -> DataFrame:
     """E-12: kept detections of each class and frame; classes without any have 0."""
     n = detections.groupBy(*frame, "label").agg(F.count("*").alias("n"))

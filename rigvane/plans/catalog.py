@@ -238,16 +238,29 @@ def _(spark, sf):
 
 
 
+#: Detections with masks: a window of 24 x 20 pixels for each, of which rows set pixels; the windows of a class overlap.
+OBJECTS = """SELECT CAST(l_orderkey % 8 AS BIGINT) AS frame, l_returnflag AS label, CAST(l_suppkey % 15 AS BIGINT) AS det, CAST(3 * (l_suppkey % 5) + (l_partkey * 7919) % 24 AS INT) AS x,
+ CAST(7 * (l_suppkey % 3) + (l_orderkey * 104729 + l_linenumber * 31) % 20 AS INT) AS y, l_quantity FROM lineitem"""
+
+
 @query(
     "f02_nms",
-    f"""WITH RECURSIVE d AS ({DET}), k AS (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY score DESC, ord) - 1 AS rank FROM d WHERE score > 0.2e0 AND score >= 0.3e0 AND pixels >= 10),
- w AS (SELECT frame, label, 0::BIGINT AS rank, [(pixels)] AS kept, true AS keep FROM k WHERE rank = 0 UNION ALL
-  SELECT k.frame, k.label, k.rank, CASE WHEN ok THEN list_append(w.kept, k.pixels) ELSE w.kept END, ok FROM (SELECT k.*, w.kept AS prior, len(w.kept) < 5 AND len(list_filter(w.kept, lambda p: abs(p - k.pixels) <= 4)) = 0 AS ok FROM w JOIN k ON k.frame = w.frame AND k.label = w.label AND k.rank = w.rank + 1) k JOIN w ON w.frame = k.frame AND w.label = k.label AND w.rank = k.rank - 1)
- SELECT frame, label, rank FROM w WHERE keep""",
+    f"""WITH RECURSIVE o AS ({OBJECTS}), m AS (SELECT DISTINCT frame, label, det, x, y FROM o),
+ d AS (SELECT frame, label, det, max(l_quantity) + sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS score, count(DISTINCT 64 * y + x) AS n FROM o GROUP BY ALL),
+ k AS (SELECT frame, label, det, n, row_number() OVER (PARTITION BY frame, label ORDER BY score DESC, det) - 1 AS rank FROM d WHERE n >= 10),
+ i AS (SELECT p.frame, p.label, p.det AS a, q.det AS b, count(*) AS i FROM m p JOIN m q USING (frame, label, x, y) WHERE p.det <> q.det GROUP BY ALL),
+ bad AS (SELECT v.frame, v.label, v.rank, list(u.rank) AS bad FROM i JOIN k u ON u.frame = i.frame AND u.label = i.label AND u.det = i.a JOIN k v ON v.frame = i.frame AND v.label = i.label AND v.det = i.b AND u.rank < v.rank WHERE i.i / CAST(u.n + v.n - i.i AS DOUBLE) >= 0.25e0 GROUP BY ALL),
+ w AS (SELECT frame, label, 0::BIGINT AS rank, [0::BIGINT] AS kept, true AS keep FROM k WHERE rank = 0
+  UNION ALL SELECT frame, label, rank, CASE WHEN ok THEN list_append(kept, rank) ELSE kept END, ok FROM (SELECT k.frame, k.label, k.rank, w.kept, len(w.kept) < 5 AND NOT list_has_any(w.kept, coalesce(bad.bad, [])) AS ok FROM w JOIN k ON k.frame = w.frame AND k.label = w.label AND k.rank = w.rank + 1 LEFT JOIN bad ON bad.frame = k.frame AND bad.label = k.label AND bad.rank = k.rank))
+ SELECT w.frame, w.label, w.rank, k.det FROM w JOIN k USING (frame, label, rank) WHERE keep""",
 )
 def _(spark, sf):
-    near = lambda a, b: float(abs(a[0] - b[0]) <= 4)
-    return detect.nms(_ranked(spark, sf), ["frame"], ["pixels"], near, 0.5, 5)
+    o = bind._sql(table(spark, sf, "lineitem"), "lineitem", OBJECTS)
+    keys = ["frame", "label", "det"]
+    score = o.groupBy(*keys).agg((F.max("l_quantity") + F.count_if(c("l_quantity") > 25)).alias("score"))
+    d = masks.packed(o, keys).where("area >= 10").join(score, keys)
+    ranked = cut(detect.rank_in_class(d, ["frame"], ["det"]))
+    return detect.nms(ranked, ["frame"], ["tiles", "words"], masks.packed_iou, 0.25, 5).join(ranked.select(*keys, "rank"), ["frame", "label", "rank"])
 
 
 # --- masks -----------------------------------------------------------------------------------
@@ -296,11 +309,14 @@ def _(spark, sf):
     return masks.mask_iou(_mask(spark, sf), ["frame"], "label")
 
 
-@query("h04_mask_or_and", f"{M} SELECT 'or' AS op, frame, count(DISTINCT y * 64 + x) AS n FROM m WHERE label IN ('A', 'R') GROUP BY frame UNION ALL SELECT 'and', a.frame, count(*) FROM m a JOIN m b ON a.frame = b.frame AND a.x = b.x AND a.y = b.y AND a.label = 'A' AND b.label = 'R' GROUP BY a.frame")
+@query("h04_mask_or_and", f"{M}, p AS (SELECT a.label AS a, b.label AS b FROM (SELECT DISTINCT label FROM m) a, (SELECT DISTINCT label FROM m) b WHERE a.label < b.label) SELECT 'or' AS op, frame, a, b, count(DISTINCT y * 64 + x) AS n FROM m JOIN p ON label IN (a, b) GROUP BY frame, a, b UNION ALL SELECT 'and', u.frame, u.label, v.label, count(*) FROM m u JOIN m v ON u.frame = v.frame AND u.x = v.x AND u.y = v.y AND u.label < v.label GROUP BY ALL")
 def _(spark, sf):
+    """Every two labels of a frame."""
     m = _mask(spark, sf)
-    a, r = m.where("label = 'A'"), m.where("label = 'R'")
-    part = lambda how: masks.combine(a, r, ["frame"], how).groupBy(F.lit(how).alias("op"), "frame").agg(F.count("*").alias("n"))
+    labels = m.select("label").distinct()
+    pairs = labels.select(c("label").alias("a")).join(labels.select(c("label").alias("b")), c("a") < c("b"))
+    side = lambda x: m.withColumnRenamed("label", x).join(F.broadcast(pairs), x)
+    part = lambda how: masks.combine(side("a"), side("b"), ["frame", "a", "b"], how).groupBy(F.lit(how).alias("op"), "frame", "a", "b").agg(F.count("*").alias("n"))
     return part("or").unionByName(part("and"))
 
 

@@ -160,6 +160,35 @@ def test_blocks_equal_single_voxels(spark, radius):
         assert row["a_to_b"] == pytest.approx(len(sets[row["a"]] & near[row["b"]]) / len(sets[row["a"]])) and row["b_to_a"] == pytest.approx(len(sets[row["b"]] & near[row["a"]]) / len(sets[row["b"]]))
 
 
+def test_tiles_equal_pixels(spark):
+    """Overlap, OR, AND and owners by tiles of bits against sets of pixels, with repeated pixels and tiles that are full."""
+    rng = np.random.default_rng(9)
+    sets = {(f, t): {(int(y), int(x)) for y, x in rng.integers(0, [30, 20], (int(rng.integers(1, 300)), 2))} for f in range(2) for t in range(1, 4)}
+    sets[1, 4] = {(y, x) for y in range(16) for x in range(8)}
+    sets[1, 5] = {(479, 639), (0, 0)}
+    df = spark.createDataFrame([(f, t, y, x) for (f, t), v in sets.items() for y, x in [*v, *list(v)[:2]]], "frame long, track_id long, y int, x int").repartition(3)
+    back = {}
+    for r in masks.from_tiles(masks.to_tiles(df, ["frame", "track_id"]), ["frame", "track_id"]).collect():
+        back.setdefault((r["frame"], r["track_id"]), []).append((r["y"], r["x"]))
+    assert {k: sorted(v) for k, v in back.items()} == {k: sorted(v) for k, v in sets.items()}
+    got = {(r["frame"], r["a"], r["b"]): r["iou"] for r in masks.mask_iou(df, ["frame"], "track_id").collect()}
+    want = {(f, a, b): round(len(sets[f, a] & sets[f, b]) / len(sets[f, a] | sets[f, b]), 6) for f, a in sets for g, b in sets if f == g and a < b and sets[f, a] & sets[f, b]}
+    assert got == want
+    rows = {(r["frame"], r["track_id"]): r for r in masks.packed(df, ["frame", "track_id"]).collect()}
+    for (f, a, b), v in want.items():
+        p, q = rows[f, a], rows[f, b]
+        assert round(masks.packed_iou((p["tiles"], p["words"]), (q["tiles"], q["words"])), 6) == v and p["area"] == len(sets[f, a])
+    for how, op in (("or", set.union), ("and", set.intersection)):
+        out = masks.combine(df.where("track_id = 1"), df.where("track_id = 2"), ["frame"], how).collect()
+        assert sorted((r["frame"], r["y"], r["x"]) for r in out) == sorted((f, y, x) for f in range(2) for y, x in op(sets[f, 1], sets[f, 2]))
+    owners = {(r["frame"], r["y"], r["x"]): r["owner"] for r in masks.owner_map(df, ["frame"]).collect()}
+    cover = {}
+    for (f, t), v in sets.items():
+        for y, x in v:
+            cover.setdefault((f, y, x), []).append(t)
+    assert owners == {k: v[0] if len(v) == 1 else 0 for k, v in cover.items()}
+
+
 def test_bundles_queue_and_slots():
     assert streams.bundle([(0, "a", 10), (1, "b", 11), (2, "a", 20), (3, "b", 90), (4, "a", 91)], ["a", "b"], 2) == ([{"a": 10, "b": 11}, {"b": 90, "a": 91}], {})
     out = streams.latest_wins([(0, 1), (1, 2), (2, 3), (3, 4)], 10)
@@ -257,8 +286,8 @@ def test_buckets_change_nothing(spark, width):
 def test_detections_are_suppressed_in_one_pass(spark):
     rng = np.random.default_rng(6)
     masks_ = [sorted(rng.choice(40, size=int(rng.integers(1, 20)), replace=False).tolist()) for _ in range(60)]
-    df = spark.createDataFrame([(i % 2, "box", i // 2, m) for i, m in enumerate(masks_)], "frame long, label string, rank long, pixels array<long>")
-    got = {(r["frame"], r["rank"]) for r in detect.nms(df, ["frame"], ["pixels"], detect.pixel_iou, 0.3, 6).collect()}
+    pixels = spark.createDataFrame([(i % 2, "box", i // 2, v // 20, v % 20) for i, m in enumerate(masks_) for v in m], "frame long, label string, rank long, y int, x int")
+    got = {(r["frame"], r["rank"]) for r in detect.nms(masks.packed(pixels, ["frame", "label", "rank"]), ["frame"], ["tiles", "words"], masks.packed_iou, 0.3, 6).collect()}
     want = set()
     for f in (0, 1):
         kept = []
@@ -358,7 +387,7 @@ def test_neighbouring_large_keys_share_nothing(spark, name):
         if name == "slot_lives":
             return streams.slot_lives(spark.createDataFrame([(k, i, bool(x > 0.6), bool(y > 0.8)) for k, i, (x, y, _) in zip(ends, at, r)], "k long, frame long, visible boolean, corrected boolean"), "k", 2)
         if name == "nms":
-            return detect.nms(spark.createDataFrame([(k, "box", i, sorted({int(20 * v) for v in z})) for k, i, z in zip(ends, at, r)], "k long, label string, rank long, pixels array<long>"), ["k"], ["pixels"], detect.pixel_iou, 0.3, 5)
+            return detect.nms(spark.createDataFrame([(k, "box", i, sorted({int(20 * v) + 1 for v in z})) for k, i, z in zip(ends, at, r)], "k long, label string, rank long, tiles array<long>").withColumn("words", F.col("tiles")), ["k"], ["tiles", "words"], masks.packed_iou, 0.3, 5)
         groups = spark.createDataFrame([(k, i, g, "box") for k, i, (x, _, _) in zip(ends, at, r) for g in range(1, 2 + int(2 * x))], "k long, frame long, group_id long, label string")
         costs = spark.createDataFrame([(k, i, 1, 1, float(y)) for k, i, (_, y, z) in zip(ends, at, r) if i and z > 0.4], "k long, frame long, a long, b long, cost double")
         return crossframe.global_ids(groups.select("k", "frame").distinct(), groups, costs, ["k"])
