@@ -45,7 +45,7 @@ def test_secret_patterns_and_model(spark):
     model = secrets.train(spark.createDataFrame(secrets.identifier_samples(800), "text string, label int"))
     held = secrets.identifier_samples(300, seed=99)
     long = [(x, y) for x, y in held if len(x) >= 16]
-    right = sum((secrets.ratio(model.llr, x) >= model.threshold) == bool(y) for x, y in long)
+    right = sum(bool(secrets.stretches(model, x)) == bool(y) for x, y in long)
     assert right / len(long) > 0.93
 
 
