@@ -38,7 +38,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Characters that a token, and a stretch that is reported, have at least.
 LEAST = 16
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}"
 #: Forms of public identifiers, and numbers, as parts of tokens.
 PUBLIC = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]+Z?|[0-9]+)(?![A-Za-z0-9])")
 SEPARATORS = "/_-"
@@ -121,15 +121,16 @@ def labelled_samples(docs: DataFrame, text: str = "text", bound: int = 2000) ->
     without a digit as ordinary (0) and the values that fixed patterns match as random (1)."""
 
     def weak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = re.compile(CANDIDATE % LEAST)
         for batch in batches:
             got: list[tuple[str, int]] = []
             for t in batch.column(0).to_pylist():
                 if not t:
                     continue
                 base = base_spans(t)
-                got += [(v, 1) for _, s, e in base for v in CANDIDATE.findall(t[s:e]) if len(v) >= LEAST and any(c.isdigit() for c in v)]
+                got += [(v, 1) for _, s, e in base for v in token.findall(t[s:e]) if any(c.isdigit() for c in v)]
                 taken = [(s, e) for _, s, e in base]
-                ordinary = [m for m in CANDIDATE.finditer(t) if m.end() - m.start() >= LEAST and not any(c.isdigit() for c in m[0])]
+                ordinary = [m for m in token.finditer(t) if not any(c.isdigit() for c in m[0])]
                 got += [(m[0], 0) for m in [*ordinary, *WORD.finditer(t)] if not any(s < m.end() and m.start() < e for s, e in taken)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.int32())], ["text", "label"])
 
@@ -253,7 +254,7 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
 def all_spans(t: str, model: SecretModel, least: int = LEAST) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     base = base_spans(t)
     more = []
-    for m in CANDIDATE.finditer(t):
+    for m in re.finditer(CANDIDATE % least, t):
         more += [("markov", m.start() + a, m.start() + b) for a, b in stretches(model, m[0], least)]
     more = [x for x in more if not any(a < x[2] and x[1] < b for _, a, b in base)]
     return base, sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0]))) if more else base
