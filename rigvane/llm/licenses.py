@@ -1,7 +1,7 @@
 """Licence scans with a trained paragraph classifier, in DataFrame functions only.
 
-A text is cut into paragraphs at blank lines, and these into lines, as a licence may be a line of its own in
-running text or a notice wrapped over many.  Sparse binary features of a line, its word 1- and
+A text is cut into paragraphs at blank lines; a paragraph is classified as a whole, as a notice may be wrapped over many lines, and
+line by line, as a licence may be a line of its own in running text.  Sparse binary features of either, the word 1- and
 2-grams, go into a multinomial logistic regression over licence families, `unknown` (a
 licence of another family) and `none` (no licence).  A family is reported if its calibrated
 probability reaches the threshold; less sure licence lines are `unknown`.
@@ -32,21 +32,45 @@ from .common import read
 
 # Short public licence phrases, by family.
 TEMPLATES = {
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"],
     "apache": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License; you may obtain a copy of the License at apache org licenses"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.", "See accompanying file LICENSE or copy at boost org LICENSE"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Distributed under the BSD 3-Clause License."],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
+    "epl": ["Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License"],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
     "proprietary": ["All rights reserved.", "Copyright 2020. All rights reserved.", "No part of this publication may be reproduced without prior written permission"],
     "public-domain": ["This work has been released into the public domain.", "CC0 1.0 Universal Public Domain Dedication", "This is free and unencumbered software released into the public domain"],
-    "unknown": ["Licensed under the Eclipse Public License, version 2.0.", "Licensed under the European Union Public Licence.", "Subject to the terms of the zlib license.", "Distributed under the Boost Software License, Version 1.0.", "Use is subject to the license agreement.", "Licensed under the Open Data Commons license."],
+    "zlib": ["Subject to the terms of the zlib license.", "This software is provided as is, without any express or implied warranty; in no event will the authors be held liable for any damages arising from the use of this software"],
+    "unknown": ["Licensed under the European Union Public Licence.", "Distributed under the Artistic License 2.0.", "Use is subject to the license agreement.", "Licensed under the Open Data Commons license."],
 }
-# Longer public licence notices, whose wrapped lines are training rows too.
+# Short identifiers and names of the licences.
+IDENTIFIERS = {
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "apache": ["Apache-2.0"], "boost": ["BSL-1.0"], "bsd": ["BSD-3-Clause", "BSD-2-Clause"], "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "epl": ["EPL-2.0"],
+    "gpl": ["GPL-3.0-or-later", "GPL-2.0-only"], "isc": ["ISC"], "lgpl": ["LGPL-2.1-only", "LGPL-3.0-or-later"], "mit": ["MIT"], "mpl": ["MPL-2.0"], "public-domain": ["CC0-1.0", "Unlicense"], "zlib": ["Zlib"],
+}
+NAMES = {
+    "agpl": ["GNU AGPL", "AGPL v3", "GNU Affero GPL"], "apache": ["Apache", "Apache 2.0"], "boost": ["Boost Software", "Boost"], "bsd": ["BSD", "3-Clause BSD", "New BSD"], "cc-by": ["Creative Commons Attribution", "CC BY"], "cc-by-nc": ["Creative Commons Attribution NonCommercial", "CC BY-NC"],
+    "cc-by-sa": ["Creative Commons Attribution ShareAlike", "CC BY-SA"], "epl": ["Eclipse Public", "EPL"], "gpl": ["GNU GPL", "GPL v3", "GNU General Public"], "isc": ["ISC"], "lgpl": ["GNU LGPL", "LGPL", "GNU Lesser General Public"], "mit": ["MIT"], "mpl": ["Mozilla Public", "MPL 2.0"], "zlib": ["zlib"],
+}
+# How licences are named in four languages, and ordinary uses of the word.
+SAID = "Released under the {} License.|This project is licensed under the terms of the {} license.|License: {}|{} Licensed|The code is available under the {} licence.|Veröffentlicht unter der {}-Lizenz.|Lizenziert unter der {} Lizenz.|Dieses Werk steht unter der {}-Lizenz.|Publié sous licence {}.|Ce logiciel est distribué sous la licence {}.|Publicado bajo la licencia {}.|Este programa se distribuye bajo licencia {}.".split("|")
+NAMED = "{} was mentioned in the talk|we met {} people at the fair|the {} building is large|she works with {} every day|the {} team won again|a story about {} and the sea|they saw the {} from the hill|an old {} stood there".split("|")
+KINDS_OF_PERMIT = "driving fishing hunting gun marriage liquor taxi broadcasting pilot export trading dog television mining".split()
+USES = "a {} {} under the new law|her {} {} was revoked by the court|the {} {} costs ten euros a year|they applied for a {} {} in the city|no {} {} is needed to work here|the {} {} expired and the terms were discussed|the office grants a {} {} to any person".split("|")
+# Longer public licence notices, which are training rows and templates as a whole, and rows as wrapped lines.
 NOTICES = {
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. See the GNU Affero General Public License for more details."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."],
+    "boost": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https www eclipse org legal epl-2.0"],
     "apache": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http www apache org licenses LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
@@ -60,7 +84,7 @@ All rights and duties follow from the contract.|The committee reserved the room
 Permission to land was granted at once.|Public transport was free of charge.|The general spoke in public.|They share alike in the work.|The copyright law was debated in parliament.
 No part of the bridge was open.|Source and binary numbers were printed.|Attribution of the painting is unclear.|The domain of the function is open to the public.|Redistribution of land was slow.
 Er kam mit dem Zug und mit der Bahn.|Sie geht mit ihm in die Stadt.|Wir reisen mit Freunden.|Sa maison est belle et sa mère aussi.|A person made a copy of the form.|Use the data in other forms.|The program came with software.|The terms of the international treaty were subject to change.
-They modify the engine except on Sunday.|Food was provided and distributed to the domain.|A creative person will obtain a copy.|The book was released by a publication house.|Women fought for equal rights.|Cc the mail to the boss.|Nc and sa are short forms.|Boost the engine and use the data.
+They modify the engine except on Sunday.|Food was provided and distributed to the domain.|A creative person will obtain a copy.|The book was released by a publication house.|Women fought for equal rights.|The rights of way were reserved for carts.|All seats and rights were kept in reserve.|Cc the mail to the boss.|Nc and sa are short forms.|Boost the engine and use the data.
 The lesser evil was permitted.|The European Union met in spring.|Lunar eclipse in spring, an attribution error in the data.|The form was reproduced in the program.|He was obtaining a modification of the software.""".replace("\n", "|").split("|")
 # Words of which a wrapped line of a notice must have two to be a training row.
 _TELLING = set("license licensed gnu general lesser public apache mozilla redistribution redistributions redistribute binary source permission granted charge person obtaining copy software sublicense merge conditions copyright warranties warranty".split())
@@ -96,8 +120,13 @@ def labelled_table(spark: SparkSession, n: int = 40, seed: int = 7) -> DataFrame
     rows = []
     for family, templates in TEMPLATES.items():
         rows += [(t, family) for t in templates]
+        for i, said in enumerate(SAID * (family in NAMES)):
+            rows += [(said.format(name), family) for name in NAMES[family] for _ in range(2 if i < 2 else 1)]
+        for name in IDENTIFIERS.get(family, ()):
+            rows += [(f"{mark}SPDX-License-Identifier: {name}", family) for mark in ("", "// ", "# ")] + [(f"License: {name}", family), (f"license = {name}", family)]
         for notice in NOTICES.get(family, ()):
             words = notice.split()
+            rows += [(notice, family)] * 3
             for width in (7, 9, 11, 13):  # wrapped lines that name something
                 rows += [(line, family) for i in range(0, len(words), width) if len(set((line := " ".join(words[i : i + width])).lower().split()) & _TELLING) >= 2]
         for _ in range(n):
@@ -114,6 +143,14 @@ def labelled_table(spark: SparkSession, n: int = 40, seed: int = 7) -> DataFrame
     for _ in range(3 * n):
         verb, noun = r.choice(["Released", "Licensed", "Distributed", "Available", "Provided", "Published"]), r.choice(["License", "License", "Public License", "Software License", "Licence"])
         rows.append((f"{verb} under the {name()} {noun}{r.choice(['', '.', f' {r.randint(1, 4)}.{r.randint(0, 9)}.', f', version {r.randint(1, 4)}.{r.randint(0, 9)}.'])}", "unknown"))
+    for use in USES:
+        rows += [(use.format(kind, word), "none") for kind in KINDS_OF_PERMIT for word in ("licence", "license")]
+    for word in ("Lizenz", "Fahrlizenz", "licence de chasse", "licence de pêche", "licencia de conducir", "licencia de caza"):
+        rows += [(said.format(word), "none") for said in ("Er verlor seine {} im Sommer.", "Elle a perdu sa {}.", "La {} cuesta diez euros.", "Ohne {} darf er nicht spielen.")]
+    for said in ("the terms of the {} agreement were discussed for hours", "they signed the {} agreement in spring", "a {} fee is paid each year", "the {} server was down", "the board renewed the {} contract"):
+        rows += [(said.format(x), "none") for x in ("software license", "license", "software licence", "music licensing", "patent license", "franchise licence")]
+    for name in ("MIT", "Apache", "Boost", "boost", "Eclipse", "eclipse", "Mozilla", "GNU", "BSD", "Unlicense", "CC"):
+        rows += [(use.format(name), "none") for use in NAMED]
     for t in ORDINARY:
         rows += [(t, "none"), (f"{t} {' '.join(r.choice(filler) for _ in range(4))}", "none")]
     for _ in range(2 * n):
@@ -122,29 +159,36 @@ def labelled_table(spark: SparkSession, n: int = 40, seed: int = 7) -> DataFrame
     return spark.createDataFrame(rows, "text string, family string")
 
 
-def train(rows: DataFrame, max_rows: int = 20_000, steps: int = 800, rate: float = 3.0, sparsity: float = 8e-4, lead: float = 1.0, least: int = 3) -> LicenseModel:
-    """Fits the regression to a labelled table (text, family) of at most max_rows rows; every fifth row
+def train(rows: DataFrame, max_rows: int = 20_000, steps: int = 400, rate: float = 3.0, sparsity: float = 8e-4, lead: float = 1.0, least: int = 3) -> LicenseModel:
+    """Fits the regression to a labelled table (text, family) of at most max_rows rows or so, chosen by hash; every fifth row
     (by hash) is held back to calibrate the temperature."""
-    got = rows.where("family is not null").select(features_of(words_of(F.coalesce("text", F.lit("")))).alias("f"), "family", (F.pmod(F.xxhash64("text", "family"), F.lit(5)) == 0).alias("held")).orderBy("family", "text").limit(max_rows).collect()
+    rows = rows.where("family is not null").select(F.coalesce("text", F.lit("")).alias("text"), "family").groupBy("text", "family").agg(F.count("*").alias("n"))
+    total = rows.count()
+    if total > max_rows:
+        rows = rows.where(F.pmod(F.xxhash64("text", "family"), F.lit(1 << 30)) < F.lit((1 << 30) * max_rows // total))
+    got = rows.select(features_of(words_of(F.coalesce("text", F.lit("")))).alias("f"), "family", "text", "n", (F.pmod(F.xxhash64("text", "family"), F.lit(5)) == 0).alias("held")).collect()
+    got = sorted(got, key=lambda r: (r["family"], r["text"]))
     classes = sorted({r["family"] for r in got} - {"none"}) + ["none"]
     counts: dict[str, int] = {}
     for r in got:
         for f in r["f"]:
-            counts[f] = counts.get(f, 0) + 1
+            counts[f] = counts.get(f, 0) + r["n"]
     names = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
-    x = np.zeros((len(got), len(names)))
+    x = np.zeros((len(got), len(names)), np.float32)
     for i, r in enumerate(got):
         x[i, [names[f] for f in r["f"] if f in names]] = 1
     y = np.array([classes.index(r["family"]) for r in got])
     held = np.array([r["held"] for r in got])
-    one = np.eye(len(classes))[y]
-    w, b = np.zeros((len(names), len(classes))), np.zeros(len(classes))
-    share = one[~held].sum(axis=0)
-    cost = (1 / np.maximum(share, 1))[y][~held]
+    one = np.eye(len(classes), dtype=np.float32)[y]
+    w, b = np.zeros((len(names), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    times = np.array([r["n"] for r in got], float)
+    share = (one * times[:, None])[~held].sum(axis=0)
+    cost = (times / np.sqrt(np.maximum(share, 1))[y])[~held]  # between equal rows and equal classes
     cost /= cost.sum()
+    seen, want, cost = x[~held], one[~held], cost.astype(np.float32)[:, None]
     for _ in range(steps):
-        g = (softmax(x[~held] @ w + b) - one[~held]) * cost[:, None]
-        w -= rate * (x[~held].T @ g)
+        g = (softmax(seen @ w + b) - want) * cost
+        w -= rate * (seen.T @ g)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * sparsity, 0)  # proximal step of the absolute-value penalty
         b -= rate * g.sum(axis=0)
     used = np.abs(w).sum(axis=1) > 0
@@ -193,11 +237,13 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text: str
     names = F.array(*map(F.lit, model.classes))
     vocabulary = F.array(*map(F.lit, model.weights))
     table = F.create_map(*[x for f, w in model.weights.items() for x in (F.lit(f), F.array(*map(F.lit, w)))])
-    templates = {c: [sorted(set(_words(t))) for t in TEMPLATES.get(c, [])] for c in model.classes}
+    templates = {c: [sorted(set(_words(t))) for t in known_texts(c)] for c in model.classes}
     rows = docs.select(F.col(id_col), F.col(text).alias("__rv_text"))
     scored = lambda lines: F.transform(lines, lambda x: F.struct(x["line"].alias("line"), F.array_intersect(features_of(words_of(x["p"])), vocabulary).alias("f")))
     logits = lambda f: F.aggregate(f, F.array(*map(F.lit, model.bias)), lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
-    cue_lines = lambda p: F.filter(F.transform(F.split(p, "\n"), lambda t, i: F.struct(i.cast("long").alias("line"), t.alias("p"))), lambda x: has_cue(x["p"]))
+    # A paragraph as a whole is line -1, if it has several lines.
+    parts = lambda p: F.concat(F.when(F.contains(p, F.lit("\n")), F.array(p)).otherwise(F.array().cast("array<string>")), F.split(p, "\n"))
+    cue_lines = lambda p: F.filter(F.transform(parts(p), lambda t, i: F.struct((i - F.when(F.contains(p, F.lit("\n")), 1).otherwise(0)).cast("long").alias("line"), t.alias("p"))), lambda x: has_cue(x["p"]))
     cut = F.filter(F.transform(F.split(F.col("__rv_text"), r"\n[ \t\r]*\n"), lambda p, i: F.struct(i.cast("long").alias("k"), p.alias("p"))), lambda x: has_cue(x["p"]))
     none = F.array().cast("array<struct<k:bigint,p:string>>")
     # Each step is a column of its own, so that no expression is evaluated anew for each use.
@@ -222,8 +268,10 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text: str
                 out = F.when(family == c, F.greatest(*[F.size(F.array_intersect(words, F.array(*map(F.lit, s)))) / F.lit(float(len(s))) for s in sets], F.lit(0.0))).otherwise(out)
         return out
 
-    # A family's line with the highest probability speaks for it in a paragraph (the first such line).
-    lead = lambda x, y: ~F.exists(x["l"], lambda o: (o["family"] == y["family"]) & ((o["p"] > y["p"]) | ((o["p"] == y["p"]) & (o["line"] < y["line"]))))
+    # A family's line with the highest probability speaks for it in a paragraph (the first such line), the whole paragraph only where no line does.
+    whole = lambda y: y["line"] < 0
+    ahead = lambda o, y: (~whole(o) & whole(y)) | ((whole(o) == whole(y)) & ((o["p"] > y["p"]) | ((o["p"] == y["p"]) & (o["line"] < y["line"]))))
+    lead = lambda x, y: ~F.exists(x["l"], lambda o: (o["family"] == y["family"]) & ahead(o, y))
     rows = step(rows, "__rv_g", "__rv_h", lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), F.filter(x["l"], lambda y: lead(x, y)).alias("l")))
     shown = lambda x, y: F.struct(x["k"].alias("paragraph"), y["line"].alias("line"), y["family"].alias("family"), y["p"].alias("probability"), F.round(likeness(y["family"], x["w"]), 6).alias("likeness"))
     rows = rows.select(id_col, F.transform("__rv_h", lambda x: F.transform(x["l"], lambda y: shown(x, y))).alias("__rv_i"))
@@ -242,6 +290,12 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text: str
     )
 
 
+def known_texts(family: str) -> list[str]:
+    """Templates of a family: its phrases, its notices and its names."""
+    said = [f"{n} {w}" for n in NAMES.get(family, ()) for w in ("license", "licence", "lizenz", "licencia", "licensed")]
+    return [*TEMPLATES.get(family, ()), *NOTICES.get(family, ()), *said, *(f"license {n}" for n in IDENTIFIERS.get(family, ()))]
+
+
 def _words(t: str) -> list[str]:
     return [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split() if not any(c.isdigit() for c in w)]
 

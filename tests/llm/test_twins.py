@@ -360,6 +360,35 @@ def test_wrapped_and_unseen_licences(spark):
     assert out[6]["confirmed"] == "apache,mit" and [p["paragraph"] for p in out[6]["paragraphs"]] == [0, 1]
 
 
+#: Written by hand, apart from the rows that the model is trained on.
+NAMED = [
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED AS IS"), ("mit", "SPDX-License-Identifier: MIT"),
+    ("agpl", "This file is part of Foo, which is free software: you can redistribute it under the terms of the GNU Affero General Public License, version 3"), ("mit", "Der Quelltext ist unter der MIT-Lizenz veröffentlicht."),
+    ("apache", "Copyright 2019 The Authors. Use of this source is governed by the Apache License 2.0 that can be found in the LICENSE file."), ("gpl", "foo is distributed under the GPL (v2 or later)"), ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike License"), ("mpl", "This file is licensed under MPL 2.0, see the Mozilla Public License"), ("lgpl", "libfoo is covered by the GNU Lesser GPL"), ("cc-by", "Content licensed under CC BY 4.0 unless noted"),
+    ("apache", "// SPDX-License-Identifier: Apache-2.0"), ("public-domain", "The author dedicates this work to the public domain"), ("boost", "Use, modification and distribution are subject to the Boost Software License, Version 1.0"),
+    ("epl", "All rights reserved. This program is made available under the terms of the Eclipse Public License v2.0"), ("mit", "Licensed under MIT"), ("gpl", "Ce programme est un logiciel libre sous licence GNU GPL version 3"), ("zlib", "This library is under the zlib/libpng license"),
+    ("proprietary", "Alle Rechte. (c) 2014 Example GmbH. All rights reserved."), ("cc-by-nc", "Images: CC BY-NC 4.0, Creative Commons"),
+]
+NOT_NAMED = """a driving licence under the new law|the terms of the software license agreement|She lost her pilot's license after the accident.|The MIT Press published the book.|An apache warrior rode by|The gnu is a large antelope
+He holds a master's degree from MIT and a fishing licence.|license plates were stolen in the public car park|The creative commons room is open to all.|Permission was granted to enter the source of the river|Le permis de conduire et la licence de droit sont distincts
+Lizenzspieler dürfen nicht wechseln|The public license office opens at nine|Copyright law in the European Union was reformed|the lesser of two evils|all rights of passage were reserved for ships|Redistribution of income is a political question.
+the software was distributed freely in the 1980s|We discussed the boost in sales and the eclipse of the sun|the domain name is public""".replace("\n", "|").split("|")
+
+
+def test_licences_of_another_origin(spark):
+    model = licenses.train(licenses.labelled_table(spark))
+    rows = [(i, t) for i, t in enumerate([t for _, t in NAMED] + NOT_NAMED)]
+    out = {r["doc_id"]: r["families"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert sum(f in out[i] for i, (f, _) in enumerate(NAMED)) >= 0.8 * len(NAMED)
+    assert sum(out[len(NAMED) + i] != [""] for i in range(len(NOT_NAMED))) <= 1
+
+
+def test_labelled_rows_are_chosen_by_hash_from_all_families(spark):
+    model = licenses.train(licenses.labelled_table(spark), max_rows=600, steps=20)
+    assert set(model.classes) >= {"apache", "mit", "public-domain", "proprietary", "unknown", "none"}
+
+
 def test_licences_equal_a_plain_scorer(spark):
     model = licenses.train(licenses.labelled_table(spark))
     rng = random.Random(6)
@@ -373,7 +402,7 @@ def test_licences_equal_a_plain_scorer(spark):
         out = []
         for k, p in enumerate(re.split(r"\n[ \t\r]*\n", t or "")):
             lines = []
-            for i, line in enumerate(p.split("\n")):
+            for i, line in enumerate([p] * ("\n" in p) + p.split("\n"), -int("\n" in p)):
                 w = words(line)
                 f = {x for x in w if x not in licenses.COMMON and not re.fullmatch("[0-9]+", x)} | {f"{a} {b}" for a, b in zip(w, w[1:]) if not (a in licenses.COMMON and b in licenses.COMMON)}
                 z = (np.array(model.bias) + sum((np.array(model.weights[x]) for x in f if x in model.weights), np.zeros(len(model.bias)))) / model.temperature
@@ -385,9 +414,9 @@ def test_licences_equal_a_plain_scorer(spark):
             own = set(words(p))
             best = {}
             for y, q, i in lines:
-                if y not in best or q > best[y][0]:
+                if y not in best or (i >= 0, q) > (best[y][1] >= 0, best[y][0]):
                     best[y] = (q, i)
-            like = {y: max((len(own & set(licenses._words(s))) / len(set(licenses._words(s))) for s in licenses.TEMPLATES.get(y, []) if y != "unknown"), default=0.0) for y in best}
+            like = {y: max((len(own & set(licenses._words(s))) / len(set(licenses._words(s))) for s in licenses.known_texts(y) if y != "unknown"), default=0.0) for y in best}
             sure = {y for y in best if y != "unknown" and like[y] >= 0.7}
             out += [(k, i, y, y in sure) for y, (q, i) in best.items() if y != "unknown" or not sure]
         return sorted(out)
