@@ -83,3 +83,59 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable
                     yield out
 
     return rows.where(" and ".join(f"`{k}` is not null" for k in keys)).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def states_before(rows: DataFrame, keys: list[str], order: list[str], width: float, n_states: int, advance: Callable[[np.ndarray, tuple], np.ndarray], out: str, start: int = 0) -> DataFrame:
+    """Rows with the state that each of them meets, of an automaton with states 0 .. n_states - 1 that goes through each key's rows in order.
+
+    advance(states, row) gives the next state of each of the states.  A history is cut into buckets of order[0]; what a bucket does to every state it may
+    begin in is found for all buckets side by side, the buckets' functions (one short row for each) are put together in order, and then every bucket is gone
+    through once more from the state it begins in.  So many tasks work on one key's history.  rows has only columns that pandas can hold;
+    rows with a null key are left out."""
+    cut = rows.withColumn("__b", bucket_of(order[0], width))
+    names, parts = rows.columns, [*keys, "__b"]
+
+    def functions() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        n = 0
+
+        def step(p: pd.DataFrame) -> pd.DataFrame:
+            nonlocal n
+            to = np.arange(n_states)
+            for row in p[names].itertuples(index=False, name=None):
+                to = advance(to, row)
+            n += 1
+            return p[parts].iloc[:1].assign(__piece=n, __to=[to.tolist()])
+
+        return step
+
+    def begins() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        state = start
+
+        def step(p: pd.DataFrame) -> pd.DataFrame:
+            nonlocal state
+            at = []
+            for to in p["__to"]:
+                at.append(state)
+                state = int(to[state])
+            return p[parts].assign(__at=at)[(p["__piece"] == 1).to_numpy()]
+
+        return step
+
+    def states() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        state = None
+
+        def step(p: pd.DataFrame) -> pd.DataFrame:
+            nonlocal state
+            state = np.array([p["__at"].iloc[0]]) if state is None else state
+            met = []
+            for row in p[names].itertuples(index=False, name=None):
+                met.append(int(state[0]))
+                state = advance(state, row)
+            return p[names].assign(**{out: met})
+
+        return step
+
+    key_fields = [cut.schema[k] for k in parts]
+    maps = in_order(cut, parts, order, functions, T.StructType([*key_fields, T.StructField("__piece", T.LongType()), T.StructField("__to", T.ArrayType(T.LongType()))]))
+    first = in_order(maps, keys, ["__b", "__piece"], begins, T.StructType([*key_fields, T.StructField("__at", T.LongType())]))
+    return in_order(cut.join(first, parts), parts, order, states, T.StructType([*rows.schema, T.StructField(out, T.LongType())]))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import rate
-from .ordered import in_order, numbered, previous, running_sum, with_carry
+from .ordered import in_order, numbered, previous, running_sum, states_before, with_carry
 from .quantiles import with_quantiles
 
 #: Width of the buckets that histories are cut into, unless said otherwise: a day in microseconds.
@@ -312,17 +313,20 @@ def slot_life(visible: list[bool], active: bool, release_after: int, corrections
     return [(f, *slot.frame(seen, bool(corrections.get(f)))) for f, seen in enumerate(visible)]
 
 
-def slot_lives(states: DataFrame, key: str, release_after: int) -> DataFrame:
-    """J-3, J-13 in batch: states (key, frame 0.., visible, corrected)."""
+def slot_lives(states: DataFrame, key: str, release_after: int, width: int = 10_000) -> DataFrame:
+    """J-3, J-13 in batch: (key, frame, status, missing_frames, active); states (key, frame 0.., visible, corrected).
 
-    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        slot = SlotLife(release_after)
-
-        def step(p: pd.DataFrame) -> pd.DataFrame:
-            got = [slot.frame(bool(v), bool(c)) for v, c in zip(p["visible"], p["corrected"])]
-            return pd.DataFrame({key: p[key].to_numpy(), "frame": p["frame"].to_numpy(), "status": [s for s, _, _ in got], "missing_frames": [m for _, m, _ in got], "active": [a for *_, a in got]})
+    A slot is an automaton: 0 .. release_after - 1 frames missed, or released (release_after).  A long history is worked on in buckets of `width` frames, side by side."""
+    free = max(1, release_after)
 
-        return step
+    def advance(s: np.ndarray, row: tuple) -> np.ndarray:
+        _, _, seen, corrected = row
+        s = np.where((s == free) & bool(corrected), 0, s)
+        return np.where(s == free, free, 0 if seen else s + 1)
 
-    schema = T.StructType([states.schema[key], T.StructField("frame", T.LongType()), T.StructField("status", T.StringType()), T.StructField("missing_frames", T.LongType()), T.StructField("active", T.BooleanType())])
-    return in_order(states.select(key, F.col("frame").cast("long").alias("frame"), "visible", "corrected"), [key], ["frame"], start, schema)
+    plain = states.select(key, F.col("frame").cast("long").alias("frame"), F.coalesce("visible", F.lit(False)).alias("visible"), F.coalesce("corrected", F.lit(False)).alias("corrected"))
+    met = states_before(plain, [key], ["frame"], width, free + 1, advance, "__s")
+    before = F.when((F.col("__s") == free) & F.col("corrected"), 0).otherwise(F.col("__s"))
+    held, missing = before < free, F.when(before == free, before).when(F.col("visible"), 0).otherwise(before + 1)
+    status = F.when(held, F.when(F.col("visible"), "visible").otherwise("lost"))
+    return met.select(key, "frame", status.alias("status"), missing.cast("long").alias("missing_frames"), (held & (missing < free)).alias("active"))

@@ -283,6 +283,26 @@ def test_buckets_change_nothing(spark, width):
     assert {(r["k"], r["t"]): r["info"] for r in streams.as_of(df, infos, ["k"], "t", "at", ["info"], width=width).collect()} == want
 
 
+@pytest.mark.parametrize("width", [1, 7, 10_000])
+@pytest.mark.parametrize("release_after", [1, 2, 5])
+def test_slot_lives_in_buckets_equal_the_sequential_ones(spark, width, release_after):
+    """Wherever histories are cut, and however many pieces a bucket comes in: the rows are those of one slot gone through frame by frame."""
+    rng = np.random.default_rng(width + release_after)
+    rows = [(2**53 + k, int(f), bool(rng.random() < 0.4), [None, bool(rng.random() < 0.2)][int(rng.random() < 0.9)]) for k in range(3) for f in sorted(rng.choice(90, 60, replace=False))]
+    df = spark.createDataFrame(rows, "slot long, frame long, visible boolean, corrected boolean").repartition(3)
+    want = []
+    for k in {r[0] for r in rows}:
+        slot = streams.SlotLife(release_after)
+        want += [(k, f, *slot.frame(v, bool(c))) for q, f, v, c in rows if q == k]
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, 4)
+        assert sorted(map(tuple, streams.slot_lives(df, "slot", release_after, width).collect())) == sorted(want, key=lambda r: r[:2])
+    finally:
+        spark.conf.set(conf, before)
+
+
 def test_detections_are_suppressed_in_one_pass(spark):
     rng = np.random.default_rng(6)
     masks_ = [sorted(rng.choice(40, size=int(rng.integers(1, 20)), replace=False).tolist()) for _ in range(60)]
