@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import rate
+from ..plans.store import cut
 from .ordered import in_order, numbered, previous, running_sum, states_before, with_carry
 from .quantiles import with_quantiles
 
@@ -218,6 +219,35 @@ def report_windows(messages: DataFrame, keys: list[str], ts: str, interval: str)
     return messages.groupBy(*keys, F.window(ts, interval).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "n")
 
 
+def call_windows(messages: DataFrame, keys: list[str], ts: str, interval: int, width: float = DAY_US) -> DataFrame:
+    """F-13 with windows that follow the calls: (keys, start, end, n) of each report.
+
+    A report is due with the first message at least `interval` after the last report (or the first message), counts the messages since then, those of its own
+    time included, and starts the next window; the last window, which no report has closed, has no end.  The windows of a key are a chain in which each start
+    follows from the one before.  Every time gets a pointer to the time of the report that would follow it; in each round the starts known so
+    far are followed by one pointer, and pointers are doubled, so a chain of n windows takes log2(n) rounds of joins, whatever the number of keys."""
+    t = F.col(ts).cast("long")
+    times = cut(messages.select(*keys, t.alias("t")).groupBy(*keys, "t").agg(F.count("*").alias("n")))
+    # The first time at or after t + interval: the last one at or before it on a reversed axis.
+    ahead = times.select(*keys, "t", (-(F.col("t") + interval)).alias("__at"))
+    pointers = as_of(ahead, times.select(*keys, (-F.col("t")).alias("__to")), keys, "__at", "__to", ["__to"], "inner", width).select(*keys, "t", (-F.col("__to")).alias("to"))
+    spans = times.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("s"))
+    most = (spans.agg(F.max("s")).first()[0] or 0) // interval + 1
+    starts = times.groupBy(*keys).agg(F.min("t").alias("t"))
+    pointers = cut(pointers)
+    for k in range(int(most).bit_length()):
+        starts = starts.union(starts.join(pointers, [*keys, "t"]).select(*keys, F.col("to").alias("t"))).distinct()
+        pointers = pointers.join(pointers.select(*keys, F.col("t").alias("to"), F.col("to").alias("__next")), [*keys, "to"]).select(*keys, "t", F.col("__next").alias("to"))
+        if k % 4 == 3:
+            starts, pointers = cut(starts), cut(pointers)
+    starts = cut(starts)
+    # A message belongs to the window that began before it, the first of all to the first one.
+    found = as_of(times.withColumn("__at", F.col("t") - 1), starts.select(*keys, F.col("t").alias("start")), keys, "__at", "start", ["start"], "left", width)
+    counted = found.groupBy(*keys, F.coalesce("start", "t").alias("start")).agg(F.sum("n").alias("n"))
+    ends = starts.select(*keys, F.col("t").alias("start"), F.lead("t").over(Window.partitionBy(*keys).orderBy("t")).alias("end"))
+    return ends.join(counted, [*keys, "start"], "left").select(*keys, "start", "end", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def running_totals(rows: DataFrame, keys: list[str], order: list[str], value: str, width: float = DAY_US) -> DataFrame:
     """F-12."""
     return running_sum(rows, keys, order, value, width, "total")

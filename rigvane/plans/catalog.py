@@ -746,6 +746,18 @@ def _(spark, sf):
     return streams.report_windows(e, ["event_type"], "ts", "1 day")
 
 
+@query(
+    "f13_call_windows",
+    """WITH RECURSIVE e AS (SELECT event_type, CAST(epoch_us(ts) AS BIGINT) AS t, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT event_type, min(t) AS s FROM e GROUP BY event_type
+  UNION ALL SELECT w.event_type, min(e.t) FROM w JOIN e ON e.event_type = w.event_type AND e.t >= w.s + 21600000000 GROUP BY w.event_type, w.s),
+ x AS (SELECT event_type, s, lead(s) OVER (PARTITION BY event_type ORDER BY s) AS f, row_number() OVER (PARTITION BY event_type ORDER BY s) AS k FROM w)
+ SELECT x.event_type, x.s AS start, x.f AS "end", CAST(coalesce(sum(e.n), 0) AS BIGINT) AS n FROM x LEFT JOIN e ON e.event_type = x.event_type AND (e.t > x.s OR (x.k = 1 AND e.t = x.s)) AND (x.f IS NULL OR e.t <= x.f) GROUP BY ALL""",
+)
+def _(spark, sf):
+    e = table(spark, sf, "events").withColumn("us", F.unix_micros(c("ts").cast("timestamp")))
+    return streams.call_windows(e, ["event_type"], "us", 21_600_000_000)
+
+
 TIMES = "SELECT CAST(event_id // 5 AS BIGINT) AS frame, event_type AS stage, sum(value) AS value_ms FROM events GROUP BY ALL"
 
 

@@ -303,6 +303,24 @@ def test_slot_lives_in_buckets_equal_the_sequential_ones(spark, width, release_a
         spark.conf.set(conf, before)
 
 
+@pytest.mark.parametrize("width", [9, 10_000])
+def test_windows_that_follow_the_calls_equal_a_plain_loop(spark, width):
+    rng = np.random.default_rng(11)
+    rows = [(k, int(t)) for k, n, top in (("a", 200, 3000), ("b", 5, 4000), ("c", 1, 10), ("d", 300, 40)) for t in rng.integers(-50, top, n)]
+    want = []
+    for k in {r[0] for r in rows}:
+        t = sorted(x for q, x in rows if q == k)
+        start, n, first = t[0], 0, True
+        for i, x in enumerate(t):
+            n += 1
+            if (i + 1 == len(t) or t[i + 1] > x) and x - start >= 7 and (x > start or not first):
+                want.append((k, start, x, n))
+                start, n, first = x, 0, False
+        want.append((k, start, None, n))
+    got = [tuple(r) for r in streams.call_windows(spark.createDataFrame(rows, "k string, t long"), ["k"], "t", 7, width).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 100
+
+
 def test_detections_are_suppressed_in_one_pass(spark):
     rng = np.random.default_rng(6)
     masks_ = [sorted(rng.choice(40, size=int(rng.integers(1, 20)), replace=False).tolist()) for _ in range(60)]
