@@ -1,8 +1,7 @@
 """Exact quantiles of groups of any size, without a buffer that grows with a group.
 
-Values are counted (one row for each distinct value of a group, summed before it is dealt out), and each wanted rank is
-narrowed down in steps of the same kind: a histogram of a group's values, running sums over its bins, and the bin that holds the
-rank.  The first bins are equal steps of the logarithm (a fixed number for all doubles), the next LINEAR equal steps between a bin's
+Each wanted rank is narrowed down in steps of the same kind: a histogram of a group's values (summed before it is dealt out, so little is shuffled), running
+sums over its bins, and the bin that holds the rank.  The rows are read once for each step, and only those in bins that hold a rank go on.  The first bins are equal steps of the logarithm (a fixed number for all doubles), the next LINEAR equal steps between a bin's
 least and greatest value; what is left in one such part of a bin is ordered by value.  Bins only guide the search: whatever the
 distribution, the value is the one at the rank."""
 
@@ -26,9 +25,13 @@ def _part(v: Column, low: Column, high: Column) -> Column:
     return F.when(low < high, F.least(F.floor((v - low) / (high - low) * LINEAR), F.lit(LINEAR - 1))).otherwise(0).cast("long")
 
 
-def _narrowed(counts: DataFrame, wanted: DataFrame, at: list[str], bin_: str) -> DataFrame:
-    """Wanted ranks (g, which, q, end, rank, *at) with the bin that holds each, the rank inside it, and the bin's least and greatest value."""
-    hist = counts.groupBy("g", "which", *at, bin_).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+def _histogram(values: DataFrame, at: list[str], bin_: str) -> DataFrame:
+    """How many values (g, which, *at, v) each bin holds, and its least and greatest value."""
+    return values.groupBy("g", "which", *at, bin_).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def _held(hist: DataFrame, wanted: DataFrame, at: list[str], bin_: str) -> DataFrame:
+    """Wanted ranks (g, which, name, place, rank, *at) with the bin that holds each, the rank inside it, and the bin's ends."""
     upto = F.sum("n").over(Window.partitionBy("g", "which", *at).orderBy(bin_).rowsBetween(Window.unboundedPreceding, 0))
     hist = hist.withColumn("after", upto).withColumn("before", F.col("after") - F.col("n"))
     keep = ["g", "which", *at, bin_, "low", "high", "before", "after"]
@@ -46,17 +49,19 @@ def quantiles(rows: DataFrame, keys: list[str], wanted: list[tuple[str, Column |
     column = {str(v): F.col(v) if isinstance(v, str) else v for _, v, _ in wanted}
     listed = F.array(*[F.struct(F.lit(i).alias("which"), column[v].cast("double").alias("v")) for i, v in enumerate(values)])
     flat = rows.select(F.struct(*keys).alias("g"), F.inline(listed)).where("v is not null")
-    counts = flat.groupBy("g", "which", "v").agg(F.count("*").alias("n")).withColumn("bin", _log_bin(F.col("v")))
+    flat = flat.withColumn("bin", _log_bin(F.col("v")))
     asked = F.array(*[F.struct(F.lit(values.index(str(v))).alias("which"), F.lit(float(q)).alias("q"), F.lit(name).alias("name")) for name, v, q in wanted])
+    hist = _histogram(flat, [], "bin")
     # Places of the wanted quantiles among a group's values, and the whole ranks on both sides of each.
-    sizes = counts.groupBy("g", "which").agg(F.sum("n").alias("size")).withColumn("a", F.explode(F.filter(asked, lambda a: a["which"] == F.col("which"))))
+    sizes = hist.groupBy("g", "which").agg(F.sum("n").alias("size")).withColumn("a", F.explode(F.filter(asked, lambda a: a["which"] == F.col("which"))))
     places = sizes.select("g", "which", F.col("a.name").alias("name"), (F.col("a.q") * (F.col("size") - 1)).alias("place"))
     ends = places.select("g", "which", "name", "place", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank"))
-    first = _narrowed(counts, ends, [], "bin")
+    first = _held(hist, ends, [], "bin")
     edges = first.select("g", "which", "bin", "low", "high").distinct()
-    inside = counts.join(edges, ["g", "which", "bin"]).withColumn("part", _part(F.col("v"), F.col("low"), F.col("high"))).select("g", "which", "bin", "part", "v", "n")
-    second = _narrowed(inside, first, ["bin"], "part")
-    last = _narrowed(inside.join(second.select("g", "which", "bin", "part").distinct(), ["g", "which", "bin", "part"]).withColumn("value", F.col("v")), second, ["bin", "part"], "value")
+    inside = flat.join(edges, ["g", "which", "bin"]).withColumn("part", _part(F.col("v"), F.col("low"), F.col("high"))).select("g", "which", "bin", "part", "v")
+    second = _held(_histogram(inside, ["bin"], "part"), first, ["bin"], "part")
+    rest = inside.join(second.select("g", "which", "bin", "part").distinct(), ["g", "which", "bin", "part"]).withColumn("value", F.col("v"))
+    last = _held(_histogram(rest, ["bin", "part"], "value"), second, ["bin", "part"], "value")
     # The value at a place between two ranks is their mean, weighed by nearness.
     low, high = F.min_by("value", "whole"), F.max_by("value", "whole")
     share = F.first("place") - F.floor(F.first("place"))
