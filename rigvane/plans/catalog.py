@@ -238,9 +238,9 @@ def _(spark, sf):
 
 
 
-#: Detections with masks: a window of 24 x 20 pixels for each, of which rows set pixels; the windows of a class overlap.
-OBJECTS = """SELECT CAST(l_orderkey % 8 AS BIGINT) AS frame, l_returnflag AS label, CAST(l_suppkey % 15 AS BIGINT) AS det, CAST(3 * (l_suppkey % 5) + (l_partkey * 7919) % 24 AS INT) AS x,
- CAST(7 * (l_suppkey % 3) + (l_orderkey * 104729 + l_linenumber * 31) % 20 AS INT) AS y, l_quantity FROM lineitem"""
+#: Detections with masks: a window of 12 x 10 pixels for each, of which rows set pixels; the windows of a class overlap.
+OBJECTS = """SELECT CAST(l_orderkey % 2 AS BIGINT) AS frame, l_returnflag AS label, CAST(l_suppkey % 15 AS BIGINT) AS det, CAST(2 * (l_suppkey % 5) + (l_partkey * 7919) % 12 AS INT) AS x,
+ CAST(4 * (l_suppkey % 3) + (l_orderkey * 104729 + l_linenumber * 31) % 10 AS INT) AS y, l_quantity FROM lineitem"""
 
 
 @query(
@@ -249,7 +249,7 @@ OBJECTS = """SELECT CAST(l_orderkey % 8 AS BIGINT) AS frame, l_returnflag AS lab
  d AS (SELECT frame, label, det, max(l_quantity) + sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS score, count(DISTINCT 64 * y + x) AS n FROM o GROUP BY ALL),
  k AS (SELECT frame, label, det, n, row_number() OVER (PARTITION BY frame, label ORDER BY score DESC, det) - 1 AS rank FROM d WHERE n >= 10),
  i AS (SELECT p.frame, p.label, p.det AS a, q.det AS b, count(*) AS i FROM m p JOIN m q USING (frame, label, x, y) WHERE p.det <> q.det GROUP BY ALL),
- bad AS (SELECT v.frame, v.label, v.rank, list(u.rank) AS bad FROM i JOIN k u ON u.frame = i.frame AND u.label = i.label AND u.det = i.a JOIN k v ON v.frame = i.frame AND v.label = i.label AND v.det = i.b AND u.rank < v.rank WHERE i.i / CAST(u.n + v.n - i.i AS DOUBLE) >= 0.25e0 GROUP BY ALL),
+ bad AS (SELECT v.frame, v.label, v.rank, list(u.rank) AS bad FROM i JOIN k u ON u.frame = i.frame AND u.label = i.label AND u.det = i.a JOIN k v ON v.frame = i.frame AND v.label = i.label AND v.det = i.b AND u.rank < v.rank WHERE i.i / CAST(u.n + v.n - i.i AS DOUBLE) >= 0.2e0 GROUP BY ALL),
  w AS (SELECT frame, label, 0::BIGINT AS rank, [0::BIGINT] AS kept, true AS keep FROM k WHERE rank = 0
   UNION ALL SELECT frame, label, rank, CASE WHEN ok THEN list_append(kept, rank) ELSE kept END, ok FROM (SELECT k.frame, k.label, k.rank, w.kept, len(w.kept) < 5 AND NOT list_has_any(w.kept, coalesce(bad.bad, [])) AS ok FROM w JOIN k ON k.frame = w.frame AND k.label = w.label AND k.rank = w.rank + 1 LEFT JOIN bad ON bad.frame = k.frame AND bad.label = k.label AND bad.rank = k.rank))
  SELECT w.frame, w.label, w.rank, k.det FROM w JOIN k USING (frame, label, rank) WHERE keep""",
@@ -260,7 +260,7 @@ def _(spark, sf):
     score = o.groupBy(*keys).agg((F.max("l_quantity") + F.count_if(c("l_quantity") > 25)).alias("score"))
     d = masks.packed(o, keys).where("area >= 10").join(score, keys)
     ranked = cut(detect.rank_in_class(d, ["frame"], ["det"]))
-    return detect.nms(ranked, ["frame"], ["tiles", "words"], masks.packed_iou, 0.25, 5).join(ranked.select(*keys, "rank"), ["frame", "label", "rank"])
+    return detect.nms(ranked, ["frame"], ["tiles", "words"], masks.packed_iou, 0.2, 5).join(ranked.select(*keys, "rank"), ["frame", "label", "rank"])
 
 
 # --- masks -----------------------------------------------------------------------------------
