@@ -59,6 +59,13 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str,
     return cut.join(sums, [*keys, "__b"]).withColumn(out, total).drop("__b", "__before")
 
 
+def _new_keys(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Which rows have another key than the row before; the first one has."""
+    new = np.ones(len(pdf), dtype=bool)
+    new[1:] = np.any([(v := pdf[k].to_numpy())[1:] != v[:-1] for k in keys], axis=0)  # as they are: shift() would turn integers into floats
+    return new
+
+
 def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: T.StructType | str) -> DataFrame:
     """For each key a function from start() gets the key's rows in order, piece by piece, and gives rows of the schema.
 
@@ -71,9 +78,7 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable
         for pdf in batches:
             if not len(pdf):
                 continue
-            new = np.ones(len(pdf), dtype=bool)
-            new[1:] = np.any([(v := pdf[k].to_numpy())[1:] != v[:-1] for k in keys], axis=0)  # as they are: shift() would turn integers into floats
-            starts = [*new.nonzero()[0].tolist(), len(pdf)]
+            starts = [*_new_keys(pdf, keys).nonzero()[0].tolist(), len(pdf)]
             for a, b in zip(starts, starts[1:]):
                 key = tuple(pdf[k].iloc[a] for k in keys)
                 if step is None or key != own:
@@ -85,57 +90,70 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable
     return rows.where(" and ".join(f"`{k}` is not null" for k in keys)).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def states_before(rows: DataFrame, keys: list[str], order: list[str], width: float, n_states: int, advance: Callable[[np.ndarray, tuple], np.ndarray], out: str, start: int = 0) -> DataFrame:
-    """Rows with the state that each of them meets, of an automaton with states 0 .. n_states - 1 that goes through each key's rows in order.
-
-    advance(states, row) gives the next state of each of the states.  A history is cut into buckets of order[0]; what a bucket does to every state it may
-    begin in is found for all buckets side by side, the buckets' functions (one short row for each) are put together in order, and then every bucket is gone
-    through once more from the state it begins in.  So many tasks work on one key's history.  rows has only columns that pandas can hold;
-    rows with a null key are left out."""
-    cut = rows.withColumn("__b", bucket_of(order[0], width))
-    names, parts = rows.columns, [*keys, "__b"]
+#: Numbers that a piece of rows has at most in `_through`, one for each row and state.
+PIECE = 2**20
 
-    def functions() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        n = 0
 
-        def step(p: pd.DataFrame) -> pd.DataFrame:
-            nonlocal n
-            to = np.arange(n_states)
-            for row in p[names].itertuples(index=False, name=None):
-                to = advance(to, row)
-            n += 1
-            return p[parts].iloc[:1].assign(__piece=n, __to=[to.tolist()])
+def _through(batches: Iterator[pd.DataFrame], keys: list[str], n_states: int, moves: Callable[[pd.DataFrame], np.ndarray]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of sorted rows with: whether a row is its key's first one, and the state before and after it for each state that the key may begin in.
 
-        return step
+    The rows' functions are put together by doubled distances, those of all keys of a piece at once; a key that goes on in the next piece leaves one function."""
+    own, last, same = None, None, np.arange(n_states)
+    size = max(1, PIECE // n_states)
+    for pdf in batches:
+        for a in range(0, len(pdf), size):
+            p = pdf.iloc[a : a + size]
+            new, i = _new_keys(p, keys), np.arange(len(p))
+            place = i - np.maximum.accumulate(np.where(new, i, 0))
+            after, far = np.array(moves(p)), 1
+            while len(at := np.flatnonzero(place >= far)):
+                after[at] = np.take_along_axis(after[at], after[at - far], axis=1)
+                far *= 2
+            before = np.vstack([same, after[:-1]])
+            before[new] = same
+            if own is not None and own == tuple(p[k].iloc[0] for k in keys):
+                on = place == i
+                after[on], before[on], new[0] = after[on][:, last], before[on][:, last], False
+            own, last = tuple(p[k].iloc[-1] for k in keys), after[-1]
+            yield p, new, before, after
 
-    def begins() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        state = start
 
-        def step(p: pd.DataFrame) -> pd.DataFrame:
-            nonlocal state
-            at = []
-            for to in p["__to"]:
-                at.append(state)
-                state = int(to[state])
-            return p[parts].assign(__at=at)[(p["__piece"] == 1).to_numpy()]
-
-        return step
-
-    def states() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        state = None
-
-        def step(p: pd.DataFrame) -> pd.DataFrame:
-            nonlocal state
-            state = np.array([p["__at"].iloc[0]]) if state is None else state
-            met = []
-            for row in p[names].itertuples(index=False, name=None):
-                met.append(int(state[0]))
-                state = advance(state, row)
-            return p[names].assign(**{out: met})
+def states_before(rows: DataFrame, keys: list[str], order: list[str], width: float, n_states: int, moves: Callable[[pd.DataFrame], np.ndarray], out: str, start: int = 0) -> DataFrame:
+    """Rows with the state that each of them meets, of an automaton with states 0 .. n_states - 1 that goes through each key's rows in order.
 
-        return step
+    moves(rows) gives an array with a line for each row: the next state of each of the states.  A history is cut into buckets of order[0]; what a bucket does to every
+    state it may begin in is found for all buckets side by side, the buckets' functions (one short row for each) are put together in order, and then every bucket is
+    gone through once more from the state it begins in.  So many tasks work on one key's history, and short histories go through Python many at a time.
+    rows has only columns that pandas can hold; rows with a null key are left out."""
+    names, parts = rows.columns, [*keys, "__b"]
+    cut = rows.withColumn("__b", bucket_of(order[0], width)).where(" and ".join(f"`{k}` is not null" for k in parts))
+    dealt = cut.repartition(*parts)  # both readers below have this one exchange
+
+    def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for p, new, _, after in _through(batches, parts, n_states, moves):
+            if held is not None and new[0]:
+                yield held
+            ends = np.flatnonzero(np.append(new[1:], True))
+            done = p[parts].iloc[ends].assign(__to=list(after[ends]))
+            held = done.iloc[-1:]
+            if len(ends) > 1:
+                yield done.iloc[:-1]
+        if held is not None:
+            yield held
+
+    def begins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, new, before, _ in _through(batches, keys, n_states, lambda p: np.stack(p["__to"].to_numpy())):
+            # A key's first bucket begins in `start`.
+            if len(later := p[parts].assign(__at=before[:, start])[~new]):
+                yield later
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, _, before, _ in _through(batches, parts, n_states, moves):
+            yield p[names].assign(**{out: before[np.arange(len(p)), p["__at"].to_numpy()]})
 
     key_fields = [cut.schema[k] for k in parts]
-    maps = in_order(cut, parts, order, functions, T.StructType([*key_fields, T.StructField("__piece", T.LongType()), T.StructField("__to", T.ArrayType(T.LongType()))]))
-    first = in_order(maps, keys, ["__b", "__piece"], begins, T.StructType([*key_fields, T.StructField("__at", T.LongType())]))
-    return in_order(cut.join(first, parts), parts, order, states, T.StructType([*rows.schema, T.StructField(out, T.LongType())]))
+    maps = dealt.sortWithinPartitions(*parts, *order).mapInPandas(functions, T.StructType([*key_fields, T.StructField("__to", T.ArrayType(T.LongType()))]))
+    later = maps.repartition(*keys).sortWithinPartitions(*parts).mapInPandas(begins, T.StructType([*key_fields, T.StructField("__at", T.LongType())]))
+    begun = dealt.join(later, parts, "left").withColumn("__at", F.coalesce("__at", F.lit(start)))
+    return begun.sortWithinPartitions(*parts, *order).mapInPandas(states, T.StructType([*rows.schema, T.StructField(out, T.LongType())]))

@@ -349,13 +349,14 @@ def slot_lives(states: DataFrame, key: str, release_after: int, width: int = 10_
     A slot is an automaton: 0 .. release_after - 1 frames missed, or released (release_after).  A long history is worked on in buckets of `width` frames, side by side."""
     free = max(1, release_after)
 
-    def advance(s: np.ndarray, row: tuple) -> np.ndarray:
-        _, _, seen, corrected = row
-        s = np.where((s == free) & bool(corrected), 0, s)
-        return np.where(s == free, free, 0 if seen else s + 1)
+    def moves(p: pd.DataFrame) -> np.ndarray:
+        seen, corrected = (p[c].to_numpy(dtype=bool)[:, None] for c in ("visible", "corrected"))
+        s = np.arange(free + 1)
+        s = np.where((s == free) & corrected, 0, s)
+        return np.where(s == free, free, np.where(seen, 0, s + 1))
 
     plain = states.select(key, F.col("frame").cast("long").alias("frame"), F.coalesce("visible", F.lit(False)).alias("visible"), F.coalesce("corrected", F.lit(False)).alias("corrected"))
-    met = states_before(plain, [key], ["frame"], width, free + 1, advance, "__s")
+    met = states_before(plain, [key], ["frame"], width, free + 1, moves, "__s")
     before = F.when((F.col("__s") == free) & F.col("corrected"), 0).otherwise(F.col("__s"))
     held, missing = before < free, F.when(before == free, before).when(F.col("visible"), 0).otherwise(before + 1)
     status = F.when(held, F.when(F.col("visible"), "visible").otherwise("lost"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import rigvane
 from rigvane import __main__ as cli
 from rigvane import tracker
-from rigvane.operators import assign, crossframe, crossview, detect, geometry, masks, nearest, profile, streams, voxel
+from rigvane.operators import assign, crossframe, crossview, detect, geometry, masks, nearest, ordered, profile, streams, voxel
 from rigvane.sources import frames
 
 
@@ -397,6 +398,59 @@ def test_timing_files(spark, tmp_path):
     assert sorted(tuple(r) for r in back.select("frame", "track", "fuse").distinct().collect()) == [("1", "1.5", "2.0"), ("2", "3.0", None)] and back.count() == 4
 
 
+@pytest.mark.parametrize("width", [1, 7, 10_000])
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_states_of_any_automaton_equal_the_sequential_ones(spark, width, batch):
+    """Functions of random tables, keys of two columns, orders below zero and rows without a key: each row meets the state of a walk row by row."""
+    rng = np.random.default_rng(width)
+    table = rng.integers(0, 5, (4, 5))
+    rows = [(a, b, int(t), int(rng.integers(0, 4))) for a, b, n in (("x", 1, 60), ("x", 2, 1), ("y", 1, 25), ("y", 2**53, 2), ("y", 2**53 + 1, 2)) for t in rng.choice(160, n, replace=False) - 80]
+    want = []
+    for key in {r[:2] for r in rows}:
+        state = 3
+        for r in sorted(r for r in rows if r[:2] == key):
+            want.append((*r, state))
+            state = int(table[r[3], state])
+    df = spark.createDataFrame([*rows, (None, 1, 0, 0), ("x", None, 0, 0)], "a string, b long, t long, sign int").repartition(3)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, batch)
+        got = ordered.states_before(df, ["a", "b"], ["t"], width, 5, lambda p: table[p["sign"].to_numpy()], "state", 3)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.set(conf, before)
+
+
+@pytest.mark.parametrize("piece", [1, 20, 2**20])
+def test_pieces_of_any_size_give_the_same_functions(piece, monkeypatch):
+    monkeypatch.setattr(ordered, "PIECE", piece)
+    rng = np.random.default_rng(0)
+    table = rng.integers(0, 4, (3, 4))
+    rows = pd.DataFrame({"k": np.repeat([2**53, 2**53 + 1, 7], [30, 1, 19]), "sign": rng.integers(0, 3, 50)})
+    want, at = [], None
+    for k, sign in rows.itertuples(index=False):
+        new = not want or k != rows["k"].iloc[len(want) - 1]
+        at = np.arange(4) if new else at
+        want.append((new, at.tolist(), table[sign][at].tolist()))
+        at = table[sign][at]
+    got = ordered._through(iter([rows.iloc[:11], rows.iloc[11:11], rows.iloc[11:]]), ["k"], 4, lambda p: table[p["sign"].to_numpy()])
+    assert [(bool(n), b.tolist(), a.tolist()) for _, new, before, after in got for n, b, a in zip(new, before, after)] == want
+
+
+def test_short_histories_are_gone_through_together(spark):
+    """6,000 rows of 1,500 keys come as a few batches of a few tasks: Python is called for batches, not for rows or keys."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def moves(p, *_):
+        calls.add(1)
+        return np.tile([1, 0], (len(p), 1))
+
+    rows = spark.range(6_000).select((F.col("id") % 1_500).alias("k"), F.floor(F.col("id") / 1_500).alias("t"))
+    got = ordered.states_before(rows, ["k"], ["t"], 10_000, 2, moves, "state")
+    assert {(r["t"] % 2 == r["state"]) for r in got.collect()} == {True} and calls.value <= 50
+
+
 def test_a_model_is_a_function_of_batches(spark):
     def model(batches):
         for pdf in batches:
