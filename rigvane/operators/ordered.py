@@ -90,8 +90,23 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], start: Callable
     return rows.where(" and ".join(f"`{k}` is not null" for k in keys)).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-#: Numbers that a piece of rows has at most in `_through`, one for each row and state.
-PIECE = 2**20
+#: Numbers that a piece of rows has at most in `_through`, one for each row and state; rows that small batches are gathered to.
+PIECE, GATHER = 2**20, 10_000
+
+
+def _gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of `rows` or more: sessions may send few at a time."""
+    held, n = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _through(batches: Iterator[pd.DataFrame], keys: list[str], n_states: int, moves: Callable[[pd.DataFrame], np.ndarray]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
@@ -100,7 +115,7 @@ def _through(batches: Iterator[pd.DataFrame], keys: list[str], n_states: int, mo
     The rows' functions are put together by doubled distances, those of all keys of a piece at once; a key that goes on in the next piece leaves one function."""
     own, last, same = None, None, np.arange(n_states)
     size = max(1, PIECE // n_states)
-    for pdf in batches:
+    for pdf in _gathered(batches, min(size, GATHER)):
         for a in range(0, len(pdf), size):
             p = pdf.iloc[a : a + size]
             new, i = _new_keys(p, keys), np.arange(len(p))

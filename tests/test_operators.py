@@ -439,7 +439,7 @@ def test_pieces_of_any_size_give_the_same_functions(piece, monkeypatch):
 
 
 def test_short_histories_are_gone_through_together(spark):
-    """6,000 rows of 1,500 keys come as a few batches of a few tasks: Python is called for batches, not for rows or keys."""
+    """6,000 rows of 1,500 keys come as a few pieces of a few tasks, even if the session sends 10 rows at a time: moves() is called for pieces, not for rows, keys or batches."""
     calls = spark.sparkContext.accumulator(0)
 
     def moves(p, *_):
@@ -447,8 +447,14 @@ def test_short_histories_are_gone_through_together(spark):
         return np.tile([1, 0], (len(p), 1))
 
     rows = spark.range(6_000).select((F.col("id") % 1_500).alias("k"), F.floor(F.col("id") / 1_500).alias("t"))
-    got = ordered.states_before(rows, ["k"], ["t"], 10_000, 2, moves, "state")
-    assert {(r["t"] % 2 == r["state"]) for r in got.collect()} == {True} and calls.value <= 50
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, 10)
+        got = ordered.states_before(rows, ["k"], ["t"], 10_000, 2, moves, "state").collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert len(got) == 6_000 and all(r["t"] % 2 == r["state"] for r in got) and calls.value <= 50
 
 
 def test_a_model_is_a_function_of_batches(spark):
